@@ -4,10 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mnemo.llm import dedup, mixing
+from mnemo.llm import dedup, langid, mixing, packing
 from mnemo.llm.common import table
 
 
+def op2_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op5_byte_cnn_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op6_tree_merge_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -16,5 +24,5 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))[0]
 
 
-QUERIES = {f.__name__: f for f in (op6_tree_merge_dedup, op10_source_mix)}
+QUERIES = {f.__name__: f for f in (op2_nnls_packing, op5_byte_cnn_langid, op6_tree_merge_dedup, op10_source_mix)}
 ORACLES = {"op6_tree_merge_dedup": dedup.SQL, "op10_source_mix": mixing.sql()}

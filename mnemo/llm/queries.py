@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mnemo.llm import dedup, langid, mixing, packing
+from mnemo.llm import crosspoly, dedup, langid, mixing, packing, sepscan
 from mnemo.llm.common import table
 
 
+def op1_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sepscan.token_counts(table(spark, sf_dir, "documents"))
+
+
 def op2_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -20,9 +24,13 @@ def op6_tree_merge_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op9_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crosspoly.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))[0]
 
 
-QUERIES = {f.__name__: f for f in (op2_nnls_packing, op5_byte_cnn_langid, op6_tree_merge_dedup, op10_source_mix)}
-ORACLES = {"op6_tree_merge_dedup": dedup.SQL, "op10_source_mix": mixing.sql()}
+QUERIES = {f.__name__: f for f in (op1_separator_scan, op2_nnls_packing, op5_byte_cnn_langid, op6_tree_merge_dedup, op9_cross_polytope, op10_source_mix)}
+ORACLES = {"op6_tree_merge_dedup": dedup.SQL, "op9_cross_polytope": crosspoly.SQL, "op10_source_mix": mixing.sql()}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mnemo.llm import crosspoly, dedup, langid, mixing, packing, sepscan
+from mnemo.llm import crosspoly, dedup, jaccard, langid, mixing, packing, sepscan
 from mnemo.llm.common import table
 
 
@@ -16,6 +16,10 @@ def op2_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op3_combination_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join_components(table(spark, sf_dir, "documents"), width=3, percent=90)
+
+
 def op5_byte_cnn_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
@@ -32,5 +36,5 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))[0]
 
 
-QUERIES = {f.__name__: f for f in (op1_separator_scan, op2_nnls_packing, op5_byte_cnn_langid, op6_tree_merge_dedup, op9_cross_polytope, op10_source_mix)}
-ORACLES = {"op6_tree_merge_dedup": dedup.SQL, "op9_cross_polytope": crosspoly.SQL, "op10_source_mix": mixing.sql()}
+QUERIES = {f.__name__: f for f in (op1_separator_scan, op2_nnls_packing, op3_combination_prefix_join, op5_byte_cnn_langid, op6_tree_merge_dedup, op9_cross_polytope, op10_source_mix)}
+ORACLES = {"op3_combination_prefix_join": jaccard.SQL, "op6_tree_merge_dedup": dedup.SQL, "op9_cross_polytope": crosspoly.SQL, "op10_source_mix": mixing.sql()}

@@ -37,6 +37,11 @@ def written(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> DataF
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, rows: int = 256) -> None:
+    """Hand texts to Python a few hundred at a time: a default batch of long texts can hold gigabytes."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only. Pure ASCII texts take the fast built-in."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, UPPER.lower()))

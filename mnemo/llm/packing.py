@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mnemo.llm.common import written
+from mnemo.llm.common import small_batches, written
 from mnemo.llm.tokens import public_path, word_tokenizer
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -217,6 +217,7 @@ def pack(docs: DataFrame, window: int = 2048, end_id: int = 1, find: Callable[[]
     shared by a third of all pieces is spread over many tasks, and the plan maps ranks to places.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     for smallest in (0, 64):
         pieces = written(cut_pieces(docs, window, end_id, find, id_col, text_col, smallest), "pack-pieces")
         histogram = np.zeros(window + 1, dtype=np.int64)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 import numpy as np
 
-_MEMO_LIMIT = 400_000
+_MEMO_LIMIT = 250_000
 _ODD_SPACES = "\x1c\x1d\x1e\x1f"
 _CACHE: dict[str, WordTokenizer] = {}
 

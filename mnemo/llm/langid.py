@@ -16,6 +16,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mnemo.llm.common import small_batches
+
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 DIM = 8
@@ -175,6 +177,7 @@ def fit(docs: DataFrame, per_language: int = 600) -> ByteCNN:
 
 
 def predict(docs: DataFrame, model: ByteCNN) -> DataFrame:
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,6 +242,7 @@ def accepted_documents(docs: DataFrame, least_score: float = 0.0) -> DataFrame:
 
     The verdict is made where the text is, so texts are not shuffled.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mnemo.llm import crosspoly, dedup, jaccard, langid, mixing, packing, sepscan
+from mnemo.llm import crosspoly, dedup, jaccard, langid, mixing, packing, pii, sepscan
 from mnemo.llm.common import table
 
 
@@ -28,6 +28,10 @@ def op6_tree_merge_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op8_deobfuscated_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_personal_data(table(spark, sf_dir, "documents"))
+
+
 def op9_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crosspoly.near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -36,5 +40,5 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))[0]
 
 
-QUERIES = {f.__name__: f for f in (op1_separator_scan, op2_nnls_packing, op3_combination_prefix_join, op5_byte_cnn_langid, op6_tree_merge_dedup, op9_cross_polytope, op10_source_mix)}
+QUERIES = {f.__name__: f for f in (op1_separator_scan, op2_nnls_packing, op3_combination_prefix_join, op5_byte_cnn_langid, op6_tree_merge_dedup, op8_deobfuscated_pii, op9_cross_polytope, op10_source_mix)}
 ORACLES = {"op3_combination_prefix_join": jaccard.SQL, "op6_tree_merge_dedup": dedup.SQL, "op9_cross_polytope": crosspoly.SQL, "op10_source_mix": mixing.sql()}

@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from mnemo.llm.common import new_path, running_total, written
+from mnemo.llm.common import small_batches, new_path, running_total, written
 from mnemo.llm.files import reading, replacing
 
 SEPARATOR = 50256
@@ -112,6 +112,7 @@ def token_counts(docs: DataFrame, **params) -> DataFrame:
     empty result.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     folder = new_path(spark, "flat-tokens")
     manifest = write_flat(docs, folder, **params)
     if manifest.isEmpty():

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mnemo.llm import crosspoly, dedup, jaccard, langid, mixing, packing, pii, sepscan
+from mnemo.llm import crosspoly, dedup, jaccard, langid, mixing, packing, pii, sepscan, warc, wrapper
 from mnemo.llm.common import table
 
 
@@ -20,6 +20,10 @@ def op3_combination_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join_components(table(spark, sf_dir, "documents"), width=3, percent=90)
 
 
+def op4_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrapper.main_text(table(spark, sf_dir, "pages"))
+
+
 def op5_byte_cnn_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
@@ -28,6 +32,10 @@ def op6_tree_merge_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op7_zstd_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op8_deobfuscated_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_personal_data(table(spark, sf_dir, "documents"))
 
@@ -40,5 +48,5 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))[0]
 
 
-QUERIES = {f.__name__: f for f in (op1_separator_scan, op2_nnls_packing, op3_combination_prefix_join, op5_byte_cnn_langid, op6_tree_merge_dedup, op8_deobfuscated_pii, op9_cross_polytope, op10_source_mix)}
-ORACLES = {"op3_combination_prefix_join": jaccard.SQL, "op6_tree_merge_dedup": dedup.SQL, "op9_cross_polytope": crosspoly.SQL, "op10_source_mix": mixing.sql()}
+QUERIES = {f.__name__: f for f in (op1_separator_scan, op2_nnls_packing, op3_combination_prefix_join, op4_wrapper_induction, op5_byte_cnn_langid, op6_tree_merge_dedup, op7_zstd_warc, op8_deobfuscated_pii, op9_cross_polytope, op10_source_mix)}
+ORACLES = {"op3_combination_prefix_join": jaccard.SQL, "op6_tree_merge_dedup": dedup.SQL, "op7_zstd_warc": warc.SQL, "op9_cross_polytope": crosspoly.SQL, "op10_source_mix": mixing.sql()}

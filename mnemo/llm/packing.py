@@ -38,8 +38,8 @@ def cut_pieces(docs: DataFrame, window: int, end_id: int, find: Callable[[], str
         tokenizer = word_tokenizer(find())
         for batch in batches:
             out: dict[str, list] = {k: [] for k in ("doc_id", "start", "length", "ids_crc32", "doc_tokens")}
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = memoryview(tokenizer.ids(text.as_py()) + end)
+            for doc_id, found in zip(batch.column(0).to_pylist(), tokenizer.ids_of(batch.column(1).to_pylist()), strict=True):
+                ids = memoryview(found + end)
                 n = len(ids) // 4
                 start = 0
                 for length in lengths_of(n, window, smallest):

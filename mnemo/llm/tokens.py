@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 
-_MEMO_LIMIT = 250_000
+_MEMO_LIMIT = 350_000
 _ODD_SPACES = "\x1c\x1d\x1e\x1f"
 _CACHE: dict[str, WordTokenizer] = {}
 
@@ -36,35 +36,33 @@ class WordTokenizer:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def _learn(self, words: set[str]) -> None:
-        """Letters-only words are encoded together: each ends at the next piece that closes a word."""
-        memo = self.memo
-        if len(memo) > _MEMO_LIMIT:
-            memo.clear()
-        plain, tailed = [], []
-        for w in words:
-            if w in memo:
-                continue
-            if w.isalpha():
-                plain.append(w)
-            elif w[-1] in ".,!?" and w[:-1].isalpha():
-                tailed.append(w)
+        """Put new words into the memo. Lower-case ASCII letters go straight to the model; other
+        letters-only words are encoded together, each ending at the next piece that closes a word."""
+        memo, one_word = self.memo, self.tokenizer.model.tokenize
+        tailed = [w for w in words if w[-1] in ".,!?" and w[:-1].isalpha()]
+        plain = {w for w in words if w.isalpha()}
+        plain.update(w[:-1] for w in tailed)
+        letters = []
+        for w in plain.difference(memo):
+            if w.isascii():
+                memo[w] = np.array([t.id for t in one_word(w.lower())], dtype="<u4").tobytes()
             else:
-                memo[w] = self._encode(w)
-        heads = {w[:-1] for w in tailed}.difference(plain)
-        plain += [w for w in heads if w not in memo]
-        if plain:
-            ids = np.array(self.tokenizer.encode(" ".join(plain), add_special_tokens=False).ids, dtype="<u4")
+                letters.append(w)
+        if letters:
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(letters)], add_special_tokens=False)[0].ids, dtype="<u4")
             ends = np.flatnonzero(self.closes[ids]) + 1
-            if len(ends) == len(plain) and ends[-1] == len(ids):
+            if len(ends) == len(letters) and ends[-1] == len(ids):
                 at = 0
-                for w, end in zip(plain, ends.tolist(), strict=True):
+                for w, end in zip(letters, ends.tolist(), strict=True):
                     memo[w] = ids[at:end].tobytes()
                     at = end
             else:
-                for w in plain:
+                for w in letters:
                     memo[w] = self._encode(w)
         for w in tailed:
             memo[w] = memo[w[:-1]] + self._tail(w[-1])
+        for w in words.difference(memo):
+            memo[w] = self._encode(w)
 
     def _tail(self, mark: str) -> bytes:
         found = self.memo.get(mark)
@@ -73,18 +71,23 @@ class WordTokenizer:
         return found
 
     def ids(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if any(c in text for c in _ODD_SPACES):
-            return self._encode(text)
-        words = text.lower().split() if text.isascii() else text.split()
-        memo = self.memo
-        try:
-            return b"".join([memo[w] for w in words])
-        except KeyError:
-            self._learn(set(words))
-            memo = self.memo
-            return b"".join([memo[w] if w in memo else self._encode(w) for w in words])
+        return next(self.ids_of([text]))
+
+    def ids_of(self, texts: list[str | None]) -> Iterator[bytes]:
+        """Ids of each text; the new words of all of them are learned together."""
+        split = [None if t and any(c in t for c in _ODD_SPACES) else (t.lower() if t.isascii() else t).split() if t else [] for t in texts]
+        new = set()
+        for words in split:
+            if words:
+                new.update(set(words).difference(self.memo))
+        if len(self.memo) + len(new) > _MEMO_LIMIT:
+            self.memo.clear()
+            new = {w for words in split if words for w in words}
+        if new:
+            self._learn(new)
+        known = self.memo.__getitem__
+        for text, words in zip(texts, split, strict=True):
+            yield self._encode(text) if words is None else b"".join(map(known, words))
 
 
 def word_tokenizer(path: str) -> WordTokenizer:

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import struct
 from collections.abc import Callable, Iterator
+from unicodedata import is_normalized
 
 import numpy as np
 
@@ -12,6 +14,20 @@ _ODD_SPACES = "\x1c\x1d\x1e\x1f"
 _CACHE: dict[str, WordTokenizer] = {}
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in byte-level vocabularies."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
+_BYTE_LETTERS = _byte_letters()
+
+
+def _packed(*ids: int) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class WordTokenizer:
     """Ids as little-endian unsigned 32-bit bytes.
 
@@ -39,13 +55,16 @@ class WordTokenizer:
         """Put new words into the memo. Lower-case ASCII letters go straight to the model; other
         letters-only words are encoded together, each ending at the next piece that closes a word."""
         memo, one_word = self.memo, self.tokenizer.model.tokenize
+        pack = _packed
         tailed = [w for w in words if w[-1] in ".,!?" and w[:-1].isalpha()]
         plain = {w for w in words if w.isalpha()}
         plain.update(w[:-1] for w in tailed)
         letters = []
         for w in plain.difference(memo):
             if w.isascii():
-                memo[w] = np.array([t.id for t in one_word(w.lower())], dtype="<u4").tobytes()
+                memo[w] = pack(*[t.id for t in one_word(w.lower())])
+            elif "Σ" not in w and w.lower().isalpha() and is_normalized("NFC", w):
+                memo[w] = pack(*[t.id for t in one_word(w.lower().encode().decode("latin-1").translate(_BYTE_LETTERS))])
             else:
                 letters.append(w)
         if letters:

@@ -15,9 +15,10 @@ from pyspark.sql import functions as F
 from mnemo.llm.common import written
 from mnemo.llm.graph import broadcast_if_small, components
 
-TABLES = 14
+TABLES = 10
 PROBES = 4
 BLOCK = 512
+BIN = 4096
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -94,9 +95,8 @@ def clean_vectors(df: DataFrame) -> DataFrame:
     return df.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>")).mapInArrow(run, "vec_id long, digest string, dim int, unit binary")
 
 
-def _forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
-    """A spanning forest of the links, so that a dense group sends on one link a vector."""
-    parent: dict[int, int] = {}
+def _forest(a: np.ndarray, b: np.ndarray, parent: dict[int, int]) -> list[tuple[int, int]]:
+    """Those links that join parts not joined yet, so that a dense group sends on one link a vector."""
 
     def root(x: int) -> int:
         while parent.setdefault(x, x) != x:
@@ -113,45 +113,71 @@ def _forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def compare_block(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
-    """Links of one bucket block (or pair of blocks). A pair that shares several buckets counts in
-    the smallest of them only. Rows out: (a, b, 0) for a spanning forest, (a, null, links) sums."""
-    key, left, right = pdf["key"].iloc[0], pdf["i"].iloc[0], pdf["j"].iloc[0]
+def _same_bucket(keys: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Every pair of positions of sorted ``keys`` that share a key, by growing distance."""
+    at, step = np.arange(len(keys) - 1), 1
+    while len(at):
+        at = at[at + step < len(keys)]
+        at = at[keys[at] == keys[at + step]]
+        if len(at):
+            yield at, at + step
+        step += 1
+
+
+def _cross(rows: np.ndarray, cols: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    for r in rows:
+        yield np.full(len(cols), r), cols
+
+
+def _close(unit: np.ndarray, a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
+    c = np.einsum("ij,ij->i", unit[a], unit[b])
+    for k in np.flatnonzero(np.abs(c - threshold) < 1e-9):
+        c[k] = math.fsum(p * q for p, q in zip(unit[a[k]].tolist(), unit[b[k]].tolist(), strict=True))
+    return c >= threshold - 1e-15
+
+
+def compare_bin(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
+    """Links within the buckets of one bin, or between the two blocks of a large bucket.
+
+    A pair that shares several buckets counts in the smallest of them only. Rows out: (a, b, 0) for
+    a spanning forest of the links, (a, null, n) for n links of a.
+    """
+    pdf = pdf.sort_values(["key", "rep"], kind="stable")
+    left, right = pdf["i"].iloc[0], pdf["j"].iloc[0]
     unit = np.frombuffer(b"".join(pdf["unit"]), dtype=np.float64).reshape(len(pdf), -1)
-    ids, block, mult = (pdf[c].to_numpy() for c in ("rep", "block", "mult"))
+    ids, key, block, mult = (pdf[c].to_numpy() for c in ("rep", "key", "block", "mult"))
     keys = np.stack(pdf["keys"].to_numpy())
-    if left == right:
-        rows = cols = np.arange(len(pdf))
-    else:
-        rows, cols = np.flatnonzero(block == left), np.flatnonzero(block == right)
-    found_a, found_b = [], []
-    for at in range(0, len(rows), BLOCK):
-        part = rows[at : at + BLOCK]
-        cosine = unit[part] @ unit[cols].T
-        x, y = np.nonzero(cosine >= threshold - 1e-9)
-        a, b = part[x], cols[y]
-        ok = ids[a] < ids[b] if left == right else np.ones(len(a), bool)
-        a, b, c = a[ok], b[ok], cosine[x[ok], y[ok]]
-        close = np.abs(c - threshold) < 1e-9
-        if close.any():
-            exact = np.array([math.fsum(p * q for p, q in zip(unit[s].tolist(), unit[t].tolist(), strict=True)) for s, t in zip(a[close], b[close], strict=True)])
-            c[close] = exact
-        keep = c >= threshold - 1e-15
-        found_a.append(a[keep])
-        found_b.append(b[keep])
-    a, b = np.concatenate(found_a), np.concatenate(found_b)
-    first = np.empty(len(a), dtype=bool)
-    for at in range(0, len(a), 65536):
-        ka, kb = keys[a[at : at + 65536]], keys[b[at : at + 65536]]
-        least = np.full(len(ka), np.iinfo(np.int64).max)
-        for k in range(ka.shape[1]):
-            shared = (ka[:, k : k + 1] == kb).any(axis=1)
-            least = np.where(shared, np.minimum(least, ka[:, k]), least)
-        first[at : at + 65536] = least == key
+    pairs = _same_bucket(key) if left == right else _cross(np.flatnonzero(block == left), np.flatnonzero(block == right))
     counts = np.zeros(len(pdf), dtype=np.int64)
-    np.add.at(counts, a[first], mult[b[first]])
-    np.add.at(counts, b[first], mult[a[first]])
-    edges = _forest(ids[a], ids[b])
+    edges: list[tuple[int, int]] = []
+    parent: dict[int, int] = {}
+
+    def settle(held_a: list[np.ndarray], held_b: list[np.ndarray]) -> None:
+        a, b = np.concatenate(held_a), np.concatenate(held_b)
+        near = _close(unit, a, b, threshold)
+        a, b = a[near], b[near]
+        for at in range(0, len(a), 8192):
+            x, y = a[at : at + 8192], b[at : at + 8192]
+            ka, kb = keys[x], keys[y]
+            least = np.full(len(x), np.iinfo(np.int64).max)
+            for k in range(ka.shape[1]):
+                shared = (ka[:, k : k + 1] == kb).any(axis=1)
+                least = np.where(shared, np.minimum(least, ka[:, k]), least)
+            first = least == key[x]
+            np.add.at(counts, x[first], mult[y[first]])
+            np.add.at(counts, y[first], mult[x[first]])
+        edges.extend(_forest(ids[a], ids[b], parent))
+
+    held_a, held_b, size = [], [], 0
+    for a, b in pairs:
+        held_a.append(a)
+        held_b.append(b)
+        size += len(a)
+        if size > 65536:
+            settle(held_a, held_b)
+            held_a, held_b, size = [], [], 0
+    if size:
+        settle(held_a, held_b)
     some = np.flatnonzero(counts)
     return pd.DataFrame(
         {
@@ -196,10 +222,12 @@ def near_duplicates(df: DataFrame, threshold: float = 0.95, tables: int = TABLES
     members = coded.select("rep", F.explode(F.array_distinct("keys")).alias("key"))
     buckets = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     hits = written(members.join(buckets, "key").select("rep", "key", F.ceil(F.col("n") / BLOCK).alias("blocks")), "vec-buckets")
-    placed = hits.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    placed = placed.select("rep", "key", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    work = placed.join(coded, "rep")
-    out = written(work.groupBy("key", "i", "j").applyInPandas(lambda pdf: compare_block(pdf, threshold), "a long, b long, links long"), "vec-links")
+    bins = 1 + hits.where("blocks = 1").count() // BIN
+    small = hits.where("blocks = 1").select("rep", "key", F.pmod(F.xxhash64("key"), F.lit(bins)).alias("bin"), *[F.lit(0).cast("long").alias(c) for c in ("block", "i", "j")])
+    placed = hits.where("blocks > 1").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    large = placed.select("rep", "key", F.col("key").alias("bin"), "block", (F.least("block", "other") + 1).alias("i"), (F.greatest("block", "other") + 1).alias("j")).withColumn("block", F.col("block") + 1)
+    work = small.unionByName(large).join(coded, "rep")
+    out = written(work.groupBy("bin", "i", "j").applyInPandas(lambda pdf: compare_bin(pdf, threshold), "a long, b long, links long"), "vec-links")
     links = out.where("b IS NULL").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("_links"))
     parts = components(out.where("b IS NOT NULL").select("a", "b"))
     verdict = written(

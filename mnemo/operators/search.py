@@ -52,7 +52,7 @@ def batch_top_k(queries: DataFrame, base: DataFrame, k: int, id_col: str = "vec_
             x, y = _units(left["v"]), _units(right["v"])
             qi, bi = left["id"].to_numpy(), right["id"].to_numpy()
             for at in range(0, len(x), 512):
-                d = 1.0 - x[at : at + 512] @ y.T
+                d = np.round(1.0 - x[at : at + 512] @ y.T, 9)  # equal vectors tie exactly
                 d[np.isnan(d)] = np.inf
                 take = min(k, d.shape[1])
                 edge = np.partition(d, take - 1, axis=1)[:, take - 1 : take]

@@ -226,8 +226,8 @@ def near_duplicates(df: DataFrame, threshold: float = 0.95, tables: int = TABLES
     small = hits.where("blocks = 1").select("rep", "key", F.pmod(F.xxhash64("key"), F.lit(bins)).alias("bin"), *[F.lit(0).cast("long").alias(c) for c in ("block", "i", "j")])
     placed = hits.where("blocks > 1").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     large = placed.select("rep", "key", F.col("key").alias("bin"), "block", (F.least("block", "other") + 1).alias("i"), (F.greatest("block", "other") + 1).alias("j")).withColumn("block", F.col("block") + 1)
-    work = small.unionByName(large).join(coded, "rep")
-    out = written(work.groupBy("bin", "i", "j").applyInPandas(lambda pdf: compare_bin(pdf, threshold), "a long, b long, links long"), "vec-links")
+    work = small.unionByName(large).join(coded, "rep").withColumn("width", F.octet_length("unit"))
+    out = written(work.groupBy("bin", "i", "j", "width").applyInPandas(lambda pdf: compare_bin(pdf, threshold), "a long, b long, links long"), "vec-links")
     links = out.where("b IS NULL").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("_links"))
     parts = components(out.where("b IS NOT NULL").select("a", "b"))
     verdict = written(

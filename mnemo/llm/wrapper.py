@@ -167,12 +167,13 @@ def matching(a: Wrapper, b: Wrapper) -> int:
     """Simple tree matching: nodes of a largest order-preserving match of two trees with equal roots."""
     if a[0] != b[0]:
         return 0
+    if [k[0] for k in a[4]] == [k[0] for k in b[4]]:
+        return 1 + sum(map(matching, a[4], b[4]))
     return 1 + _align(a[4], b[4])[0]
 
 
 def _align(x: list[Wrapper], y: list[Wrapper]) -> tuple[int, list[tuple[int, int]]]:
-    if [k[0] for k in x] == [k[0] for k in y]:
-        return len(x), [(i, i) for i in range(len(x))]
+    """(matched nodes, matched positions) of a best order-preserving alignment of two child lists."""
     weights = [[matching(p, q) for q in y] for p in x]
     best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
     for i in range(len(x) - 1, -1, -1):
@@ -193,7 +194,8 @@ def _align(x: list[Wrapper], y: list[Wrapper]) -> tuple[int, list[tuple[int, int
 def merge(a: Wrapper, b: Wrapper, most_kids: int = 64) -> Wrapper:
     """Both trees in one: matched nodes add up, unmatched ones stay as optional nodes."""
     hashes = sorted(set(a[3]) | set(b[3]))[:KEPT_HASHES]
-    _, pairs = _align(a[4], b[4])
+    alike = [k[0] for k in a[4]] == [k[0] for k in b[4]]
+    pairs = [(i, i) for i in range(len(a[4]))] if alike else _align(a[4], b[4])[1]
     kids, i, j = [], 0, 0
     for p, q in [*pairs, (len(a[4]), len(b[4]))]:
         kids += a[4][i:p] + b[4][j:q]

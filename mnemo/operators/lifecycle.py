@@ -59,5 +59,5 @@ def sweep(mem: DataFrame, now: int, dry_run: bool = False, cap: int = S.DELETE_C
     if dry_run:
         return mem, counts
     flagged = mem.join(promoted.withColumn("_promote", F.lit(True)), ["index_name", "key"], "left")
-    after = flagged.withColumn("archived_at", F.when("_promote", F.lit(now)).otherwise(F.col("archived_at"))).withColumn("status", F.when("_promote", "archived").otherwise(F.col("status"))).drop("_promote")
+    after = flagged.withColumn("archived_at", F.when(F.col("_promote"), F.lit(now)).otherwise(F.col("archived_at"))).withColumn("status", F.when(F.col("_promote"), "archived").otherwise(F.col("status"))).drop("_promote")
     return after.join(doomed, ["index_name", "key"], "left_anti"), counts

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mnemo.llm.common import ascii_lower, written
@@ -71,8 +71,12 @@ def kept_documents(docs: DataFrame, runs: int = 64, keep: str = "max") -> DataFr
     prints = written(fingerprints(docs, runs), "dedup-prints")
     _, root = tree_merge(prints, runs, keep=keep)
     norm = ascii_lower(F.coalesce(F.col("text"), F.lit("")))
-    stay = root.select(F.col("keep_id").alias("_keep"), F.col("digest").alias("_digest"))
-    return docs.join(stay, docs["doc_id"].eqNullSafe(F.col("_keep")) & (F.sha2(norm, 256) == F.col("_digest")), "left_semi")
+    ident = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(-(1 << 63)))
+    stay = root.select(ident("keep_id").alias("_id"), F.col("digest").alias("_digest"))
+    rows = docs.withColumn("_id", ident("doc_id")).withColumn("_digest", F.sha2(norm, 256)).join(stay, ["_id", "_digest"], "left_semi")
+    # rows that repeat an identifier and its text: one of them stays; the join has laid them together
+    one = F.row_number().over(Window.partitionBy("_id", "_digest").orderBy("_digest"))
+    return rows.withColumn("_n", one).where("_n = 1").select(*docs.columns)
 
 
 SQL = """

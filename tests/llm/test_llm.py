@@ -48,6 +48,8 @@ def test_dedup_matches_brute_force(spark, odd):
         known = [i for i in by[text] if i is not None]
         assert r["keep_id"] == (max(known) if known else None) and r["group_size"] == len(by[text]) and r["kept"] == (r["doc_id"] == r["keep_id"])
     assert dedup.exact_dedup(odd.limit(0)).count() == 0
+    kept = dedup.kept_documents(odd.drop("digest"), runs=8)
+    assert sorted((r["doc_id"] or -1) for r in kept.collect()) == [-1, 2, 3, 4, 6, 8] and kept.columns == odd.drop("digest").columns
     accents = dedup.exact_dedup(table(spark, ["É a", "é a", "É A"])).orderBy("doc_id").collect()
     assert [r["keep_id"] for r in accents] == [2, 1, 2]
 

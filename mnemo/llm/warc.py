@@ -144,7 +144,7 @@ def write_archives(pages: DataFrame, folder: str, least_revisit: int = 1000, sam
 
     Of records with equal payloads of at least ``least_revisit`` bytes, the one with the largest
     page_id is a response and the others revisit it. The dictionary is trained on the first 8,000
-    characters of ``samples`` pages; it changes sizes only. A task that runs again replaces its files.
+    characters of about ``samples`` pages, chosen by hash; it changes sizes only. A task that runs again replaces its files.
     """
     spark = pages.sparkSession
     payload = F.encode(F.coalesce(F.col("html"), F.lit("")), "UTF-8")
@@ -153,8 +153,9 @@ def write_archives(pages: DataFrame, folder: str, least_revisit: int = 1000, sam
     groups = rows.where(F.col("size") >= least_revisit).groupBy("digest").agg(F.max("page_id").alias("keeper"), F.count(F.lit(1)).alias("n")).where("n > 1")
     repeated = broadcast_if_small(written(groups.select("digest", "keeper"), "warc-repeated"))
     rows = rows.join(repeated, "digest", "left").withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("keeper")), F.col("keeper")))
-    sampled = pages.select(F.xxhash64("page_id", F.lit(3)).alias("h"), F.substring("html", 1, 8000).alias("html")).where("html <> ''").orderBy("h", "html").limit(samples).collect()
-    dictionary = train_dictionary([r["html"].encode("utf-8", "surrogatepass") for r in sampled])
+    share = int(min(1.0, samples / max(1, pages.count())) * (1 << 30))
+    sampled = pages.where(F.pmod(F.xxhash64("page_id", F.lit(3)), F.lit(1 << 30)) < share).select(F.substring("html", 1, 8000).alias("html")).where("html <> ''").collect()
+    dictionary = train_dictionary(sorted(r["html"].encode("utf-8", "surrogatepass") for r in sampled))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         loaded = _dictionary(dictionary)

@@ -166,4 +166,7 @@ c AS (SELECT query_id, sum(tokens) AS all_t, count(*) AS ak, arg_min(key, pos) A
 a AS (SELECT budget, query_id, sum(tokens) AS t, count(*) AS n, arg_min(key, pos) AS first FROM k GROUP BY ALL)
 SELECT budget, round(avg(100.0 :: DOUBLE * (all_t - t) / nullif(all_t, 0)), 1) AS savings_pct, count(*) FILTER (first = top) AS top1, count(*) AS queries, round(avg(n :: DOUBLE / ak), 3) AS recall FROM a JOIN c USING (query_id) GROUP BY budget""",
     "rubric_accuracy": "WITH r AS (SELECT quality, (contains(lower(text), 'the') OR contains(lower(text), 'der')) AND (contains(lower(text), 'and') OR contains(lower(text), 'und')) AS ok FROM documents JOIN labels USING (doc_id)) SELECT quality, count(*) AS runs, count(*) FILTER (ok) AS correct, round(avg(ok :: INT :: DOUBLE), 6) AS accuracy FROM r GROUP BY 1",
+    "search_hits": f"WITH {HITS} SELECT query_id, pos, key, round(greatest(0 :: DOUBLE, 1 - distance), 6) AS score, coalesce(nullif(content_summary, ''), split_part(content, chr(10), 1)) AS card FROM hits WHERE pos <= 8",
+    "source_identities": f"WITH {MEM} SELECT substr(regexp_replace(regexp_replace('aws:' || agent_id || '/' || team_id || ' ' || task_id, '[^A-Za-z0-9_+=,.@-]', '-', 'g'), '^(aws:)+', ''), 1, 64) AS stored_by, count(*) AS n, max(created_at) AS last_stored FROM mem GROUP BY 1",
+    "purge_plan": f"WITH {MEM}, v AS (SELECT *, count(*) OVER (PARTITION BY index_name, canonical_id) AS n, row_number() OVER (PARTITION BY index_name, canonical_id ORDER BY version DESC) - 1 AS pos FROM mem) SELECT index_name, canonical_id, pos :: INTEGER AS pos, key FROM v WHERE n > 1",
 }

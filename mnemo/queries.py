@@ -454,3 +454,26 @@ def rubric_accuracy(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id")
     ok = T.rubric_match(F.col("text"), [["the", "der"], ["and", "und"]])
     return docs.withColumn("ok", ok).groupBy("quality").agg(F.count(F.lit(1)).alias("runs"), F.count_if("ok").alias("correct"), F.round(F.avg(F.col("ok").cast("double")), 6).alias("accuracy"))
+
+
+@query
+def search_hits(spark: SparkSession, d: str) -> DataFrame:
+    """Hits as a search page shows them: best eight, a score between 0 and 1, a card's one line."""
+    text = F.coalesce(F.nullif("content_summary", F.lit("")), T.first_line(F.col("content")))
+    hits = _hits(spark, d).where("pos <= 8").select("query_id", "doc_id", "distance", "pos").join(memories(spark, d).select("doc_id", "key", "content", "content_summary"), "doc_id")
+    return hits.select("query_id", "pos", "key", F.round(F.greatest(F.lit(0.0), 1 - F.col("distance")), 6).alias("score"), text.alias("card"))
+
+
+@query
+def source_identities(spark: SparkSession, d: str) -> DataFrame:
+    """Principals made from agents and teams, cleaned as the audit trail takes them, with what they stored."""
+    raw = F.concat(F.lit("aws:"), "agent_id", F.lit("/"), "team_id", F.lit(" "), "task_id")
+    return memories(spark, d).groupBy(T.clean_source_identity(raw).alias("stored_by")).agg(F.count(F.lit(1)).alias("n"), F.max("created_at").alias("last_stored"))
+
+
+@query
+def purge_plan(spark: SparkSession, d: str) -> DataFrame:
+    """Every key a purge of the versioned canonical_ids would delete, latest first."""
+    m = memories(spark, d)
+    versioned = m.groupBy("index_name", "canonical_id").agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list(F.struct("version", "key")), asc=False).alias("k")).where("n > 1")
+    return versioned.select("index_name", "canonical_id", F.posexplode(F.array_distinct(F.transform("k", lambda x: x["key"]))).alias("pos", "key"))

@@ -2,8 +2,8 @@
 
 Same-host pages are aligned by simple tree matching into one wrapper tree per host. A wrapper node
 knows how many pages have it, how much text they put there and roughly how many different texts:
-nodes with one text on most pages are template, nodes whose text varies are slots. The content slot
-is where nearly all varying text lies; a page's text is read from its nodes at that slot.
+nodes with one text on most pages are template, nodes whose text varies are slots. A page's text is
+all that it has outside the template; an article's or main's own text stays, repeated or not.
 """
 
 from __future__ import annotations
@@ -41,10 +41,9 @@ NAMED = frozenset(
     "contentinfo complementary search dialog menubar tracking".split()
 )
 NEVER = frozenset(["html", "body", "main", "article"])
-LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 li td th pre blockquote dt dd span b i em strong a figcaption".split())
 DEPTH = 12
 KEPT_HASHES = 16
-DOMINANT = 0.9
+TEMPLATE_PAGES = 4
 
 
 class Node:
@@ -123,14 +122,18 @@ def _size(text: str) -> int:
     return len(text) - text.count(" ")
 
 
-# A wrapper node is [label, pages, text size, text hashes, children].
+# A wrapper node is [label, pages, text size, text hashes, children, pages with text of its own].
 Wrapper = list
+# What a host's wrapper says of its pages' nodes: {label: [whether the node is template, marks below it]}.
+Marks = dict
+NO_MARKS: Marks = {}
 
 
 def summarise(node: Node, depth: int = 0, in_article: bool = False) -> Wrapper:
     """A page's tree as a wrapper: siblings of one label in a row are one repeated node."""
     in_article = in_article or node.tag in ("article", "main")
     kids: list[Wrapper] = []
+    repeated: set[int] = set()
     size, own = 0, []
     for kid in node.kids:
         if isinstance(kid, str):
@@ -143,13 +146,24 @@ def summarise(node: Node, depth: int = 0, in_article: bool = False) -> Wrapper:
                 w = summarise(kid, depth + 1, in_article)
                 if kids and kids[-1][0] == w[0]:
                     kids[-1] = merge(kids[-1], w, 0)
-                    kids[-1][1] = 1
+                    repeated.add(len(kids) - 1)
                 else:
                     kids.append(w)
+    for k in repeated:
+        _once(kids[k])
     for text in own:
         size += _size(text)
     hashes = [xxhash.xxh32_intdigest("".join(own).encode("utf-8", "surrogatepass"))] if own else []
-    return [node.label, 1, size, hashes, kids]
+    return [node.label, 1, size, hashes, kids, int(bool(own))]
+
+
+def _once(w: Wrapper) -> None:
+    """Count nodes that repeat on one page as one page's."""
+    todo = [w]
+    while todo:
+        at = todo.pop()
+        at[1], at[5] = 1, min(at[5], 1)
+        todo += at[4]
 
 
 def _all_text(node: Node) -> list[str]:
@@ -207,32 +221,34 @@ def merge(a: Wrapper, b: Wrapper, most_kids: int = 64) -> Wrapper:
         for k in kids:
             by[k[0]] = merge(by[k[0]], k, most_kids) if k[0] in by else k
         kids = list(by.values())[:4096]
-    return [a[0], a[1] + b[1], a[2] + b[2], hashes, kids]
+    return [a[0], a[1] + b[1], a[2] + b[2], hashes, kids, a[5] + b[5]]
 
 
-def content_path(wrapper: Wrapper) -> list[str]:
-    """Labels from the root to the content slot."""
+def template_marks(wrapper: Wrapper) -> Marks:
+    """The nodes that hold one text on most of a host's pages and nothing that varies, outside articles."""
 
-    def mass(w: Wrapper) -> float:
-        # constant text on many pages is template and weighs nothing
-        own = 0.0 if w[1] >= 4 and len(w[3]) <= 1 else float(w[2])
-        return own + sum(mass(k) for k in w[4])
+    def fixed(w: Wrapper) -> tuple[bool, bool]:
+        """(whether nothing varies, whether there is text)"""
+        below = [fixed(k) for k in w[4]]
+        own = not w[3] or (len(w[3]) == 1 and w[5] >= TEMPLATE_PAGES and 2 * w[5] > wrapper[1])
+        return own and all(f for f, _ in below), bool(w[3]) or any(t for _, t in below)
 
-    path, at = [], wrapper
-    while True:
-        total = mass(at)
-        kids = sorted(at[4], key=mass, reverse=True)
-        merged: dict[str, float] = {}
-        for k in kids:
-            merged[k[0]] = merged.get(k[0], 0.0) + mass(k)
-        top = max(merged, key=merged.get, default=None)
-        if not total or top is None or merged[top] < DOMINANT * total or top.split(".")[0] in LEAVES:
-            return path
-        path.append(top)
-        same = [k for k in at[4] if k[0] == top]
-        at = same[0]
-        for k in same[1:]:
-            at = merge(at, k)
+    def marks(level: list[Wrapper]) -> Marks:
+        by: dict[str, list[Wrapper]] = {}
+        for w in level:
+            by.setdefault(w[0], []).append(w)
+        out = {}
+        for label, same in by.items():
+            if label.split(".")[0] in ("article", "main"):
+                continue
+            found = [fixed(w) for w in same]
+            template = all(f for f, _ in found) and any(t for _, t in found)
+            below = {} if template else marks([k for w in same for k in w[4]])
+            if template or below:
+                out[label] = [int(template), below]
+        return out
+
+    return marks(wrapper[4])
 
 
 def host_of(url: str | None) -> str:
@@ -240,8 +256,8 @@ def host_of(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
-def blocks(node: Node, in_article: bool) -> list[str]:
-    """Blocks of a subtree in page order, white space made single, boilerplate left out."""
+def blocks(root: Node, marks: Marks) -> list[str]:
+    """Blocks of a page in page order, white space made single, boilerplate and template left out."""
     out: list[str] = []
     line: list[str] = []
 
@@ -251,45 +267,39 @@ def blocks(node: Node, in_article: bool) -> list[str]:
             out.append(text)
         line.clear()
 
-    todo: list[tuple[Node | str | None, bool]] = [(node, in_article)]
+    todo: list[tuple[Node | str | None, bool, Marks]] = [(k, False, marks) for k in reversed(root.kids)]
     while todo:
-        at, inside = todo.pop()
+        at, inside, level = todo.pop()
         if at is None:
             flush()
         elif isinstance(at, str):
             line.append(html.unescape(at) if "&" in at else at)
         elif at.tag == "br":
             line.append(" ")
-        elif at is node or not boilerplate(at, inside):
+        elif not boilerplate(at, inside):
             inside = inside or at.tag in ("article", "main")
+            template, level = level.get(at.label, (0, NO_MARKS)) if level and at.tag in BLOCK else (0, NO_MARKS)
+            if template:
+                flush()
+                continue
             if at.tag in BLOCK:
                 flush()
-                todo.append((None, inside))
-            todo.extend((k, inside) for k in reversed(at.kids))
+                todo.append((None, inside, level))
+            todo.extend((k, inside, level) for k in reversed(at.kids))
     flush()
     return out
 
 
-def extract(page: str | None, path: list[str] | None) -> str:
-    """The text at the host's content slot, or at the page's own where the page lacks that slot."""
+def extract(page: str | None, marks: Marks | None) -> str:
+    """The page's text outside its host's template, or all of it where that leaves nothing."""
     if not page or page.isspace():
         return ""
     root = parse(page)
-
-    def at_slot(labels: list[str]) -> list[tuple[Node, bool]]:
-        found = [(root, False)]
-        for label in labels:
-            found = [(k, inside or k.tag in ("article", "main")) for n, inside in found for k in n.kids if isinstance(k, Node) and k.label == label and not boilerplate(k, inside)]
-        return found
-
-    def text(labels: list[str]) -> str:
-        return "\n\n".join(b for n, inside in at_slot(labels) for b in blocks(n, inside))
-
-    return (text(path) if path else "") or text(content_path(summarise(root))) or text([])
+    return "\n\n".join(blocks(root, marks or {}) or blocks(root, {}))
 
 
 def host_wrappers(pages: DataFrame) -> DataFrame:
-    """(host, path): each host's wrapper, merged within tasks, then in rounds of at most 64, to its slot."""
+    """(host, marks): each host's wrapper, merged within tasks, then in rounds of at most 64, to its template."""
 
     def induce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, Wrapper] = {}
@@ -325,12 +335,12 @@ def host_wrappers(pages: DataFrame) -> DataFrame:
             break
         level = written(level, "html-wrappers")
 
-    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def templates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            paths = [json.dumps(content_path(json.loads(w))) for w in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(paths, pa.string())], names=["host", "path"])
+            marks = [json.dumps(template_marks(json.loads(w))) for w in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(marks, pa.string())], names=["host", "marks"])
 
-    return written(level.mapInArrow(slots, "host string, path string"), "html-slots")
+    return written(level.mapInArrow(templates, "host string, marks string"), "html-templates")
 
 
 def main_text(pages: DataFrame) -> DataFrame:
@@ -342,16 +352,16 @@ def main_text(pages: DataFrame) -> DataFrame:
     each; an empty table gives an empty result.
     """
     small_batches(pages.sparkSession)
-    slots = broadcast_if_small(host_wrappers(pages))
+    templates = broadcast_if_small(host_wrappers(pages))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            for page, path in zip(batch.column(2), batch.column(3), strict=True):
-                texts.append(extract(page.as_py(), json.loads(path.as_py()) if path.is_valid else None))
+            for page, marks in zip(batch.column(2), batch.column(3), strict=True):
+                texts.append(extract(page.as_py(), json.loads(marks.as_py()) if marks.is_valid else None))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     url = F.coalesce(F.col("url").cast("string"), F.lit(""))
     host = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), host.alias("host"))
-    return rows.join(slots, "host", "left").select("page_id", "url", "html", "path").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return rows.join(templates, "host", "left").select("page_id", "url", "html", "marks").mapInArrow(run, "page_id long, url string, text string, n_chars long")

@@ -296,6 +296,27 @@ def test_wrapper_finds_content(spark):
     assert wrapper.main_text(pages.limit(0)).count() == 0
 
 
+def texts_of(pages):
+    """The pages' texts by one host's wrapper."""
+    total = None
+    for html in pages:
+        w = wrapper.summarise(wrapper.parse(html))
+        total = w if total is None else wrapper.merge(total, w)
+    return [wrapper.extract(html, wrapper.template_marks(total)) for html in pages]
+
+
+def test_wrapper_keeps_what_lies_beside_the_longest_block():
+    for box in ("<div class='body'>{}</div>", "<ul><li>{}</ul>", "<section>{}</section>"):
+        for around in ("<article>{}</article>", "<div class=post>{}</div>"):
+            pages = ["<div class=top>Site</div>" + around.format(f"<h1>Title {i}</h1><p>lead {i}</p>" + box.format(f"long {i} " * 90) + f"<p>note {i}</p>") for i in range(6)]
+            for i, text in enumerate(texts_of(pages)):
+                assert text.split("\n\n") == [f"Title {i}", f"lead {i}", " ".join([f"long {i}"] * 90), f"note {i}"]
+    pages = [f"<div class=a><div class=b>{'long ' * 60}{i}</div></div>" for i in range(9)] + ["<div class=a><div class=b>date</div></div><div class=other>The minority's body</div>"]
+    assert texts_of(pages)[9] == "date\n\nThe minority's body"
+    pages = ["<div class=card><p>Same</p></div>" * 5 + f"<div class=x>{i}</div>" for i in range(2)]
+    assert texts_of(pages) == ["\n\n".join(["Same"] * 5 + [str(i)]) for i in range(2)]
+
+
 def test_tree_matching():
     a, b = (wrapper.summarise(wrapper.parse(x)) for x in ("<div><h1>a</h1><p>x</p><p>y</p></div>", "<div><p>z</p><table><tr><td>1</table></div>"))
     assert wrapper.matching(a, b) == 3

@@ -25,7 +25,9 @@ from mnemo.llm.graph import broadcast_if_small
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*+)([^>]*+)(?:>|\Z)", re.DOTALL)
 MARK = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
-HIDDEN = re.compile(r"(?<![\w-])hidden(?![\w-])|display\s*:\s*none", re.IGNORECASE)
+ATTRIBUTE = re.compile(r"([^\s\"'=<>/]+)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s>]+)))?")
+HIDES = re.compile(r"hidden|display", re.IGNORECASE)
+NO_DISPLAY = re.compile(r"(?<![\w-])display\s*:\s*none", re.IGNORECASE)
 TOKENS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title iframe xmp noembed noframes".split())
@@ -47,13 +49,21 @@ TEMPLATE_PAGES = 4
 
 
 class Node:
-    __slots__ = ("kids", "label", "tag", "words")
+    __slots__ = ("hidden", "kids", "label", "tag", "words")
 
     def __init__(self, tag: str, marks: str = ""):
         self.tag = tag
         self.words = frozenset(w.lower() for w in TOKENS.findall(marks)) if marks else frozenset()
         self.label = tag + ("." + ".".join(sorted(self.words)[:4]) if self.words else "")
         self.kids: list[Node | str] = []
+        self.hidden = False
+
+
+def hides(attrs: str) -> bool:
+    """Whether an element's attributes hide it: the attribute hidden, or a style of display: none."""
+    if not HIDES.search(attrs):
+        return False
+    return any(m[1].lower() == "hidden" or (m[1].lower() == "style" and NO_DISPLAY.search(m[2] or m[3] or m[4] or "")) for m in ATTRIBUTE.finditer(attrs))
 
 
 def parse(page: str) -> Node:
@@ -92,8 +102,7 @@ def parse(page: str) -> Node:
                     break
         marks = " ".join(a or b or c or "" for a, b, c in MARK.findall(attrs)) if "=" in attrs else ""
         node = Node(tag, marks)
-        if attrs and HIDDEN.search(attrs) and tag not in NEVER:
-            node.words |= {"popup"}
+        node.hidden = bool(attrs) and tag not in NEVER and hides(attrs)
         stack[-1].kids.append(node)
         if tag in RAW:
             end = re.compile(rf"</{tag}(?=[\s/>])", re.IGNORECASE).search(page, at)
@@ -111,11 +120,22 @@ def parse(page: str) -> Node:
 
 
 def boilerplate(node: Node, in_article: bool) -> bool:
-    if node.tag in NEVER:
-        return False
-    if node.tag in DROPPED or (node.tag == "header" and not in_article):
-        return True
-    return bool(node.words & NAMED) or (not in_article and "header" in node.words)
+    """Left out whatever the host's wrapper says."""
+    return node.tag not in NEVER and (node.hidden or node.tag in DROPPED or (node.tag == "header" and not in_article))
+
+
+def key(node: Node, in_article: bool) -> str:
+    """The label, after "!" if a word of the name says boilerplate, "!!" if no word says anything else."""
+    if node.tag in NEVER or not node.words:
+        return node.label
+    named = node.words & NAMED
+    if not in_article and "header" in node.words:
+        named |= {"header"}
+    return node.label if not named else ("!!" if named == node.words else "!") + node.label
+
+
+def tag_of(label: str) -> str:
+    return label.lstrip("!").split(".")[0]
 
 
 def _size(text: str) -> int:
@@ -124,14 +144,15 @@ def _size(text: str) -> int:
 
 # A wrapper node is [label, pages, text size, text hashes, children, pages with text of its own].
 Wrapper = list
-# What a host's wrapper says of its pages' nodes: {label: [whether the node is template, marks below it]}.
+# What a host's wrapper says of its pages' nodes: {label: [LEAVE, KEEP or 0, marks below it]}.
 Marks = dict
 NO_MARKS: Marks = {}
+LEAVE, KEEP = 1, 2
 
 
 def summarise(node: Node, depth: int = 0, in_article: bool = False) -> Wrapper:
     """A page's tree as a wrapper: siblings of one label in a row are one repeated node."""
-    in_article = in_article or node.tag in ("article", "main")
+    was_inside, in_article = in_article, in_article or node.tag in ("article", "main")
     kids: list[Wrapper] = []
     repeated: set[int] = set()
     size, own = 0, []
@@ -140,8 +161,10 @@ def summarise(node: Node, depth: int = 0, in_article: bool = False) -> Wrapper:
             if kid and not kid.isspace():
                 own.append(kid)
         elif not boilerplate(kid, in_article):
-            if depth >= DEPTH or (kid.tag not in BLOCK):
-                own += _all_text(kid)
+            named = key(kid, in_article).startswith("!")
+            if depth >= DEPTH or (kid.tag not in BLOCK and not named):
+                if not named:
+                    own += _all_text(kid)
             else:
                 w = summarise(kid, depth + 1, in_article)
                 if kids and kids[-1][0] == w[0]:
@@ -154,7 +177,7 @@ def summarise(node: Node, depth: int = 0, in_article: bool = False) -> Wrapper:
     for text in own:
         size += _size(text)
     hashes = [xxhash.xxh32_intdigest("".join(own).encode("utf-8", "surrogatepass"))] if own else []
-    return [node.label, 1, size, hashes, kids, int(bool(own))]
+    return [key(node, was_inside), 1, size, hashes, kids, int(bool(own))]
 
 
 def _once(w: Wrapper) -> None:
@@ -225,30 +248,49 @@ def merge(a: Wrapper, b: Wrapper, most_kids: int = 64) -> Wrapper:
 
 
 def template_marks(wrapper: Wrapper) -> Marks:
-    """The nodes that hold one text on most of a host's pages and nothing that varies, outside articles."""
+    """Nodes to leave out or to keep against their names.
+
+    LEAVE: outside articles, nodes with one text on most of a host's pages and nothing that varies.
+    KEEP: nodes whose names say boilerplate but that hold most of the host's varying text. Where no
+    word of the name says anything else, an article or main with text of its own outside stands against that.
+    """
+
+    def constant(w: Wrapper) -> bool:
+        return not w[3] or (len(w[3]) == 1 and w[5] >= TEMPLATE_PAGES and 2 * w[5] > wrapper[1])
+
+    def varying(w: Wrapper) -> int:
+        return (0 if constant(w) else w[2]) + sum(map(varying, w[4]))
+
+    def articles(w: Wrapper) -> int:
+        return 0 if w[0].startswith("!!") else varying(w) if tag_of(w[0]) in ("article", "main") else sum(map(articles, w[4]))
 
     def fixed(w: Wrapper) -> tuple[bool, bool]:
         """(whether nothing varies, whether there is text)"""
         below = [fixed(k) for k in w[4]]
-        own = not w[3] or (len(w[3]) == 1 and w[5] >= TEMPLATE_PAGES and 2 * w[5] > wrapper[1])
-        return own and all(f for f, _ in below), bool(w[3]) or any(t for _, t in below)
+        return constant(w) and all(f for f, _ in below), bool(w[3]) or any(t for _, t in below)
 
-    def marks(level: list[Wrapper]) -> Marks:
+    def marks(level: list[Wrapper], in_article: bool) -> Marks:
         by: dict[str, list[Wrapper]] = {}
         for w in level:
             by.setdefault(w[0], []).append(w)
         out = {}
         for label, same in by.items():
-            if label.split(".")[0] in ("article", "main"):
-                continue
             found = [fixed(w) for w in same]
-            template = all(f for f, _ in found) and any(t for _, t in found)
-            below = {} if template else marks([k for w in same for k in w[4]])
-            if template or below:
-                out[label] = [int(template), below]
+            if not in_article and tag_of(label) not in ("article", "main") and all(f for f, _ in found) and any(t for _, t in found):
+                out[label] = [LEAVE, {}]
+                continue
+            keep = 0
+            if label.startswith("!"):
+                keep = KEEP * (2 * sum(map(varying, same)) > total and not (label.startswith("!!") and has_articles))
+                if not keep:
+                    continue
+            below = marks([k for w in same for k in w[4]], in_article or tag_of(label) in ("article", "main"))
+            if keep or below:
+                out[label] = [keep, below]
         return out
 
-    return marks(wrapper[4])
+    total, has_articles = varying(wrapper), articles(wrapper) > 0
+    return marks(wrapper[4], False)
 
 
 def host_of(url: str | None) -> str:
@@ -256,8 +298,11 @@ def host_of(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
-def blocks(root: Node, marks: Marks) -> list[str]:
-    """Blocks of a page in page order, white space made single, boilerplate and template left out."""
+def blocks(root: Node, marks: Marks, trust: str = "!") -> list[str]:
+    """Blocks of a page in page order, white space made single, boilerplate and template left out.
+
+    Names whose keys start with ``trust`` say boilerplate unless ``marks`` keep them.
+    """
     out: list[str] = []
     line: list[str] = []
 
@@ -277,11 +322,14 @@ def blocks(root: Node, marks: Marks) -> list[str]:
         elif at.tag == "br":
             line.append(" ")
         elif not boilerplate(at, inside):
-            inside = inside or at.tag in ("article", "main")
-            template, level = level.get(at.label, (0, NO_MARKS)) if level and at.tag in BLOCK else (0, NO_MARKS)
-            if template:
+            label = key(at, inside)
+            what, level = level.get(label, (0, NO_MARKS)) if level and (at.tag in BLOCK or label[0] == "!") else (0, NO_MARKS)
+            if what == LEAVE:
                 flush()
                 continue
+            if what != KEEP and label.startswith(trust):
+                continue
+            inside = inside or at.tag in ("article", "main")
             if at.tag in BLOCK:
                 flush()
                 todo.append((None, inside, level))
@@ -291,11 +339,14 @@ def blocks(root: Node, marks: Marks) -> list[str]:
 
 
 def extract(page: str | None, marks: Marks | None) -> str:
-    """The page's text outside its host's template, or all of it where that leaves nothing."""
+    """The page's text outside its host's template, or all of it where that leaves nothing.
+
+    Where that is nothing either, only names that say nothing but boilerplate count.
+    """
     if not page or page.isspace():
         return ""
     root = parse(page)
-    return "\n\n".join(blocks(root, marks or {}) or blocks(root, {}))
+    return "\n\n".join(blocks(root, marks or {}) or blocks(root, {}) or blocks(root, {}, "!!"))
 
 
 def host_wrappers(pages: DataFrame) -> DataFrame:

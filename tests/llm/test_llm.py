@@ -317,6 +317,19 @@ def test_wrapper_keeps_what_lies_beside_the_longest_block():
     assert texts_of(pages) == ["\n\n".join(["Same"] * 5 + [str(i)]) for i in range(2)]
 
 
+def test_wrapper_does_not_take_names_for_more_than_they_say():
+    for attrs in ("style='overflow:hidden'", "title='The hidden valley'", "data-x=hidden", "title='display:none'"):
+        assert wrapper.extract(f"<div {attrs}><p>body</p></div>", {}) == "body"
+    for attrs in ("hidden", "class=x hidden=''", "style='color:red; Display : none'", 'STYLE="display:none"'):
+        assert wrapper.extract(f"<div {attrs}>gone</div><p>body</p>", {}) == "body"
+    for tag in ("div class='content with-sidebar'", "div class='post-share-enabled'", "div class='widget'", "span class='overlay'"):
+        pages = [f"<p>{i}</p><{tag}><p>Text {i} {'more ' * 20}</p><div class='share'>Share {i}</div></{tag.split()[0]}>" for i in range(5)]
+        assert texts_of(pages) == [f"{i}\n\nText {i} {' '.join(['more'] * 20)}" for i in range(5)]
+    pages = [f"<div class=ad>{'Buy this ' * 20}{i}</div><article><p>a{i}</p><div class='comments'>no {i}</div></article>" for i in range(5)]
+    assert texts_of(pages) == [f"a{i}" for i in range(5)]
+    assert wrapper.extract("<div class=ad>Buy</div><div class='content with-sidebar'>body</div>", {}) == "body"
+
+
 def test_tree_matching():
     a, b = (wrapper.summarise(wrapper.parse(x)) for x in ("<div><h1>a</h1><p>x</p><p>y</p></div>", "<div><p>z</p><table><tr><td>1</table></div>"))
     assert wrapper.matching(a, b) == 3

@@ -46,6 +46,8 @@ NEVER = frozenset(["html", "body", "main", "article"])
 DEPTH = 12
 KEPT_HASHES = 16
 TEMPLATE_PAGES = 4
+LABELS = 4096
+OTHER = "*"
 
 
 class Node:
@@ -228,6 +230,10 @@ def _align(x: list[Wrapper], y: list[Wrapper]) -> tuple[int, list[tuple[int, int
     return best[0][0], pairs
 
 
+def _mass(w: Wrapper) -> int:
+    return w[2] + sum(map(_mass, w[4]))
+
+
 def merge(a: Wrapper, b: Wrapper, most_kids: int = 64) -> Wrapper:
     """Both trees in one: matched nodes add up, unmatched ones stay as optional nodes."""
     hashes = sorted(set(a[3]) | set(b[3]))[:KEPT_HASHES]
@@ -243,7 +249,13 @@ def merge(a: Wrapper, b: Wrapper, most_kids: int = 64) -> Wrapper:
         by: dict[str, Wrapper] = {}
         for k in kids:
             by[k[0]] = merge(by[k[0]], k, most_kids) if k[0] in by else k
-        kids = list(by.values())[:4096]
+        # beyond the bound, labels go into one node by a fixed order, whichever pages came first
+        order = sorted(by, key=lambda x: (x != OTHER, xxhash.xxh64_intdigest(x), x))
+        if len(order) > LABELS + (OTHER in by):
+            rest = [by[x] for x in order if x == OTHER] + [by[x] for x in order if x != OTHER][LABELS:]
+            by[OTHER] = [OTHER, sum(k[1] for k in rest), sum(map(_mass, rest)), [], [], sum(k[5] for k in rest)]
+            order = [OTHER] + [x for x in order if x != OTHER][:LABELS]
+        kids = [by[x] for x in order]
     return [a[0], a[1] + b[1], a[2] + b[2], hashes, kids, a[5] + b[5]]
 
 
@@ -256,7 +268,7 @@ def template_marks(wrapper: Wrapper) -> Marks:
     """
 
     def constant(w: Wrapper) -> bool:
-        return not w[3] or (len(w[3]) == 1 and w[5] >= TEMPLATE_PAGES and 2 * w[5] > wrapper[1])
+        return w[0] != OTHER and (not w[3] or (len(w[3]) == 1 and w[5] >= TEMPLATE_PAGES and 2 * w[5] > wrapper[1]))
 
     def varying(w: Wrapper) -> int:
         return (0 if constant(w) else w[2]) + sum(map(varying, w[4]))

@@ -337,6 +337,19 @@ def test_tree_matching():
     assert [k[0] for k in merged[4][0][4]] == ["h1", "p", "table"]
 
 
+def test_wrapper_folds_labels_beyond_the_bound_in_a_fixed_order(monkeypatch):
+    monkeypatch.setattr(wrapper, "LABELS", 70)
+    pages = [wrapper.summarise(wrapper.parse("".join(f"<div class={chr(97 + n % 26)}{'xyz'[n // 26 % 3]}{chr(97 + n // 78)}>t{n}</div>" for n in range(k, k + 40)))) for k in range(0, 400, 40)]
+    seen = []
+    for order in (pages, pages[::-1], pages[5:] + pages[:5]):
+        total = order[0]
+        for w in order[1:]:
+            total = wrapper.merge(total, w)
+        seen.append({k[0]: k[1:3] for k in total[4]})
+    assert seen[0] == seen[1] == seen[2] and len(seen[0]) == 71
+    assert sum(size for _, size in seen[0].values()) == sum(len(f"t{n}") for n in range(400))
+
+
 # -- WARC ---------------------------------------------------------------------------------------
 
 

@@ -47,6 +47,12 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, UPPER.lower()))
 
 
+def row_hashes(*columns: str) -> list[Column]:
+    """Two columns, _h1 and _h2: 128 bits that tell rows apart by these columns, nulls included."""
+    values = [x for c in columns for x in (F.col(c), F.isnull(c))]
+    return [F.xxhash64(*values).alias("_h1"), F.xxhash64(F.lit("again"), *values).alias("_h2")]
+
+
 def running_total(df: DataFrame, keys: Sequence[str], chunk: str, order: Sequence[str], value: str, out: str) -> DataFrame:
     """Exclusive prefix sums of ``value`` within ``keys``, ordered by (chunk, order), in two levels.
 

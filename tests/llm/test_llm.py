@@ -204,6 +204,15 @@ def test_separator_scan_across_blocks(spark, tmp_path, odd):
     assert sepscan.token_counts(odd.limit(0)).count() == 0
 
 
+def test_one_of_each_tells_rows_of_one_identifier_apart(spark):
+    rng = random.Random(5)
+    a, b, c = (words(rng, 60, 10_000) for _ in range(3))
+    rows = [(1, a, "en", "s", 1), (2, a + " end", "en", "s", 1), (2, b, "en", "s", 1), (None, c, "en", "s", 1), (None, c + " end", "en", "s", 1), (9, b + " end", "en", "s", 1)]
+    got = jaccard.one_of_each(spark.createDataFrame(rows, DOCS)).collect()
+    assert {(r["doc_id"], r["text"]) for r in got if r["doc_id"]} == {(1, a), (2, b)}
+    assert len(got) == 3 and [r["text"] in (c, c + " end") for r in got if r["doc_id"] is None] == [True]
+
+
 # -- mixing -------------------------------------------------------------------------------------
 
 
@@ -244,6 +253,23 @@ def test_mix_meets_targets(spark):
     assert mixed.select(F.sum(mixing.word_count(F.col("text")))).first()[0] == sum(r["taken"] for r in rows)
 
 
+def test_mix_tells_rows_of_one_identifier_apart(spark):
+    texts = [f"{c}{i} " * 40 for i in range(6) for c in "abc"]
+    rows = [([7, None, i][i % 3], x, "en", ["s", None][i % 2], len(x)) for i, x in enumerate(texts)] + [(7, "same words " * 20, "en", "s", 220)] * 3
+    docs = spark.createDataFrame(rows, DOCS)
+    documents, _ = mixing.mix(docs, block=16, shard_slots=64)
+    taken, sizes = documents.agg(F.sum("taken")).first()[0], {x: len(x.split()) for _, x, *_ in rows}
+    mixed = mixing.mixed_documents(docs, block=16, shard_slots=64).collect()
+    used = {}
+    for r in mixed:
+        words = r["text"].split()
+        (whole,) = {x for _, x, *_ in rows if words[0] in x.split()}
+        assert set(words) <= set(whole.split())
+        used[whole] = used.get(whole, 0) + len(words)
+    assert sum(used.values()) == taken
+    assert all(n <= 2 * sizes[x] * sum(x == y for _, y, *_ in rows) for x, n in used.items())
+
+
 def test_mix_odd_rows(spark, odd):
     documents, _ = mixing.mix(odd)
     assert documents.count() == odd.count() and mixing.mix(odd.limit(0))[0].count() == 0

@@ -47,8 +47,22 @@ SPELLED_HINT = re.compile(rf"\b(?:{_WORD})[ ,.\n-]{{1,3}}(?:{_WORD}|[0-9])\b", r
 
 _AT, _DOT = r"(?:at|arroba|arobase|klammeraffe|@)", r"(?:dot|punto|punkt|point|\.)"
 BRACKETED = re.compile(rf"[ \t]*[\[({{<]\s{{0,2}}(?:(?P<at>{_AT})|(?P<dot>{_DOT}))\s{{0,2}}[\])}}>][ \t]*", re.IGNORECASE)
-_TLD = "com|net|org|edu|gov|mil|info|biz|io|de|fr|es|uk|eu|it|nl|ch|at|us|ca|au|ru|in|jp|br|mx"
-SPOKEN = re.compile(rf"(?<![^\W_])([A-Za-z0-9._%+-]+(?: dot [A-Za-z0-9_%+-]+)?)( at | @ )([A-Za-z0-9-]+(?:(?: dot | \. |\.)[A-Za-z0-9-]+)*)( dot | \. )({_TLD})(?![^\W_])", re.IGNORECASE)
+TLD = frozenset(
+    "com net org edu gov mil int arpa info biz name pro aero asia cat coop jobs mobi museum post tel travel xxx academy agency app art bank bar beer berlin bio bike blog build business cafe camera camp capital care cash center "
+    "chat church city click clinic cloud club coach codes coffee community company computer consulting cool country credit dance data date deals dental design dev digital direct doctor domains education email energy engineer "
+    "engineering estate events exchange expert express family farm fashion film finance fit fitness flights foundation fun fund gallery game games garden gift global gmbh gold golf group guide guru hamburg health help holdings "
+    "host hosting hotel house institute international jetzt koeln land law legal life link live loan lol london ltd management market marketing media money moscow network news ninja one online page paris partners parts photo "
+    "photography photos pictures pizza place plus press productions properties quebec radio rent repair report rest restaurant reviews rocks run sale school science security services shop show site ski social software solutions "
+    "space store stream studio style supply support surf swiss systems tax team tech technology tips tirol today tools top tours town toys trade training university vegas video vip vision vote watch website wedding wien wiki "
+    "win wine work works world wtf xyz yoga zone "
+    "ac ad ae af ag ai al am ao aq ar as at au aw ax az ba bb bd be bf bg bh bi bj bm bn bo br bs bt bv bw by bz ca cc cd cf cg ch ci ck cl cm cn co cr cu cv cw cx cy cz de dj dk dm do dz ec ee eg er es et eu fi fj fk fm fo fr "
+    "ga gb gd ge gf gg gh gi gl gm gn gp gq gr gs gt gu gw gy hk hm hn hr ht hu id ie il im in io iq ir is it je jm jo jp ke kg kh ki km kn kp kr kw ky kz la lb lc li lk lr ls lt lu lv ly ma mc md me mg mh mk ml mm mn mo mp mq "
+    "mr ms mt mu mv mw mx my mz na nc ne nf ng ni nl no np nr nu nz om pa pe pf pg ph pk pl pm pn pr ps pt pw py qa re ro rs ru rw sa sb sc sd se sg sh si sj sk sl sm sn so sr ss st su sv sx sy sz tc td tf tg th tj tk tl tm tn "
+    "to tr tt tv tw tz ua ug uk us uy uz va vc ve vg vi vn vu wf ws ye yt za zm zw".split()
+)
+SIGN = re.compile(r" at | @ |@", re.IGNORECASE)
+HOST = re.compile(r"[A-Za-z0-9-]+(?:(?: dot | \. |\.)[A-Za-z0-9-]+)+", re.IGNORECASE)
+HOST_STEP = re.compile(r"( dot | \. |\.)([A-Za-z0-9-]+)", re.IGNORECASE)
 SPOKEN_PART = re.compile(r" at | @ | dot | \. ", re.IGNORECASE)
 MARGIN = 330
 
@@ -143,15 +157,52 @@ def spell_digits(tape: Tape) -> Tape:
 def sign_disguises(tape: Tape) -> Tape:
     tape = _rewrite(tape, BRACKETED, lambda m: [("@" if m["at"] else ".", m.start(), m.end(), True)])
 
-    def spoken(m: re.Match) -> Iterator[tuple[str, int, int, bool]]:
-        at = m.start()
-        for part in SPOKEN_PART.finditer(m.string, m.start(), m.end()):
-            yield from ((m.string[i], i, i + 1, False) for i in range(at, part.start()))
-            yield ("@" if part.group().strip().lower() in ("at", "@") else "."), part.start(), part.end(), True
+    text = "".join(c for c, *_ in tape)
+    out: Tape = []
+    at = 0
+    for start, end in spoken_addresses(text):
+        for part in SPOKEN_PART.finditer(text, start, end):
+            out += tape[at : part.start()]
+            sign = "@" if part.group().strip().lower() in ("at", "@") else "."
+            out.append((sign, tape[part.start()][1], tape[part.end() - 1][2], True))
             at = part.end()
-        yield from ((m.string[i], i, i + 1, False) for i in range(at, m.end()))
+    return out + tape[at:]
+
+
+def spoken_addresses(text: str) -> Iterator[tuple[int, int]]:
+    """Stretches that read as an address once the signs in them that are spoken or spaced are written.
 
-    return _rewrite(tape, SPOKEN, spoken)
+    A host ends at its last known top-level domain. After an @, where it has none, any two letters or
+    more will do.
+    """
+    free = 0
+    for sign in SIGN.finditer(text):
+        host = HOST.match(text, sign.end())
+        if not host:
+            continue
+        start = sign.start()
+        while True:
+            while start > free and text[start - 1] in LOCAL:
+                start -= 1
+            if start - free > 5 and text[start - 5 : start].lower() == " dot " and text[start - 6] in LOCAL:
+                start -= 5
+            else:
+                break
+        if start >= sign.start() or text[start] == " " or (start and text[start - 1].isalnum()):
+            continue
+        known = other = 0
+        for step in HOST_STEP.finditer(text, host.start(), host.end()):
+            label, spoken = step[2], step[1] != "."
+            if step.end() < len(text) and text[step.end()].isalnum():
+                continue
+            if label.lower() in TLD and (label.islower() or label.isupper() or spoken):
+                known = step.end()
+            elif label.isascii() and label.isalpha() and len(label) > 1 and (label.islower() or step[1] != " . "):
+                other = step.end()
+        end = known or (other if "@" in sign.group() else 0)
+        if end and SPOKEN_PART.search(text, start, end):
+            yield start, end
+            free = end
 
 
 def _triggers(text: str) -> list[tuple[int, int]]:
@@ -160,8 +211,7 @@ def _triggers(text: str) -> list[tuple[int, int]]:
         found += [m.span() for m in ODD.finditer(text)]
     if any(c in text for c in "[({<"):
         found += [m.span() for m in BRACKETED.finditer(text)]
-    if " dot " in text or " . " in text or " DOT " in text or " Dot " in text:
-        found += [m.span() for m in SPOKEN.finditer(text)]
+    found += spoken_addresses(text)
     if SPELLED_HINT.search(text):
         found += [m.span() for m in SPELLED_RUN.finditer(text)]
     return found

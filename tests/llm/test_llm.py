@@ -451,6 +451,18 @@ def test_disguises_map_back(text, found):
     assert base == [] and [(text[a:b], k) for a, b, k in extra] == [found]
 
 
+@pytest.mark.parametrize("address", ["john@example dot com", "john at example.com", "john at firm dot pl", "john at firm dot app", "john [at] example dot com", "john at example [dot] com", "john@firm dot intern", "j.doe @ mail.firm dot de", "john dot doe at firm dot co dot uk", "JOHN AT FIRM DOT COM", "john@firm . nl"])
+def test_each_sign_may_be_disguised_alone(address):
+    for text in (address, f"Write to {address}. Then wait", f"({address}, or not)"):
+        base, extra = pii.detect(text)
+        assert base == [] and [(text[a:b], k) for a, b, k in extra] == [(address, "email")]
+
+
+def test_plain_addresses_stay_as_they_are():
+    for text in ("john@example.com . Then", "john@example.com dot product", "we sat at home.Then", "at 3.5 or at 10.20.30", "lunch @ noon . Bring it"):
+        assert pii.detect(text)[1] == []
+
+
 @pytest.mark.parametrize("text", ["look at that dot then", "one two three four went home", "meet me at five (at most six)", "русский текст без данных", "we sat at home. Dot was there"])
 def test_clean_texts_have_no_spans(text):
     assert pii.detect(text) == ([], [])

@@ -37,6 +37,22 @@ def written(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> DataF
     return spark.read.schema(df.schema).parquet(path)
 
 
+def join_small(df: DataFrame, small: DataFrame, on: str | Sequence[str], how: str = "left", spread: str | None = None, limit: int = 16 << 20) -> DataFrame:
+    """Join a written table that is probably small: broadcast if its rows' bytes are at most ``limit``.
+
+    Beyond it the join is a shuffle; with ``spread``, a column of ``df`` by which each key's rows are
+    dealt to 32 salts, so that a key with a third of all rows is no single task's work.
+    """
+    text = [F.coalesce(F.octet_length(F.to_json(F.struct(*[F.col(c) for c in small.columns]))), F.lit(0))]
+    if (small.agg(F.sum(text[0])).first()[0] or 0) <= limit:
+        return df.join(F.broadcast(small), on, how)
+    if spread is None:
+        return df.join(small, on, how)
+    on = [on] if isinstance(on, str) else list(on)
+    salted = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(31))))
+    return df.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(32)).cast("int")).join(salted, [*on, "_salt"], how).drop("_salt")
+
+
 def small_batches(spark: SparkSession, rows: int = 256) -> None:
     """Hand texts to Python a few hundred at a time: a default batch of long texts can hold gigabytes."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)

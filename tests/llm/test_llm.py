@@ -322,58 +322,42 @@ def test_wrapper_finds_content(spark):
     assert wrapper.main_text(pages.limit(0)).count() == 0
 
 
-def texts_of(pages):
-    """The pages' texts by one host's wrapper."""
-    total = None
-    for html in pages:
-        w = wrapper.summarise(wrapper.parse(html))
-        total = w if total is None else wrapper.merge(total, w)
-    return [wrapper.extract(html, wrapper.template_marks(total)) for html in pages]
+def texts_of(spark, sites):
+    """The texts of the pages of several sites, a host each."""
+    rows = [(1000 * h + k, f"http://h{h}.example/{k}", html) for h, pages in enumerate(sites) for k, html in enumerate(pages)]
+    got = {r["page_id"]: r["text"] for r in wrapper.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    return [[got[1000 * h + k] for k in range(len(pages))] for h, pages in enumerate(sites)]
 
 
-def test_wrapper_keeps_what_lies_beside_the_longest_block():
+def test_wrapper_keeps_what_lies_beside_the_longest_block(spark):
+    sites, want = [], []
     for box in ("<div class='body'>{}</div>", "<ul><li>{}</ul>", "<section>{}</section>"):
         for around in ("<article>{}</article>", "<div class=post>{}</div>"):
-            pages = ["<div class=top>Site</div>" + around.format(f"<h1>Title {i}</h1><p>lead {i}</p>" + box.format(f"long {i} " * 90) + f"<p>note {i}</p>") for i in range(6)]
-            for i, text in enumerate(texts_of(pages)):
-                assert text.split("\n\n") == [f"Title {i}", f"lead {i}", " ".join([f"long {i}"] * 90), f"note {i}"]
-    pages = [f"<div class=a><div class=b>{'long ' * 60}{i}</div></div>" for i in range(9)] + ["<div class=a><div class=b>date</div></div><div class=other>The minority's body</div>"]
-    assert texts_of(pages)[9] == "date\n\nThe minority's body"
-    pages = ["<div class=card><p>Same</p></div>" * 5 + f"<div class=x>{i}</div>" for i in range(2)]
-    assert texts_of(pages) == ["\n\n".join(["Same"] * 5 + [str(i)]) for i in range(2)]
+            sites.append(["<div class=top>Site</div>" + around.format(f"<h1>Title {i}</h1><p>lead {i}</p>" + box.format(f"long {i} " * 90) + f"<p>note {i}</p>") for i in range(6)])
+            want.append(["\n\n".join([f"Title {i}", f"lead {i}", " ".join([f"long {i}"] * 90), f"note {i}"]) for i in range(6)])
+    sites.append([f"<div class=a><div class=b>{'long ' * 60}{i}</div></div>" for i in range(9)] + ["<div class=a><div class=b>date</div></div><div class=other>The minority's body</div>"])
+    want.append([f"{'long ' * 60}{i}" for i in range(9)] + ["date\n\nThe minority's body"])
+    sites.append(["<div class=card><p>Same</p></div>" * 5 + f"<div class=x>{i}</div>" for i in range(2)])
+    want.append(["\n\n".join(["Same"] * 5 + [str(i)]) for i in range(2)])
+    assert texts_of(spark, sites) == want
 
 
-def test_wrapper_does_not_take_names_for_more_than_they_say():
+def test_wrapper_does_not_take_names_for_more_than_they_say(spark):
+    sites, want = [], []
     for attrs in ("style='overflow:hidden'", "title='The hidden valley'", "data-x=hidden", "title='display:none'"):
-        assert wrapper.extract(f"<div {attrs}><p>body</p></div>", {}) == "body"
+        sites.append([f"<div {attrs}><p>body</p></div>"])
+        want.append(["body"])
     for attrs in ("hidden", "class=x hidden=''", "style='color:red; Display : none'", 'STYLE="display:none"'):
-        assert wrapper.extract(f"<div {attrs}>gone</div><p>body</p>", {}) == "body"
+        sites.append([f"<div {attrs}>gone</div><p>body</p>"])
+        want.append(["body"])
     for tag in ("div class='content with-sidebar'", "div class='post-share-enabled'", "div class='widget'", "span class='overlay'"):
-        pages = [f"<p>{i}</p><{tag}><p>Text {i} {'more ' * 20}</p><div class='share'>Share {i}</div></{tag.split()[0]}>" for i in range(5)]
-        assert texts_of(pages) == [f"{i}\n\nText {i} {' '.join(['more'] * 20)}" for i in range(5)]
-    pages = [f"<div class=ad>{'Buy this ' * 20}{i}</div><article><p>a{i}</p><div class='comments'>no {i}</div></article>" for i in range(5)]
-    assert texts_of(pages) == [f"a{i}" for i in range(5)]
-    assert wrapper.extract("<div class=ad>Buy</div><div class='content with-sidebar'>body</div>", {}) == "body"
-
-
-def test_tree_matching():
-    a, b = (wrapper.summarise(wrapper.parse(x)) for x in ("<div><h1>a</h1><p>x</p><p>y</p></div>", "<div><p>z</p><table><tr><td>1</table></div>"))
-    assert wrapper.matching(a, b) == 3
-    merged = wrapper.merge(a, b)
-    assert [k[0] for k in merged[4][0][4]] == ["h1", "p", "table"]
-
-
-def test_wrapper_folds_labels_beyond_the_bound_in_a_fixed_order(monkeypatch):
-    monkeypatch.setattr(wrapper, "LABELS", 70)
-    pages = [wrapper.summarise(wrapper.parse("".join(f"<div class={chr(97 + n % 26)}{'xyz'[n // 26 % 3]}{chr(97 + n // 78)}>t{n}</div>" for n in range(k, k + 40)))) for k in range(0, 400, 40)]
-    seen = []
-    for order in (pages, pages[::-1], pages[5:] + pages[:5]):
-        total = order[0]
-        for w in order[1:]:
-            total = wrapper.merge(total, w)
-        seen.append({k[0]: k[1:3] for k in total[4]})
-    assert seen[0] == seen[1] == seen[2] and len(seen[0]) == 71
-    assert sum(size for _, size in seen[0].values()) == sum(len(f"t{n}") for n in range(400))
+        sites.append([f"<p>{i}</p><{tag}><p>Text {i} {'more ' * 20}</p><div class='share'>Share {i}</div></{tag.split()[0]}>" for i in range(5)])
+        want.append([f"{i}\n\nText {i} {' '.join(['more'] * 20)}" for i in range(5)])
+    sites.append([f"<div class=ad>{'Buy this ' * 20}{i}</div><article><p>a{i}</p><div class='comments'>no {i}</div></article>" for i in range(5)])
+    want.append([f"a{i}" for i in range(5)])
+    sites.append(["<div class=ad>Buy</div><div class='content with-sidebar'>body</div>"])
+    want.append(["body"])
+    assert texts_of(spark, sites) == want
 
 
 # -- WARC ---------------------------------------------------------------------------------------

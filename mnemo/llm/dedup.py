@@ -5,47 +5,55 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mnemo.llm.common import ascii_lower, written
+from mnemo.llm.common import ascii_lower, join_small, written
 
 KEY = ["digest", "n_bytes", "proof"]
+RUN_ROWS = 20_000
 
 
-def fingerprints(docs: DataFrame, runs: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One narrow row per document: its run, SHA-256 digest, and two values that verify the digest."""
+def runs_for(rows: int) -> int:
+    """Runs of about RUN_ROWS documents, a power of two of them: they grow with the table."""
+    return 1 << max(1, (max(1, rows) // RUN_ROWS).bit_length())
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One narrow row per document: its SHA-256 digest, and two values that verify the digest."""
     norm = ascii_lower(F.coalesce(F.col(text_col), F.lit("")))
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), norm.alias("norm")).select(
         "doc_id",
-        F.pmod(F.xxhash64("doc_id"), F.lit(runs)).cast("int").alias("run"),
         F.sha2("norm", 256).alias("digest"),
         F.octet_length("norm").alias("n_bytes"),
         F.xxhash64("norm").alias("proof"),
     )
 
 
-def tree_merge(prints: DataFrame, runs: int, fan_in: int = 4, keep: str = "max") -> tuple[DataFrame, DataFrame]:
-    """Merge the runs' digest tables level by level; returns (leaves, root).
+def in_runs(prints: DataFrame, runs: int) -> DataFrame:
+    return prints.withColumn("run", F.pmod(F.xxhash64("doc_id"), F.lit(runs)).cast("int"))
+
 
-    Level 0 holds one row per (run, digest), pre-aggregated where documents are read. At each level
-    ``fan_in`` neighbouring runs are exchanged to one place, sorted by digest and merged, keeping
-    the smallest (or largest) identifier among rows whose digest, byte length and second hash all
-    agree. A digest shared by a third of all rows is at most ``fan_in`` rows from level 1 on.
+def tree_merge(prints: DataFrame, runs: int, keep: str = "max") -> tuple[DataFrame, DataFrame]:
+    """Merge the runs' digest tables in binomial rounds; returns (leaves, root).
+
+    A leaf is a run's row for a digest, pre-aggregated where documents are read. In each round runs
+    2k and 2k + 1 are exchanged to one place by digest, laid in one sorted order and merged in it: of
+    neighbours whose digest, byte length and second hash all agree, the one with the smallest (or
+    largest) identifier is retained with the sum of their counts. No merge ever meets more than two
+    rows of one digest, whatever share of the table holds it. Null identifiers lose to any other.
     """
     best = F.max if keep == "max" else F.min
     leaves = prints.groupBy("run", *KEY).agg(best("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     level, left = leaves, runs
+    first = F.desc_nulls_last("keep_id") if keep == "max" else F.asc_nulls_last("keep_id")
+    order = Window.partitionBy("run", *KEY).orderBy(first)
+    both = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     while left > 1:
-        left = -(-left // fan_in)
-        level = (
-            level.withColumn("run", F.floor(F.col("run") / fan_in).cast("int"))
-            .repartition("run", "digest")
-            .sortWithinPartitions("run", *KEY)
-            .groupBy("run", *KEY)
-            .agg(best("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
-        )
+        left //= 2
+        merged = level.withColumn("run", F.shiftright("run", 1)).withColumn("_nth", F.row_number().over(order)).withColumn("group_size", F.sum("group_size").over(both))
+        level = merged.where("_nth = 1").drop("_nth")
     return leaves, level.drop("run")
 
 
-def exact_dedup(docs: DataFrame, runs: int = 64, fan_in: int = 4, keep: str = "max", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def exact_dedup(docs: DataFrame, runs: int | None = None, keep: str = "max", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every document with its group of equal texts and whether it is the one that stays.
 
     Texts are equal when identical after lower-casing A-Z only. Null text counts as empty; an empty
@@ -54,8 +62,10 @@ def exact_dedup(docs: DataFrame, runs: int = 64, fan_in: int = 4, keep: str = "m
     null only if the whole group has none). Verdicts travel back down the tree, from the root to a
     row per (run, digest) and from there to documents, so no join meets a whole group at one key.
     """
-    prints = written(fingerprints(docs, runs, id_col, text_col), "dedup-prints")
-    leaves, root = tree_merge(prints, runs, fan_in, keep)
+    prints = written(fingerprints(docs, id_col, text_col), "dedup-prints")
+    runs = runs or runs_for(prints.count())
+    prints = in_runs(prints, runs)
+    leaves, root = tree_merge(prints, runs, keep)
     verdicts = leaves.drop("keep_id", "group_size").join(root, KEY)
     return prints.join(verdicts, ["run", *KEY]).select(
         "doc_id",
@@ -66,17 +76,30 @@ def exact_dedup(docs: DataFrame, runs: int = 64, fan_in: int = 4, keep: str = "m
     )
 
 
-def kept_documents(docs: DataFrame, runs: int = 64, keep: str = "max") -> DataFrame:
-    """The documents that stay: one row for each distinct text, with all columns of ``docs``."""
-    prints = written(fingerprints(docs, runs), "dedup-prints")
-    _, root = tree_merge(prints, runs, keep=keep)
+def kept_documents(docs: DataFrame, runs: int | None = None, keep: str = "max") -> DataFrame:
+    """The documents that stay: one row for each distinct text, with all columns of ``docs``.
+
+    Of rows that repeat an identifier and its text one stays, whichever; of a group without
+    identifiers, too. Columns may have any names; an empty table stays empty. Only the few (identifier,
+    digest) pairs that go, or that repeat, are joined to texts, by broadcast while they are small.
+    """
+    prints = written(fingerprints(docs), "dedup-prints")
+    runs = runs or runs_for(prints.count())
+    leaves, root = tree_merge(in_runs(prints, runs), runs, keep)
+    several = written(root.where("group_size > 1").select("digest", "keep_id"), "dedup-groups")
+    pairs = join_small(prints.select("doc_id", "digest"), several, "digest", "inner", spread="doc_id")
+    kept = F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    marked = pairs.groupBy(F.xxhash64(F.col("doc_id"), F.isnull("doc_id")).alias("_id"), F.col("digest").alias("_digest")).agg(F.max(kept).alias("_kept"), F.count(F.lit(1)).alias("_n"))
+    marked = written(marked.where("NOT _kept OR _n > 1"), "dedup-marked")
     norm = ascii_lower(F.coalesce(F.col("text"), F.lit("")))
-    ident = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(-(1 << 63)))
-    stay = root.select(ident("keep_id").alias("_id"), F.col("digest").alias("_digest"))
-    rows = docs.withColumn("_id", ident("doc_id")).withColumn("_digest", F.sha2(norm, 256)).join(stay, ["_id", "_digest"], "left_semi")
-    # rows that repeat an identifier and its text: one of them stays; the join has laid them together
+    ident = F.col("doc_id").cast("long")
+    rows = docs.select(F.struct("*").alias("_row"), F.xxhash64(ident, F.isnull(ident)).alias("_id"), F.sha2(norm, 256).alias("_digest"))
+    out = join_small(rows, marked, ["_id", "_digest"], "left_anti").select("_row.*")
+    again = marked.where("_kept").select("_id", "_digest")
+    if again.isEmpty():
+        return out
     one = F.row_number().over(Window.partitionBy("_id", "_digest").orderBy("_digest"))
-    return rows.withColumn("_n", one).where("_n = 1").select(*docs.columns)
+    return out.unionByName(join_small(rows, again, ["_id", "_digest"], "left_semi").withColumn("_nth", one).where("_nth = 1").select("_row.*"))
 
 
 SQL = """

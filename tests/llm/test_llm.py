@@ -36,7 +36,7 @@ def odd(spark):
 
 
 def test_dedup_matches_brute_force(spark, odd):
-    got = dedup.exact_dedup(odd, runs=8, fan_in=3).collect()
+    got = dedup.exact_dedup(odd, runs=8).collect()
     rows = odd.select("doc_id", "text").collect()
     low = lambda t: re.sub("[A-Z]", lambda m: m.group().lower(), t or "")
     by = {}
@@ -48,12 +48,26 @@ def test_dedup_matches_brute_force(spark, odd):
         known = [i for i in by[text] if i is not None]
         assert r["keep_id"] == (max(known) if known else None) and r["group_size"] == len(by[text]) and r["kept"] == (r["doc_id"] == r["keep_id"])
     assert dedup.exact_dedup(odd.limit(0)).count() == 0
-    kept = dedup.kept_documents(odd.drop("digest"), runs=8)
-    assert sorted((r["doc_id"] or -1) for r in kept.collect()) == [-1, 2, 3, 4, 6, 8] and kept.columns == odd.drop("digest").columns
+    clash = odd.withColumn("_id", F.lit(1)).withColumn("_digest", F.lit("d")).withColumn("_row", F.lit(0)).withColumn("_n", F.lit(0))
+    kept = dedup.kept_documents(clash, runs=8)
+    assert sorted((r["doc_id"] or -1) for r in kept.collect()) == [-1, 2, 3, 4, 6, 8] and kept.columns == clash.columns
+    assert dedup.kept_documents(odd.limit(0)).count() == 0
     accents = dedup.exact_dedup(table(spark, ["É a", "é a", "É A"])).orderBy("doc_id").collect()
     assert [r["keep_id"] for r in accents] == [2, 1, 2]
 
 
+def test_dedup_merges_sorted_runs_two_at_a_time(spark):
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, F.lit("one text")).otherwise(F.concat(F.lit("t"), F.col("id") % 1500)).alias("text"))
+    prints = dedup.in_runs(dedup.fingerprints(docs), 16)
+    leaves, root = dedup.tree_merge(prints, 16, "min")
+    assert leaves.groupBy("run", "digest").count().where("count > 1").isEmpty() and leaves.where("group_size > 30").count() == 16
+    top = root.orderBy(F.desc("group_size")).first()
+    assert (top["keep_id"], top["group_size"]) == (0, 1000) and root.count() == 1001 and root.agg(F.sum("group_size")).first()[0] == 3000
+    plan = root._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Window [") >= 4 and plan.count("Sort [run") >= 4 and "Python" not in plan
+    assert [dedup.runs_for(n) for n in (0, 20_000, 250_000, 10**9)] == [2, 2, 16, 65536]
+
+
 # -- n-gram Jaccard join ------------------------------------------------------------------------
 
 

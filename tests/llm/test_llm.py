@@ -101,9 +101,10 @@ def near_copies(rng, n, groups):
     return texts + ["common line of words"] * 3 + ["common line of words again", "", None, "a", "a", "A b"]
 
 
-@pytest.mark.parametrize(("width", "percent", "crowd"), [(3, 90, 64), (5, 80, 64), (3, 90, 2), (2, 70, 3)])
-def test_jaccard_components_match_brute_force(spark, monkeypatch, width, percent, crowd):
+@pytest.mark.parametrize(("width", "percent", "crowd", "listed"), [(3, 90, 64, 32), (5, 80, 64, 32), (3, 90, 2, 32), (2, 70, 3, 32), (3, 90, 64, 3), (5, 80, 3, 3)])
+def test_jaccard_components_match_brute_force(spark, monkeypatch, width, percent, crowd, listed):
     monkeypatch.setattr(jaccard, "RARE", crowd)
+    monkeypatch.setattr(jaccard, "LISTED_COUNT", listed)
     monkeypatch.setattr(jaccard, "BLOCK_SETS", 4)
     texts = near_copies(random.Random(width * percent + crowd), 12, 14)
     sizes, label = brute_components(texts, width, percent)
@@ -112,6 +113,28 @@ def test_jaccard_components_match_brute_force(spark, monkeypatch, width, percent
     assert [r["component_id"] for r in got] == label
 
 
+@pytest.mark.parametrize("percent", [70, 80, 90, 95])
+def test_linked_sets_without_a_rare_token_in_common_share_a_combination(percent):
+    rng = np.random.default_rng(percent)
+    for n in [*range(jaccard.least_size(percent), 60), 97, 300, 1000, 5000]:
+        for _ in range(6):
+            a = rng.integers(1, 1 << 63, n, dtype=np.uint64)
+            m = int(rng.integers(-(-percent * n // 100), 100 * n // percent + 1))
+            least = jaccard.shared_least(n, m, percent)
+            if least > min(n, m):
+                continue
+            own = int(rng.integers(0, n - least + 1))  # rare tokens of the first; the second has none
+            b = np.concatenate([a[:least], rng.integers(1, 1 << 63, m - least, dtype=np.uint64)])
+            entries = []
+            for s, rare in ((a[: n - own], own), (b, 0)):
+                size = len(s) + rare
+                count = min(size, size - -(-percent * size // 100) + 2)
+                order = np.sort(s)
+                entries.append(set(jaccard.combined(order, size, rare, max(0, count - rare), percent).tolist()))
+            assert entries[0] & entries[1], (n, m, least, own)
+            assert len(entries[0]) < 4 * n + 100
+
+
 def test_jaccard_odd_rows(spark, odd):
     rows = jaccard.join_components(odd, 3, 90).collect()
     assert len(rows) == odd.count()

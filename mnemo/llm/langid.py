@@ -13,15 +13,16 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mnemo.llm.common import small_batches
+from mnemo.llm.common import join_small, sliced, written
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 DIM = 8
 FILTERS = 16
+MAX_ROWS = 120_000
 _LETTER = regex.compile(r"\p{L}")
 _CHUNK = 1024
 
@@ -148,20 +149,22 @@ def train(texts: list[str], labels: list[str], epochs: int = 6, batch: int = 64,
     return model
 
 
-def training_rows(docs: DataFrame, per_language: int) -> DataFrame:
-    """At most about ``per_language`` rows of each learned language, by a hash; held-out rows never."""
+def training_rows(docs: DataFrame, per_language: int, max_rows: int = MAX_ROWS) -> DataFrame:
+    """At most ``per_language`` rows of each language, fewer where that would be over ``max_rows``, by a hash; held-out rows never."""
     labelled = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out()).select(
-        F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30)).alias("_h")
+        F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), F.xxhash64("doc_id", "text", F.lit(11)).alias("_h")
     )
-    counts = labelled.groupBy("lang").count()
-    share = F.broadcast(counts.orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).select("lang", (F.lit(float(1 << 30)) * F.least(F.lit(1.0), F.lit(float(per_language)) / F.col("count"))).alias("_below")))
+    counts = written(labelled.groupBy("lang").count(), "lang-counts")
+    most = min(per_language, max(1, max_rows // max(1, counts.count())))
+    share = counts.select("lang", (F.lit(float(1 << 30)) * F.least(F.lit(1.0), F.lit(1.2 * most + 20) / F.col("count"))).alias("_below"))
     n = F.char_length("text")
     spots = F.array(F.lit(1), *[F.greatest(F.lit(1), (F.floor(n * q / 4)).cast("int")) for q in (1, 2, 3)])
     taken = F.concat_ws(" ", F.transform(spots, lambda at: F.substring(F.col("text"), at, F.lit(WINDOW))))
-    return labelled.join(share, "lang").where("_h < _below").select("lang", F.when(n > 4 * WINDOW, taken).otherwise(F.col("text")).alias("text"))
-
-
-MAX_LANGUAGES = 200
+    rows = join_small(labelled, share, "lang", "inner", spread="_h").where(F.pmod("_h", F.lit(1 << 30)) < F.col("_below"))
+    rows = rows.select("lang", "_h", F.when(n > 4 * WINDOW, taken).otherwise(F.col("text")).alias("text"))
+    rows = rows.groupBy("lang", "_h").agg(F.min("text").alias("text"))  # rows that repeat are one
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("_h"))
+    return rows.withColumn("_nth", nth).where(F.col("_nth") <= most).orderBy("_nth", "_h").limit(max_rows).select("lang", "text")
 
 
 def held_out():
@@ -169,20 +172,19 @@ def held_out():
 
 
 def fit(docs: DataFrame, per_language: int = 600) -> ByteCNN:
-    """Train on a bounded sample: about ``per_language`` rows for each of at most MAX_LANGUAGES labels,
-    at most four windows of each. The bound is the only thing that does not grow with the table."""
+    """Train on a bounded sample: at most ``per_language`` rows for each label and MAX_ROWS in all, at most
+    four windows of each. The bound is the only thing that does not grow with the table."""
     rows = training_rows(docs, per_language).collect()
     rows = sorted((r["text"], r["lang"]) for r in rows)
     return train([t for t, _ in rows], [label for _, label in rows])
 
 
 def predict(docs: DataFrame, model: ByteCNN) -> DataFrame:
-    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for batch in batches:
+        for batch in sliced(batches):
             ids, texts = batch.column(0), batch.column(2)
             langs, scores = [], []
             pending, held = [], 0
@@ -242,11 +244,10 @@ def accepted_documents(docs: DataFrame, least_score: float = 0.0) -> DataFrame:
 
     The verdict is made where the text is, so texts are not shuffled.
     """
-    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
             verdicts = label_texts(shared.value, texts)
             yield batch.filter(pa.array([lang != "und" and score >= least_score for lang, score in verdicts], pa.bool_()))

@@ -11,9 +11,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mnemo.llm.common import small_batches, written
+from mnemo.llm.common import sliced, written
 from mnemo.llm.tokens import public_path, word_tokenizer
 
+SMALLEST = 64
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -30,29 +31,39 @@ def lengths_of(n: int, window: int, smallest: int) -> list[int]:
     return [*out, n] if n else out
 
 
-def cut_pieces(docs: DataFrame, window: int, end_id: int, find: Callable[[], str], id_col: str, text_col: str, smallest: int = 0) -> DataFrame:
-    """Tokenise whole texts and cut each into full windows and one remainder (or, with ``smallest``, halves)."""
+def cut_pieces(docs: DataFrame, window: int, end_id: int, find: Callable[[], str], id_col: str, text_col: str) -> DataFrame:
+    """Tokenise whole texts once and cut each in two ways: ``cut`` 0 has full windows and one remainder,
+    1 has the remainder in halves of the window down to SMALLEST, null is a piece of both."""
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = word_tokenizer(find())
-        for batch in batches:
-            out: dict[str, list] = {k: [] for k in ("doc_id", "start", "length", "ids_crc32", "doc_tokens")}
+        for batch in sliced(batches):
+            out: dict[str, list] = {k: [] for k in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "cut")}
             for doc_id, found in zip(batch.column(0).to_pylist(), tokenizer.ids_of(batch.column(1).to_pylist()), strict=True):
                 ids = memoryview(found + end)
                 n = len(ids) // 4
-                start = 0
-                for length in lengths_of(n, window, smallest):
-                    piece = ids[4 * start : 4 * (start + length)]
-                    out["doc_id"].append(doc_id)
-                    out["start"].append(start)
-                    out["length"].append(len(piece) // 4)
-                    out["ids_crc32"].append(zlib.crc32(piece))
-                    out["doc_tokens"].append(n)
-                    start += length
+                both = n // window
+                fine = lengths_of(n, window, SMALLEST)
+                ways = [(None, 0, [window] * both)]
+                if n % window:
+                    same = len(fine) == both + 1
+                    ways.append((None if same else 0, both * window, [n % window]))
+                    if not same:
+                        ways.append((1, both * window, fine[both:]))
+                for cut, start, lengths in ways:
+                    for length in lengths:
+                        piece = ids[4 * start : 4 * (start + length)]
+                        out["doc_id"].append(doc_id)
+                        out["start"].append(start)
+                        out["length"].append(length)
+                        out["ids_crc32"].append(zlib.crc32(piece))
+                        out["doc_tokens"].append(n)
+                        out["cut"].append(cut)
+                        start += length
             yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in out.values()], names=list(out))
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, PIECES)
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, PIECES + ", cut long")
 
 
 def nnls(columns: np.ndarray, rows: int, wanted: np.ndarray, weight: np.ndarray, rounds: int = 4000) -> np.ndarray:
@@ -205,28 +216,27 @@ def place(packs: list[tuple[tuple[int, ...], int]]) -> dict[str, np.ndarray]:
     return dict(zip(("length", "rank", "sequence", "offset"), found.T, strict=True))
 
 
-def pack(docs: DataFrame, window: int = 2048, end_id: int = 1, find: Callable[[], str] = public_path("word_bpe_49k.json"), bins: int = 128, most_waste: float = 0.02, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, window: int = 2048, end_id: int = 1, find: Callable[[], str] = public_path("word_bpe_49k.json"), bins: int = 128, least_gain: float = 0.02, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Place every token of every document into sequences of at most ``window`` tokens.
 
-    A document longer than the window is cut at multiples of it; remainders stay whole, unless their
-    lengths fit together so badly that over ``most_waste`` of the plan is padding: then texts are cut
-    once more, remainders at halves of the window down to 64 tokens. Null text
-    counts as empty: the closing id alone. An empty table gives an empty result; repeated rows and
+    A document longer than the window is cut at multiples of it. Remainders stay whole, or are cut at
+    halves of the window down to SMALLEST tokens if the histograms of both ways, counted over all
+    documents, say that this saves ``least_gain`` of the sequences. Null text counts as empty: the closing id alone. An empty table gives an empty result; repeated rows and
     null identifiers are packed like others. Only the histogram of piece lengths (``window`` + 1
     counts) reaches the driver. Pieces are ranked within their length in two levels, so a length
     shared by a third of all pieces is spread over many tasks, and the plan maps ranks to places.
     """
     spark = docs.sparkSession
-    small_batches(spark)
-    for smallest in (0, 64):
-        pieces = written(cut_pieces(docs, window, end_id, find, id_col, text_col, smallest), "pack-pieces")
-        histogram = np.zeros(window + 1, dtype=np.int64)
-        for row in pieces.groupBy("length").count().collect():
-            histogram[row["length"]] = row["count"]
-        packs = plan_packs(histogram, window, bins)
-        waste = sum((window - sum(lengths)) * n for lengths, n in packs)
-        if waste <= max(4 * window, most_waste * window * sum(n for _, n in packs)):
-            break
+    pieces = written(cut_pieces(docs, window, end_id, find, id_col, text_col), "pack-pieces")
+    histograms = np.zeros((2, window + 1), dtype=np.int64)
+    for row in pieces.groupBy("length", "cut").count().collect():
+        for cut in (0, 1) if row["cut"] is None else (row["cut"],):
+            histograms[cut, row["length"]] += row["count"]
+    plans = [plan_packs(h, window, bins) for h in histograms]
+    # the two histograms tell which way packs into fewer sequences; whole remainders where they are alike
+    way = int(sum(n for _, n in plans[1]) < (1 - least_gain) * sum(n for _, n in plans[0]))
+    packs, histogram = plans[way], histograms[way]
+    pieces = pieces.where(F.col("cut").isNull() | (F.col("cut") == way)).drop("cut")
     plan = spark.sparkContext.broadcast(place(packs))
     chunks = int(max(256, histogram.sum() // 20_000))
     pieces = pieces.withColumn("_chunk", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(chunks)))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnemo.llm.common import small_batches
+from mnemo.llm.common import sliced
 
 KINDS = ("email", "ip", "card", "phone")
 DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
@@ -267,10 +267,9 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
     A span of the transducers is added where rewriting played a part in it and no plain span of its
     kind covers it.
     """
-    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             counts: dict[str, list[int]] = {k: [] for k in KINDS}
             digests, spans = [], []
             for value in batch.column(1):

@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from mnemo.llm.common import small_batches, new_path, running_total, written
+from mnemo.llm.common import new_path, running_total, sliced, written
 from mnemo.llm.files import reading, replacing
 
 SEPARATOR = 50256
@@ -42,7 +42,7 @@ def write_flat(docs: DataFrame, folder: str, tokenizer: str = "byte_bpe_50k.tikt
         name = f"tokens-{TaskContext.get().partitionId():06d}.bin"
         ordinal = 0
         with replacing(f"{folder}/{name}") as out:
-            for batch in batches:
+            for batch in sliced(batches):
                 ids = batch.column(0)
                 for text in batch.column(1):
                     out.write(np.array(encoder.encode_ordinary(text.as_py() or ""), dtype=dtype).tobytes() + end)
@@ -83,7 +83,10 @@ def scan(spark: SparkSession, folder: str, separator: int = SEPARATOR, dtype: st
                     names=["file", "block", "total", "n_ends", "last_end", "ends"],
                 )
 
-    found = blocks.repartition("path", "block").mapInArrow(run, "file string, block long, total long, n_ends long, last_end long, ends array<long>")
+    # the rows are a few numbers, so Spark can't tell how much work they are: a task for every few blocks
+    n_blocks = files.agg(F.coalesce(F.sum(F.ceil(F.col("total") / block_tokens)), F.lit(0))).first()[0]
+    tasks = min(max(1, n_blocks), max(spark.sparkContext.defaultParallelism, n_blocks // 16))
+    found = blocks.repartition(int(tasks)).mapInArrow(run, "file string, block long, total long, n_ends long, last_end long, ends array<long>")
     found = written(found.withColumn("_chunk", F.floor(F.col("block") / 256)), "flat-blocks")
     narrow = found.select("file", "block", "_chunk", "n_ends", "last_end")
     counted = running_total(narrow, ["file"], "_chunk", ["block"], "n_ends", "first_ordinal")
@@ -112,7 +115,6 @@ def token_counts(docs: DataFrame, **params) -> DataFrame:
     empty result.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     folder = new_path(spark, "flat-tokens")
     manifest = write_flat(docs, folder, **params)
     if manifest.isEmpty():

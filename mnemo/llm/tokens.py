@@ -2,16 +2,27 @@
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 from collections.abc import Callable, Iterator
-from unicodedata import is_normalized
+from functools import lru_cache
+from unicodedata import is_normalized, ucd_3_2_0
 
 import numpy as np
 
 _MEMO_LIMIT = 350_000
 _ODD_SPACES = "\x1c\x1d\x1e\x1f"
 _CACHE: dict[str, WordTokenizer] = {}
+# The normaliser and pre-tokenizer under which a text's ids are its words' ids.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
 
 
 def _byte_letters() -> dict[int, str]:
@@ -28,12 +39,24 @@ def _packed(*ids: int) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
 
+@lru_cache(1 << 16)
+def settled(letter: str) -> bool:
+    """A letter, and letters when lower-cased, since a version of Unicode that every tool knows."""
+    return all(ucd_3_2_0.category(c)[0] == "L" for c in letter + letter.lower())
+
+
+def letters_only(word: str) -> bool:
+    """Whether a word's lower-case form is letters whichever version of Unicode splits it."""
+    return word.isascii() or all(map(settled, word))
+
+
 class WordTokenizer:
     """Ids as little-endian unsigned 32-bit bytes.
 
-    The tokenizers this serves drop white space before they split a text, so a text's ids are the
-    ids of its white-space words one after another; each distinct word is encoded once per worker
-    and the memo is emptied when it is full.
+    Where a file's normaliser and pre-tokenizer are the ones below, which drop white space and split
+    letters, digits and signs, a text's ids are the ids of its white-space words one after another: each
+    distinct word is encoded once per worker, and the memo is emptied when it is full. Other files'
+    texts are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -42,6 +65,8 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        told = json.loads(self.tokenizer.to_str())
+        self.by_word = (told["normalizer"], told["pre_tokenizer"]) == (NORMALIZER, PRE_TOKENIZER)
         size = self.tokenizer.get_vocab_size()
         self.closes = np.zeros(size, dtype=bool)
         for piece, i in self.tokenizer.get_vocab().items():
@@ -56,14 +81,14 @@ class WordTokenizer:
         letters-only words are encoded together, each ending at the next piece that closes a word."""
         memo, one_word = self.memo, self.tokenizer.model.tokenize
         pack = _packed
-        tailed = [w for w in words if w[-1] in ".,!?" and w[:-1].isalpha()]
+        tailed = [w for w in words if w[-1] in ".,!?" and w[:-1].isalpha() and letters_only(w[:-1]) and is_normalized("NFC", w[:-1])]
         plain = {w for w in words if w.isalpha()}
         plain.update(w[:-1] for w in tailed)
         letters = []
         for w in plain.difference(memo):
             if w.isascii():
                 memo[w] = pack(*[t.id for t in one_word(w.lower())])
-            elif "Σ" not in w and w.lower().isalpha() and is_normalized("NFC", w):
+            elif "Σ" not in w and letters_only(w) and is_normalized("NFC", w):
                 memo[w] = pack(*[t.id for t in one_word(w.lower().encode().decode("latin-1").translate(_BYTE_LETTERS))])
             else:
                 letters.append(w)
@@ -94,7 +119,7 @@ class WordTokenizer:
 
     def ids_of(self, texts: list[str | None]) -> Iterator[bytes]:
         """Ids of each text; the new words of all of them are learned together."""
-        split = [None if t and any(c in t for c in _ODD_SPACES) else (t.lower() if t.isascii() else t).split() if t else [] for t in texts]
+        split = [None if t and (not self.by_word or any(c in t for c in _ODD_SPACES)) else (t.lower() if t.isascii() else t).split() if t else [] for t in texts]
         new = set()
         for words in split:
             if words:

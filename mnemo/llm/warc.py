@@ -13,14 +13,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemo.llm.common import new_path, small_batches, written
+from mnemo.llm.common import join_small, new_path, sliced, written
 from mnemo.llm.files import reading, replacing
-from mnemo.llm.graph import broadcast_if_small
 
 SKIPPABLE = 0x184D2A5D
 FRAME = struct.pack("<I", 0xFD2FB528)
 DICTIONARY = struct.pack("<I", 0xEC30A437)
 CONTROL = re.compile(r"[\x00-\x20\x7f]")
+TASK_BYTES = 64 << 20
 RECORD = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
 
 
@@ -151,10 +151,11 @@ def write_archives(pages: DataFrame, folder: str, least_revisit: int = 1000, sam
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
     rows = rows.withColumn("digest", F.sha1("payload")).withColumn("size", F.octet_length("payload"))
     groups = rows.where(F.col("size") >= least_revisit).groupBy("digest").agg(F.max("page_id").alias("keeper"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    repeated = broadcast_if_small(written(groups.select("digest", "keeper"), "warc-repeated"))
-    rows = rows.join(repeated, "digest", "left").withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("keeper")), F.col("keeper")))
+    repeated = written(groups.select("digest", "keeper"), "warc-repeated")
+    rows = join_small(rows, repeated, "digest", "left", spread="page_id").withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("keeper")), F.col("keeper")))
     share = int(min(1.0, samples / max(1, pages.count())) * (1 << 30))
-    sampled = pages.where(F.pmod(F.xxhash64("page_id", F.lit(3)), F.lit(1 << 30)) < share).select(F.substring("html", 1, 8000).alias("html")).where("html <> ''").collect()
+    pick = F.pmod(F.xxhash64("page_id", "url", F.octet_length("html"), F.lit(3)), F.lit(1 << 30))
+    sampled = pages.where(pick < share).select(F.substring("html", 1, 8000).alias("html")).where("html <> ''").limit(4 * samples).collect()
     dictionary = train_dictionary(sorted(r["html"].encode("utf-8", "surrogatepass") for r in sampled))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,7 +164,7 @@ def write_archives(pages: DataFrame, folder: str, least_revisit: int = 1000, sam
         part, number = TaskContext.get().partitionId(), 0
 
         def records() -> Iterator[bytes]:
-            for batch in batches:
+            for batch in sliced(batches):
                 for row in zip(*(batch.column(i) for i in range(6)), strict=True):
                     page_id, url, data, digest, size, refers_to = (x.as_py() for x in row)
                     yield compressor.compress(record_bytes(page_id, url, data, digest, size, refers_to))
@@ -186,7 +187,10 @@ def write_archives(pages: DataFrame, folder: str, least_revisit: int = 1000, sam
 
 def read_archives(spark: SparkSession, folder: str, payloads: bool = True) -> DataFrame:
     """The records of every ``*.warc.zst`` archive in the folder, validated. Archives are read in parallel."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder).select("path")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder).select("path", "length")
+    # the rows are a few names, so Spark can't tell how much work they are: a task an archive, or so
+    n_files, n_bytes = files.agg(F.count(F.lit(1)), F.coalesce(F.sum("length"), F.lit(0))).first()
+    tasks = min(max(1, n_files), max(spark.sparkContext.defaultParallelism, n_bytes // TASK_BYTES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"]
@@ -204,7 +208,7 @@ def read_archives(spark: SparkSession, folder: str, payloads: bool = True) -> Da
                     if held:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), kinds, strict=True)], names=names)
 
-    return files.repartition("path").mapInArrow(run, RECORD)
+    return files.select("path").repartition(int(tasks)).mapInArrow(run, RECORD)
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
@@ -215,7 +219,6 @@ def round_trip(pages: DataFrame) -> DataFrame:
     result.
     """
     spark = pages.sparkSession
-    small_batches(spark)
     folder = new_path(spark, "warc")
     manifest = write_archives(pages, folder)
     columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]

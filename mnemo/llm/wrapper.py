@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mnemo.llm.common import join_small, small_batches, written
+from mnemo.llm.common import join_small, sliced, written
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*')*+)(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*+)([^>]*+)(?:>|\Z)", re.DOTALL)
 MARK = re.compile(r"(?<![\w-])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
@@ -407,7 +407,7 @@ def host_wrappers(pages: DataFrame) -> DataFrame:
     """
 
     def shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             held: dict[tuple[str, str], int] = {}
             for host, page in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 if page.is_valid and page.as_py().strip():
@@ -443,7 +443,7 @@ def page_blocks(pages: DataFrame, wrappers: DataFrame) -> DataFrame:
         loaded: dict[str, Shape] = {}
         placed: dict[tuple[str, str], list[int]] = {}
         kind = pa.struct([("slot", pa.int64()), ("hash", pa.int64()), ("text", pa.string()), ("links", pa.int32()), ("art", pa.bool_()), ("beside", pa.list_(pa.int64())), ("container", pa.int64())])
-        for batch in batches:
+        for batch in sliced(batches):
             signs, found = [], []
             for host, page, wrapper in zip(batch.column(2).to_pylist(), batch.column(3), batch.column(4), strict=True):
                 top, blocks = outline(parse(page.as_py() or "")) if page.is_valid else (Shape("#root"), [])
@@ -512,7 +512,6 @@ def main_text(pages: DataFrame) -> DataFrame:
     result; other columns are ignored. Levels of over LEVEL children are aligned by label instead of by
     place, which makes their slots coarser; their texts are counted exactly all the same.
     """
-    small_batches(pages.sparkSession)
     url = F.coalesce(F.col("url").cast("string"), F.lit(""))
     host = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), host.alias("host"))

@@ -11,7 +11,8 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,12 +29,42 @@ PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
 NOT_DIGITS = re.compile(r"[^0-9]+")
 
-# Letters of other scripts that look like Latin ones.
+# Letters of other scripts that look like Latin ones, and signs that look like those of addresses.
 HOMOGLYPHS = dict(zip("АВЕКМНОРСТУХЅІЈаеорсухѕіјԁԛԝһ", "ABEKMHOPCTYXSIJaeopcyxsijdqwh", strict=True))
 HOMOGLYPHS |= dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧαονρι", "ABEZHIKMNOPTYXaovpi", strict=True))
-HOMOGLYPHS |= dict(zip("ɑɡⅼ‐‑‒–—−․。", "agl------..", strict=True))
-INVISIBLE = frozenset("­​‌‍⁠﻿")
-ODD = re.compile("[­ɑɡͰ-ϿЀ-ԯ​-‍‐-―․⁠⁰-₟℀-↏−①-⓿。﹐-﹯﻿！-～\U0001d400-\U0001d7ff]")
+HOMOGLYPHS |= dict(zip("աոսօցհյԼՕՏᎪᎬᎻᎫᏆᏦᏞᎷᏢᏚᎢᏙᏃ", "wnuoghjLOSAEHJIKLMPSTVZ", strict=True))
+HOMOGLYPHS |= dict(zip("‐‑‒–—−․。", "------..", strict=True))
+INVISIBLE = frozenset("\u00ad\u034f\u180e\u200b\u200c\u200d\u2060\u2061\u2062\u2063\u2064\ufe0e\ufe0f\ufeff")
+LATIN_NAME = re.compile(r"(?:LATIN LETTER SMALL CAPITAL|LATIN SMALL LETTER (?:SCRIPT|DOTLESS|INSULAR|TURNED)|LATIN SMALL LETTER|REGIONAL INDICATOR SYMBOL LETTER|(?:NEGATIVE )?(?:SQUARED|CIRCLED) LATIN CAPITAL LETTER) ([A-Z])(?: WITH (?:STROKE|HOOK|TAIL|MIDDLE TILDE|PALATAL HOOK|CROSSED-TAIL|BAR))?")
+
+
+@cache
+def foldings() -> dict[str, str]:
+    """What every character that is not ASCII reads as, by rule: its compatibility form where that is one
+    plain character, the Latin letter in its name, or the look-alike above."""
+    out = {}
+    for code in (*range(0x80, 0x3400), *range(0xA640, 0xA800), *range(0xAB30, 0xABC0), *range(0xFB00, 0x10000), *range(0x1D400, 0x1D800), *range(0x1F100, 0x1F200)):
+        c = chr(code)
+        plain = unicodedata.normalize("NFKC", c)
+        if plain.isascii() and (plain.isalnum() or plain in tuple("@.+-_%")):
+            out[c] = plain
+        elif m := LATIN_NAME.fullmatch(unicodedata.name(c, "")):
+            out[c] = m[1] if "CAPITAL LETTER" in unicodedata.name(c) else m[1].lower()
+    return out | HOMOGLYPHS
+
+
+@cache
+def odd() -> re.Pattern:
+    """Characters that folding changes or leaves out."""
+    codes = sorted(map(ord, {*foldings(), *INVISIBLE}))
+    runs: list[list[int]] = []
+    for c in codes:
+        if runs and c == runs[-1][1] + 1:
+            runs[-1][1] = c
+        else:
+            runs.append([c, c])
+    return re.compile("[" + "".join(re.escape(chr(x)) + "-" + re.escape(chr(y)) for x, y in runs) + "]")
+
 
 SPELLED = {w: str(n % 10) for n, w in enumerate("zero one two three four five six seven eight nine".split())} | {"oh": "0"}
 SPELLED |= {w: str(n) for n, w in enumerate("null eins zwei drei vier fünf sechs sieben acht neun".split())}
@@ -41,9 +72,43 @@ SPELLED |= {w: str(n) for n, w in enumerate("zéro un deux trois quatre cinq six
 SPELLED |= {w: str(n) for n, w in enumerate("cero uno dos tres cuatro cinco seis siete ocho nueve".split())}
 _WORD = "|".join(sorted(SPELLED, key=len, reverse=True))
 _UNIT = rf"(?:{_WORD}|[0-9])"
-SPELLED_RUN = re.compile(rf"(?<![^\W_])(?:plus[ -]+)?{_UNIT}(?:(?:[ ,.-]{{1,3}}|\n){_UNIT}(?![^\W_])){{6,}}", re.IGNORECASE)
-SPELLED_ONE = re.compile(rf"plus|{_WORD}|[0-9]|\.|[ ,\n-]+", re.IGNORECASE)
-SPELLED_HINT = re.compile(rf"\b(?:{_WORD})[ ,.\n-]{{1,3}}(?:{_WORD}|[0-9])\b", re.IGNORECASE)
+_POINT = r"(?:dot|punto|punkt|point)"
+_GAP = rf"(?:[ ,.()\[\]{{}}-]{{1,4}}|\n| {_POINT} )"
+SPELLED_RUN = re.compile(rf"(?<![^\W_])(?:plus[ -]+)?[(\[{{]?{_UNIT}(?:{_GAP}{_UNIT}(?![^\W_])){{6,}}", re.IGNORECASE)
+SPELLED_ONE = re.compile(rf"plus|{_POINT}|{_WORD}|[0-9]|\.|[ ,\n()\[\]{{}}-]+", re.IGNORECASE)
+SPELLED_HINT = re.compile(rf"\b(?:{_WORD}){_GAP}(?:{_WORD}|[0-9])\b", re.IGNORECASE)
+POINTS = frozenset("dot punto punkt point".split())
+
+# Letters that stand for digits inside a number: cards and phones, and addresses of four parts.
+LOOKS = dict(zip("OoIl|SB", "0011158", strict=True))
+LETTERED = re.compile(r"(?<![A-Za-z0-9])(?:\+ ?)?[0-9OoIl|SB](?:[ .()-]{0,2}[0-9OoIl|SB]){8,24}(?![A-Za-z0-9])|(?<![A-Za-z0-9.])[0-9OoIl|]{1,3}(?:\.[0-9OoIl|]{1,3}){3}(?![A-Za-z0-9])")
+SPOKEN_IP = re.compile(rf"(?<![0-9.])[0-9]{{1,3}}(?: ?(?: {_POINT} |\.) ?[0-9]{{1,3}}){{3}}(?![0-9])", re.IGNORECASE)
+SPOKEN_POINT = re.compile(rf" ?(?: {_POINT} |\.) ?", re.IGNORECASE)
+JOINED = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9.+-]+(?:_dot_[A-Za-z0-9.+-]+)*(?:_at_|-at-)[A-Za-z0-9]+(?:(?:_dot_|-dot-|\.)[A-Za-z0-9]+)+(?![A-Za-z0-9])", re.IGNORECASE)
+JOINED_SIGN = re.compile(r"[_-](at|dot)[_-]", re.IGNORECASE)
+
+_AT, _DOT = r"(?:at|arroba|arobase|klammeraffe|@)", r"(?:dot|punto|punkt|point|\.)"
+BRACKETED = re.compile(rf"[ \t]*[\[({{<]\s{{0,2}}(?:(?P<at>{_AT})|(?P<dot>{_DOT}))\s{{0,2}}[\])}}>][ \t]*", re.IGNORECASE)
+# Generic top-level domains; every two letters may be a country's.
+TLD = frozenset(
+    "com net org edu gov mil int arpa info biz name pro aero asia cat coop jobs mobi museum post tel travel academy agency app art bank bar beer berlin bio bike blog build business cafe camera camp capital care cash center "
+    "chat church city click clinic cloud club coach codes coffee community company computer consulting cool country credit dance data date deals dental design dev digital direct doctor domains education email energy engineer "
+    "estate events exchange expert express family farm fashion film finance fit fitness flights foundation fun fund gallery game games garden gift global gmbh gold golf group guide guru hamburg health help holdings host "
+    "hosting hotel house institute international jetzt koeln land law legal life link live loan london management market marketing media money network news ninja one online page paris partners photo photography pictures pizza "
+    "place plus press properties rent restaurant reviews rocks school science services shop show site ski social software solutions space store studio support systems team tech today tools top tours town training university "
+    "video wiki work works world xyz zone".split()
+)
+
+
+# Words of prose that are also countries' domains; spoken, they end no address.
+PROSE = frozenset("is it in to be by so no my me us am at as an or on of".split())
+
+
+def top_level(label: str) -> bool:
+    return label.lower() in TLD or (len(label) == 2 and label.isascii() and label.isalpha())
+
+
+SIGN = re.compile(r"[_-](at|dot)[_-]", re.IGNORECASE)
 
 _AT, _DOT = r"(?:at|arroba|arobase|klammeraffe|@)", r"(?:dot|punto|punkt|point|\.)"
 BRACKETED = re.compile(rf"[ \t]*[\[({{<]\s{{0,2}}(?:(?P<at>{_AT})|(?P<dot>{_DOT}))\s{{0,2}}[\])}}>][ \t]*", re.IGNORECASE)
@@ -64,6 +129,7 @@ SIGN = re.compile(r" at | @ |@", re.IGNORECASE)
 HOST = re.compile(r"[A-Za-z0-9-]+(?:(?: dot | \. |\.)[A-Za-z0-9-]+)+", re.IGNORECASE)
 HOST_STEP = re.compile(r"( dot | \. |\.)([A-Za-z0-9-]+)", re.IGNORECASE)
 SPOKEN_PART = re.compile(r" at | @ | dot | \. ", re.IGNORECASE)
+ADDRESSED = re.compile(r"[0-9_.+]| dot ", re.IGNORECASE)
 MARGIN = 330
 
 
@@ -111,19 +177,12 @@ Tape = list[tuple[str, int, int, bool]]  # (character, start, end in the origina
 
 def fold_lookalikes(tape: Tape) -> Tape:
     out: Tape = []
+    known = foldings()
     for c, a, b, changed in tape:
         if c < "\x80":
             out.append((c, a, b, changed))
-        elif c in INVISIBLE:
-            continue
-        elif c in HOMOGLYPHS:
-            out.append((HOMOGLYPHS[c], a, b, True))
-        else:
-            folded = unicodedata.normalize("NFKC", c)
-            if folded != c and folded.isascii():
-                out += [(x, a, b, True) for x in folded]
-            else:
-                out.append((c, a, b, changed))
+        elif c not in INVISIBLE:
+            out += [(x, a, b, True) for x in known[c]] if c in known else [(c, a, b, changed)]
     return out
 
 
@@ -148,13 +207,40 @@ def spell_digits(tape: Tape) -> Tape:
                 yield "+", a, b, True
             elif word in SPELLED:
                 yield SPELLED[word], a, b, True
+            elif word in POINTS:
+                yield ".", a, b, True
             elif word.isdigit() or word == ".":
                 yield word, a, b, False
 
     return _rewrite(tape, SPELLED_RUN, write)
 
 
+def lettered_digits(tape: Tape) -> Tape:
+    def write(m: re.Match) -> Iterator[tuple[str, int, int, bool]]:
+        whole = m.group()
+        change = any(c in LOOKS for c in whole) and any(c.isdigit() for c in whole)
+        for k, c in enumerate(whole, m.start()):
+            yield LOOKS.get(c, c) if change else c, k, k + 1, change and c in LOOKS
+
+    return _rewrite(tape, LETTERED, write)
+
+
+def _signs(pattern: re.Pattern, sign) -> Callable[[re.Match], Iterator[tuple[str, int, int, bool]]]:
+    """Write a match with the signs that ``pattern`` finds in it replaced by what ``sign`` makes of them."""
+    def write(m: re.Match) -> Iterator[tuple[str, int, int, bool]]:
+        at = m.start()
+        for part in pattern.finditer(m.string, m.start(), m.end()):
+            yield from ((m.string[k], k, k + 1, False) for k in range(at, part.start()))
+            yield sign(part), part.start(), part.end(), part.group() != "."
+            at = part.end()
+        yield from ((m.string[k], k, k + 1, False) for k in range(at, m.end()))
+
+    return write
+
+
 def sign_disguises(tape: Tape) -> Tape:
+    tape = _rewrite(tape, SPOKEN_IP, _signs(SPOKEN_POINT, lambda part: "."))
+    tape = _rewrite(tape, JOINED, _signs(JOINED_SIGN, lambda part: "@" if part[1].lower() == "at" else "."))
     tape = _rewrite(tape, BRACKETED, lambda m: [("@" if m["at"] else ".", m.start(), m.end(), True)])
 
     text = "".join(c for c, *_ in tape)
@@ -195,11 +281,12 @@ def spoken_addresses(text: str) -> Iterator[tuple[int, int]]:
             label, spoken = step[2], step[1] != "."
             if step.end() < len(text) and text[step.end()].isalnum():
                 continue
-            if label.lower() in TLD and (label.islower() or label.isupper() or spoken):
+            if top_level(label) and not (spoken and label.lower() in PROSE) and (label.islower() or label.isupper() or spoken):
                 known = step.end()
             elif label.isascii() and label.isalpha() and len(label) > 1 and (label.islower() or step[1] != " . "):
                 other = step.end()
-        end = known or (other if "@" in sign.group() else 0)
+        # any label will do after an @, or where what lies before reads as an address by itself
+        end = known or (other if "@" in sign.group() or ADDRESSED.search(text, start, sign.start()) else 0)
         if end and SPOKEN_PART.search(text, start, end):
             yield start, end
             free = end
@@ -208,12 +295,17 @@ def spoken_addresses(text: str) -> Iterator[tuple[int, int]]:
 def _triggers(text: str) -> list[tuple[int, int]]:
     found = []
     if not text.isascii():
-        found += [m.span() for m in ODD.finditer(text)]
+        found += [m.span() for m in odd().finditer(text)]
     if any(c in text for c in "[({<"):
         found += [m.span() for m in BRACKETED.finditer(text)]
     found += spoken_addresses(text)
     if SPELLED_HINT.search(text):
         found += [m.span() for m in SPELLED_RUN.finditer(text)]
+    if "_at_" in text or "-at-" in text or "_AT_" in text:
+        found += [m.span() for m in JOINED.finditer(text)]
+    if DIGIT.search(text):
+        found += [m.span() for m in SPOKEN_IP.finditer(text) if " " in m.group()]
+        found += [m.span() for m in LETTERED.finditer(text) if any(c in LOOKS for c in m.group()) and DIGIT.search(m.group())]
     return found
 
 
@@ -236,8 +328,10 @@ def disguised_spans(text: str) -> list[tuple[int, int, str]]:
     out = []
     for a, b in windows:
         tape: Tape = [(c, a + k, a + k + 1, False) for k, c in enumerate(text[a:b])]
-        tape = sign_disguises(spell_digits(fold_lookalikes(tape)))
+        tape = sign_disguises(spell_digits(lettered_digits(fold_lookalikes(tape))))
         for s, e, kind in plain_spans("".join(c for c, *_ in tape)):
+            if kind == "email" and not tape[e - 1][0].isalpha():
+                continue
             if any(changed for *_, changed in tape[s:e]):
                 start, end = tape[s][1], tape[e - 1][2]
                 while text[start].isspace():

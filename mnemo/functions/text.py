@@ -72,9 +72,12 @@ def working_set_task_id(name: Column) -> Column:
     return F.when(name.startswith("working-set-"), name).otherwise(F.concat(F.lit("working-set-"), name))
 
 
-def clean_source_identity(raw: Column) -> Column:
-    """A principal's name as the audit trail accepts it: odd characters to '-', no reserved prefix, 64 long."""
-    return F.substring(F.regexp_replace(F.regexp_replace(raw, r"[^\w+=,.@-]", "-"), r"^(?:aws:)+", ""), 1, 64)
+def clean_source_identity(arn: Column, user_id: Column | None = None) -> Column:
+    """A principal's name as the audit trail accepts it: what follows an ARN's last slash, else the user id,
+    else ``unknown``; odd characters to '-', 64 characters, then without the reserved prefix."""
+    raw = F.when(F.contains(arn, F.lit("/")), F.substring_index(arn, "/", -1)).otherwise(F.coalesce(F.nullif(user_id, F.lit("")) if user_id is not None else F.lit(None), F.lit("unknown")))
+    cut = F.substring(F.regexp_replace(raw, r"(?U)[^\w+=,.@-]", "-"), 1, 64)
+    return F.coalesce(F.nullif(F.regexp_replace(cut, r"^(?:aws:)+", ""), F.lit("")), F.lit("unknown"))
 
 
 def rubric_match(answer: Column, groups: list[list[str]]) -> Column:

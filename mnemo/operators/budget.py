@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mnemo import schema as S
+from mnemo.functions import text as T
 
 
 def within_budget(df: DataFrame, by: list[str], order: str, max_tokens: int, tokens: str = "tokens") -> DataFrame:
@@ -16,21 +17,22 @@ def within_budget(df: DataFrame, by: list[str], order: str, max_tokens: int, tok
 
 
 def with_substitution(df: DataFrame, by: list[str], order: str, max_tokens: int, full: str = "full_tokens", short: str = "summary_tokens") -> DataFrame:
-    """Full body while it fits, else the summary if that does, else stop; the first is always full.
+    """In order: the body, or the summary where there is one and the body is over what is left; stop at what fits neither.
 
-    A fold over the group's ordered list (at most the top-k rows of a query), inside the JVM.
+    The first row is always admitted, by its summary too if its body is over the budget. ``full`` is the
+    cost of what a row would show, ``short`` of its summary (null: none). A fold over the group's
+    ordered list (at most the top-k rows of a query), inside the JVM.
     """
     items = df.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col(order).cast("int").alias("o"), F.col(full).cast("long").alias("f"), F.col(short).cast("long").alias("s")))).alias("items"))
 
     def step(acc: Column, x: Column) -> Column:
-        first = F.size(acc["out"]) == 0
-        take_full = ~acc["stop"] & (first | (acc["used"] + x["f"] <= max_tokens))
-        take_short = ~acc["stop"] & ~take_full & x["s"].isNotNull() & (acc["used"] + x["s"] <= max_tokens)
-        cost = F.when(take_full, x["f"]).when(take_short, x["s"]).otherwise(F.lit(0).cast("long"))
-        row = F.struct(x["o"].alias("o"), F.when(take_full, F.lit("full")).otherwise(F.lit("summary")).alias("detail"), cost.alias("tokens"))
+        swap = (acc["used"] + x["f"] > max_tokens) & x["s"].isNotNull()
+        cost = F.when(swap, x["s"]).otherwise(x["f"])
+        take = ~acc["stop"] & ((F.size(acc["out"]) == 0) | (acc["used"] + cost <= max_tokens))
+        row = F.struct(x["o"].alias("o"), F.when(swap, F.lit("summary")).otherwise(F.lit("full")).alias("detail"), cost.alias("tokens"))
         return F.struct(
-            (acc["used"] + cost).alias("used"), (acc["stop"] | ~(take_full | take_short)).alias("stop"),
-            F.when(take_full | take_short, F.concat(acc["out"], F.array(row))).otherwise(acc["out"]).alias("out"),
+            (acc["used"] + F.when(take, cost).otherwise(F.lit(0).cast("long"))).alias("used"), (acc["stop"] | ~take).alias("stop"),
+            F.when(take, F.concat(acc["out"], F.array(row))).otherwise(acc["out"]).alias("out"),
         )
 
     start = F.struct(F.lit(0).cast("long").alias("used"), F.lit(False).alias("stop"), F.expr("cast(array() as array<struct<o:int,detail:string,tokens:bigint>>)").alias("out"))
@@ -38,6 +40,29 @@ def with_substitution(df: DataFrame, by: list[str], order: str, max_tokens: int,
     return folded.select(*by, F.col("r.o").alias(order), F.col("r.detail").alias("detail"), F.col("r.tokens").alias("tokens"))
 
 
+LEVELS = ("summary", "standard", "full")
+
+
+def at_level(df: DataFrame, by: list[str], order: str, level: str, max_tokens: int) -> DataFrame:
+    """Ranked rows (content, content_summary) at a detail level, to budget: adds detail, tokens and used_tokens.
+
+    ``summary``: previews only. ``standard``: bodies for the first two, summaries after. ``full``: bodies.
+    A body that is over what is left gives way to its summary.
+    """
+    if level not in LEVELS:
+        raise ValueError(f"detail_level must be one of {', '.join(LEVELS)}; got {level!r}")
+    preview = T.estimate_tokens(T.preview(F.col("content_summary"), F.col("content")))
+    if level == "summary":
+        return within_budget(df.withColumn("detail", F.lit("summary")).withColumn("tokens", preview), by, order, max_tokens)
+    body, summary = T.estimate_tokens(F.col("content")), F.when(F.col("content_summary").isNotNull(), T.estimate_tokens(F.col("content_summary")))
+    whole = F.col("content").isNotNull() & ((F.col(order) <= 2) if level == "standard" else F.lit(True))
+    sized = df.withColumn("_whole", whole).withColumn("full_tokens", F.when(whole, body).otherwise(F.coalesce(summary, F.lit(0)))).withColumn("summary_tokens", F.when(whole, summary))
+    taken = with_substitution(sized, by, order, max_tokens)
+    out = sized.withColumn(order, F.col(order).cast("int")).join(taken, [*by, order]).withColumn("detail", F.when(F.col("_whole"), F.col("detail")).otherwise("summary"))
+    upto = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return out.drop("_whole", "full_tokens", "summary_tokens").withColumn("used_tokens", F.sum("tokens").over(upto))
+
+
 def hydrate_upgrade(df: DataFrame, by: list[str], order: str, max_tokens: int, wanted: str = "wanted_pos", most: int = S.HYDRATE_MAX) -> DataFrame:
     """Swap previews for bodies, in the caller's key order, skipping those that do not fit.
 

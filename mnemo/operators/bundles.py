@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mnemo import schema as S
@@ -11,17 +11,31 @@ from mnemo.operators.budget import within_budget
 from mnemo.operators.search import live
 
 
-def pack_rows(packs: DataFrame, mem: DataFrame, now: int, max_tokens: int = S.MAX_TOKENS) -> DataFrame:
+def of_team(mem: DataFrame, now: int, team_id: str | None = None) -> DataFrame:
+    """Active records that have not expired (no expiry never does), of one team if one is named."""
+    out = mem.where((F.col("status") == "active") & (F.col("expires_at").isNull() | (F.col("expires_at") > now)))
+    return out if team_id is None else out.where(F.col("team_id") == team_id)
+
+
+def ad_hoc(spark: SparkSession, task_ids: list[str]) -> DataFrame:
+    """A pack named by its tasks, each once, in the caller's order."""
+    ids = list(dict.fromkeys(t.strip() for t in task_ids if t and t.strip()))
+    if not ids:
+        raise ValueError("task_ids must contain at least one task")
+    return spark.createDataFrame([("", k + 1, t) for k, t in enumerate(ids)], "pack string, task_pos int, task_id string")
+
+
+def pack_rows(packs: DataFrame, mem: DataFrame, now: int, max_tokens: int = S.MAX_TOKENS, team_id: str | None = None) -> DataFrame:
     """(pack, task_id, key, tokens, ...) of each pack's live records, in pack order, newest version first, to budget."""
     tasks = packs.select("pack", "task_pos", "task_id")
-    hits = tasks.join(live(mem, now), "task_id").withColumn("tokens", T.estimate_tokens(T.preview(F.col("content_summary"), F.col("content"))))
+    hits = tasks.join(of_team(mem, now, team_id), "task_id").withColumn("tokens", T.estimate_tokens(T.preview(F.col("content_summary"), F.col("content"))))
     order = Window.partitionBy("pack").orderBy("task_pos", F.desc("version"), F.desc("created_at"), "key")
     return within_budget(hits.withColumn("pos", F.row_number().over(order)), ["pack"], "pos", max_tokens)
 
 
 def pack_coverage(packs: DataFrame, mem: DataFrame, now: int, max_tokens: int = S.MAX_TOKENS) -> DataFrame:
     """Per pack and task: missing, skipped (all dropped by budget), partial or complete."""
-    there = live(mem, now).groupBy("task_id").agg(F.count(F.lit(1)).alias("n_live"))
+    there = of_team(mem, now).groupBy("task_id").agg(F.count(F.lit(1)).alias("n_live"))
     got = pack_rows(packs, mem, now, max_tokens).groupBy("pack", "task_id").agg(F.count(F.lit(1)).alias("n_returned"))
     out = packs.select("pack", "task_pos", "task_id").join(there, "task_id", "left").join(got, ["pack", "task_id"], "left").fillna(0, ["n_live", "n_returned"])
     return out.withColumn("state", F.when(F.col("n_live") == 0, "missing").when(F.col("n_returned") == 0, "skipped").when(F.col("n_returned") < F.col("n_live"), "partial").otherwise("complete"))
@@ -41,6 +55,24 @@ def pinned_keys(body: Column) -> Column:
     return F.coalesce(F.from_json(body, "struct<name:string,keys:array<string>>")["keys"], F.expr("cast(array() as array<string>)"))
 
 
+def latest_pin(mem: DataFrame, now: int) -> DataFrame:
+    """(index_name, team_id, task_id, key, content) of the latest live record of each team's task, by aggregation alone."""
+    latest = F.max_by(F.struct("key", "content", "version"), F.struct("version", "created_at", "key"))
+    return of_team(mem, now).groupBy("index_name", "team_id", "task_id").agg(latest.alias("r")).select("index_name", "team_id", "task_id", "r.*")
+
+
+def pin_rows(named: DataFrame, mem: DataFrame, now: int, ttl: int | None = None) -> DataFrame:
+    """Records to store for working sets (index_name, team_id, name, keys): procedural, with expiry, superseding the live pin."""
+    task = T.working_set_task_id(F.col("name"))
+    rows = named.withColumn("name", F.trim("name")).withColumn("keys", T.clean_keys(F.col("keys"))).where((F.col("name") != "") & (F.size("keys") > 0)).withColumn("task_id", task)
+    old = latest_pin(mem, now).select("index_name", "team_id", "task_id", F.col("key").alias("supersedes_key"), "version")
+    return rows.join(old, ["index_name", "team_id", "task_id"], "left").select(
+        "index_name", "team_id", "task_id", F.lit("procedural").alias("memory_type"), F.lit("agent").alias("origin"), pin_body(F.col("name"), F.col("keys")).alias("content"),
+        F.format_string("Working set '%s' (%d keys)", "name", F.size("keys")).alias("content_summary"), F.lit(now + ttl if ttl is not None else S.NO_EXPIRY).alias("expires_at"),
+        "supersedes_key", F.when(F.col("supersedes_key").isNull(), "new").otherwise("auto").alias("mode"),
+    )
+
+
 def fetch_keys(wanted: DataFrame, mem: DataFrame, by: list[str], now: int | None = None, max_tokens: int = S.MAX_TOKENS) -> tuple[DataFrame, DataFrame]:
     """(rows in the caller's order to budget, missing keys). ``wanted``: by + (pos, key)."""
     have = mem if now is None else live(mem, now)

@@ -56,3 +56,10 @@ def _operator(name: str, kind: str, op: str, value) -> Column:
 def allowed_indexes(role: str) -> Column:
     """The mandatory predicate of a role; unknown roles may read nothing."""
     return F.col("index_name").isin(list(S.ROLE_INDEXES.get(role, ())))
+
+
+def check_verb(role: str, verb: str) -> None:
+    """Raise unless the role may use the verb: read-only roles read, unknown roles and verbs do nothing."""
+    allowed = S.READ_ONLY_VERBS if role in S.READ_ONLY_ROLES else (*S.READ_ONLY_VERBS, *S.WRITE_VERBS)
+    if role not in S.ROLE_INDEXES or verb not in allowed:
+        raise PermissionError(f"{role} may not {verb}")

@@ -37,6 +37,36 @@ def expand(seeds: DataFrame, graph: DataFrame, depth: int = S.EXPAND_DEPTH, max_
     return seen.where(F.col("pos") <= max_keys)
 
 
+def walk(seeds: DataFrame, graph: DataFrame, mem: DataFrame, depth: int = S.EXPAND_DEPTH, max_keys: int = S.EXPAND_MAX_KEYS, max_tokens: int = S.MAX_TOKENS) -> DataFrame:
+    """(walk, key, level, pos, tokens, used_tokens, found, truncated): one breadth-first walk from several seeds.
+
+    ``seeds``: (walk, index_name, seed_pos, key). A key counts once a walk and towards ``max_keys`` whether
+    or not it exists; the first that goes over the token budget ends the walk, the first record
+    aside. ``truncated`` says that there was more.
+    """
+    if depth < 0 or max_keys < 1:
+        raise ValueError("depth must be >= 0 and max_keys >= 1")
+    first = seeds.groupBy("walk", "index_name", "key").agg(F.min("seed_pos").alias("at"))
+    numbered = Window.partitionBy("walk").orderBy("at", "key")
+    seen = first.select("walk", "index_name", "key", F.lit(0).alias("level"), F.row_number().over(numbered).cast("long").alias("pos"))
+    for level in range(1, depth + 1):
+        edge = graph.select(F.col("index_name"), F.col("src").alias("_src"), "dst", "ord")
+        step = seen.where(F.col("level") == level - 1).withColumnRenamed("key", "_src").join(edge, ["index_name", "_src"]).select("walk", "index_name", F.col("dst").alias("key"), F.struct("pos", "ord").alias("at"))
+        new = step.groupBy("walk", "index_name", "key").agg(F.min("at").alias("at")).join(seen.select("walk", "key"), ["walk", "key"], "left_anti")
+        base = seen.groupBy("walk").agg(F.max("pos").alias("base"))
+        new = new.join(base, "walk").withColumn("pos", F.col("base") + F.row_number().over(numbered))
+        seen = seen.unionByName(new.select("walk", "index_name", "key", F.lit(level).alias("level"), "pos"))
+    total = seen.groupBy("walk").agg(F.max("pos").alias("_all"))
+    body = mem.select("index_name", "key", T.estimate_tokens(T.preview(F.col("content_summary"), F.col("content"))).alias("tokens"), F.lit(True).alias("found"))
+    rows = seen.where(F.col("pos") <= max_keys).join(body, ["index_name", "key"], "left").join(total, "walk").withColumn("found", F.coalesce("found", F.lit(False)))
+    upto = Window.partitionBy("walk").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("used_tokens", F.coalesce(F.sum("tokens").over(upto), F.lit(0))).withColumn("_nth", F.count("tokens").over(upto))
+    over = F.col("found") & (F.col("_nth") > 1) & (F.col("used_tokens") > max_tokens)
+    end = F.min(F.when(over, F.col("pos"))).over(Window.partitionBy("walk"))
+    rows = rows.withColumn("_end", end).withColumn("truncated", F.col("_end").isNotNull() | (F.col("_all") > max_keys))
+    return rows.where(F.col("_end").isNull() | (F.col("pos") < F.col("_end"))).select("walk", "key", "level", "pos", F.coalesce("tokens", F.lit(0)).alias("tokens"), "used_tokens", "found", "truncated")
+
+
 def linked_by(mem: DataFrame, canonical_id) -> DataFrame:
     """Active records that link to a canonical_id, whatever their expiry."""
     return mem.where((F.col("status") == "active") & F.array_contains("linked_ids", canonical_id))

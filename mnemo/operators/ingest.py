@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -9,11 +11,23 @@ from mnemo import schema as S
 
 
 def read_markdown(spark: SparkSession, path: str, excludes: tuple[str, ...] = ()) -> DataFrame:
-    """(path, stem, text) of every *.md below a folder, but MEMORY.md and excluded names."""
+    """(path, stem, text) of a file, or of every *.md below a folder, but MEMORY.md and excluded names or globs.
+
+    A glob is matched against the path from its end, part by part.
+    """
     files = spark.read.format("text").option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").load(path)
     name = F.substring_index(F.col("path"), "/", -1)
     out = files.select(F.input_file_name().alias("path"), F.col("value").alias("text")).withColumn("stem", F.regexp_replace(name, r"\.md$", ""))
-    return out.where((name != "MEMORY.md") & ~name.isin(list(excludes)))
+    keep = name != "MEMORY.md"
+    for glob in excludes:
+        parts = ["".join({"*": "[^/]*", "?": "[^/]"}.get(c, re.escape(c)) for c in part) for part in glob.split("/")]
+        keep = keep & ~F.col("path").rlike("(^|/)" + "/".join(parts) + "$")
+    return out.where(keep)
+
+
+def plan_histogram(plan: DataFrame, price: float = 0.00002) -> DataFrame:
+    """(stem, chunks, tokens, cost) of an ingest plan before anything is stored."""
+    return plan.groupBy("stem").agg(F.count(F.lit(1)).alias("chunks"), F.floor(F.sum(F.char_length("content")) / 4).alias("tokens"), F.round(F.floor(F.sum(F.char_length("content")) / 4) / 1000 * price, 6).alias("cost"))
 
 
 def front_matter(text: Column) -> tuple[Column, Column]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from mnemo import schema as S
 from mnemo.functions import scoring, vectors
+from mnemo.functions import text as T
+from mnemo.operators import budget
 
 
 def top_k(df: DataFrame, query: list[float], k: int, id_col: str, vector_col: str = "embedding", where: Column | None = None) -> DataFrame:
@@ -35,11 +37,16 @@ def _units(values: pd.Series) -> np.ndarray:
 def batch_top_k(queries: DataFrame, base: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", by: list[str] | None = None, block: int = 4096) -> DataFrame:
     """(query_id, id, distance, rank) of each query's k nearest rows, exactly.
 
-    Blocks of queries meet blocks of rows, each pair in a task of its own that keeps k rows a query;
-    a window merges those. ``by`` limits a query to rows that agree on these columns. Rows shuffled
-    are rows x query blocks, never rows x queries.
+    Queries of at most QUERY_BYTES, counted first, are broadcast: rows stay where they are, each task keeps
+    k of its rows a query, and a window merges those. More queries meet rows block by block, each pair of
+    blocks in a task of its own; what is shuffled then is rows x query blocks, never rows x queries.
+    ``by`` limits a query to rows that agree on these columns. Rows without a vector match nothing.
     """
     by = by or []
+    queries, base = queries.where(F.col(vector_col).isNotNull()), base.where(F.col(vector_col).isNotNull())
+    n, width = queries.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size(vector_col)), F.lit(0))).first()
+    if n * width * 8 <= QUERY_BYTES:
+        return _scan_top_k(queries, base, k, id_col, vector_col, by)
     q, nq = _unit_blocks(queries, id_col, vector_col, by, block)
     b, nb = _unit_blocks(base, id_col, vector_col, by, block)
     q = q.withColumnRenamed("block", "qb").withColumn("bb", F.explode(F.sequence(F.lit(0), F.lit(nb - 1)))).withColumn("side", F.lit(0))
@@ -60,9 +67,58 @@ def batch_top_k(queries: DataFrame, base: DataFrame, k: int, id_col: str = "vec_
                     near = np.flatnonzero(row <= edge[r] + 1e-12)
                     order = near[np.lexsort((bi[near], row[near]))][:take]
                     out.append(pd.DataFrame({"query_id": qi[at + r], "id": bi[order], "distance": row[order]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": pd.Series([], dtype="int64"), "id": pd.Series([], dtype="int64"), "distance": pd.Series([], dtype="float64")})
+        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "id": [], "distance": []})
 
-    near = q.unionByName(b).groupBy("qb", "bb", *by).applyInPandas(meet, "query_id long, id long, distance double").where("distance < 'Infinity'")
+    near = q.unionByName(b).groupBy("qb", "bb", *by).applyInPandas(meet, f"query_id {queries.schema[id_col].dataType.simpleString()}, id {base.schema[id_col].dataType.simpleString()}, distance double").where("distance < 'Infinity'")
+    return near.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))).where(F.col("rank") <= k)
+
+
+QUERY_BYTES = 32 << 20
+
+
+def _nearest(d: np.ndarray, ids: np.ndarray, k: int) -> Iterator[np.ndarray]:
+    """For each row of distances the positions of its k least, ties by identifier."""
+    take = min(k, d.shape[1])
+    edge = np.partition(d, take - 1, axis=1)[:, take - 1]
+    for row, last in zip(d, edge, strict=True):
+        near = np.flatnonzero(row <= last)
+        yield near[np.lexsort((ids[near], row[near]))][:take]
+
+
+def _scan_top_k(queries: DataFrame, base: DataFrame, k: int, id_col: str, vector_col: str, by: list[str]) -> DataFrame:
+    spark = queries.sparkSession
+    group = F.concat_ws("\x1f", *by) if by else F.lit("")
+    asked = queries.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"), group.alias("g")).toPandas()
+    q_id, b_id = queries.schema[id_col].dataType.simpleString(), base.schema[id_col].dataType.simpleString()
+    shape = f"query_id {q_id}, id {b_id}, distance double"
+    parts: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+    for g, rows in asked.groupby("g"):
+        parts[g] = rows["id"].to_numpy(), _units(rows["v"])
+    shared = spark.sparkContext.broadcast(parts)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        for pdf in batches:
+            for g, rows in pdf.groupby("g", sort=False):
+                if g not in shared.value:
+                    continue
+                x, ids = shared.value[g][1], rows["id"].to_numpy()
+                y = _units(rows["v"])
+                for at in range(0, len(x), 512):
+                    d = np.round(1.0 - x[at : at + 512] @ y.T, 9)  # equal vectors tie exactly
+                    d[np.isnan(d)] = np.inf
+                    for r, near in enumerate(_nearest(d, ids, k), at):
+                        dist, found = d[r - at][near], ids[near]
+                        if (g, r) in held:
+                            dist, found = np.concatenate([held[g, r][0], dist]), np.concatenate([held[g, r][1], found])
+                            order = np.lexsort((found, dist))[:k]
+                            dist, found = dist[order], found[order]
+                        held[g, r] = dist, found
+        for (g, r), (dist, found) in held.items():
+            yield pd.DataFrame({"query_id": shared.value[g][0][r], "id": found, "distance": dist})
+
+    rows = base.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"), group.alias("g"))
+    near = rows.mapInPandas(run, shape).where("distance < 'Infinity'")
     return near.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))).where(F.col("rank") <= k)
 
 
@@ -154,27 +210,39 @@ def live(df: DataFrame, now: int) -> DataFrame:
     return df.where((F.col("status") == "active") & (F.col("expires_at") > now))
 
 
-def retrieve(queries: DataFrame, mem: DataFrame, now: int, top: int = S.TOP_K, oversample: int = S.OVERSAMPLE, mode: str = "balanced", max_tokens: int = S.MAX_TOKENS, used: DataFrame | None = None) -> DataFrame:
+def retrieve(
+    queries: DataFrame, mem: DataFrame, now: int, top: int = S.TOP_K, oversample: int = S.OVERSAMPLE, mode: str = "balanced", max_tokens: int = S.MAX_TOKENS, used: DataFrame | None = None,
+    where: Column | None = None, level: str = "summary", wanted: DataFrame | None = None, scorer: Callable | None = None,
+) -> DataFrame:
     """A batch of retrievals in one plan: nearest vectors, collapse, promotion, scores, diversity, budget.
 
-    ``queries``: vec_id, embedding. Bodies join in after the top rows are known; each result is a
-    preview within the token budget, the first always admitted.
+    ``queries``: vec_id, embedding (and ``query``, its text, for a ``scorer``, which then ranks the
+    hits instead of scores and diversity). ``where`` filters candidates by metadata; ``level`` is a detail
+    level (budget.LEVELS); ``wanted`` (query_id, key, wanted_pos) names results to raise to whole
+    bodies afterwards, in that order, as far as the budget goes. Bodies join in after the top rows are
+    known. Adds rank, detail, tokens, used_tokens and, with ``wanted``, hydrated.
     """
-    from mnemo.functions import text as T
-    from mnemo.operators.budget import within_budget
-
-    active = live(mem, now)
-    near = batch_top_k(queries, active.select(F.col("doc_id").alias("vec_id"), "embedding"), oversample)
+    active = live(mem, now) if where is None else live(mem, now).where(where)
+    near = batch_top_k(queries.select("vec_id", "embedding"), active.select(F.col("doc_id").alias("vec_id"), "embedding"), oversample)
     narrow = mem.drop("embedding", "content")
     hits = near.join(live(narrow, now), near["id"] == narrow["doc_id"]).drop("id").withColumnRenamed("rank", "pos")
     hits = collapse_latest(hits, ["query_id"], ["pos"]).withColumn("pos", F.col("group_order.pos")).drop("group_order")
     hits = promote_chunks(hits, narrow, ["query_id"])
     if used is not None:
         hits = hits.join(used, "canonical_id", "left")
-    ranked = mmr_order(score_hits(hits, mode, now), ["query_id"]).where(F.col("rank") <= top)
     bodies = mem.select("doc_id", "content")
-    shown = ranked.join(bodies, "doc_id").withColumn("preview", T.preview(F.col("content_summary"), F.col("content")))
-    return within_budget(shown.withColumn("tokens", T.estimate_tokens(F.col("preview"))), ["query_id"], "rank", max_tokens)
+    if scorer is None:
+        ranked = mmr_order(score_hits(hits, mode, now), ["query_id"])
+    else:
+        order = Window.partitionBy("query_id").orderBy("pos")
+        asked = queries.select(F.col("vec_id").alias("query_id"), "query")
+        ranked = rerank(hits.withColumn("pos", F.row_number().over(order)).join(asked, "query_id").join(bodies, "doc_id"), scorer, ["query_id"]).drop("content", "query")
+    shown = ranked.where(F.col("rank") <= top).join(bodies, "doc_id")
+    out = budget.at_level(shown, ["query_id"], "rank", level, max_tokens)
+    if wanted is None:
+        return out
+    raised = out.join(wanted, ["query_id", "key"], "left").withColumn("full_tokens", T.estimate_tokens(F.col("content")))
+    return budget.hydrate_upgrade(raised, ["query_id"], "rank", max_tokens).drop("full_tokens", "wanted_pos")
 
 
 def rerank(hits: DataFrame, scorer, by: list[str], query_col: str = "query", head: int = S.RERANK_HEAD) -> DataFrame:
@@ -199,8 +267,6 @@ def embed(texts: DataFrame, embedder, cache: DataFrame, now: int, text_col: str
 
     ``embedder`` maps a Series of texts to a Series of float lists.
     """
-    from mnemo.functions import text as T
-
     keyed = texts.withColumn("content_hash", T.content_hash(F.col(text_col)))
     fresh = cache.where(F.col("ttl_epoch") > now).select("content_hash", "embedding")
     misses = keyed.groupBy("content_hash").agg(F.min(text_col).alias(text_col)).join(fresh, "content_hash", "left_anti")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from mnemo import schema as S
 from mnemo.functions import text as T
-from mnemo.functions import vectors
+from mnemo.operators.search import batch_top_k
 
 
 def current_state(log: DataFrame) -> DataFrame:
@@ -58,30 +58,56 @@ def chunk_parents(df: DataFrame, mem: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def classify(incoming: DataFrame, mem: DataFrame, similarity: float = S.NEAR_DUPLICATE, top_k: int = S.DEDUP_TOP_K) -> DataFrame:
-    """Adds ``action`` and ``match_key``: unchanged, superseded, duplicate_detected or created, in that order.
+    """Adds ``action``, ``match_key`` and ``near_keys``: unchanged, superseded, duplicate_detected or created, in that order.
 
-    Candidates are the top_k nearest active records of the same index and task, expiry aside. Exact
-    copies inside the batch are settled by seq; near copies inside one batch are not compared with
-    each other (write them in micro-batches to have that).
+    Candidates are the top_k nearest active records of the same index and task, expiry aside, found
+    by a scan against the broadcast batch, or block by block (search.batch_top_k), so no pair of
+    rows is shuffled. ``near_keys`` are all near ones among them, nearest first. A copy of an earlier row of the
+    batch is unchanged and matches nothing stored; near copies inside one batch are not compared
+    with each other (write them in micro-batches to have that).
     """
-    active = mem.where("status = 'active'").select("index_name", "task_id", F.col("key").alias("_key"), F.col("content_hash").alias("_hash"), F.col("embedding").alias("_v"))
-    pairs = incoming.select("seq", "index_name", "task_id", "content_hash", "embedding").join(active, ["index_name", "task_id"])
-    pairs = pairs.withColumn("_d", F.round(vectors.cosine_distance(F.col("embedding"), F.col("_v")), 9))
-    nearest = Window.partitionBy("seq").orderBy("_d", "_key")
-    near = pairs.withColumn("_n", F.row_number().over(nearest)).where(F.col("_n") <= top_k)
+    active = mem.where("status = 'active'")
+    near = batch_top_k(incoming.select("seq", "index_name", "task_id", "embedding").withColumnRenamed("seq", "key"), active.select("key", "index_name", "task_id", "embedding"), top_k, "key", by=["index_name", "task_id"])
+    near = near.select(F.col("query_id").alias("seq"), F.col("id").alias("_key"), F.col("distance").alias("_d"), F.col("rank").alias("_n"))
+    hashes = active.select(F.col("key").alias("_key"), F.col("index_name"), F.col("content_hash").alias("_hash"))
+    near = near.join(incoming.select("seq", "index_name", "content_hash"), "seq").join(hashes, ["_key", "index_name"])
+    same = F.col("_hash") == F.col("content_hash")
     best = near.groupBy("seq").agg(
-        F.min(F.when(F.col("_hash") == F.col("content_hash"), F.struct("_n", "_key")))["_key"].alias("exact_key"),
-        F.min(F.when((F.col("_hash") != F.col("content_hash")) & (1 - F.col("_d") >= similarity), F.struct("_n", "_key")))["_key"].alias("near_key"),
-    )
+        F.min(F.when(same, F.struct("_n", "_key")))["_key"].alias("exact_key"),
+        F.array_sort(F.collect_list(F.when(~same & (1 - F.col("_d") >= similarity), F.struct("_n", "_key")))).alias("_near"),
+    ).withColumn("_near", F.transform("_near", lambda x: x["_key"]))
     first = F.row_number().over(Window.partitionBy("index_name", "task_id", "content_hash").orderBy("seq"))
+    none = F.expr("cast(array() as array<string>)")
     return (
-        incoming.withColumn("_first", first).join(best, "seq", "left")
-        .withColumn("action", F.when(F.col("exact_key").isNotNull() | (F.col("_first") > 1), "unchanged").when(F.col("supersedes_key").isNotNull(), "superseded").when(F.col("near_key").isNotNull() & (F.coalesce("mode", F.lit("auto")) != "new"), "duplicate_detected").otherwise("created"))
-        .withColumn("match_key", F.when(F.col("action") == "unchanged", F.col("exact_key")).when(F.col("action") == "superseded", F.col("supersedes_key")).when(F.col("action") == "duplicate_detected", F.col("near_key")))
-        .drop("_first", "exact_key", "near_key")
+        incoming.withColumn("_first", first).join(best, "seq", "left").withColumn("near_keys", F.coalesce("_near", none))
+        .withColumn("action", F.when(F.col("exact_key").isNotNull() | (F.col("_first") > 1), "unchanged").when(F.col("supersedes_key").isNotNull(), "superseded").when((F.size("near_keys") > 0) & (F.coalesce("mode", F.lit("auto")) != "new"), "duplicate_detected").otherwise("created"))
+        .withColumn("match_key", F.when(F.col("action") == "unchanged", F.col("exact_key")).when(F.col("action") == "superseded", F.col("supersedes_key")).when(F.col("action") == "duplicate_detected", F.get("near_keys", F.lit(0))))
+        .withColumn("near_keys", F.when(F.col("action") == "duplicate_detected", F.col("near_keys")).otherwise(none))
+        .drop("_first", "_near", "exact_key")
     )
 
 
+def outcome_facts(classified: DataFrame, at: str) -> DataFrame:
+    """Metric facts (ts, name, value, unit) of a batch's outcomes, as an emitter would append them."""
+    name = F.concat(F.lit("Store"), F.replace(F.initcap(F.replace("action", F.lit("_"), F.lit(" "))), F.lit(" "), F.lit("")))
+    return classified.select(F.col(at).alias("ts"), name.alias("name"), F.lit(1.0).alias("value"), F.lit("Count").alias("unit"))
+
+
+def get(mem: DataFrame, contents: DataFrame, keys: DataFrame) -> DataFrame:
+    """One row for each asked-for (index_name, key): the record with its whole body, or nulls where there is none.
+
+    Bodies that are kept outside come from the path derived from the key, never from a stored one.
+    """
+    found = resolve_content(mem.join(keys, ["index_name", "key"], "left_semi"), contents)
+    return keys.distinct().join(found, ["index_name", "key"], "left").withColumn("hydrated", F.col("content").isNotNull())
+
+
+def reinforce(mem: DataFrame, keys: DataFrame, now: int) -> tuple[DataFrame, DataFrame]:
+    """(use events to append, keys that do not exist) for asked-for (index_name, key)."""
+    events = mem.select("index_name", "key", "canonical_id").join(keys, ["index_name", "key"]).where("canonical_id IS NOT NULL").select("key", "canonical_id", F.lit(now).alias("ts"))
+    return events, keys.join(mem.select("index_name", "key"), ["index_name", "key"], "left_anti")
+
+
 def supersede(classified: DataFrame, mem: DataFrame, now: int) -> DataFrame:
     """New record states for superseding rows and their targets: version + 1, same canonical and links."""
     old = mem.select("index_name", F.col("key").alias("supersedes_key"), F.col("version").alias("_version"), F.col("canonical_id").alias("_canonical"), F.col("linked_ids").alias("_links"))

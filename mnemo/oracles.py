@@ -33,12 +33,16 @@ def tokens(x: str) -> str:
 PREVIEW = "coalesce(nullif(content_summary, ''), CASE WHEN length(content) > 512 THEN substr(content, 1, 512) || '…' ELSE nullif(content, '') END)"
 COS = "list_dot_product({a} :: DOUBLE[], {b} :: DOUBLE[]) / (sqrt(list_dot_product({a} :: DOUBLE[], {a} :: DOUBLE[])) * sqrt(list_dot_product({b} :: DOUBLE[], {b} :: DOUBLE[])))"
 LIVE = f"status = 'active' AND expires_at > {NOW}"
-HITS = MEM + f""",
+def hits(where: str = "true") -> str:
+    return MEM + f""",
 near AS (SELECT q.vec_id AS query_id, m.doc_id, round(1 - {COS.format(a='q.embedding', b='m.embedding')}, 9) AS distance
-  FROM embeddings q, mem m WHERE q.vec_id % 100 = 0 AND m.{LIVE}),
+  FROM embeddings q, mem m WHERE q.vec_id % 20 = 0 AND m.{LIVE} AND {where}),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, doc_id) AS pos FROM near QUALIFY pos <= 20),
 hits AS (SELECT r.query_id, r.distance, r.pos, m.* FROM ranked r JOIN mem m USING (doc_id))
 """
+
+
+HITS = hits()
 USED = """uses AS (SELECT canonical_id, count(*) AS use_count, max(floor(epoch(ts)) :: BIGINT) AS last_used_at FROM events JOIN mem ON mem.doc_id = user_id WHERE event_type = 'view' GROUP BY canonical_id)"""
 
 
@@ -64,11 +68,55 @@ PACKED = f"""pr AS (SELECT p.pack, p.task_pos, m.*, {tokens(PREVIEW)} AS tokens,
   FROM packs p JOIN mem m ON m.task_id = p.task_id WHERE {LIVE}),
 pu AS (SELECT *, sum(tokens) OVER (PARTITION BY pack ORDER BY pos) :: BIGINT AS used_tokens FROM pr),
 got AS (SELECT * FROM pu WHERE pos = 1 OR used_tokens <= 300)"""
+COLLAPSED = """c0 AS (SELECT *, min(pos) OVER g AS gp, row_number() OVER (PARTITION BY query_id, canonical_id ORDER BY version DESC, created_at DESC, pos) AS rn FROM hits WINDOW g AS (PARTITION BY query_id, canonical_id)),
+collapsed AS (SELECT * EXCLUDE (pos, gp, rn), gp AS pos FROM c0 WHERE rn = 1)"""
+
+
+def retrieved(mode: str = "balanced", where: str = "true") -> str:
+    return f"{hits(where)}, {COLLAPSED}, {PROMOTE.format(hits='collapsed')}, s AS (SELECT *, {score(mode, False)} AS score FROM promoted), {MMR}, t AS (SELECT * FROM mr WHERE rank <= 5)"
+
+
+def folded(i: str, by: str, most: int) -> str:
+    """Bodies or summaries (f, s) of the ranked rows of ``i`` to budget, the first always."""
+    swap, later = f"f > {most} AND s IS NOT NULL", f"r.used + f > {most} AND s IS NOT NULL"
+    return f"""r AS (SELECT {by}, rank, {swap} AS swapped, CASE WHEN {swap} THEN s ELSE f END AS tokens, CASE WHEN {swap} THEN s ELSE f END AS used FROM {i} WHERE rank = 1
+UNION ALL SELECT i.{by}, i.rank, {later}, CASE WHEN {later} THEN s ELSE f END, r.used + CASE WHEN {later} THEN s ELSE f END FROM r JOIN {i} i ON i.{by} = r.{by} AND i.rank = r.rank + 1
+WHERE r.used + CASE WHEN {later} THEN s ELSE f END <= {most})"""
+
+
+def at_level(level: str, most: int) -> str:
+    whole = "rank <= 2" if level == "standard" else "true"
+    return f"""WITH RECURSIVE {retrieved()}, i AS (SELECT query_id, rank, key, {whole} AS whole, CASE WHEN {whole} THEN {tokens('content')} ELSE {tokens('content_summary')} END AS f, CASE WHEN {whole} AND content_summary IS NOT NULL THEN {tokens('content_summary')} END AS s FROM t),
+{folded('i', 'query_id', most)} SELECT query_id, rank :: INTEGER AS rank, key, CASE WHEN whole AND NOT swapped THEN 'full' ELSE 'summary' END AS detail, r.tokens, used :: BIGINT AS used_tokens FROM r JOIN i USING (query_id, rank)"""
+
+
+def chunks(text: str) -> str:
+    """c: the sections of a text cut every 600 characters, with headings."""
+    return rf"""x AS (SELECT doc_id, source, trim({text}) AS x FROM documents),
+l AS (SELECT doc_id, source, unnest(string_split(x, chr(10))) AS line, generate_subscripts(string_split(x, chr(10)), 1) AS n FROM x),
+h AS (SELECT *, CASE WHEN regexp_matches(line, '^#{{1,3}} +.+$') THEN trim(regexp_extract(line, '^#{{1,3}} +(.+)$', 1)) END AS hd FROM l),
+sec AS (SELECT *, count(hd) OVER (PARTITION BY doc_id ORDER BY n) AS section FROM h),
+g AS (SELECT doc_id, source, section, trim(string_agg(line, chr(10) ORDER BY n), ' ') AS content, max(hd) AS hd FROM sec GROUP BY ALL),
+p AS (SELECT *, coalesce(hd, CASE WHEN max(section) OVER (PARTITION BY doc_id) > 0 THEN '(intro)' ELSE '(whole file)' END) AS heading0 FROM g),
+c AS (SELECT *, substr(content, part * 600 + 1, 600) AS piece, heading0 || CASE WHEN part > 0 THEN ' (cont. ' || (part + 1) || ')' ELSE '' END AS heading FROM (SELECT *, unnest(range(0, (greatest(length(content) - 1, 0) // 600) + 1)) AS part FROM p WHERE content <> ''))"""
+
+
+CLASSIFIED = f"""inc AS (SELECT doc_id AS seq, index_name, task_id, agent_id, created_at, embedding, CASE WHEN doc_id % 3 = 0 THEN content_hash ELSE content_hash || 'x' END AS content_hash, CASE WHEN doc_id % 5 = 0 THEN key END AS supersedes_key FROM mem WHERE doc_id % 4 = 0),
+p AS (SELECT i.seq, i.content_hash, m.key, m.content_hash AS mh, round(1 - {COS.format(a='i.embedding', b='m.embedding')}, 9) AS d FROM inc i JOIN mem m ON m.index_name = i.index_name AND m.task_id = i.task_id AND m.status = 'active'),
+t AS (SELECT *, row_number() OVER (PARTITION BY seq ORDER BY d, key) AS n FROM p QUALIFY n <= {S.DEDUP_TOP_K}),
+b AS (SELECT seq, arg_min(key, n) FILTER (mh = content_hash) AS ek, list(key ORDER BY n) FILTER (mh <> content_hash AND 1 - d >= {S.NEAR_DUPLICATE} :: DOUBLE) AS nk FROM t GROUP BY seq),
+a AS (SELECT i.*, ek, nk, row_number() OVER (PARTITION BY i.index_name, i.task_id, i.content_hash ORDER BY i.seq) AS f FROM inc i LEFT JOIN b USING (seq)),
+c AS (SELECT *, CASE WHEN ek IS NOT NULL OR f > 1 THEN 'unchanged' WHEN supersedes_key IS NOT NULL THEN 'superseded' WHEN len(nk) > 0 THEN 'duplicate_detected' ELSE 'created' END AS action FROM a)"""
+LATEST = """lv AS (SELECT index_name, canonical_id, arg_max(key, (version, created_at, doc_id)) AS key, arg_max(status, (version, created_at, doc_id)) AS status, arg_max(task_id, (version, created_at, doc_id)) AS task_id,
+arg_max(memory_type, (version, created_at, doc_id)) AS memory_type, arg_max(created_at, (version, created_at, doc_id)) AS created_at FROM mem GROUP BY ALL)"""
+PINS = f"""pins AS (SELECT index_name, team_id, task_id, arg_max(key, (version, created_at, key)) AS key, max(version) AS version FROM mem WHERE {LIVE} GROUP BY ALL)"""
 RUNS = f"""hh AS (SELECT *, {tokens('content_summary')} AS tokens FROM hits),
-ex AS (SELECT query_id, list(DISTINCT task_id) AS expected FROM hh WHERE pos <= 5 GROUP BY 1),
+ex AS (SELECT query_id, list(DISTINCT task_id) FILTER (pos <= 5) AS expected, max(CASE WHEN pos = 3 THEN task_id END) AS answer_task FROM hh WHERE pos <= 5 GROUP BY 1),
+wide AS (SELECT query_id, task_id AS answer_task, arg_min({tokens('content')}, pos) AS body_tokens FROM hh WHERE pos <= 10 GROUP BY ALL),
 arms AS (SELECT 'control' AS arm, * FROM hh WHERE pos <= 10 UNION ALL SELECT 'candidate', * FROM hh WHERE pos <= 4),
-runs AS (SELECT arm, query_id, len(list_intersect(list(DISTINCT task_id), any_value(expected))) :: DOUBLE / len(any_value(expected)) AS recall, sum(tokens) :: BIGINT AS tokens, count(*) FILTER (status <> 'active') AS stale
-  FROM arms JOIN ex USING (query_id) GROUP BY arm, query_id)"""
+runs AS (SELECT arm, query_id, len(list_intersect(list(DISTINCT task_id), any_value(expected))) :: DOUBLE / len(any_value(expected)) AS recall, sum(tokens) :: BIGINT AS tokens, count(*) FILTER (status <> 'active' OR expires_at <= {NOW}) AS stale,
+  list_contains(list(DISTINCT task_id), any_value(answer_task)) AS answered, CASE WHEN answered THEN 0 ELSE 1 END AS hydrations, CASE WHEN answered THEN 0 ELSE coalesce(any_value(body_tokens), 0) END AS hydration_tokens
+  FROM arms JOIN ex USING (query_id) LEFT JOIN wide USING (query_id, answer_task) GROUP BY arm, query_id)"""
 WINDOWS = "w AS (SELECT epoch(time_bucket(INTERVAL '1 hour', ts)) :: BIGINT AS window_start, event_type AS metric, count(*) AS n, round(sum(value), 4) AS total, round(max(value), 6) AS peak FROM events GROUP BY 1, 2)"
 GRAPH = r"""latest AS (SELECT index_name, canonical_id, arg_max(key, (version, created_at, doc_id)) AS dst FROM mem GROUP BY ALL),
 eg AS (SELECT index_name, key AS src, supersedes AS dst, 0 AS ord FROM mem WHERE supersedes IS NOT NULL
@@ -76,6 +124,9 @@ eg AS (SELECT index_name, key AS src, supersedes AS dst, 0 AS ord FROM mem WHERE
   UNION ALL SELECT index_name, key, regexp_extract_all(content, '\bmem_[a-zA-Z0-9][a-zA-Z0-9_-]*_v\d+\b')[i], 1 + i FROM mem, range(1, 200) t(i) WHERE i <= len(regexp_extract_all(content, '\bmem_[a-zA-Z0-9][a-zA-Z0-9_-]*_v\d+\b'))
   UNION ALL SELECT m.index_name, m.key, l.dst, 999 + i FROM mem m, range(1, 3) t(i), latest l WHERE i <= len(m.linked_ids) AND l.index_name = m.index_name AND l.canonical_id = m.linked_ids[i])"""
 
+LEAD = "'lead' || chr(10) || '## Part one' || chr(10) || replace(text, chr(10), chr(10) || '## Next' || chr(10))"
+SHORT_LEAD = "'lead' || chr(10) || text"
+
 ORACLES: dict[str, str] = {
     "knn_filtered_topk": f"SELECT vec_id, round(1 - {COS.format(a='embedding', b='(SELECT embedding FROM embeddings WHERE vec_id = 7)')}, 6) + 0.0 :: DOUBLE AS distance FROM embeddings WHERE label = 3 ORDER BY 1 - {COS.format(a='embedding', b='(SELECT embedding FROM embeddings WHERE vec_id = 7)')}, vec_id LIMIT 20",
     "knn_batch_topk": f"WITH n AS (SELECT q.vec_id AS query_id, b.vec_id AS id, round(1 - {COS.format(a='q.embedding', b='b.embedding')}, 9) AS d FROM embeddings q, embeddings b WHERE q.vec_id % 20 = 0) SELECT query_id, id, round(d, 6) + 0.0 :: DOUBLE AS distance, row_number() OVER (PARTITION BY query_id ORDER BY d, id) AS rank FROM n QUALIFY rank <= 10",
@@ -85,10 +136,18 @@ ORACLES: dict[str, str] = {
     "rank_procedural": ranked("procedural"),
     "mmr_diversify": f"WITH {HITS}, s AS (SELECT *, {score('balanced', False)} AS score FROM hits), {MMR} SELECT query_id, doc_id, round(mmr, 6) AS mmr, rank FROM mr",
     "chunk_promotion": f"WITH {HITS}, {PROMOTE.format(hits='hits')} SELECT query_id, pos, key, memory_type FROM promoted",
-    "retrieve_memory_batch": f"""WITH {HITS}, c0 AS (SELECT *, min(pos) OVER g AS gp, row_number() OVER (PARTITION BY query_id, canonical_id ORDER BY version DESC, created_at DESC, pos) AS rn FROM hits WINDOW g AS (PARTITION BY query_id, canonical_id)),
-collapsed AS (SELECT * EXCLUDE (pos, gp, rn), gp AS pos FROM c0 WHERE rn = 1), {PROMOTE.format(hits='collapsed')}, s AS (SELECT *, {score('balanced', False)} AS score FROM promoted), {MMR},
-t AS (SELECT *, {tokens(PREVIEW)} AS tokens FROM mr WHERE rank <= 5), u AS (SELECT *, sum(tokens) OVER (PARTITION BY query_id ORDER BY rank) :: BIGINT AS used_tokens FROM t)
+    "retrieve_memory_batch": f"""WITH {retrieved()}, v AS (SELECT *, {tokens(PREVIEW)} AS tokens FROM t), u AS (SELECT *, sum(tokens) OVER (PARTITION BY query_id ORDER BY rank) :: BIGINT AS used_tokens FROM v)
 SELECT query_id, doc_id, key, rank, round(mmr, 6) AS mmr, tokens, used_tokens FROM u WHERE rank = 1 OR used_tokens <= 60""",
+    "retrieve_standard": at_level("standard", 600),
+    "retrieve_full": at_level("full", 1200),
+    "retrieve_filtered": f"""WITH {retrieved("procedural", "m.team_id = 'en' AND m.memory_type IN ('semantic', 'procedural')")}, v AS (SELECT *, {tokens(PREVIEW)} AS tokens, {tokens('content')} AS f FROM t),
+u AS (SELECT *, sum(tokens) OVER (PARTITION BY query_id ORDER BY rank) AS used_tokens FROM v QUALIFY rank = 1 OR used_tokens <= 700),
+q AS (SELECT query_id, sum(tokens) AS used0, max(CASE WHEN rank = 3 THEN f END) AS f3, max(CASE WHEN rank = 3 THEN tokens END) AS t3, max(CASE WHEN rank = 1 THEN f END) AS f1 FROM u GROUP BY 1),
+k AS (SELECT *, coalesce(used0 + f3 <= 700, false) AS up3, used0 + CASE WHEN up3 THEN f3 - t3 ELSE 0 END + f1 <= 700 AS up1 FROM q)
+SELECT query_id, rank :: INTEGER AS rank, key, CASE WHEN (rank = 3 AND up3) OR (rank = 1 AND up1) THEN f ELSE tokens END AS tokens, (rank = 3 AND up3) OR (rank = 1 AND up1) AS hydrated FROM u JOIN k USING (query_id)""",
+    "retrieve_reranked": f"""WITH {HITS}, {COLLAPSED}, {PROMOTE.format(hits='collapsed')}, n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY pos) AS nth, length(coalesce(nullif(content_summary, ''), nullif(substr(content, 1, 512), ''), nullif(task_id, ''), canonical_id, '')) AS size FROM promoted),
+o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN nth <= 10 AND size > 0 THEN 0 WHEN nth <= 10 THEN 1 ELSE 2 END, CASE WHEN nth <= 10 THEN size ELSE 0 END, nth) AS rank FROM n QUALIFY rank <= 5),
+u AS (SELECT *, sum({tokens(PREVIEW)}) OVER (PARTITION BY query_id ORDER BY rank) :: BIGINT AS used_tokens FROM o) SELECT query_id, rank, key, used_tokens FROM u WHERE rank = 1 OR used_tokens <= 4000""",
     "exact_duplicate_groups": r"SELECT 'sha256:' || sha256(trim(regexp_replace(lower(text), '\s+', ' ', 'g'))) AS content_hash, count(*) AS n, min(doc_id) AS first_doc FROM documents GROUP BY 1 HAVING n > 1",
     "vector_keys": f"WITH {MEM} SELECT doc_id, index_name, key, canonical_id, version, status, memory_type, supersedes, parent_key, archived_at, expires_at, linked_ids FROM mem",
     "collapse_latest": f"WITH {MEM} SELECT index_name, canonical_id, arg_max(key, (version, created_at, -doc_id)) AS key, max(version) AS version, min(doc_id) AS first_pos FROM mem GROUP BY index_name, canonical_id",
@@ -112,23 +171,20 @@ p AS (SELECT *, coalesce(hd, CASE WHEN max(section) OVER (PARTITION BY doc_id) >
 c AS (SELECT *, unnest(range(0, (greatest(length(content) - 1, 0) // 600) + 1)) AS part FROM p WHERE content <> '')
 SELECT doc_id, section, part :: INTEGER AS part, heading0 || CASE WHEN part > 0 THEN ' (cont. ' || (part + 1) || ')' ELSE '' END AS heading, length(substr(content, part * 600 + 1, 600)) AS n_chars, md5(substr(content, part * 600 + 1, 600)) AS content_md5 FROM c""",
     "budget_pack": f"WITH {MEM}, u AS (SELECT *, sum({tokens(PREVIEW)}) OVER w :: BIGINT AS used_tokens, row_number() OVER w AS rn FROM mem WINDOW w AS (PARTITION BY index_name, task_id ORDER BY doc_id)) SELECT index_name, task_id, doc_id, used_tokens FROM u WHERE rn = 1 OR used_tokens <= 200",
-    "budget_with_substitution": f"""WITH RECURSIVE {MEM}, i AS (SELECT task_id, row_number() OVER (PARTITION BY task_id ORDER BY doc_id) AS rank, {tokens('content')} AS f, CASE WHEN content_summary IS NOT NULL THEN {tokens('content_summary')} END AS s FROM mem QUALIFY rank <= 20),
-r AS (SELECT task_id, rank, 'full' AS detail, f AS tokens, f AS used FROM i WHERE rank = 1
-UNION ALL SELECT i.task_id, i.rank, CASE WHEN r.used + f <= 1500 THEN 'full' ELSE 'summary' END, CASE WHEN r.used + f <= 1500 THEN f ELSE s END, r.used + CASE WHEN r.used + f <= 1500 THEN f ELSE s END
-FROM r JOIN i ON i.task_id = r.task_id AND i.rank = r.rank + 1 WHERE r.used + f <= 1500 OR r.used + s <= 1500)
-SELECT task_id, rank :: INTEGER AS rank, detail, tokens FROM r""",
-    "hydrate_keys": f"WITH {MEM}, w AS (SELECT task_id, key, index_name AS ai, row_number() OVER (PARTITION BY task_id ORDER BY doc_id) AS pos FROM mem QUALIFY pos <= 8), j AS (SELECT w.*, m.index_name, {tokens('m.content')} AS tokens FROM w JOIN mem m USING (key)), u AS (SELECT *, sum(tokens) OVER x :: BIGINT AS used_tokens, row_number() OVER x AS rn FROM j WINDOW x AS (PARTITION BY task_id ORDER BY pos)) SELECT task_id, pos, key, used_tokens FROM u WHERE (rn = 1 OR used_tokens <= 2500) AND ai = index_name",
+    "budget_with_substitution": f"""WITH RECURSIVE {HITS}, i AS (SELECT query_id, pos AS rank, {tokens('content')} AS f, CASE WHEN content_summary IS NOT NULL THEN {tokens('content_summary')} END AS s FROM hits),
+{folded('i', 'query_id', 1500)} SELECT query_id, rank :: INTEGER AS rank, CASE WHEN swapped THEN 'summary' ELSE 'full' END AS detail, tokens FROM r""",
+    "hydrate_keys": f"WITH {HITS}, w AS (SELECT query_id, key, index_name AS ai, pos FROM hits WHERE pos <= 8), j AS (SELECT w.*, m.index_name, {tokens('m.content')} AS tokens FROM w JOIN mem m USING (key)), u AS (SELECT *, sum(tokens) OVER x :: BIGINT AS used_tokens, row_number() OVER x AS rn FROM j WINDOW x AS (PARTITION BY query_id ORDER BY pos)) SELECT query_id, pos, key, used_tokens FROM u WHERE (rn = 1 OR used_tokens <= 2500) AND ai = index_name",
     "retrieve_pack": f"WITH {MEM}, {PACKS}, {PACKED} SELECT pack, task_id, key, pos, used_tokens FROM got",
     "pack_missing_tasks": f"""WITH {MEM}, {PACKS}, {PACKED}, a AS (SELECT task_id, count(*) AS n FROM mem WHERE {LIVE} GROUP BY 1), b AS (SELECT pack, task_id, count(*) AS n FROM got GROUP BY ALL)
 SELECT p.pack, p.task_id, coalesce(a.n, 0) AS n_live, coalesce(b.n, 0) AS n_returned, CASE WHEN a.n IS NULL THEN 'missing' WHEN b.n IS NULL THEN 'skipped' WHEN b.n < a.n THEN 'partial' ELSE 'complete' END AS state
 FROM packs p LEFT JOIN a USING (task_id) LEFT JOIN b ON b.pack = p.pack AND b.task_id = p.task_id""",
     "working_set_fetch": f"WITH {MEM}, w AS (SELECT team_id, key, content, content_summary, row_number() OVER (PARTITION BY team_id ORDER BY doc_id) AS pos FROM mem WHERE index_name = 'shared' AND doc_id % 20 = 0 QUALIFY pos <= 16), u AS (SELECT *, {tokens(PREVIEW)} AS tokens, sum({tokens(PREVIEW)}) OVER (PARTITION BY team_id ORDER BY pos) :: BIGINT AS used_tokens FROM w) SELECT team_id, pos :: INTEGER AS pos, key, tokens, used_tokens FROM u WHERE pos = 1 OR used_tokens <= 150",
-    "list_by_task": f"WITH {MEM} SELECT index_name, key, created_at, row_number() OVER (PARTITION BY index_name ORDER BY created_at DESC, key) AS pos FROM mem WHERE task_id = 'src3' AND status = 'active' QUALIFY pos <= 100",
-    "list_by_parent": f"WITH {MEM} SELECT index_name, parent_key, count(*) AS children, arg_max(key, doc_id) AS newest FROM mem WHERE parent_key IS NOT NULL GROUP BY ALL",
+    "list_by_task": f"WITH {MEM}, {LATEST} SELECT index_name, task_id, key, created_at, row_number() OVER w AS pos, (row_number() OVER w - 1) // 100 AS page, CASE WHEN row_number() OVER w % 100 = 0 THEN lead(key) OVER w END AS next_key FROM lv WHERE status = 'active' AND task_id IS NOT NULL WINDOW w AS (PARTITION BY index_name, task_id ORDER BY created_at DESC, key)",
+    "list_by_parent": f"WITH {MEM} SELECT index_name, parent_key, key, created_at, row_number() OVER (PARTITION BY index_name, parent_key ORDER BY created_at DESC, key) AS pos FROM mem WHERE parent_key IS NOT NULL QUALIFY pos <= 100",
     "list_by_canonical": f"WITH {MEM} SELECT index_name, canonical_id, key, version, doc_id FROM mem QUALIFY row_number() OVER (PARTITION BY index_name, canonical_id ORDER BY version DESC) = 1",
     "linked_by": f"WITH {MEM} SELECT doc_id, key, canonical_id FROM mem WHERE status = 'active' AND list_contains(linked_ids, (SELECT canonical_id FROM mem WHERE doc_id = 20))",
     "orphan_facts": f"WITH {MEM}, u AS (SELECT DISTINCT index_name, unnest(linked_ids) AS c FROM mem WHERE status = 'active') SELECT doc_id, index_name, canonical_id FROM mem WHERE status = 'active' AND NOT EXISTS (SELECT 1 FROM u WHERE u.index_name = mem.index_name AND u.c = mem.canonical_id)",
-    "impact_closure": f"""WITH {MEM}, dep AS (SELECT DISTINCT index_name, canonical_id AS dependent, unnest(linked_ids) AS o FROM mem WHERE status = 'active'), l0 AS (SELECT DISTINCT index_name, canonical_id AS root, canonical_id, 0 AS level FROM mem WHERE doc_id % 50 = 0),
+    "impact_closure": f"""WITH {MEM}, dep AS (SELECT DISTINCT index_name, canonical_id AS dependent, unnest(linked_ids) AS o FROM mem WHERE status = 'active'), l0 AS (SELECT DISTINCT index_name, canonical_id AS root, canonical_id, 0 AS level FROM mem WHERE doc_id % 20 = 0),
 l1 AS (SELECT DISTINCT l0.index_name, root, dependent AS canonical_id, 1 AS level FROM l0 JOIN dep ON dep.index_name = l0.index_name AND o = l0.canonical_id WHERE dependent <> root),
 l2 AS (SELECT DISTINCT l1.index_name, root, dependent AS canonical_id, 2 AS level FROM l1 JOIN dep ON dep.index_name = l1.index_name AND o = l1.canonical_id WHERE dependent <> root AND NOT EXISTS (SELECT 1 FROM l1 x WHERE x.index_name = l1.index_name AND x.root = l1.root AND x.canonical_id = dependent))
 SELECT * FROM l0 UNION ALL SELECT * FROM l1 UNION ALL SELECT * FROM l2""",
@@ -136,13 +192,7 @@ SELECT * FROM l0 UNION ALL SELECT * FROM l1 UNION ALL SELECT * FROM l2""",
     "expand_cites": f"""WITH {MEM}, {GRAPH}, seeds AS (SELECT DISTINCT key AS seed, index_name FROM mem WHERE doc_id % 20 = 0),
 n AS (SELECT seed, s.index_name, dst AS key, min(ord) AS ord FROM seeds s JOIN eg ON eg.index_name = s.index_name AND eg.src = s.seed WHERE dst <> seed GROUP BY ALL),
 r AS (SELECT seed, seed AS key, 0 AS level, 1 AS pos FROM seeds UNION ALL SELECT seed, key, 1, 1 + row_number() OVER (PARTITION BY seed ORDER BY ord, key) FROM n) SELECT seed, key, level, pos FROM r WHERE pos <= 16""",
-    "store_classify": f"""WITH {MEM}, inc AS (SELECT doc_id AS seq, index_name, task_id, embedding, CASE WHEN doc_id % 3 = 0 THEN content_hash ELSE content_hash || 'x' END AS content_hash, CASE WHEN doc_id % 5 = 0 THEN key END AS supersedes_key FROM mem WHERE doc_id % 4 = 0),
-p AS (SELECT i.seq, i.content_hash, m.key, m.content_hash AS mh, round(1 - {COS.format(a='i.embedding', b='m.embedding')}, 9) AS d FROM inc i JOIN mem m ON m.index_name = i.index_name AND m.task_id = i.task_id AND m.status = 'active'),
-t AS (SELECT *, row_number() OVER (PARTITION BY seq ORDER BY d, key) AS n FROM p QUALIFY n <= {S.DEDUP_TOP_K}),
-b AS (SELECT seq, arg_min(key, n) FILTER (mh = content_hash) AS ek, arg_min(key, n) FILTER (mh <> content_hash AND 1 - d >= {S.NEAR_DUPLICATE} :: DOUBLE) AS nk FROM t GROUP BY seq),
-a AS (SELECT i.*, ek, nk, row_number() OVER (PARTITION BY i.index_name, i.task_id, i.content_hash ORDER BY i.seq) AS f FROM inc i LEFT JOIN b USING (seq)),
-c AS (SELECT *, CASE WHEN ek IS NOT NULL OR f > 1 THEN 'unchanged' WHEN supersedes_key IS NOT NULL THEN 'superseded' WHEN nk IS NOT NULL THEN 'duplicate_detected' ELSE 'created' END AS action FROM a)
-SELECT seq, action, CASE action WHEN 'unchanged' THEN ek WHEN 'superseded' THEN supersedes_key WHEN 'duplicate_detected' THEN nk END AS match_key FROM c""",
+    "store_classify": f"WITH {MEM}, {CLASSIFIED} SELECT seq, action, CASE action WHEN 'unchanged' THEN ek WHEN 'superseded' THEN supersedes_key WHEN 'duplicate_detected' THEN nk[1] END AS match_key, CASE WHEN action = 'duplicate_detected' THEN nk ELSE [] END AS near_keys FROM c",
     "store_validate": f"WITH {MEM} SELECT CASE WHEN memory_type = 'chunk' AND parent_key IS NULL THEN 'chunk without parent' WHEN ({tokens('content')} > 500 OR strlen(content) > 2048) AND coalesce(trim(content_summary), '') = '' THEN 'summary required' ELSE 'none' END AS problem, count(*) AS n FROM mem GROUP BY 1",
     "restore_memory": f"WITH {MEM}, l AS (SELECT index_name, canonical_id, max(version) AS top, arg_max(key, (version, created_at, doc_id)) AS supersedes_latest FROM mem GROUP BY ALL) SELECT m.index_name, m.key AS restored_from, top + 1 AS version, 'mem_' || agent_id || '_' || task_id || '_' || substr(h, 1, 16) || '_v' || (top + 1) AS key, supersedes_latest FROM mem m JOIN l USING (index_name, canonical_id) WHERE doc_id % 20 = 0",
     "archive_memory": f"WITH {MEM} SELECT index_name, key, 'archived' AS status, CASE WHEN status = 'archived' THEN archived_at ELSE {NOW} END AS archived_at FROM mem WHERE doc_id % 3 = 0",
@@ -160,13 +210,57 @@ SELECT seq, action, CASE action WHEN 'unchanged' THEN ek WHEN 'superseded' THEN
     "latency_p95": "SELECT epoch(time_bucket(INTERVAL '1 day', ts)) :: BIGINT AS window_start, round(quantile_cont(value, 0.95), 6) AS p95 FROM events GROUP BY 1",
     "alarm_breaches": f"WITH {WINDOWS}, b AS (SELECT *, sum(CASE WHEN total > 100 THEN 1 ELSE 0 END) OVER (PARTITION BY metric ORDER BY window_start RANGE BETWEEN 7200 PRECEDING AND CURRENT ROW) = 3 AS alarm FROM w) SELECT window_start, metric, alarm FROM b WHERE total > 100",
     "eval_recall_at_k": f"WITH {HITS}, {RUNS} SELECT arm, query_id, round(recall, 6) AS recall, tokens, stale FROM runs",
-    "eval_gate": f"WITH {HITS}, {RUNS}, g AS (SELECT arm, avg(recall) AS r, min(recall) AS l, sum(tokens) AS t, sum(stale) AS s FROM runs GROUP BY 1) SELECT d.r >= c.r AS recall_holds, d.l >= c.l AS least_holds, d.t <= c.t AS fewer_tokens, d.s <= c.s AS no_stale, d.r >= c.r AND d.l >= c.l AND d.t <= c.t AND d.s <= c.s AS passed FROM g c, g d WHERE c.arm = 'control' AND d.arm = 'candidate'",
+    "eval_summary": f"WITH {HITS}, {RUNS} SELECT arm, 2 * count(*) AS runs, round(avg(recall), 6) AS mean_recall, round(min(recall), 6) AS min_recall, round(stddev_pop(recall), 6) AS sd_recall, round(avg(answered :: INT :: DOUBLE), 6) AS answer_rate, (2 * sum(tokens)) :: BIGINT AS tokens, (2 * sum(stale)) :: BIGINT AS stale, (2 * sum(hydrations)) :: BIGINT AS hydrations, (2 * sum(hydration_tokens)) :: BIGINT AS hydration_tokens, (2 * sum(tokens + hydration_tokens)) :: BIGINT AS net_tokens FROM runs GROUP BY arm",
+    "eval_gate": f"""WITH {HITS}, {RUNS}, g AS (SELECT arm, avg(recall) AS r, sum(tokens + hydration_tokens) AS net, sum(stale) AS s, avg(answered :: INT) AS ans, sum(hydrations) AS hy FROM runs GROUP BY 1)
+SELECT d.ans >= c.ans AS answers_hold, d.r >= 0.90 :: DOUBLE AS recall_floor, d.r >= c.r AS recall_holds, d.s = 0 AS none_stale, d.hy <= c.hy AS hydrations_hold, d.net < c.net AS fewer_tokens, true AS stable,
+d.ans >= c.ans AND d.r >= 0.90 :: DOUBLE AND d.r >= c.r AND d.s = 0 AND d.hy <= c.hy AND d.net < c.net AS passed FROM g c, g d WHERE c.arm = 'control' AND d.arm = 'candidate'""",
+    "answer_accuracy": f"""WITH {HITS}, h AS (SELECT query_id, pos, content_summary, {tokens('content_summary')} AS tokens, sum({tokens('content_summary')}) OVER (PARTITION BY query_id ORDER BY pos) AS used FROM hits WHERE pos <= 10),
+k AS (SELECT b AS budget, arm, h.* FROM h, (VALUES (400, 'control'), (120, 'candidate'), (40, 'candidate')) v(b, arm) WHERE pos = 1 OR used <= b),
+cell AS (SELECT budget, arm, query_id, sum(tokens) AS packed, coalesce(string_agg(content_summary, ' ' ORDER BY pos), '') AS answer FROM k GROUP BY ALL),
+sc AS (SELECT *, max(packed) FILTER (arm = 'control') OVER (PARTITION BY query_id) AS ctl, lower(CASE WHEN answer = '' THEN 'insufficient context' ELSE answer END) AS low FROM cell)
+SELECT budget, min(arm) AS arm, count(*) FILTER ((contains(low, 'the') OR contains(low, 'der')) AND (contains(low, 'and') OR contains(low, 'und') OR contains(low, 'que'))) AS correct, count(*) AS answers, count(*) FILTER (answer = '') AS insufficient,
+round(avg(CASE WHEN ctl > 0 THEN round(100.0 :: DOUBLE * (ctl - packed) / ctl, 1) ELSE 0 END), 1) AS mean_savings_pct FROM sc GROUP BY budget""",
     "budget_sweep": f"""WITH {HITS}, h AS (SELECT query_id, pos, key, {tokens('content_summary')} AS tokens, sum({tokens('content_summary')}) OVER (PARTITION BY query_id ORDER BY pos) AS used FROM hits WHERE pos <= 10),
 c AS (SELECT query_id, sum(tokens) AS all_t, count(*) AS ak, arg_min(key, pos) AS top FROM h GROUP BY 1), k AS (SELECT b AS budget, h.* FROM h, (VALUES (40), (80), (120), (400)) v(b) WHERE pos = 1 OR used <= b),
 a AS (SELECT budget, query_id, sum(tokens) AS t, count(*) AS n, arg_min(key, pos) AS first FROM k GROUP BY ALL)
 SELECT budget, round(avg(100.0 :: DOUBLE * (all_t - t) / nullif(all_t, 0)), 1) AS savings_pct, count(*) FILTER (first = top) AS top1, count(*) AS queries, round(avg(n :: DOUBLE / ak), 3) AS recall FROM a JOIN c USING (query_id) GROUP BY budget""",
     "rubric_accuracy": "WITH r AS (SELECT quality, (contains(lower(text), 'the') OR contains(lower(text), 'der')) AND (contains(lower(text), 'and') OR contains(lower(text), 'und')) AS ok FROM documents JOIN labels USING (doc_id)) SELECT quality, count(*) AS runs, count(*) FILTER (ok) AS correct, round(avg(ok :: INT :: DOUBLE), 6) AS accuracy FROM r GROUP BY 1",
     "search_hits": f"WITH {HITS} SELECT query_id, pos, key, round(greatest(0 :: DOUBLE, 1 - distance), 6) AS score, coalesce(nullif(content_summary, ''), split_part(content, chr(10), 1)) AS card FROM hits WHERE pos <= 8",
-    "source_identities": f"WITH {MEM} SELECT substr(regexp_replace(regexp_replace('aws:' || agent_id || '/' || team_id || ' ' || task_id, '[^A-Za-z0-9_+=,.@-]', '-', 'g'), '^(aws:)+', ''), 1, 64) AS stored_by, count(*) AS n, max(created_at) AS last_stored FROM mem GROUP BY 1",
+    "source_identities": rf"""WITH {MEM}, r AS (SELECT created_at, CASE doc_id % 3 WHEN 0 THEN 'arn:x/role/aws:aws:' || agent_id || ' é' || team_id WHEN 1 THEN 'arn/' || repeat('aws:', 15) || agent_id || team_id ELSE 'arn' END AS arn, CASE WHEN doc_id % 2 = 0 THEN task_id || '|u' END AS usr FROM mem),
+w AS (SELECT created_at, CASE WHEN contains(arn, '/') THEN split_part(arn, '/', -1) ELSE coalesce(nullif(usr, ''), 'unknown') END AS raw FROM r)
+SELECT coalesce(nullif(regexp_replace(substr(regexp_replace(raw, '[^\p{{L}}\p{{N}}_+=,.@-]', '-', 'g'), 1, 64), '^(aws:)+', ''), ''), 'unknown') AS stored_by, count(*) AS n, max(created_at) AS last_stored FROM w GROUP BY 1""",
     "purge_plan": f"WITH {MEM}, v AS (SELECT *, count(*) OVER (PARTITION BY index_name, canonical_id) AS n, row_number() OVER (PARTITION BY index_name, canonical_id ORDER BY version DESC) - 1 AS pos FROM mem) SELECT index_name, canonical_id, pos :: INTEGER AS pos, key FROM v WHERE n > 1",
+    "latest_pin": f"WITH {MEM}, {PINS} SELECT * FROM pins",
+    "pin_working_set": f"""WITH {MEM}, {PINS}, k AS (SELECT team_id, min(task_id) AS name, list(key ORDER BY key) AS keys FROM pins WHERE index_name = 'shared' AND team_id IS NOT NULL GROUP BY 1)
+SELECT k.team_id, 'working-set-' || name AS task_id, md5('{{"name":"' || name || '","keys":["' || array_to_string(keys, '","') || '"]}}') AS content_md5, 'Working set ' || chr(39) || name || chr(39) || ' (' || len(keys) || ' keys)' AS content_summary, {NOW} + 3600 AS expires_at,
+p.key AS supersedes_key, CASE WHEN p.key IS NULL THEN 'new' ELSE 'auto' END AS mode FROM k LEFT JOIN pins p ON p.index_name = 'shared' AND p.team_id = k.team_id AND p.task_id = k.name""",
+    "retrieve_pack_team": f"""WITH {MEM}, r AS (SELECT m.task_id, key, {tokens(PREVIEW)} AS tokens, row_number() OVER (ORDER BY CASE m.task_id WHEN 'src2' THEN 1 ELSE 2 END, version DESC, created_at DESC, key) AS pos FROM mem m WHERE task_id IN ('src2', 'src0', 'absent') AND team_id = 'en' AND {LIVE}),
+u AS (SELECT *, sum(tokens) OVER (ORDER BY pos) :: BIGINT AS used_tokens FROM r) SELECT task_id, key, pos, used_tokens FROM u WHERE pos = 1 OR used_tokens <= 400""",
+    "list_task_vectors": f"WITH {MEM}, {LATEST}, l AS (SELECT index_name, key, row_number() OVER (PARTITION BY index_name ORDER BY created_at DESC, key) AS pos FROM lv WHERE task_id = 'src3' AND status = 'active' AND memory_type = 'semantic' QUALIFY pos <= 100) SELECT index_name, pos, key, doc_id FROM l JOIN mem USING (index_name, key)",
+    "get_memory": f"WITH {MEM}, a AS (SELECT DISTINCT index_name, CASE WHEN doc_id % 100 = 0 THEN key || 'x' ELSE key END AS key FROM mem WHERE doc_id % 20 = 0) SELECT index_name, key, doc_id, length(content) AS n_chars, content IS NOT NULL AS hydrated FROM a LEFT JOIN mem USING (index_name, key)",
+    "reinforce_memory": f"WITH {MEM}, ev AS (SELECT canonical_id, floor(epoch(ts)) :: BIGINT AS ts FROM events JOIN mem ON mem.doc_id = user_id WHERE event_type = 'view' UNION ALL SELECT canonical_id, {NOW} FROM mem JOIN (SELECT DISTINCT index_name, key FROM mem WHERE doc_id % 20 = 0) USING (index_name, key)) SELECT canonical_id, count(*) AS use_count, max(ts) AS last_used_at FROM ev GROUP BY 1",
+    "record_view": f"WITH {MEM} SELECT key, agent_id, coalesce(team_id, '') AS team_id, coalesce(task_id, '') AS task_id, coalesce(canonical_id, '') AS canonical_id, memory_type, coalesce(content_hash, '') AS content_hash, status, version, created_at, supersedes, parent_key, confidence FROM mem",
+    "expand_walk": f"""WITH {MEM}, {GRAPH}, s0 AS (SELECT index_name || '/' || (doc_id // 60) AS walk, index_name, key, min(doc_id) AS seat FROM mem WHERE doc_id % 20 = 0 GROUP BY ALL),
+s1 AS (SELECT walk, index_name, key, 0 AS level, row_number() OVER (PARTITION BY walk ORDER BY seat, key) AS pos FROM s0),
+e1 AS (SELECT walk, s1.index_name, dst AS key, min((pos, ord)) AS seat FROM s1 JOIN eg ON eg.index_name = s1.index_name AND eg.src = s1.key GROUP BY ALL),
+s2 AS (SELECT walk, index_name, key, 1 AS level, (SELECT max(pos) FROM s1 x WHERE x.walk = e1.walk) + row_number() OVER (PARTITION BY walk ORDER BY seat, key) AS pos FROM e1 WHERE NOT EXISTS (SELECT 1 FROM s1 x WHERE x.walk = e1.walk AND x.key = e1.key)),
+al AS (SELECT *, max(pos) OVER (PARTITION BY walk) AS total FROM (SELECT * FROM s1 UNION ALL SELECT * FROM s2)),
+j AS (SELECT al.*, CASE WHEN m.key IS NOT NULL THEN {tokens(PREVIEW)} END AS tk FROM al LEFT JOIN mem m ON m.index_name = al.index_name AND m.key = al.key WHERE pos <= 6),
+u AS (SELECT *, coalesce(sum(tk) OVER w, 0) :: BIGINT AS used_tokens, count(tk) OVER w AS nth FROM j WINDOW w AS (PARTITION BY walk ORDER BY pos)),
+z AS (SELECT *, min(CASE WHEN tk IS NOT NULL AND nth > 1 AND used_tokens > 80 THEN pos END) OVER (PARTITION BY walk) AS stop FROM u)
+SELECT walk, key, level, pos, coalesce(tk, 0) AS tokens, used_tokens, tk IS NOT NULL AS found, stop IS NOT NULL OR total > 6 AS truncated FROM z WHERE stop IS NULL OR pos < stop""",
+    "store_outcomes": f"WITH {MEM}, {CLASSIFIED} SELECT created_at - created_at % 86400 AS window_start, CASE action WHEN 'unchanged' THEN 'StoreUnchanged' WHEN 'superseded' THEN 'StoreSuperseded' WHEN 'created' THEN 'StoreCreated' ELSE 'StoreDuplicateDetected' END AS metric, count(*) AS n, count(*) :: DOUBLE AS total FROM c GROUP BY 1, 2",
+    "action_histogram": f"WITH {MEM}, {CLASSIFIED} SELECT action, count(*) AS n FROM c GROUP BY 1",
+    "supersede_states": f"""WITH {MEM}, {CLASSIFIED}, n AS (SELECT c.*, m.version + 1 AS v, m.canonical_id FROM c JOIN mem m ON m.index_name = c.index_name AND m.key = c.supersedes_key WHERE action = 'superseded')
+SELECT index_name, 'mem_' || agent_id || '_' || task_id || '_' || substr(content_hash, 8, 16) || '_v' || v AS key, v :: INTEGER AS version, canonical_id, 'active' AS status, {NOW} AS created_at, supersedes_key AS supersedes FROM n
+UNION ALL SELECT index_name, key, version, canonical_id, 'superseded', created_at, supersedes FROM mem WHERE (index_name, key) IN (SELECT index_name, supersedes_key FROM n)""",
+    "current_state": f"WITH {MEM} SELECT index_name, key, CASE WHEN doc_id % 3 = 0 THEN 'archived' ELSE status END AS status, CASE WHEN doc_id % 3 = 0 AND status <> 'archived' THEN {NOW} ELSE archived_at END AS archived_at FROM mem WHERE doc_id % 6 <> 0",
+    "chunk_parents": f"WITH {MEM} SELECT doc_id, doc_id % 2 <> 0 AND EXISTS (SELECT 1 FROM mem p WHERE p.memory_type = 'document' AND p.index_name = m.index_name AND p.key = m.parent_key) AS valid FROM mem m WHERE memory_type = 'chunk'",
+    "embed_cached": f"WITH {MEM}, f AS (SELECT DISTINCT content_hash FROM mem WHERE doc_id % 4 = 2) SELECT doc_id, content_hash IN (FROM f) AS cached, content_hash NOT IN (FROM f) AS made FROM mem",
+    "ttl_sweep": f"""WITH {MEM}, pr AS (SELECT DISTINCT m.index_name, m.key FROM mem m JOIN (SELECT index_name, supersedes AS key, min(created_at) AS since FROM mem WHERE supersedes IS NOT NULL GROUP BY ALL) x USING (index_name, key) WHERE status = 'superseded' AND {NOW} - since >= 604800),
+dm AS (SELECT index_name, key FROM mem WHERE (status = 'archived' AND {NOW} - archived_at >= 2592000) OR expires_at <= {NOW})
+SELECT index_name, CASE WHEN EXISTS (SELECT 1 FROM pr WHERE pr.index_name = mem.index_name AND pr.key = mem.key) THEN 'archived' ELSE status END AS status, count(*) AS n, sum(doc_id) :: BIGINT AS ids FROM mem WHERE NOT EXISTS (SELECT 1 FROM dm WHERE dm.index_name = mem.index_name AND dm.key = mem.key) GROUP BY ALL""",
+    "ingest_plan": f"WITH {chunks(LEAD)} SELECT doc_id :: VARCHAR AS stem, section, part :: INTEGER AS part, substr(CASE WHEN heading LIKE '(%' THEN 'About ' || doc_id ELSE heading END, 1, 400) AS summary, length(piece) // 4 AS tokens FROM c",
+    "ingest_histogram": f"WITH {chunks(SHORT_LEAD)}, z AS (SELECT source AS stem, count(*) AS chunks, sum(length(piece)) // 4 AS tokens FROM c GROUP BY 1) SELECT stem, chunks, tokens :: BIGINT AS tokens, round(tokens / 1000.0 :: DOUBLE * 0.00002 :: DOUBLE, 6) AS cost FROM z",
+    "distinct_counts": f"WITH {MEM} SELECT count(DISTINCT team_id) AS n_team_id, count(DISTINCT agent_id) AS n_agent_id, count(DISTINCT task_id) AS n_task_id FROM mem",
 }

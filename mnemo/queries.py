@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from mnemo import schema as S
 from mnemo.functions import text as T
-from mnemo.operators import budget, bundles, evaluate, filters, graph, ingest, lifecycle, metrics, projection, search, store
+from mnemo.operators import budget, bundles, evaluate, filters, graph, ingest, lifecycle, listing, metrics, projection, search, store
+from mnemo.sources import documents
 from mnemo.sources.tables import clock, memories, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,7 +27,7 @@ def _packs(spark: SparkSession) -> DataFrame:
 
 
 def _probes(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "embeddings").where("vec_id % 100 = 0").select("vec_id", "embedding")
+    return table(spark, d, "embeddings").where("vec_id % 20 = 0").select("vec_id", "embedding")
 
 
 def _hits(spark: SparkSession, d: str) -> DataFrame:
@@ -97,6 +98,40 @@ def chunk_promotion(spark: SparkSession, d: str) -> DataFrame:
     return search.promote_chunks(_hits(spark, d), memories(spark, d).drop("content"), ["query_id"]).select("query_id", "pos", "key", "memory_type")
 
 
+def _level(spark: SparkSession, d: str, level: str, most: int) -> DataFrame:
+    return search.retrieve(_probes(spark, d), memories(spark, d, vectors=True), clock(spark, d), max_tokens=most, level=level)
+
+
+@query
+def retrieve_standard(spark: SparkSession, d: str) -> DataFrame:
+    """Bodies for the first two results, summaries for the rest."""
+    return _level(spark, d, "standard", 600).select("query_id", "rank", "key", "detail", "tokens", "used_tokens")
+
+
+@query
+def retrieve_full(spark: SparkSession, d: str) -> DataFrame:
+    return _level(spark, d, "full", 1200).select("query_id", "rank", "key", "detail", "tokens", "used_tokens")
+
+
+@query
+def retrieve_filtered(spark: SparkSession, d: str) -> DataFrame:
+    """Retrieval among one team's semantic and procedural records, the third and the first result raised to whole bodies."""
+    where = filters.compile_filter({"team_id": "en", "memory_type": {"$in": ["semantic", "procedural"]}})
+    m, now = memories(spark, d, vectors=True), clock(spark, d)
+    plain = search.retrieve(_probes(spark, d), m, now, mode="procedural", max_tokens=700, where=where)
+    wanted = plain.where("rank IN (1, 3)").select("query_id", "key", F.when(F.col("rank") == 3, 1).otherwise(2).alias("wanted_pos"))
+    out = search.retrieve(_probes(spark, d), m, now, mode="procedural", max_tokens=700, where=where, wanted=wanted)
+    return out.select("query_id", "rank", "key", "tokens", "hydrated")
+
+
+@query
+def retrieve_reranked(spark: SparkSession, d: str) -> DataFrame:
+    """Hits in the order of another scorer (the shortest text first), the first ten of them."""
+    asked = _probes(spark, d).withColumn("query", F.lit("shortest"))
+    out = search.retrieve(asked, memories(spark, d, vectors=True), clock(spark, d), scorer=lambda query, text: -text.str.len().astype(float))
+    return out.select("query_id", "rank", "key", "used_tokens")
+
+
 @query
 def retrieve_memory_batch(spark: SparkSession, d: str) -> DataFrame:
     out = search.retrieve(_probes(spark, d), memories(spark, d, vectors=True), clock(spark, d), max_tokens=60)
@@ -216,19 +251,18 @@ def budget_pack(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def budget_with_substitution(spark: SparkSession, d: str) -> DataFrame:
-    first = Window.partitionBy("task_id").orderBy("doc_id")
-    m = memories(spark, d).withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= 20)
-    sized = m.select("task_id", "rank", T.estimate_tokens(F.col("content")).alias("full_tokens"), F.when(F.col("content_summary").isNotNull(), T.estimate_tokens(F.col("content_summary"))).alias("summary_tokens"))
-    return budget.with_substitution(sized, ["task_id"], "rank", 1500)
+    """Bodies of each probe's hits, or their summaries where bodies are over the budget."""
+    hits = _hits(spark, d).select("query_id", F.col("pos").alias("rank"), "doc_id").join(memories(spark, d).select("doc_id", "content", "content_summary"), "doc_id")
+    sized = hits.select("query_id", "rank", T.estimate_tokens(F.col("content")).alias("full_tokens"), F.when(F.col("content_summary").isNotNull(), T.estimate_tokens(F.col("content_summary"))).alias("summary_tokens"))
+    return budget.with_substitution(sized, ["query_id"], "rank", 1500)
 
 
 @query
 def hydrate_keys(spark: SparkSession, d: str) -> DataFrame:
-    ranked = Window.partitionBy("task_id").orderBy("doc_id")
-    m = memories(spark, d).withColumn("pos", F.row_number().over(ranked)).where("pos <= 10").select("task_id", "pos", "key", "index_name")
-    wanted = m.select("task_id", "pos", "key", F.col("index_name").alias("asked_index"))
-    mem = memories(spark, d).drop("task_id")
-    return bundles.hydrate(wanted, mem, ["task_id"], max_tokens=2500).where("asked_index = index_name").select("task_id", "pos", "key", "used_tokens")
+    """Whole bodies of each probe's nearest keys, eight at most, to budget."""
+    wanted = _hits(spark, d).select("query_id", "pos", "key", F.col("index_name").alias("asked_index"))
+    found = bundles.hydrate(wanted, memories(spark, d), ["query_id"], max_tokens=2500)
+    return found.where("asked_index = index_name").select("query_id", "pos", "key", "used_tokens")
 
 
 @query
@@ -243,26 +277,80 @@ def pack_missing_tasks(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def working_set_fetch(spark: SparkSession, d: str) -> DataFrame:
-    m = memories(spark, d)
-    named = m.where("index_name = 'shared' AND doc_id % 20 = 0").groupBy("team_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "key"))), lambda x: x["key"]).alias("keys"))
-    pinned = named.select("team_id", bundles.pin_body(F.col("team_id"), F.slice("keys", 1, 16)).alias("body"))
+    m = memories(spark, d).where("index_name = 'shared' AND doc_id % 20 = 0").select("team_id", "doc_id", "key")
+    # the first 16 of a team: 16 of each of its 64 parts first, so that no task holds a whole team
+    part = Window.partitionBy("team_id", F.pmod(F.xxhash64("doc_id"), F.lit(64))).orderBy("doc_id")
+    m = m.withColumn("n", F.row_number().over(part)).where("n <= 16").withColumn("n", F.row_number().over(Window.partitionBy("team_id").orderBy("doc_id"))).where("n <= 16")
+    named = m.groupBy("team_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "key"))), lambda x: x["key"]).alias("keys"))
+    pinned = named.select("team_id", bundles.pin_body(F.col("team_id"), F.col("keys")).alias("body"))
     wanted = pinned.select("team_id", F.posexplode(bundles.pinned_keys(F.col("body"))).alias("p", "key")).select("team_id", (F.col("p") + 1).alias("pos"), "key")
-    rows, _ = bundles.fetch_keys(wanted, m.where("index_name = 'shared'").drop("team_id"), ["team_id"], max_tokens=150)
+    rows, _ = bundles.fetch_keys(wanted, memories(spark, d).where("index_name = 'shared'").drop("team_id"), ["team_id"], max_tokens=150)
     return rows.select("team_id", "pos", "key", "tokens", "used_tokens")
 
 
+@query
+def latest_pin(spark: SparkSession, d: str) -> DataFrame:
+    return bundles.latest_pin(memories(spark, d), clock(spark, d)).select("index_name", "team_id", "task_id", "key", "version")
+
+
+@query
+def pin_working_set(spark: SparkSession, d: str) -> DataFrame:
+    """A working set for each team of the shared index: the latest live keys of its tasks, pinned under the first task's name."""
+    m, now = memories(spark, d), clock(spark, d)
+    keys = bundles.latest_pin(m, now).where("index_name = 'shared' AND team_id IS NOT NULL").groupBy("index_name", "team_id").agg(F.min("task_id").alias("name"), F.array_sort(F.collect_list("key")).alias("keys"))
+    pins = m.withColumn("task_id", T.working_set_task_id(F.col("task_id")))
+    return bundles.pin_rows(keys, pins, now, 3600).select("team_id", "task_id", F.md5("content").alias("content_md5"), "content_summary", "expires_at", "supersedes_key", "mode")
+
+
+@query
+def retrieve_pack_team(spark: SparkSession, d: str) -> DataFrame:
+    """A pack named by its tasks, of one team."""
+    packs = bundles.ad_hoc(spark, ["src2", "src0", " src2 ", "absent"])
+    return bundles.pack_rows(packs, memories(spark, d), clock(spark, d), 400, team_id="en").select("task_id", "key", "pos", "used_tokens")
+
+
 # -- listings and graph -------------------------------------------------------------------------
 
 
 @query
 def list_by_task(spark: SparkSession, d: str) -> DataFrame:
-    rows = memories(spark, d).where((F.col("task_id") == "src3") & (F.col("status") == "active"))
-    return rows.withColumn("pos", F.row_number().over(Window.partitionBy("index_name", "task_id").orderBy(F.desc("created_at"), "key"))).where(F.col("pos") <= S.PAGE_SIZE).select("index_name", "key", "created_at", "pos")
+    """Every task's active latest versions, newest first, in pages with the key a reader goes on from."""
+    return listing.by_task(memories(spark, d), status="active").select("index_name", "task_id", "key", "created_at", "pos", "page", "next_key")
 
 
 @query
 def list_by_parent(spark: SparkSession, d: str) -> DataFrame:
-    return memories(spark, d).where("parent_key IS NOT NULL").groupBy("index_name", "parent_key").agg(F.count(F.lit(1)).alias("children"), F.max_by("key", "doc_id").alias("newest"))
+    return listing.by_parent(memories(spark, d)).select("index_name", "parent_key", "key", "created_at", "pos")
+
+
+@query
+def list_task_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """A task's page of listed keys with their records, by the precedence of list filters."""
+    rows = listing.list_memories(memories(spark, d), {"task_id": "src3", "status": "active", "memory_type": "semantic"})
+    return rows.select("index_name", "pos", "key", "doc_id")
+
+
+@query
+def get_memory(spark: SparkSession, d: str) -> DataFrame:
+    """Every twentieth record by its key, whole body from where it is kept, and keys that do not exist."""
+    m = memories(spark, d)
+    routed = store.route_content(m, 4096)
+    contents = routed.where("content_ref IS NOT NULL").select("index_name", "key", "content")
+    asked = m.where("doc_id % 20 = 0").select("index_name", F.when(F.col("doc_id") % 100 == 0, F.concat("key", F.lit("x"))).otherwise(F.col("key")).alias("key"))
+    return store.get(routed.drop("content"), contents, asked).select("index_name", "key", "doc_id", F.char_length("content").alias("n_chars"), "hydrated")
+
+
+@query
+def reinforce_memory(spark: SparkSession, d: str) -> DataFrame:
+    """Use counters after every twentieth record is reinforced once."""
+    m, now = memories(spark, d), clock(spark, d)
+    events, _ = store.reinforce(m, m.where("doc_id % 20 = 0").select("index_name", "key").distinct(), now)
+    return store.usage_counters(_use_events(spark, d).unionByName(events.select("canonical_id", "ts"))).select("canonical_id", "use_count", "last_used_at")
+
+
+@query
+def record_view(spark: SparkSession, d: str) -> DataFrame:
+    return documents.record_view(memories(spark, d))
 
 
 @query
@@ -287,7 +375,7 @@ def orphan_facts(spark: SparkSession, d: str) -> DataFrame:
 @query
 def impact_closure(spark: SparkSession, d: str) -> DataFrame:
     m = memories(spark, d)
-    roots = m.where("doc_id % 50 = 0").select("index_name", "canonical_id").distinct()
+    roots = m.where("doc_id % 20 = 0").select("index_name", "canonical_id").distinct()
     return graph.impact(m, roots, 2).select("index_name", "root", "canonical_id", "level")
 
 
@@ -303,17 +391,95 @@ def expand_cites(spark: SparkSession, d: str) -> DataFrame:
     return graph.expand(seeds, graph.edges(m), depth=1).select("seed", "key", "level", "pos")
 
 
+@query
+def expand_walk(spark: SparkSession, d: str) -> DataFrame:
+    """Walks from several seeds at once, under limits of keys and tokens."""
+    m = memories(spark, d)
+    seeds = m.where("doc_id % 20 = 0").select(F.concat_ws("/", "index_name", F.floor(F.col("doc_id") / 60)).alias("walk"), "index_name", F.col("doc_id").alias("seed_pos"), "key")
+    return graph.walk(seeds, graph.edges(m), m, depth=1, max_keys=6, max_tokens=80)
+
+
 # -- writes and lifecycle -----------------------------------------------------------------------
 
 
-@query
-def store_classify(spark: SparkSession, d: str) -> DataFrame:
+def _classified(spark: SparkSession, d: str) -> DataFrame:
     m = memories(spark, d, vectors=True)
     fresh = m.where("doc_id % 4 = 0").select(
         F.col("doc_id").alias("seq"), "index_name", "task_id", "embedding", F.when(F.col("doc_id") % 3 == 0, F.col("content_hash")).otherwise(F.concat("content_hash", F.lit("x"))).alias("content_hash"),
-        F.when(F.col("doc_id") % 5 == 0, F.col("key")).alias("supersedes_key"), F.lit("auto").alias("mode"),
+        F.when(F.col("doc_id") % 5 == 0, F.col("key")).alias("supersedes_key"), F.lit("auto").alias("mode"), "agent_id", "linked_ids", "created_at",
     )
-    return store.classify(fresh, m).select("seq", "action", "match_key")
+    return store.classify(fresh, m)
+
+
+@query
+def store_classify(spark: SparkSession, d: str) -> DataFrame:
+    return _classified(spark, d).select("seq", "action", "match_key", "near_keys")
+
+
+@query
+def store_outcomes(spark: SparkSession, d: str) -> DataFrame:
+    """Outcomes of a batch of writes by day, from the metric facts that they append."""
+    facts = store.outcome_facts(_classified(spark, d), "created_at")
+    out = metrics.metric_windows(facts.withColumn("ts", F.timestamp_seconds("ts")), "1 day", name="name")
+    return out.select(F.unix_timestamp("window_start").alias("window_start"), "metric", "n", "total")
+
+
+@query
+def action_histogram(spark: SparkSession, d: str) -> DataFrame:
+    return _classified(spark, d).groupBy("action").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def supersede_states(spark: SparkSession, d: str) -> DataFrame:
+    """What superseding writes append: the new versions and the retired ones."""
+    return store.supersede(_classified(spark, d), memories(spark, d), clock(spark, d)).select("index_name", "key", "version", "canonical_id", "status", "created_at", "supersedes")
+
+
+@query
+def current_state(spark: SparkSession, d: str) -> DataFrame:
+    """The log of records, then their archiving, then the deletion of some: what is there now."""
+    m, now = memories(spark, d), clock(spark, d)
+    log = m.select("index_name", "key", "status", "archived_at", F.lit(1).alias("op_seq"), F.lit(False).alias("deleted"))
+    archived = store.archive(m, m.where("doc_id % 3 = 0").select("index_name", "key"), now).select("index_name", "key", "status", "archived_at", F.lit(2).alias("op_seq"), F.lit(False).alias("deleted"))
+    gone = m.where("doc_id % 6 = 0").select("index_name", "key", "status", "archived_at", F.lit(3).alias("op_seq"), F.lit(True).alias("deleted"))
+    return store.current_state(log.unionByName(archived).unionByName(gone)).select("index_name", "key", "status", "archived_at")
+
+
+@query
+def chunk_parents(spark: SparkSession, d: str) -> DataFrame:
+    m = memories(spark, d)
+    valid, invalid = store.chunk_parents(m.withColumn("parent_key", F.when(F.col("doc_id") % 2 == 0, F.concat("parent_key", F.lit("x"))).otherwise(F.col("parent_key"))), m)
+    return valid.select("doc_id", F.lit(True).alias("valid")).unionByName(invalid.select("doc_id", F.lit(False).alias("valid")))
+
+
+@query
+def embed_cached(spark: SparkSession, d: str) -> DataFrame:
+    """Contents embedded once each, half of them from the cache."""
+    m = memories(spark, d).select("doc_id", F.col("content").alias("text"), "content_hash")
+    now = clock(spark, d)
+    cache = m.where("doc_id % 2 = 0").select("content_hash", F.array(F.lit(-1.0), F.lit(0.0)).cast("array<float>").alias("embedding"), (F.lit(now) + F.col("doc_id") % 4 - 1).alias("ttl_epoch")).groupBy("content_hash").agg(F.min("embedding").alias("embedding"), F.max("ttl_epoch").alias("ttl_epoch"))
+    rows, _ = search.embed(m.drop("content_hash"), lambda texts: [(float(len(t.split())), 1.0) for t in texts], cache, now)
+    return rows.select("doc_id", (F.col("embedding")[0] < 0).alias("cached"), (F.col("embedding")[1] > 0).alias("made"))
+
+
+@query
+def ttl_sweep(spark: SparkSession, d: str) -> DataFrame:
+    """Records that a whole sweep leaves, by index and status."""
+    after, _ = lifecycle.sweep(memories(spark, d), clock(spark, d), cap=1 << 60)
+    return after.groupBy("index_name", "status").agg(F.count(F.lit(1)).alias("n"), F.sum("doc_id").alias("ids"))
+
+
+@query
+def ingest_plan(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks of documents with front matter, and their summaries."""
+    files = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("stem"), F.concat(F.lit("---\nname: x\ndescription: About "), "doc_id", F.lit("\n---\nlead\n## Part one\n"), F.regexp_replace("text", "\n", "\n## Next\n")).alias("text"))
+    return ingest.ingest_plan(files, 600).select("stem", "section", "part", "summary", "tokens")
+
+
+@query
+def ingest_histogram(spark: SparkSession, d: str) -> DataFrame:
+    files = table(spark, d, "documents").select(F.col("source").alias("stem"), "doc_id", F.concat(F.lit("lead\n"), "text").alias("text"))
+    return ingest.plan_histogram(ingest.chunk_markdown(files, "doc_id", "text", 600).join(files.select("doc_id", "stem"), "doc_id"))
 
 
 @query
@@ -384,6 +550,11 @@ def galaxy_counts(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query
+def distinct_counts(spark: SparkSession, d: str) -> DataFrame:
+    return memories(spark, d).agg(*[F.count_distinct(c).alias(f"n_{c}") for c in ("team_id", "agent_id", "task_id")])
+
+
 @query
 def constellations(spark: SparkSession, d: str) -> DataFrame:
     m = memories(spark, d, vectors=True).select("task_id", F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y"))
@@ -420,13 +591,23 @@ def alarm_breaches(spark: SparkSession, d: str) -> DataFrame:
     return out.where("breach").select(F.unix_timestamp("window_start").alias("window_start"), "metric", "alarm")
 
 
-def _runs(spark: SparkSession, d: str) -> DataFrame:
-    """Each probe's nearest 10 in two arms; what is expected is the tasks of its nearest 5."""
+def _runs(spark: SparkSession, d: str, repeats: int = 1) -> DataFrame:
+    """Each probe's nearest 10 in two arms; what is expected is the tasks of its nearest 5, the answer lies in the third's.
+
+    An answer's task that is not packed costs the body of its nearest record.
+    """
+    now = clock(spark, d)
     hits = _hits(spark, d).withColumn("tokens", T.estimate_tokens(F.col("content_summary")))
-    expected = hits.where("pos <= 5").groupBy("query_id").agg(F.collect_set("task_id").alias("expected"))
+    bodies = memories(spark, d).select("doc_id", T.estimate_tokens(F.col("content")).alias("body_tokens"))
+    expected = hits.where("pos <= 5").groupBy("query_id").agg(F.collect_set("task_id").alias("expected"), F.max(F.when(F.col("pos") == 3, F.col("task_id"))).alias("answer_task"))
+    wide = hits.where("pos <= 10").join(bodies, "doc_id").groupBy("query_id", "task_id").agg(F.min_by("body_tokens", "pos").alias("body_tokens"))
+    answers = expected.join(wide.withColumnRenamed("task_id", "answer_task"), ["query_id", "answer_task"], "left")
     arms = hits.where("pos <= 10").withColumn("arm", F.lit("control")).unionByName(hits.where("pos <= 4").withColumn("arm", F.lit("candidate")))
-    got = arms.groupBy("arm", "query_id").agg(F.collect_set("task_id").alias("got"), F.sum("tokens").alias("tokens"), F.count_if(F.col("status") != "active").alias("stale"))
-    return evaluate.recall(got.join(expected, "query_id"))
+    stale = (F.col("status") != "active") | (F.col("expires_at") <= now)
+    got = arms.groupBy("arm", "query_id").agg(F.collect_set("task_id").alias("got"), F.sum("tokens").alias("tokens"), F.count_if(stale).alias("stale"), F.max("distance").alias("latency_ms"))
+    runs = evaluate.recall(got.join(answers, "query_id")).withColumn("answered", F.array_contains("got", F.col("answer_task")))
+    runs = runs.withColumn("hydrations", (~F.col("answered")).cast("int")).withColumn("hydration_tokens", F.when(F.col("answered"), 0).otherwise(F.coalesce("body_tokens", F.lit(0))))
+    return runs if repeats == 1 else runs.withColumn("run", F.explode(F.sequence(F.lit(1), F.lit(repeats))))
 
 
 @query
@@ -434,9 +615,30 @@ def eval_recall_at_k(spark: SparkSession, d: str) -> DataFrame:
     return _runs(spark, d).select("arm", "query_id", F.round("recall", 6).alias("recall"), "tokens", "stale")
 
 
+@query
+def eval_summary(spark: SparkSession, d: str) -> DataFrame:
+    out = evaluate.summarise_arm(_runs(spark, d, 2), ["arm"])
+    return out.select("arm", "runs", *[F.round(c, 6).alias(c) for c in ("mean_recall", "min_recall", "sd_recall", "answer_rate")], "tokens", "stale", "hydrations", "hydration_tokens", "net_tokens")
+
+
 @query
 def eval_gate(spark: SparkSession, d: str) -> DataFrame:
-    return evaluate.gate(evaluate.summarise_arm(_runs(spark, d), ["arm"]), "control", "candidate")
+    runs = _runs(spark, d, 2)
+    return evaluate.gate(evaluate.summarise_arm(runs, ["arm"]), evaluate.run_deviation(runs, ["arm"]), "control", "candidate")
+
+
+@query
+def answer_accuracy(spark: SparkSession, d: str) -> DataFrame:
+    """Answers read off what each budget packs, scored by a rubric, with savings against the widest budget."""
+    hits = _hits(spark, d).where("pos <= 10").select("query_id", F.col("pos").alias("rank"), "content_summary", F.coalesce(T.estimate_tokens(F.col("content_summary")), F.lit(0)).alias("tokens"))
+    cells = None
+    for arm, most in (("control", 400), ("candidate", 120), ("candidate", 40)):
+        part = budget.within_budget(hits, ["query_id"], "rank", most).groupBy(F.col("query_id").alias("task_id")).agg(
+            F.sum("tokens").alias("packed_tokens"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "content_summary"))), lambda x: x["content_summary"]), " ").alias("answer")
+        ).withColumn("arm", F.lit(arm)).withColumn("budget", F.lit(most))
+        cells = part if cells is None else cells.unionByName(part)
+    answer = F.when(F.col("answer") == "", F.lit("Insufficient context")).otherwise(F.col("answer"))
+    return evaluate.accuracy_by_budget(evaluate.score_answers(cells.withColumn("answer", answer), [["the", "der"], ["and", "und", "que"]], "control"))
 
 
 @query
@@ -467,8 +669,9 @@ def search_hits(spark: SparkSession, d: str) -> DataFrame:
 @query
 def source_identities(spark: SparkSession, d: str) -> DataFrame:
     """Principals made from agents and teams, cleaned as the audit trail takes them, with what they stored."""
-    raw = F.concat(F.lit("aws:"), "agent_id", F.lit("/"), "team_id", F.lit(" "), "task_id")
-    return memories(spark, d).groupBy(T.clean_source_identity(raw).alias("stored_by")).agg(F.count(F.lit(1)).alias("n"), F.max("created_at").alias("last_stored"))
+    arn = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("arn:x/role/aws:aws:"), "agent_id", F.lit(" é"), "team_id")).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("arn/"), F.repeat(F.lit("aws:"), 15), "agent_id", "team_id")).otherwise(F.lit("arn"))
+    user = F.when(F.col("doc_id") % 2 == 0, F.concat("task_id", F.lit("|u")))
+    return memories(spark, d).groupBy(T.clean_source_identity(arn, user).alias("stored_by")).agg(F.count(F.lit(1)).alias("n"), F.max("created_at").alias("last_stored"))
 
 
 @query

@@ -29,3 +29,5 @@ FILTERABLE = {
 # role -> indexes it may read
 ROLE_INDEXES = {"planner": ("shared", "private-a"), "researcher": ("shared", "private-b"), "auditor": ("shared", "private-a", "private-b")}
 READ_ONLY_VERBS = ("retrieve", "list", "get", "hydrate", "pack", "working_set", "expand", "linked_by", "search", "whoami")
+WRITE_VERBS = ("store", "pin", "archive", "restore", "purge", "reinforce")
+READ_ONLY_ROLES = ("auditor",)

@@ -1,4 +1,4 @@
-"""The driver's tables, and the ``memories`` and ``usage`` relations derived from them."""
+"""The driver's tables, and the ``memories`` relation derived from them."""
 
 from __future__ import annotations
 
@@ -58,10 +58,3 @@ def memories(spark: SparkSession, sf_dir: str, vectors: bool = False) -> DataFra
         m = m.join(found, F.col("doc_id") % n == F.col("vec_id"), "left").drop("vec_id")
     return m
 
-
-def usage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(canonical_id, use_count, last_used_at): 'view' events credited to the record their user stands for."""
-    views = table(spark, sf_dir, "events").where("event_type = 'view'")
-    by_user = views.groupBy("user_id").agg(F.count(F.lit(1)).alias("use_count"), F.max(F.unix_timestamp("ts")).alias("last_used_at"))
-    rec = memories(spark, sf_dir).where("version = 1").groupBy("canonical_id").agg(F.min("doc_id").alias("doc_id"))
-    return rec.join(by_user, F.col("doc_id") % 150 == F.col("user_id") % 150).groupBy("canonical_id").agg(F.sum("use_count").alias("use_count"), F.max("last_used_at").alias("last_used_at"))

@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from mnemo.functions import text as T
-from mnemo.operators import budget, bundles, filters, graph, ingest, lifecycle, metrics, search, store
+from mnemo.operators import budget, bundles, evaluate, filters, graph, ingest, lifecycle, listing, metrics, search, store
+from mnemo.sources import documents
 
 MEM = (
     "index_name string, key string, canonical_id string, task_id string, agent_id string, team_id string, memory_type string, status string, version int, created_at long, expires_at long, "
@@ -220,3 +221,134 @@ def test_streams(spark, tmp_path):
     seen = []
     jobs.each_batch(stream, lambda df, i: seen.append(df.count()), str(tmp_path / "cp")).awaitTermination(120)
     assert sum(seen) == 4
+
+
+def test_detail_levels_follow_the_budget(spark):
+    big = lambda c: c * 400
+    rows = [("q", k + 1, big(c), f"s{k}") for k, c in enumerate("ABC")]
+    df = spark.createDataFrame(rows, "q string, rank int, content string, content_summary string")
+    level = lambda name, most: [(r["rank"], r["detail"], r["tokens"]) for r in budget.at_level(df, ["q"], "rank", name, most).orderBy("rank").collect()]
+    assert level("standard", 120) == [(1, "full", 100), (2, "summary", 1), (3, "summary", 1)]
+    assert level("full", 210) == [(1, "full", 100), (2, "full", 100), (3, "summary", 1)]
+    # a first body over the budget gives way to its summary; the first row is admitted all the same
+    assert level("full", 50) == [(1, "summary", 1), (2, "summary", 1), (3, "summary", 1)]
+    assert level("summary", 1) == [(1, "summary", 1)]
+    bare = df.withColumn("content_summary", F.lit(None).cast("string"))
+    assert [(r["rank"], r["detail"]) for r in budget.at_level(bare, ["q"], "rank", "full", 50).collect()] == [(1, "full")]
+    with pytest.raises(ValueError, match="detail_level"):
+        budget.at_level(df, ["q"], "rank", "whole", 1)
+
+
+RUN = "arm string, query_id int, recall double, tokens long, stale long, answered boolean, hydrations int, hydration_tokens long, latency_ms double"
+
+
+def gate_of(spark, candidate, control=(1.0, 100, 0, True, 0, 0), second=None):
+    rows = [("control", 1, *control, 1.0), ("candidate", 1, *candidate, 1.0), ("candidate", 1, *(second or candidate), 1.0)]
+    runs = spark.createDataFrame(rows, RUN)
+    return evaluate.gate(evaluate.summarise_arm(runs, ["arm"]), evaluate.run_deviation(runs, ["arm"]), "control", "candidate").first().asDict()
+
+
+def test_gate_checks(spark):
+    good = gate_of(spark, (1.0, 40, 0, True, 0, 0))
+    assert all(good.values()) and len(good) == 8
+    failing = {
+        "answers_hold": (1.0, 40, 0, False, 0, 0), "recall_holds": (0.95, 40, 0, True, 0, 0), "none_stale": (1.0, 40, 1, True, 0, 0), "hydrations_hold": (1.0, 40, 0, True, 1, 0), "fewer_tokens": (1.0, 50, 0, True, 0, 0),
+    }
+    for name, run in failing.items():
+        out = gate_of(spark, run)
+        assert not out[name] and not out["passed"], name
+    low = gate_of(spark, (0.85, 40, 0, True, 0, 0), control=(0.8, 100, 0, True, 0, 0))
+    assert not low["recall_floor"] and low["recall_holds"] and not low["passed"]
+    unstable = gate_of(spark, (1.0, 40, 0, True, 0, 0), second=(0.9, 40, 0, True, 0, 0))
+    assert not unstable["stable"] and not unstable["passed"]
+
+
+@pytest.mark.parametrize(
+    ("arn", "user", "want"),
+    [
+        ("arn:aws:sts::1:assumed-role/R/me@x.org", None, "me@x.org"), ("arn:aws:iam::1:root", "AIDA1", "AIDA1"), ("arn:aws:iam::1:root", None, "unknown"), ("", "", "unknown"),
+        ("a/" + "x" * 70, None, "x" * 64), ("a/b c!d", None, "b-c-d"), ("a/josé", None, "josé"), ("a/", "u", "unknown"),
+    ],
+)
+def test_source_identity(spark, arn, user, want):
+    df = spark.createDataFrame([(arn, user)], "arn string, usr string")
+    assert df.select(T.clean_source_identity(F.col("arn"), F.col("usr"))).first()[0] == want
+
+
+def test_listings_take_the_first_filter_that_counts(spark):
+    table = mem(spark, *[dict(task_id="p", canonical_id=f"c{k}", created_at=k, parent_key="P" if k % 2 else None, memory_type="chunk" if k % 2 else "semantic") for k in range(7)])
+    keys = lambda filters, **more: [r["key"] for r in listing.list_memories(table, filters, **more).orderBy(*(["pos"] if "canonical_id" not in filters and set(filters) & {"task_id", "parent_key"} else ["key"])).collect()]
+    assert keys({"parent_key": "P", "task_id": "other"}) == [] and keys({"parent_key": "P"}, page_size=2) == ["k5", "k3"]
+    assert keys({"canonical_id": "c2", "task_id": "other"}) == ["k2"]
+    assert keys({"task_id": "p", "memory_type": "semantic"}) == ["k6", "k4", "k2", "k0"] and keys({"team_id": "x"}, page_size=3) == ["k0", "k1", "k2"]
+    pages = listing.by_task(table, page_size=3).orderBy("pos").collect()
+    assert [(r["page"], r["next_key"]) for r in pages] == [(0, None), (0, None), (0, "k3"), (1, None), (1, None), (1, "k0"), (2, None)]
+    with pytest.raises(ValueError, match="page_size"):
+        listing.list_memories(table, {"task_id": "p"}, page_size=0)
+
+
+def test_walk_ends_at_its_limits(spark):
+    table = mem(spark, dict(key="a", supersedes="b", content="x" * 40), dict(key="b", supersedes="a", content="y" * 40), dict(key="c", supersedes="gone", content="z" * 400))
+    seeds = spark.createDataFrame([("w", "shared", 1, "a"), ("w", "shared", 2, "c"), ("w", "shared", 3, "a")], "walk string, index_name string, seed_pos int, key string")
+    walked = lambda **k: [(r["key"], r["level"], r["found"], r["truncated"]) for r in graph.walk(seeds, graph.edges(table), table, **k).orderBy("pos").collect()]
+    assert walked(depth=0) == [("a", 0, True, False), ("c", 0, True, False)]
+    assert walked(depth=1) == [("a", 0, True, False), ("c", 0, True, False), ("b", 1, True, False), ("gone", 1, False, False)]
+    assert walked(depth=1, max_keys=3) == [("a", 0, True, True), ("c", 0, True, True), ("b", 1, True, True)]
+    assert walked(depth=1, max_tokens=50) == [("a", 0, True, True)]
+    with pytest.raises(ValueError, match="depth"):
+        graph.walk(seeds, graph.edges(table), table, depth=-1)
+
+
+def test_pins(spark):
+    table = mem(spark, dict(key="p1", task_id="working-set-w", version=1), dict(key="p2", task_id="working-set-w", version=2), dict(key="p3", task_id="working-set-w", version=3, expires_at=4), dict(key="p4", task_id="working-set-w", version=9, team_id="y"))
+    assert {(r["team_id"], r["key"]) for r in bundles.latest_pin(table, 5).collect()} == {("x", "p2"), ("y", "p4")}
+    named = spark.createDataFrame([("shared", "x", " w ", ["k1", " ", "k2 "]), ("shared", "x", "n", [" "]), ("shared", "z", "w", ["k"])], "index_name string, team_id string, name string, keys array<string>")
+    got = {r["team_id"]: (r["task_id"], r["content"], r["supersedes_key"], r["mode"], r["expires_at"]) for r in bundles.pin_rows(named, table, 5, 60).collect()}
+    assert got == {"x": ("working-set-w", '{"name":"w","keys":["k1","k2"]}', "p2", "auto", 65), "z": ("working-set-w", '{"name":"w","keys":["k"]}', None, "new", 65)}
+
+
+def test_get_and_reinforce(spark):
+    table = mem(spark, dict(content="abc"), dict(content="x" * 50)).drop("doc_id")
+    routed = store.route_content(table, 10)
+    stored = routed.where("content_ref IS NOT NULL").select("index_name", "key", "content")
+    keys = spark.createDataFrame([("shared", "k0"), ("shared", "k1"), ("shared", "none")], "index_name string, key string")
+    got = {r["key"]: (r["content"], r["hydrated"]) for r in store.get(routed.drop("content"), stored, keys).collect()}
+    assert got == {"k0": ("abc", True), "k1": ("x" * 50, True), "none": (None, False)}
+    events, missing = store.reinforce(table, keys, 9)
+    assert sorted(r["key"] for r in events.collect()) == ["k0", "k1"] and [r["key"] for r in missing.collect()] == ["none"]
+
+
+def test_verbs_of_roles():
+    filters.check_verb("auditor", "retrieve")
+    filters.check_verb("planner", "store")
+    for role, verb in (("auditor", "store"), ("auditor", "purge"), ("nobody", "retrieve"), ("planner", "format")):
+        with pytest.raises(PermissionError):
+            filters.check_verb(role, verb)
+
+
+def test_settings_and_json(spark, tmp_path):
+    assert documents.settings('{"region": "a", "bucket": "b"}', ("bucket",), env={"MNEMO_REGION": "c", "OTHER": "d"}) == {"region": "c", "bucket": "b"}
+    with pytest.raises(ValueError, match="bucket, table"):
+        documents.settings("{}", ("table", "bucket"), env={})
+    (tmp_path / "g.json").write_text('{"questions": [{"id": "1", "query": "q",\n "filters": {"team_id": "x"}, "expected_task_ids": ["t"], "downstream": {"answer_task_id": "t"}}]}')
+    row = documents.golden_set(spark, str(tmp_path / "g.json")).first()
+    assert (row["id"], row["filters"], row["expected"], row["answer_task_id"]) == ("1", {"team_id": "x"}, ["t"], "t")
+    assert documents.json_rows(spark.createDataFrame([(1, None)], "a int, b string")).first()[0] == '{"a":1,"b":null}'
+
+
+def test_excludes_are_globs(spark, tmp_path):
+    for name in ("a.md", "b.md", "sub/c.md", "sub/MEMORY.md", "old/d.md"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(name)
+    stems = lambda *x: sorted(r["stem"] for r in ingest.read_markdown(spark, str(tmp_path), x).collect())
+    assert stems() == ["a", "b", "c", "d"] and stems("b*") == ["a", "c", "d"] and stems("old/*.md", "a.md") == ["b", "c"]
+    assert [r["text"] for r in ingest.read_markdown(spark, str(tmp_path / "a.md")).collect()] == ["a.md"]
+
+
+def test_scan_and_blocks_of_batch_search_agree(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = [(k, "ab"[k % 2], [float(rng.randrange(-2, 3)) for _ in range(3)] if k % 9 else None) for k in range(80)]
+    df = spark.createDataFrame(rows, "vec_id long, g string, embedding array<double>").repartition(5)
+    scan = sorted(search.batch_top_k(df.where("vec_id < 20"), df, 4, by=["g"]).collect())
+    monkeypatch.setattr(search, "QUERY_BYTES", 0)
+    assert scan == sorted(search.batch_top_k(df.where("vec_id < 20"), df, 4, by=["g"], block=16).collect()) and len(scan) > 40

@@ -12,8 +12,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnemo.llm.common import written
-from mnemo.llm.graph import broadcast_if_small, components
+from mnemo.llm.common import join_small, written
+from mnemo.llm.graph import components
 
 TABLES = 10
 PROBES = 4
@@ -73,6 +73,29 @@ def bucket_keys(unit: np.ndarray, functions: int, tables: int = TABLES, probes:
     return out
 
 
+def sketches(unit: np.ndarray, seed: int = 10) -> np.ndarray:
+    """(n, 2) words of 128 bits: on which side of random hyperplanes a vector lies."""
+    planes = np.random.default_rng(seed).normal(size=(unit.shape[1], 128))
+    return np.packbits(unit @ planes > 0, axis=1).view(np.int64)
+
+
+def most_apart(threshold: float) -> int:
+    """Sketch bits in which two vectors of this cosine differ at most, seven standard deviations above their mean."""
+    p = math.acos(max(-1.0, min(1.0, threshold))) / math.pi
+    return math.ceil(128 * p + 7 * math.sqrt(128 * p * (1 - p)))
+
+
+def worth_comparing(pdf: pd.DataFrame, apart: int) -> pd.DataFrame:
+    """Those members of small buckets that have another of their bucket near by their sketches."""
+    pdf = pdf.sort_values("key", kind="stable")
+    key, one, two = pdf["key"].to_numpy(), *(pdf[c].to_numpy().view(np.uint64) for c in ("s1", "s2"))  # counts of signed words leave out the sign
+    near = np.zeros(len(pdf), dtype=bool)
+    for a, b in _same_bucket(key):
+        close = np.bitwise_count(one[a] ^ one[b]).astype(np.int64) + np.bitwise_count(two[a] ^ two[b]) <= apart
+        near[a[close]] = near[b[close]] = True
+    return pdf.loc[near, ["rep", "key"]]
+
+
 def clean_vectors(df: DataFrame) -> DataFrame:
     """(vec_id, digest, dim, unit): digest is null for a vector that links with nothing."""
 
@@ -199,8 +222,8 @@ def near_duplicates(df: DataFrame, threshold: float = 0.95, tables: int = TABLES
     vector each; an empty table gives an empty result.
     """
     rows = written(clean_vectors(df), "vec-clean")
-    classes = rows.where("digest IS NOT NULL").groupBy("digest").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("mult"), F.first("unit").alias("unit"), F.first("dim").alias("dim"))
-    reps = written(classes, "vec-classes")
+    classes = rows.where("digest IS NOT NULL").groupBy("digest").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("mult"), F.first("unit").alias("unit"), F.first("dim").alias("dim"))
+    reps = written(classes.withColumn("rep", F.monotonically_increasing_id()), "vec-classes")
     n, dim = reps.agg(F.count(F.lit(1)), F.coalesce(F.max("dim"), F.lit(2))).first()
     functions = max(3, math.ceil(math.log(max(4 * n, 2)) / math.log(2 * max(2, dim))))
 
@@ -208,36 +231,46 @@ def near_duplicates(df: DataFrame, threshold: float = 0.95, tables: int = TABLES
         for batch in batches:
             dims = np.array(batch.column(2).to_pylist(), dtype=np.int64)
             keys = np.zeros((batch.num_rows, tables * probes), dtype=np.int64)
+            bits = np.zeros((batch.num_rows, 2), dtype=np.int64)
             raw = batch.column(3).to_pylist()
             for d in np.unique(dims):
                 at = np.flatnonzero(dims == d)
                 for k in range(0, len(at), 2048):
                     part = at[k : k + 2048]
                     unit = np.frombuffer(b"".join(raw[i] for i in part), dtype=np.float64).reshape(len(part), -1)
+                    bits[part] = sketches(unit)
                     keys[part] = bucket_keys(unit, functions, tables, probes) ^ (np.int64(d) << np.int64(40))
             flat = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, keys.shape[1]), pa.int32()), pa.array(keys.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), flat, batch.column(3)], names=["rep", "mult", "keys", "unit"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), flat, batch.column(3), pa.array(bits[:, 0]), pa.array(bits[:, 1])], names=["rep", "mult", "keys", "unit", "s1", "s2"])
 
-    coded = written(reps.select("rep", "mult", "dim", "unit").mapInArrow(hashed, "rep long, mult long, keys array<long>, unit binary"), "vec-keys")
-    members = coded.select("rep", F.explode(F.array_distinct("keys")).alias("key"))
+    coded = written(reps.select("rep", "mult", "dim", "unit").mapInArrow(hashed, "rep long, mult long, keys array<long>, unit binary, s1 long, s2 long"), "vec-keys")
+    members = coded.select("rep", "s1", "s2", F.explode(F.array_distinct("keys")).alias("key"))
     buckets = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    hits = written(members.join(buckets, "key").select("rep", "key", F.ceil(F.col("n") / BLOCK).alias("blocks")), "vec-buckets")
-    bins = 1 + hits.where("blocks = 1").count() // BIN
-    small = hits.where("blocks = 1").select("rep", "key", F.pmod(F.xxhash64("key"), F.lit(bins)).alias("bin"), *[F.lit(0).cast("long").alias(c) for c in ("block", "i", "j")])
+    hits = written(members.join(buckets, "key").select("rep", "key", "s1", "s2", F.ceil(F.col("n") / BLOCK).alias("blocks")), "vec-buckets")
+    # vectors and keys are sent only for hits that narrow sketches leave; 16 bytes a hit settle most
+    few = hits.where("blocks = 1")
+    bins = 1 + few.count() // (4 * BIN)
+    apart = most_apart(threshold)
+    few = few.withColumn("bin", F.pmod(F.xxhash64("key"), F.lit(bins))).groupBy("bin").applyInPandas(lambda pdf: worth_comparing(pdf, apart), "rep long, key long")
+    few = written(few, "vec-near")
+    bins = 1 + few.count() // BIN
+    small = few.select("rep", "key", F.pmod(F.xxhash64("key"), F.lit(bins)).alias("bin"), *[F.lit(0).cast("long").alias(c) for c in ("block", "i", "j")])
     placed = hits.where("blocks > 1").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     large = placed.select("rep", "key", F.col("key").alias("bin"), "block", (F.least("block", "other") + 1).alias("i"), (F.greatest("block", "other") + 1).alias("j")).withColumn("block", F.col("block") + 1)
-    work = small.unionByName(large).join(coded, "rep").withColumn("width", F.octet_length("unit"))
+    work = small.unionByName(large).join(coded.drop("s1", "s2"), "rep").withColumn("width", F.octet_length("unit"))
     out = written(work.groupBy("bin", "i", "j", "width").applyInPandas(lambda pdf: compare_bin(pdf, threshold), "a long, b long, links long"), "vec-links")
     links = out.where("b IS NULL").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("_links"))
-    parts = components(out.where("b IS NOT NULL").select("a", "b"))
+    parts = written(components(out.where("b IS NOT NULL").select("a", "b")).withColumnRenamed("node", "rep").join(reps.select("rep", "least"), "rep"), "vec-parts")
+    lowest = parts.groupBy("component").agg(F.min("least").alias("lowest"))
+    parts = parts.join(lowest, "component").select("rep", "lowest")
     verdict = written(
-        reps.select("digest", "rep", "mult").join(links, "rep", "left").join(parts.withColumnRenamed("node", "rep"), "rep", "left")
-        .select("digest", (F.coalesce("_links", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+        reps.select("digest", "rep", "least", "mult").join(links, "rep", "left").join(parts, "rep", "left")
+        .select("digest", (F.coalesce("_links", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("lowest", "least").alias("component_id"))
         .where("n_links > 0"),
         "vec-verdicts",
     )
     narrow = rows.select("vec_id", "digest")
-    return narrow.join(broadcast_if_small(verdict), "digest", "left").select(
+    return join_small(narrow, verdict, "digest", "left", spread="vec_id").select(
         "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"),
         (F.coalesce("component_id", "vec_id") == F.col("vec_id")).alias("kept"),
     )

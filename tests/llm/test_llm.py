@@ -620,6 +620,15 @@ def test_hash_recall_at_threshold():
     y = 0.95 * x + np.sqrt(1 - 0.95**2) * n / np.linalg.norm(n, axis=1, keepdims=True)
     a, b = crosspoly.bucket_keys(x, 3), crosspoly.bucket_keys(y, 3)
     assert np.mean([(a[:, i : i + 1] == b).any(1) for i in range(a.shape[1])], axis=0).astype(bool).mean() > 0.99
+    one, two = crosspoly.sketches(x).view(np.uint64), crosspoly.sketches(y).view(np.uint64)
+    assert np.bitwise_count(one ^ two).astype(int).sum(1).max() <= crosspoly.most_apart(0.95) < np.bitwise_count(one ^ one[::-1]).astype(int).sum(1).mean() - 20
+
+
+def test_rows_of_one_vec_id_are_a_vector_each(spark):
+    rows = [(1, [1.0, 0.0, 0.1]), (1, [1.0, 0.0, 0.1]), (1, [0.0, 1.0, 0.0]), (2, [0.0, 1.0, 0.02]), (None, [0.0, 0.0, 1.0])]
+    got = sorted(((r["vec_id"] or -1, r["n_links"]) for r in crosspoly.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()))
+    assert got == [(-1, 0), (1, 1), (1, 1), (1, 1), (2, 1)]
+    assert {r["component_id"] for r in crosspoly.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()} == {1, None}
 
 
 # -- prefix sums, pipeline ----------------------------------------------------------------------
@@ -653,4 +662,28 @@ def test_pipeline_stages(spark, odd):
     mixed = common.written(stages["source_mix"](spark, after, ""), "t")
     assert mixed.columns == docs.columns and {r["doc_id"] for r in mixed.collect()} <= set(range(1, 61))
     packed = stages["packing"](spark, mixed, "")
+    assert {r["doc_id"] for r in packed.collect()} == {r["doc_id"] for r in mixed.collect()}
     assert packed.agg(F.sum("length")).first()[0] == packed.select("doc_id", "doc_tokens", "start").where("start = 0").agg(F.sum("doc_tokens")).first()[0]
+
+
+@pytest.mark.parametrize("stage", ["language_id", "exact_dedup", "ngram_jaccard_join", "source_mix", "packing"])
+def test_pipeline_stages_take_odd_rows(spark, odd, stage):
+    run = dict(pytest.importorskip("corpus_pipeline").STAGES)[stage]
+    clash = odd
+    for name in ("_id", "_digest", "_row", "_n", "_h1", "_h2", "_number", "_kept", "_size", "_words", "_salt", "shard", "sig", "p", "h", "tokens"):
+        clash = clash.withColumn(name, F.lit("x"))
+    rows = run(spark, clash, "").collect()
+    ids = sorted((r["doc_id"] if r["doc_id"] is not None else -1) for r in rows)
+    if stage == "packing":
+        assert set(ids) == {-1, 1, 2, 3, 4, 5, 6, 8}
+    else:
+        assert rows[0].asDict().keys() == dict.fromkeys(clash.columns).keys() and all(r["_row"] == "x" and r["sig"] == "x" for r in rows)
+    if stage == "language_id":
+        assert ids == [-1, 4, 5, 6, 6]
+    elif stage == "exact_dedup":
+        assert ids == [-1, 2, 3, 4, 6, 8]
+    elif stage == "ngram_jaccard_join":
+        assert ids == [-1, 1, 2, 3, 4, 5, 8]
+    elif stage == "source_mix":
+        assert set(ids) <= {-1, 4, 5, 6, 8} and 4 in ids
+    assert run(spark, clash.limit(0), "").count() == 0

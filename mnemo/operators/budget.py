@@ -9,10 +9,24 @@ from mnemo import schema as S
 from mnemo.functions import text as T
 
 
-def within_budget(df: DataFrame, by: list[str], order: str, max_tokens: int, tokens: str = "tokens") -> DataFrame:
-    """Rows of each group in order while their tokens fit; the first always does."""
-    upto = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    numbered = df.withColumn("used_tokens", F.sum(tokens).over(upto)).withColumn("_rn", F.row_number().over(Window.partitionBy(*by).orderBy(order)))
+def within_budget(df: DataFrame, by: list[str], order: str, max_tokens: int, tokens: str = "tokens", chunk: Column | None = None) -> DataFrame:
+    """Rows of each group in order while their tokens fit; the first always does.
+
+    ``chunk`` cuts groups that are no short lists: a number that never falls along ``order``. Sums then
+    run within chunks, over which their totals are carried, so that no task holds a whole group.
+    """
+    parts = [*by, "_chunk"] if chunk is not None else by
+    upto = Window.partitionBy(*parts).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    numbered = (df if chunk is None else df.withColumn("_chunk", chunk)).withColumn("used_tokens", F.sum(tokens).over(upto)).withColumn("_rn", F.row_number().over(Window.partitionBy(*parts).orderBy(order)))
+    if chunk is not None:
+        before = Window.partitionBy(*[f"_g{k}" for k in range(len(by))]).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+        totals = df.groupBy(*[F.col(c).alias(f"_g{k}") for k, c in enumerate(by)], chunk.alias("_part")).agg(F.sum(tokens).alias("_sum"), F.count(F.lit(1)).alias("_rows"))
+        totals = totals.withColumn("_sum", F.coalesce(F.sum("_sum").over(before), F.lit(0))).withColumn("_rows", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
+        same = F.col("_chunk").eqNullSafe(F.col("_part"))
+        for k, c in enumerate(by):
+            same = same & F.col(c).eqNullSafe(F.col(f"_g{k}"))
+        numbered = numbered.join(totals, same).withColumn("used_tokens", F.col("used_tokens") + F.col("_sum")).withColumn("_rn", F.col("_rn") + F.col("_rows"))
+        numbered = numbered.drop("_chunk", "_part", "_sum", "_rows", *[f"_g{k}" for k in range(len(by))])
     return numbered.where((F.col("_rn") == 1) | (F.col("used_tokens") <= max_tokens)).drop("_rn")
 
 

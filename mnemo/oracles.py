@@ -124,6 +124,26 @@ eg AS (SELECT index_name, key AS src, supersedes AS dst, 0 AS ord FROM mem WHERE
   UNION ALL SELECT index_name, key, regexp_extract_all(content, '\bmem_[a-zA-Z0-9][a-zA-Z0-9_-]*_v\d+\b')[i], 1 + i FROM mem, range(1, 200) t(i) WHERE i <= len(regexp_extract_all(content, '\bmem_[a-zA-Z0-9][a-zA-Z0-9_-]*_v\d+\b'))
   UNION ALL SELECT m.index_name, m.key, l.dst, 999 + i FROM mem m, range(1, 3) t(i), latest l WHERE i <= len(m.linked_ids) AND l.index_name = m.index_name AND l.canonical_id = m.linked_ids[i])"""
 
+def leading(name: str, matrix: str) -> str:
+    """``name``: the leading eigenvector (v) of a symmetric matrix (c, a list of rows), by repeated squaring, its largest loading positive."""
+    return f"""{name}_p AS (SELECT 0 AS k, c AS m FROM {matrix} UNION ALL SELECT k + 1, list_transform(m, lambda r: list_transform(m, lambda q: list_dot_product(r, q) / (t * t))) FROM (SELECT k, m, list_sum(list_transform(range(1, len(m) + 1), lambda i: m[i][i])) AS t FROM {name}_p WHERE k < 30)),
+{name}_r AS (SELECT m[list_position(d, list_max(d))] AS r FROM (SELECT m, list_transform(range(1, len(m) + 1), lambda i: m[i][i]) AS d FROM {name}_p WHERE k = 30)),
+{name}_u AS (SELECT list_transform(r, lambda x: x / s) AS u FROM (SELECT r, sqrt(list_dot_product(r, r)) AS s FROM {name}_r)),
+{name} AS (SELECT list_transform(u, lambda x: x * CASE WHEN list_max(u) >= -list_min(u) THEN 1 ELSE -1 END) AS v FROM {name}_u)"""
+
+
+PCA = f"""WITH RECURSIVE e AS (SELECT vec_id, embedding :: DOUBLE[] AS v FROM embeddings WHERE embedding IS NOT NULL),
+mean AS (SELECT i, avg(v[i]) AS m FROM e, range(1, (SELECT max(len(v)) + 1 FROM e)) t(i) GROUP BY i),
+x AS (SELECT vec_id, i, v[i] - m AS x FROM e, mean),
+co AS (SELECT a.i, b.i AS j, sum(a.x * b.x) AS s FROM x a JOIN x b USING (vec_id) GROUP BY 1, 2),
+m1 AS (SELECT list(r ORDER BY i) AS c FROM (SELECT i, list(s ORDER BY j) AS r FROM co GROUP BY i)),
+{leading("one", "m1")},
+m2 AS (SELECT list_transform(range(1, len(v) + 1), lambda i: list_transform(range(1, len(v) + 1), lambda j: c[i][j] - w * v[i] * v[j])) AS c FROM (SELECT c, v, list_dot_product(v, list_transform(c, lambda r: list_dot_product(r, v))) AS w FROM m1, one)),
+{leading("two", "m2")},
+p AS (SELECT vec_id, list_dot_product(e.v, one.v) AS a, list_dot_product(e.v, two.v) AS b FROM e, one, two)
+SELECT vec_id, round((a - min(a) OVER ()) / (max(a) OVER () - min(a) OVER ()) * 2 - 1, 4) AS c1, round((b - min(b) OVER ()) / (max(b) OVER () - min(b) OVER ()) * 2 - 1, 4) AS c2 FROM p"""
+
+
 LEAD = "'lead' || chr(10) || '## Part one' || chr(10) || replace(text, chr(10), chr(10) || '## Next' || chr(10))"
 SHORT_LEAD = "'lead' || chr(10) || text"
 
@@ -263,4 +283,5 @@ SELECT index_name, CASE WHEN EXISTS (SELECT 1 FROM pr WHERE pr.index_name = mem.
     "ingest_plan": f"WITH {chunks(LEAD)} SELECT doc_id :: VARCHAR AS stem, section, part :: INTEGER AS part, substr(CASE WHEN heading LIKE '(%' THEN 'About ' || doc_id ELSE heading END, 1, 400) AS summary, length(piece) // 4 AS tokens FROM c",
     "ingest_histogram": f"WITH {chunks(SHORT_LEAD)}, z AS (SELECT source AS stem, count(*) AS chunks, sum(length(piece)) // 4 AS tokens FROM c GROUP BY 1) SELECT stem, chunks, tokens :: BIGINT AS tokens, round(tokens / 1000.0 :: DOUBLE * 0.00002 :: DOUBLE, 6) AS cost FROM z",
     "distinct_counts": f"WITH {MEM} SELECT count(DISTINCT team_id) AS n_team_id, count(DISTINCT agent_id) AS n_agent_id, count(DISTINCT task_id) AS n_task_id FROM mem",
+    "galaxy_pca": PCA,
 }

@@ -32,9 +32,9 @@ def _probes(spark: SparkSession, d: str) -> DataFrame:
 
 def _hits(spark: SparkSession, d: str) -> DataFrame:
     """(query_id, distance, pos, record) of the 20 nearest live records of each probe."""
-    mem, now = memories(spark, d, vectors=True), clock(spark, d)
+    mem, now = memories(spark, d, vectors=True, content=False), clock(spark, d)
     near = search.batch_top_k(_probes(spark, d), search.live(mem, now).select(F.col("doc_id").alias("vec_id"), "embedding"), S.OVERSAMPLE)
-    narrow = memories(spark, d).drop("content")
+    narrow = memories(spark, d, content=False)
     return near.join(narrow, near["id"] == narrow["doc_id"]).drop("id").withColumnRenamed("rank", "pos")
 
 
@@ -74,7 +74,7 @@ def _ranked(spark: SparkSession, d: str, mode: str) -> DataFrame:
 def _use_events(spark: SparkSession, d: str) -> DataFrame:
     """Each view event is a use of the record whose doc_id is its user_id."""
     views = table(spark, d, "events").where("event_type = 'view'").select(F.col("user_id").alias("doc_id"), F.unix_timestamp("ts").alias("ts"))
-    return views.join(memories(spark, d).select("doc_id", "canonical_id"), "doc_id").select("canonical_id", "ts")
+    return views.join(memories(spark, d, content=False).select("doc_id", "canonical_id"), "doc_id").select("canonical_id", "ts")
 
 
 @query
@@ -95,7 +95,7 @@ def mmr_diversify(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def chunk_promotion(spark: SparkSession, d: str) -> DataFrame:
-    return search.promote_chunks(_hits(spark, d), memories(spark, d).drop("content"), ["query_id"]).select("query_id", "pos", "key", "memory_type")
+    return search.promote_chunks(_hits(spark, d), memories(spark, d, content=False), ["query_id"]).select("query_id", "pos", "key", "memory_type")
 
 
 def _level(spark: SparkSession, d: str, level: str, most: int) -> DataFrame:
@@ -148,23 +148,23 @@ def exact_duplicate_groups(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def vector_keys(spark: SparkSession, d: str) -> DataFrame:
-    return memories(spark, d).select("doc_id", "index_name", "key", "canonical_id", "version", "status", "memory_type", "supersedes", "parent_key", "archived_at", "expires_at", "linked_ids")
+    return memories(spark, d, content=False).select("doc_id", "index_name", "key", "canonical_id", "version", "status", "memory_type", "supersedes", "parent_key", "archived_at", "expires_at", "linked_ids")
 
 
 @query
 def collapse_latest(spark: SparkSession, d: str) -> DataFrame:
-    m = memories(spark, d).drop("content").withColumn("pos", F.col("doc_id"))
+    m = memories(spark, d, content=False).withColumn("pos", F.col("doc_id"))
     return search.collapse_latest(m, ["index_name"], ["pos"]).select("index_name", "canonical_id", "key", "version", F.col("group_order.pos").alias("first_pos"))
 
 
 @query
 def canonical_index_view(spark: SparkSession, d: str) -> DataFrame:
-    return search.latest_view(memories(spark, d)).select("index_name", "canonical_id", "key", "version", "status", "created_at", "n_versions")
+    return search.latest_view(memories(spark, d, content=False)).select("index_name", "canonical_id", "key", "version", "status", "created_at", "n_versions")
 
 
 @query
 def live_filter(spark: SparkSession, d: str) -> DataFrame:
-    return search.live(memories(spark, d), clock(spark, d)).select("doc_id", "key", "expires_at")
+    return search.live(memories(spark, d, content=False), clock(spark, d)).select("doc_id", "key", "expires_at")
 
 
 @query
@@ -176,12 +176,12 @@ def filter_doc_ops(spark: SparkSession, d: str) -> DataFrame:
         ],
         "linked_ids": {"$exists": True},
     }
-    return memories(spark, d).where(filters.compile_filter(doc)).select("doc_id", "status", "memory_type")
+    return memories(spark, d, content=False).where(filters.compile_filter(doc)).select("doc_id", "status", "memory_type")
 
 
 @query
 def role_views(spark: SparkSession, d: str) -> DataFrame:
-    m = memories(spark, d)
+    m = memories(spark, d, content=False)
     out = None
     for role in S.ROLE_INDEXES:
         part = m.where(filters.allowed_indexes(role)).groupBy("index_name").agg(F.count(F.lit(1)).alias("n")).withColumn("role", F.lit(role))
@@ -192,7 +192,7 @@ def role_views(spark: SparkSession, d: str) -> DataFrame:
 @query
 def probe_indexes(spark: SparkSession, d: str) -> DataFrame:
     """The first index, in order, that holds a key with the hash of every twentieth document."""
-    m = memories(spark, d)
+    m = memories(spark, d, content=False)
     asked = m.where("doc_id % 20 = 0").select("content_hash").distinct()
     order = F.when(F.col("index_name") == "shared", 0).when(F.col("index_name") == "private-a", 1).otherwise(2)
     return m.join(asked, "content_hash").groupBy("content_hash").agg(F.min_by("key", F.struct(order, "doc_id")).alias("key"), F.min_by("index_name", F.struct(order, "doc_id")).alias("index_name"))
@@ -219,7 +219,7 @@ def content_routing(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def extract_cites(spark: SparkSession, d: str) -> DataFrame:
-    m = memories(spark, d).withColumn("note", F.concat(F.lit("see "), "key", F.lit(", "), F.coalesce("supersedes", F.lit("none")), F.lit(" and "), "key"))
+    m = memories(spark, d, content=False).withColumn("note", F.concat(F.lit("see "), "key", F.lit(", "), F.coalesce("supersedes", F.lit("none")), F.lit(" and "), "key"))
     return m.select("doc_id", F.posexplode(T.extract_cites(F.col("note"))).alias("pos", "cited"))
 
 
@@ -246,7 +246,7 @@ def markdown_chunks(spark: SparkSession, d: str) -> DataFrame:
 @query
 def budget_pack(spark: SparkSession, d: str) -> DataFrame:
     m = memories(spark, d).withColumn("tokens", T.estimate_tokens(T.preview(F.col("content_summary"), F.col("content"))))
-    return budget.within_budget(m, ["index_name", "task_id"], "doc_id", 200).select("index_name", "task_id", "doc_id", "used_tokens")
+    return budget.within_budget(m, ["index_name", "task_id"], "doc_id", 200, chunk=F.floor(F.col("doc_id") / 65536)).select("index_name", "task_id", "doc_id", "used_tokens")
 
 
 @query
@@ -315,18 +315,18 @@ def retrieve_pack_team(spark: SparkSession, d: str) -> DataFrame:
 @query
 def list_by_task(spark: SparkSession, d: str) -> DataFrame:
     """Every task's active latest versions, newest first, in pages with the key a reader goes on from."""
-    return listing.by_task(memories(spark, d), status="active").select("index_name", "task_id", "key", "created_at", "pos", "page", "next_key")
+    return listing.by_task(memories(spark, d, content=False), status="active").select("index_name", "task_id", "key", "created_at", "pos", "page", "next_key")
 
 
 @query
 def list_by_parent(spark: SparkSession, d: str) -> DataFrame:
-    return listing.by_parent(memories(spark, d)).select("index_name", "parent_key", "key", "created_at", "pos")
+    return listing.by_parent(memories(spark, d, content=False)).select("index_name", "parent_key", "key", "created_at", "pos")
 
 
 @query
 def list_task_vectors(spark: SparkSession, d: str) -> DataFrame:
     """A task's page of listed keys with their records, by the precedence of list filters."""
-    rows = listing.list_memories(memories(spark, d), {"task_id": "src3", "status": "active", "memory_type": "semantic"})
+    rows = listing.list_memories(memories(spark, d, content=False), {"task_id": "src3", "status": "active", "memory_type": "semantic"})
     return rows.select("index_name", "pos", "key", "doc_id")
 
 
@@ -343,45 +343,45 @@ def get_memory(spark: SparkSession, d: str) -> DataFrame:
 @query
 def reinforce_memory(spark: SparkSession, d: str) -> DataFrame:
     """Use counters after every twentieth record is reinforced once."""
-    m, now = memories(spark, d), clock(spark, d)
+    m, now = memories(spark, d, content=False), clock(spark, d)
     events, _ = store.reinforce(m, m.where("doc_id % 20 = 0").select("index_name", "key").distinct(), now)
     return store.usage_counters(_use_events(spark, d).unionByName(events.select("canonical_id", "ts"))).select("canonical_id", "use_count", "last_used_at")
 
 
 @query
 def record_view(spark: SparkSession, d: str) -> DataFrame:
-    return documents.record_view(memories(spark, d))
+    return documents.record_view(memories(spark, d, content=False))
 
 
 @query
 def list_by_canonical(spark: SparkSession, d: str) -> DataFrame:
-    m = memories(spark, d)
+    m = memories(spark, d, content=False)
     latest = search.latest_view(m).select("index_name", "canonical_id", "key")
     return latest.join(m.drop("canonical_id"), ["index_name", "key"]).select("index_name", "canonical_id", "key", "version", "doc_id")
 
 
 @query
 def linked_by(spark: SparkSession, d: str) -> DataFrame:
-    m = memories(spark, d)
+    m = memories(spark, d, content=False)
     target = m.where("doc_id = 20").select("canonical_id").first()[0]
     return graph.linked_by(m, target).select("doc_id", "key", "canonical_id")
 
 
 @query
 def orphan_facts(spark: SparkSession, d: str) -> DataFrame:
-    return graph.orphans(memories(spark, d)).select("doc_id", "index_name", "canonical_id")
+    return graph.orphans(memories(spark, d, content=False)).select("doc_id", "index_name", "canonical_id")
 
 
 @query
 def impact_closure(spark: SparkSession, d: str) -> DataFrame:
-    m = memories(spark, d)
+    m = memories(spark, d, content=False)
     roots = m.where("doc_id % 20 = 0").select("index_name", "canonical_id").distinct()
     return graph.impact(m, roots, 2).select("index_name", "root", "canonical_id", "level")
 
 
 @query
 def version_chain(spark: SparkSession, d: str) -> DataFrame:
-    return graph.version_chain(memories(spark, d)).select("doc_id", "key", "chain_pos", "chain_len")
+    return graph.version_chain(memories(spark, d, content=False)).select("doc_id", "key", "chain_pos", "chain_len")
 
 
 @query
@@ -403,7 +403,7 @@ def expand_walk(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _classified(spark: SparkSession, d: str) -> DataFrame:
-    m = memories(spark, d, vectors=True)
+    m = memories(spark, d, vectors=True, content=False)
     fresh = m.where("doc_id % 4 = 0").select(
         F.col("doc_id").alias("seq"), "index_name", "task_id", "embedding", F.when(F.col("doc_id") % 3 == 0, F.col("content_hash")).otherwise(F.concat("content_hash", F.lit("x"))).alias("content_hash"),
         F.when(F.col("doc_id") % 5 == 0, F.col("key")).alias("supersedes_key"), F.lit("auto").alias("mode"), "agent_id", "linked_ids", "created_at",
@@ -432,13 +432,13 @@ def action_histogram(spark: SparkSession, d: str) -> DataFrame:
 @query
 def supersede_states(spark: SparkSession, d: str) -> DataFrame:
     """What superseding writes append: the new versions and the retired ones."""
-    return store.supersede(_classified(spark, d), memories(spark, d), clock(spark, d)).select("index_name", "key", "version", "canonical_id", "status", "created_at", "supersedes")
+    return store.supersede(_classified(spark, d), memories(spark, d, content=False), clock(spark, d)).select("index_name", "key", "version", "canonical_id", "status", "created_at", "supersedes")
 
 
 @query
 def current_state(spark: SparkSession, d: str) -> DataFrame:
     """The log of records, then their archiving, then the deletion of some: what is there now."""
-    m, now = memories(spark, d), clock(spark, d)
+    m, now = memories(spark, d, content=False), clock(spark, d)
     log = m.select("index_name", "key", "status", "archived_at", F.lit(1).alias("op_seq"), F.lit(False).alias("deleted"))
     archived = store.archive(m, m.where("doc_id % 3 = 0").select("index_name", "key"), now).select("index_name", "key", "status", "archived_at", F.lit(2).alias("op_seq"), F.lit(False).alias("deleted"))
     gone = m.where("doc_id % 6 = 0").select("index_name", "key", "status", "archived_at", F.lit(3).alias("op_seq"), F.lit(True).alias("deleted"))
@@ -447,7 +447,7 @@ def current_state(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def chunk_parents(spark: SparkSession, d: str) -> DataFrame:
-    m = memories(spark, d)
+    m = memories(spark, d, content=False)
     valid, invalid = store.chunk_parents(m.withColumn("parent_key", F.when(F.col("doc_id") % 2 == 0, F.concat("parent_key", F.lit("x"))).otherwise(F.col("parent_key"))), m)
     return valid.select("doc_id", F.lit(True).alias("valid")).unionByName(invalid.select("doc_id", F.lit(False).alias("valid")))
 
@@ -465,7 +465,7 @@ def embed_cached(spark: SparkSession, d: str) -> DataFrame:
 @query
 def ttl_sweep(spark: SparkSession, d: str) -> DataFrame:
     """Records that a whole sweep leaves, by index and status."""
-    after, _ = lifecycle.sweep(memories(spark, d), clock(spark, d), cap=1 << 60)
+    after, _ = lifecycle.sweep(memories(spark, d, content=False), clock(spark, d), cap=1 << 60)
     return after.groupBy("index_name", "status").agg(F.count(F.lit(1)).alias("n"), F.sum("doc_id").alias("ids"))
 
 
@@ -495,13 +495,13 @@ def restore_memory(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def archive_memory(spark: SparkSession, d: str) -> DataFrame:
-    m = memories(spark, d)
+    m = memories(spark, d, content=False)
     return store.archive(m, m.where("doc_id % 3 = 0").select("index_name", "key"), clock(spark, d)).select("index_name", "key", "status", "archived_at")
 
 
 @query
 def purge_memory(spark: SparkSession, d: str) -> DataFrame:
-    m = memories(spark, d)
+    m = memories(spark, d, content=False)
     left = store.purge(m, m.where("doc_id % 7 = 0").select("index_name", "canonical_id").distinct())
     return left.groupBy("index_name").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_doc"))
 
@@ -513,28 +513,28 @@ def usage_counters(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def ttl_promote(spark: SparkSession, d: str) -> DataFrame:
-    return lifecycle.promote_superseded(memories(spark, d), clock(spark, d)).select("doc_id", "key", "status", "archived_at")
+    return lifecycle.promote_superseded(memories(spark, d, content=False), clock(spark, d)).select("doc_id", "key", "status", "archived_at")
 
 
 @query
 def ttl_delete_archived(spark: SparkSession, d: str) -> DataFrame:
-    return lifecycle.delete_archived(memories(spark, d), clock(spark, d), 10 * 86_400).select("doc_id", "key", "archived_at")
+    return lifecycle.delete_archived(memories(spark, d, content=False), clock(spark, d), 10 * 86_400).select("doc_id", "key", "archived_at")
 
 
 @query
 def ttl_delete_expired(spark: SparkSession, d: str) -> DataFrame:
-    return lifecycle.delete_expired(memories(spark, d), clock(spark, d)).select("doc_id", "key", "expires_at")
+    return lifecycle.delete_expired(memories(spark, d, content=False), clock(spark, d)).select("doc_id", "key", "expires_at")
 
 
 @query
 def ttl_breaker(spark: SparkSession, d: str) -> DataFrame:
-    m = memories(spark, d)
+    m = memories(spark, d, content=False)
     return lifecycle.breaker_status(m, lifecycle.delete_expired(m, clock(spark, d)), cap=5)
 
 
 @query
 def reconcile_drift(spark: SparkSession, d: str) -> DataFrame:
-    m = memories(spark, d)
+    m = memories(spark, d, content=False)
     stale = search.latest_view(m.where("doc_id % 5 <> 0"))
     return lifecycle.reconcile_drift(m, stale).select("index_name", "canonical_id", "actual_key", "actual_status", "view_key")
 
@@ -544,7 +544,7 @@ def reconcile_drift(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def galaxy_counts(spark: SparkSession, d: str) -> DataFrame:
-    m = memories(spark, d).where("status = 'active'")
+    m = memories(spark, d, content=False).where("status = 'active'")
     return projection.group_counts(m, "agent_id").select(F.lit("agent").alias("kind"), F.col("agent_id").alias("name"), "n").unionByName(
         projection.group_counts(m, "team_id").select(F.lit("team").alias("kind"), F.col("team_id").alias("name"), "n")
     )
@@ -552,12 +552,12 @@ def galaxy_counts(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def distinct_counts(spark: SparkSession, d: str) -> DataFrame:
-    return memories(spark, d).agg(*[F.count_distinct(c).alias(f"n_{c}") for c in ("team_id", "agent_id", "task_id")])
+    return memories(spark, d, content=False).agg(*[F.count_distinct(c).alias(f"n_{c}") for c in ("team_id", "agent_id", "task_id")])
 
 
 @query
 def constellations(spark: SparkSession, d: str) -> DataFrame:
-    m = memories(spark, d, vectors=True).select("task_id", F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y"))
+    m = memories(spark, d, vectors=True, content=False).select("task_id", F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y"))
     return projection.constellations(m).select("task_id", "n", *[F.round(c, 6).alias(c) for c in ("cx", "cy", "spread")])
 
 
@@ -671,12 +671,12 @@ def source_identities(spark: SparkSession, d: str) -> DataFrame:
     """Principals made from agents and teams, cleaned as the audit trail takes them, with what they stored."""
     arn = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("arn:x/role/aws:aws:"), "agent_id", F.lit(" é"), "team_id")).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("arn/"), F.repeat(F.lit("aws:"), 15), "agent_id", "team_id")).otherwise(F.lit("arn"))
     user = F.when(F.col("doc_id") % 2 == 0, F.concat("task_id", F.lit("|u")))
-    return memories(spark, d).groupBy(T.clean_source_identity(arn, user).alias("stored_by")).agg(F.count(F.lit(1)).alias("n"), F.max("created_at").alias("last_stored"))
+    return memories(spark, d, content=False).groupBy(T.clean_source_identity(arn, user).alias("stored_by")).agg(F.count(F.lit(1)).alias("n"), F.max("created_at").alias("last_stored"))
 
 
 @query
 def purge_plan(spark: SparkSession, d: str) -> DataFrame:
     """Every key a purge of the versioned canonical_ids would delete, latest first."""
-    m = memories(spark, d)
+    m = memories(spark, d, content=False)
     versioned = m.groupBy("index_name", "canonical_id").agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list(F.struct("version", "key")), asc=False).alias("k")).where("n > 1")
     return versioned.select("index_name", "canonical_id", F.posexplode(F.array_distinct(F.transform("k", lambda x: x["key"]))).alias("pos", "key"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from mnemo.functions import text as T
 from mnemo.operators import budget, bundles, evaluate, filters, graph, ingest, lifecycle, listing, metrics, search, store
-from mnemo.sources import documents
+from mnemo.sources import documents, tables
 
 MEM = (
     "index_name string, key string, canonical_id string, task_id string, agent_id string, team_id string, memory_type string, status string, version int, created_at long, expires_at long, "
@@ -352,3 +352,16 @@ def test_scan_and_blocks_of_batch_search_agree(spark, monkeypatch):
     scan = sorted(search.batch_top_k(df.where("vec_id < 20"), df, 4, by=["g"]).collect())
     monkeypatch.setattr(search, "QUERY_BYTES", 0)
     assert scan == sorted(search.batch_top_k(df.where("vec_id < 20"), df, 4, by=["g"], block=16).collect()) and len(scan) > 40
+
+
+def test_looking_back_and_budgets_over_chunks(spark, monkeypatch):
+    monkeypatch.setattr(tables, "CHUNK", 4)
+    rng = random.Random(6)
+    rows = [(rng.choice("ab"), k, f"v{k}", rng.randrange(0, 9)) for k in rng.sample(range(60), 35)]
+    df = spark.createDataFrame(rows, "g string, o long, v string, tokens long")
+    got = {r["o"]: (r["_back1"], r["_back2"]) for r in tables._two_before(df, ["g"], "o", "v").collect()}
+    for g, o, _, _ in rows:
+        before = [v for h, p, v, _ in sorted(rows, key=lambda r: -r[1]) if h == g and p < o] + [None, None]
+        assert got[o] == (before[0], before[1])
+    whole = sorted(budget.within_budget(df, ["g"], "o", 40).collect())
+    assert whole == sorted(budget.within_budget(df, ["g"], "o", 40, chunk=F.floor(F.col("o") / 4)).select(*df.columns, "used_tokens").collect()) and whole

@@ -51,6 +51,15 @@ def export_html(points: DataFrame, template: str, limit: int = 50_000) -> str:
     return template.replace("/*POINTS*/", json.dumps(rows).replace("</", "<\\/"))
 
 
+def service_hits(raw: DataFrame, chars: int = 280) -> DataFrame:
+    """Hits of a search service (key, distance, score, text, content_summary, type, memory_type, task, team, in_galaxy) in our own names."""
+    first = lambda *c: F.coalesce(*[F.nullif(F.col(x), F.lit("")) for x in c])
+    return raw.select(
+        "key", "distance", "score", F.substring(first("text", "content_summary"), 1, chars).alias("content_summary"), first("type", "memory_type").alias("memory_type"),
+        F.col("task").alias("task_id"), F.col("team").alias("team_id"), "in_galaxy", F.lit(False).alias("hydrated"),
+    )
+
+
 def lexical_filter(df: DataFrame, query: str, hidden_agents: list[str] | None = None) -> DataFrame:
     text = F.lower(F.concat_ws(" ", F.coalesce("content_summary", "content"), "task_id", "key"))
     out = df.where(text.contains(query.lower()))

@@ -189,7 +189,8 @@ def mmr_order(hits: DataFrame, by: list[str], score: str = "score") -> DataFrame
 
     Similarity to what is already chosen is 1 for the same canonical_id, 0.5 for the same task, else 0.
     Going down the scores, an item's penalty is settled by whether an earlier one shares its canonical
-    or task, and the greedy order is the order of penalised scores.
+    or task, and the greedy order is the order of penalised scores. Holds where a canonical_id has one
+    task; ``mmr_greedy`` is for the rest.
     """
     order = [F.desc(score), F.col("pos")]
     same_canonical = F.row_number().over(Window.partitionBy(*by, "canonical_id").orderBy(*order)) > 1
@@ -199,6 +200,30 @@ def mmr_order(hits: DataFrame, by: list[str], score: str = "score") -> DataFrame
     return ranked.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("mmr"), "pos")))
 
 
+def mmr_greedy(hits: DataFrame, by: list[str], score: str = "score") -> DataFrame:
+    """The same order where one canonical_id may span tasks, which has no closed form: a fold over a query's hits.
+
+    Each step takes the row of the largest mmr against all rows taken before, the first position
+    winning ties. Work is cubic in the hits of one query (S.OVERSAMPLE at most), inside the JVM.
+    """
+    item = F.struct(F.col(score).cast("double").alias("s"), F.col("pos").cast("long").alias("pos"), F.coalesce("canonical_id", F.lit("")).alias("c"), F.coalesce("task_id", F.lit("")).alias("t"))
+    listed = hits.groupBy(*by).agg(F.collect_list(item).alias("_items"))
+
+    def alike(x: Column, y: Column) -> Column:
+        return F.when((x["c"] == y["c"]) & (x["c"] != ""), F.lit(S.SAME_CANONICAL)).when((x["t"] == y["t"]) & (x["t"] != ""), F.lit(S.SAME_TASK)).otherwise(F.lit(0.0))
+
+    def step(acc: Column, _: Column) -> Column:
+        value = lambda x: F.lit(S.MMR_LAMBDA) * x["s"] - F.lit(1 - S.MMR_LAMBDA) * F.aggregate(acc["out"], F.lit(0.0), lambda m, y: F.greatest(m, alike(x, y["x"])))
+        best = F.array_max(F.transform(acc["left"], lambda x: F.struct(value(x).alias("v"), (-x["pos"]).alias("first"), x.alias("x"))))
+        taken = F.struct(best["x"].alias("x"), best["v"].alias("v"))
+        return F.struct(F.filter(acc["left"], lambda x: x["pos"] != best["x"]["pos"]).alias("left"), F.concat(acc["out"], F.array(taken)).alias("out"))
+
+    shape = "struct<s:double,pos:bigint,c:string,t:string>"
+    start = F.struct(F.col("_items").alias("left"), F.expr(f"cast(array() as array<struct<x:{shape},v:double>>)").alias("out"))
+    done = listed.select(*by, F.posexplode(F.aggregate(F.sequence(F.lit(1), F.size("_items")), start, step, lambda a: a["out"])).alias("_k", "_r"))
+    return hits.join(done.select(*by, F.col("_r.x.pos").alias("pos"), F.col("_r.v").alias("mmr"), (F.col("_k") + 1).alias("rank")), [*by, "pos"])
+
+
 def score_hits(hits: DataFrame, mode: str, now: int) -> DataFrame:
     if "use_count" not in hits.columns:
         hits = hits.withColumn("use_count", F.lit(0).cast("long")).withColumn("last_used_at", F.lit(0).cast("long"))
@@ -206,6 +231,12 @@ def score_hits(hits: DataFrame, mode: str, now: int) -> DataFrame:
     return hits.withColumn("score", F.round(score, 9))
 
 
+def check_top_k(k: int, least: int = 1, most: int = S.SEARCH_TOP_K_MAX) -> int:
+    if not least <= k <= most:
+        raise ValueError(f"top_k must be between {least} and {most}")
+    return k
+
+
 def live(df: DataFrame, now: int) -> DataFrame:
     return df.where((F.col("status") == "active") & (F.col("expires_at") > now))
 

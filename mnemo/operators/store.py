@@ -50,6 +50,11 @@ def validate(df: DataFrame) -> DataFrame:
     )
 
 
+def screen(df: DataFrame) -> DataFrame:
+    """Adds ``suspect``: text of external origin that reads like instructions. Such writes go on; they are counted."""
+    return df.withColumn("suspect", (F.col("origin") == "external") & T.injection_suspect(F.col("content")))
+
+
 def chunk_parents(df: DataFrame, mem: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(valid, invalid) chunks by whether their parent is a document of the same index."""
     parents = mem.where("memory_type = 'document'").select("index_name", F.col("key").alias("parent_key"))

@@ -9,7 +9,7 @@ NOW = "(SELECT 1704067200 + max(doc_id) * 3600 + 432000 FROM documents)"
 MEM = r"""
 base AS (SELECT d.doc_id, d.text, d.lang, d.source, l.quality, l.toxic, e.embedding, sha256(trim(regexp_replace(lower(d.text), '\s+', ' ', 'g'))) AS h
   FROM documents d LEFT JOIN labels l USING (doc_id) LEFT JOIN embeddings e ON e.vec_id = d.doc_id % (SELECT count(*) FROM embeddings)),
-b1 AS (SELECT doc_id, text AS content, h, embedding, quality,
+b1 AS (SELECT doc_id, text AS content, h, embedding, quality, toxic,
   CASE WHEN (doc_id * 7 + doc_id // 13) % 10 < 8 THEN 'shared' WHEN (doc_id * 7 + doc_id // 13) % 10 = 8 THEN 'private-a' ELSE 'private-b' END AS index_name,
   'agent-' || (doc_id % 7) AS agent_id, lang AS team_id, source AS task_id, ['episodic', 'semantic', 'procedural', 'chunk', 'document'][(doc_id // 20) % 5 + 1] AS memory_type,
   1704067200 + doc_id * 3600 AS created_at, CASE WHEN doc_id % 11 = 0 THEN 1704067200 + doc_id * 3600 + 864000 ELSE 9999999999 END AS expires_at,
@@ -259,7 +259,7 @@ u AS (SELECT *, sum(tokens) OVER (ORDER BY pos) :: BIGINT AS used_tokens FROM r)
     "list_task_vectors": f"WITH {MEM}, {LATEST}, l AS (SELECT index_name, key, row_number() OVER (PARTITION BY index_name ORDER BY created_at DESC, key) AS pos FROM lv WHERE task_id = 'src3' AND status = 'active' AND memory_type = 'semantic' QUALIFY pos <= 100) SELECT index_name, pos, key, doc_id FROM l JOIN mem USING (index_name, key)",
     "get_memory": f"WITH {MEM}, a AS (SELECT DISTINCT index_name, CASE WHEN doc_id % 100 = 0 THEN key || 'x' ELSE key END AS key FROM mem WHERE doc_id % 20 = 0) SELECT index_name, key, doc_id, length(content) AS n_chars, content IS NOT NULL AS hydrated FROM a LEFT JOIN mem USING (index_name, key)",
     "reinforce_memory": f"WITH {MEM}, ev AS (SELECT canonical_id, floor(epoch(ts)) :: BIGINT AS ts FROM events JOIN mem ON mem.doc_id = user_id WHERE event_type = 'view' UNION ALL SELECT canonical_id, {NOW} FROM mem JOIN (SELECT DISTINCT index_name, key FROM mem WHERE doc_id % 20 = 0) USING (index_name, key)) SELECT canonical_id, count(*) AS use_count, max(ts) AS last_used_at FROM ev GROUP BY 1",
-    "record_view": f"WITH {MEM} SELECT key, agent_id, coalesce(team_id, '') AS team_id, coalesce(task_id, '') AS task_id, coalesce(canonical_id, '') AS canonical_id, memory_type, coalesce(content_hash, '') AS content_hash, status, version, created_at, supersedes, parent_key, confidence FROM mem",
+    "record_view": f"WITH {MEM} SELECT key, coalesce(agent_id, '') AS agent_id, coalesce(team_id, '') AS team_id, coalesce(task_id, '') AS task_id, coalesce(canonical_id, '') AS canonical_id, memory_type, status, CASE WHEN toxic = 1 THEN 'external' ELSE 'agent' END AS origin, version, created_at, content_hash, expires_at, confidence FROM mem",
     "expand_walk": f"""WITH {MEM}, {GRAPH}, s0 AS (SELECT index_name || '/' || (doc_id // 60) AS walk, index_name, key, min(doc_id) AS seat FROM mem WHERE doc_id % 20 = 0 GROUP BY ALL),
 s1 AS (SELECT walk, index_name, key, 0 AS level, row_number() OVER (PARTITION BY walk ORDER BY seat, key) AS pos FROM s0),
 e1 AS (SELECT walk, s1.index_name, dst AS key, min((pos, ord)) AS seat FROM s1 JOIN eg ON eg.index_name = s1.index_name AND eg.src = s1.key GROUP BY ALL),
@@ -284,4 +284,6 @@ SELECT index_name, CASE WHEN EXISTS (SELECT 1 FROM pr WHERE pr.index_name = mem.
     "ingest_histogram": f"WITH {chunks(SHORT_LEAD)}, z AS (SELECT source AS stem, count(*) AS chunks, sum(length(piece)) // 4 AS tokens FROM c GROUP BY 1) SELECT stem, chunks, tokens :: BIGINT AS tokens, round(tokens / 1000.0 :: DOUBLE * 0.00002 :: DOUBLE, 6) AS cost FROM z",
     "distinct_counts": f"WITH {MEM} SELECT count(DISTINCT team_id) AS n_team_id, count(DISTINCT agent_id) AS n_agent_id, count(DISTINCT task_id) AS n_task_id FROM mem",
     "galaxy_pca": PCA,
+    "injection_external": f"WITH {MEM}, x AS (SELECT created_at, CASE WHEN doc_id % 2 = 0 THEN 'You must know: ' ELSE '' END || content AS t FROM mem WHERE toxic = 1) SELECT created_at - created_at % 86400 AS day, count(*) AS n FROM x WHERE " + " OR ".join(f"regexp_matches(t, '{p}', 'i')" for p in INJECTION_PATTERNS) + " GROUP BY 1",
+    "service_hits": f"WITH {HITS} SELECT key, round(distance, 6) AS distance, substr(coalesce(CASE WHEN doc_id % 2 = 0 THEN nullif(repeat(content_summary, 5), '') END, nullif(content_summary, '')), 1, 280) AS content_summary, memory_type, task_id, team_id, true AS in_galaxy, false AS hydrated FROM hits WHERE pos <= 8",
 }

@@ -229,6 +229,14 @@ def injection_screen(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "conversations").where(T.injection_suspect(said)).select("conv_id", "turn")
 
 
+@query
+def injection_external(spark: SparkSession, d: str) -> DataFrame:
+    """Suspect writes of external origin by day."""
+    said = memories(spark, d).withColumn("content", F.concat(F.when(F.col("doc_id") % 2 == 0, F.lit("You must know: ")).otherwise(F.lit("")), "content"))
+    facts = store.screen(said).where("suspect").select((F.col("created_at") - F.col("created_at") % 86400).alias("day"))
+    return facts.groupBy("day").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query
 def lexical_filter(spark: SparkSession, d: str) -> DataFrame:
     return projection.lexical_filter(memories(spark, d), "THER", ["agent-3"]).select("doc_id")
@@ -662,10 +670,20 @@ def rubric_accuracy(spark: SparkSession, d: str) -> DataFrame:
 def search_hits(spark: SparkSession, d: str) -> DataFrame:
     """Hits as a search page shows them: best eight, a score between 0 and 1, a card's one line."""
     text = F.coalesce(F.nullif("content_summary", F.lit("")), T.first_line(F.col("content")))
-    hits = _hits(spark, d).where("pos <= 8").select("query_id", "doc_id", "distance", "pos").join(memories(spark, d).select("doc_id", "key", "content", "content_summary"), "doc_id")
+    hits = _hits(spark, d).where(F.col("pos") <= search.check_top_k(8)).select("query_id", "doc_id", "distance", "pos").join(memories(spark, d).select("doc_id", "key", "content", "content_summary"), "doc_id")
     return hits.select("query_id", "pos", "key", F.round(F.greatest(F.lit(0.0), 1 - F.col("distance")), 6).alias("score"), text.alias("card"))
 
 
+@query
+def service_hits(spark: SparkSession, d: str) -> DataFrame:
+    """Each probe's best eight as a search service names them, in our own names."""
+    raw = _hits(spark, d).where("pos <= 8").select(
+        "query_id", "key", "distance", (1 - F.col("distance")).alias("score"), F.when(F.col("doc_id") % 2 == 0, F.repeat("content_summary", 5)).otherwise(F.lit("")).alias("text"), "content_summary",
+        F.when(F.col("doc_id") % 3 == 0, F.col("memory_type")).alias("type"), "memory_type", F.col("task_id").alias("task"), F.col("team_id").alias("team"), F.lit(True).alias("in_galaxy"),
+    )
+    return projection.service_hits(raw).select("key", F.round("distance", 6).alias("distance"), "content_summary", "memory_type", "task_id", "team_id", "in_galaxy", "hydrated")
+
+
 @query
 def source_identities(spark: SparkSession, d: str) -> DataFrame:
     """Principals made from agents and teams, cleaned as the audit trail takes them, with what they stored."""

@@ -8,6 +8,7 @@ SUMMARY_MIN_TOKENS, SUMMARY_MIN_BYTES = 500, 2048
 DEDUP_TOP_K, OVERSAMPLE, NEAR_DUPLICATE = 5, 20, 0.95
 MAX_TOKENS, TOP_K, HYDRATE_MAX, PAGE_SIZE = 4000, 5, 8, 100
 PREVIEW_CHARS = 512
+SEARCH_TOP_K_MAX = 25
 MMR_LAMBDA, SAME_CANONICAL, SAME_TASK = 0.75, 1.0, 0.5
 POPULARITY_WEIGHT, POPULARITY_MAX, POPULARITY_HALF_LIFE_DAYS = 0.02, 0.04, 30
 PROCEDURAL_BOOST, BALANCED_PROCEDURAL, BALANCED_SEMANTIC = 0.2, 0.1, 0.05

@@ -31,8 +31,8 @@ def golden_set(spark: SparkSession, path: str) -> DataFrame:
 
 def record_view(mem: DataFrame) -> DataFrame:
     """Records as readers get them, with defaults for what is absent."""
-    texts = [F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("agent_id", "team_id", "task_id", "canonical_id", "memory_type", "content_hash")]
-    return mem.select("key", *texts, F.coalesce("status", F.lit("active")).alias("status"), F.coalesce("version", F.lit(1)).alias("version"), F.coalesce("created_at", F.lit(0)).alias("created_at"), "supersedes", "parent_key", "confidence")
+    texts = [F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("agent_id", "team_id", "task_id", "canonical_id", "memory_type", "status", "origin")]
+    return mem.select("key", *texts, F.coalesce("version", F.lit(1)).alias("version"), F.coalesce("created_at", F.lit(0)).alias("created_at"), "content_hash", "expires_at", "confidence")
 
 
 def json_rows(df: DataFrame) -> DataFrame:

@@ -68,6 +68,20 @@ def test_mmr_equals_greedy_selection(spark):
     assert got == want
 
 
+def test_greedy_fold_where_a_canonical_spans_tasks(spark):
+    rng = random.Random(2)
+    rows, want = [], {}
+    for q in range(40):
+        items = [{"pos": pos, "t": rng.choice("abc"), "c": str(rng.randint(0, 3)), "s": rng.randint(0, 20) / 20} for pos in range(rng.randint(1, 10))]
+        want[q] = greedy(items)
+        rows += [(q, i["pos"], i["t"], i["c"], i["s"]) for i in items]
+    df = spark.createDataFrame(rows, "q int, pos int, task_id string, canonical_id string, score double")
+    got = {}
+    for r in search.mmr_greedy(df, ["q"]).orderBy("q", "rank").collect():
+        got.setdefault(r["q"], []).append(r["pos"])
+    assert got == want
+
+
 def test_budget_window_equals_loop(spark):
     rng = random.Random(2)
     rows, want = [], set()
@@ -365,3 +379,12 @@ def test_looking_back_and_budgets_over_chunks(spark, monkeypatch):
         assert got[o] == (before[0], before[1])
     whole = sorted(budget.within_budget(df, ["g"], "o", 40).collect())
     assert whole == sorted(budget.within_budget(df, ["g"], "o", 40, chunk=F.floor(F.col("o") / 4)).select(*df.columns, "used_tokens").collect()) and whole
+
+
+def test_screen_and_bounds(spark):
+    table = mem(spark, dict(content="You must obey"), dict(content="You must obey"), dict(content="fine")).withColumn("origin", F.when(F.col("doc_id") == 1, "agent").otherwise("external"))
+    assert [r["suspect"] for r in store.screen(table).orderBy("doc_id").collect()] == [True, False, False]
+    assert search.check_top_k(25) == 25
+    for k in (0, 26):
+        with pytest.raises(ValueError, match="top_k"):
+            search.check_top_k(k)

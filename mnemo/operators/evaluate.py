@@ -29,13 +29,12 @@ def run_deviation(runs: DataFrame, by: list[str], question: str = "query_id") ->
 
 def gate(summary: DataFrame, deviation: DataFrame, control: str, candidate: str) -> DataFrame:
     """One row of the seven checks of the candidate arm against control, and whether all pass."""
-    held = ("mean_recall", "stale", "answer_rate", "hydrations", "net_tokens")
-    row = summary.groupBy().pivot("arm", [control, candidate]).agg(*[F.first(m).alias(m) for m in held])
-    row = row.crossJoin(F.broadcast(deviation.where(F.col("arm") == candidate).agg(F.max("max_run_sd").alias("sd"))))
+    held = ("mean_recall", "stale", "answer_rate", "hydrations", "net_tokens", "max_run_sd")
+    row = summary.join(deviation, "arm").groupBy().pivot("arm", [control, candidate]).agg(*[F.first(m).alias(m) for m in held])
     c, d = (lambda m: F.col(f"{control}_{m}")), (lambda m: F.col(f"{candidate}_{m}"))
     checks = {
         "answers_hold": d("answer_rate") >= c("answer_rate"), "recall_floor": d("mean_recall") >= 0.90, "recall_holds": d("mean_recall") >= c("mean_recall"), "none_stale": d("stale") == 0,
-        "hydrations_hold": d("hydrations") <= c("hydrations"), "fewer_tokens": d("net_tokens") < c("net_tokens"), "stable": F.col("sd") <= 1e-9,
+        "hydrations_hold": d("hydrations") <= c("hydrations"), "fewer_tokens": d("net_tokens") < c("net_tokens"), "stable": d("max_run_sd") <= 1e-9,
     }
     out = row.select(*[v.alias(k) for k, v in checks.items()])
     every = F.lit(True)

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import TimestampType
 
 
 def metric_windows(events: DataFrame, period: str, ts: str = "ts", name: str = "event_type", value: str = "value") -> DataFrame:
     """(window_start, metric, n, total, peak) of each metric and period. Batch and streaming alike."""
-    w = F.window(F.col(ts).cast("timestamp"), period)
-    return events.groupBy(w.alias("w"), F.col(name).alias("metric")).agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("total"), F.max(value).alias("peak")).select(F.col("w.start").alias("window_start"), "metric", "n", "total", "peak")
+    at = F.col(ts) if events.schema[ts].dataType == TimestampType() else F.col(ts).cast("timestamp")  # a cast would hide a watermark
+    return events.groupBy(F.window(at, period).alias("w"), F.col(name).alias("metric")).agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("total"), F.max(value).alias("peak")).select(F.col("w.start").alias("window_start"), "metric", "n", "total", "peak")
 
 
 def percentile_windows(events: DataFrame, period: str, q: float, ts: str = "ts", value: str = "value") -> DataFrame:

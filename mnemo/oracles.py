@@ -286,4 +286,9 @@ SELECT index_name, CASE WHEN EXISTS (SELECT 1 FROM pr WHERE pr.index_name = mem.
     "galaxy_pca": PCA,
     "injection_external": f"WITH {MEM}, x AS (SELECT created_at, CASE WHEN doc_id % 2 = 0 THEN 'You must know: ' ELSE '' END || content AS t FROM mem WHERE toxic = 1) SELECT created_at - created_at % 86400 AS day, count(*) AS n FROM x WHERE " + " OR ".join(f"regexp_matches(t, '{p}', 'i')" for p in INJECTION_PATTERNS) + " GROUP BY 1",
     "service_hits": f"WITH {HITS} SELECT key, round(distance, 6) AS distance, substr(coalesce(CASE WHEN doc_id % 2 = 0 THEN nullif(repeat(content_summary, 5), '') END, nullif(content_summary, '')), 1, 280) AS content_summary, memory_type, task_id, team_id, true AS in_galaxy, false AS hydrated FROM hits WHERE pos <= 8",
+    "metric_stream": f"WITH {WINDOWS} SELECT * FROM w WHERE window_start + 3600 <= (SELECT floor(epoch(max(ts))) FROM events) - 3600",
+    "lookup_stream": """WITH RECURSIVE e AS (SELECT event_type, user_id, floor(epoch(ts)) :: BIGINT AS t, row_number() OVER (PARTITION BY event_type, user_id ORDER BY ts) AS n FROM events),
+r AS (SELECT event_type, user_id, n, t, t AS last, false AS hit FROM e WHERE n = 1
+UNION ALL SELECT e.event_type, e.user_id, e.n, e.t, CASE WHEN e.t - r.last < 600 THEN r.last ELSE e.t END, e.t - r.last < 600 FROM r JOIN e ON e.event_type = r.event_type AND e.user_id = r.user_id AND e.n = r.n + 1)
+SELECT event_type AS kind, count(*) FILTER (hit) AS hits, count(*) FILTER (NOT hit) AS misses FROM r GROUP BY 1""",
 }

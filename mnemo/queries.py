@@ -12,6 +12,7 @@ from mnemo.functions import text as T
 from mnemo.operators import budget, bundles, evaluate, filters, graph, ingest, lifecycle, listing, metrics, projection, search, store
 from mnemo.sources import documents
 from mnemo.sources.tables import clock, memories, table
+from mnemo.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -580,6 +581,25 @@ def metric_windows(spark: SparkSession, d: str) -> DataFrame:
     return out.select(F.unix_timestamp("window_start").alias("window_start"), "metric", "n", F.round("total", 4).alias("total"), F.round("peak", 6).alias("peak"))
 
 
+@query
+def metric_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The same windows from a stream of the events file: those that the watermark, an hour late, has closed."""
+    events = table(spark, d, "events")
+    stream = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    out = jobs.run_to_table(jobs.stream_metric_windows(stream, "1 hour"), "metric-stream")
+    return out.select(F.unix_timestamp("window_start").alias("window_start"), "metric", "n", F.round("total", 4).alias("total"), F.round("peak", 6).alias("peak"))
+
+
+@query
+def lookup_stream(spark: SparkSession, d: str) -> DataFrame:
+    """Lookups of a stream of events answered by a cache in state that forgets after ten minutes, by kind of event."""
+    events = table(spark, d, "events")
+    stream = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    asked = stream.select(F.concat_ws("/", "event_type", F.col("user_id").cast("string")).alias("content_hash"), F.col("ts").cast("timestamp").alias("ts"))
+    out = jobs.run_to_table(jobs.cached_lookups(asked), "lookup-stream")
+    return out.groupBy(F.substring_index("content_hash", "/", 1).alias("kind")).agg(F.count_if("hit").alias("hits"), F.count_if(~F.col("hit")).alias("misses"))
+
+
 @query
 def cache_hit_rate(spark: SparkSession, d: str) -> DataFrame:
     out = metrics.ratio_windows(table(spark, d, "events"), "1 day", "view", "click")

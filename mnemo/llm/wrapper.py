@@ -48,7 +48,7 @@ NAMED = frozenset(
     "rail widget widgets related recommended recommendations share sharing social breadcrumb breadcrumbs pagination pager menu nav navbar navigation topbar masthead toolbar footer comment comments disqus replies respond reply "
     "contentinfo complementary search dialog menubar tracking".split()
 )
-GENERIC = frozenset("list box block area section container wrapper wrap item items bar inner outer top bottom left right thread group panel unit slot row col column the site page main primary secondary links posts form".split())
+GENERIC = frozenset("list box block area section container wrapper wrap item items bar inner outer top bottom left right thread group panel unit slot row col column the site page main primary secondary links posts form content text body post story entry article user users reader readers feed card cards message button buttons icon icons title heading inline sticky fixed global".split())
 SPEAKS = frozenset("article content post entry story body text prose main".split())
 PLAIN = frozenset(["html", "body", "main"])
 LEVEL = 64  # children of a node that are aligned by their order; a longer level keeps one node a label

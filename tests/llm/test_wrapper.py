@@ -82,6 +82,18 @@ def test_names_inside_words_do_not_drop_text(spark):
     assert wrapper.main_text(pages_of(spark, rows)).first()["text"] == "T\n\nOn related work.\n\nOn search.\n\nLet x be.\n\nKept."
 
 
+@pytest.mark.parametrize(
+    ("attrs", "gone"),
+    [
+        ("class='cookie-notice'", True), ("class=sidebar-left", True), ("id=comments", True), ("class='user-comments'", True), ("class='sponsored-content'", True), ("class='relatedPosts'", True), ("class='ad-slot-1'", True),
+        ("class='social_share'", True), ("role=complementary", True), ("class=related-work", False), ("class='post social'", False), ("class='search-methods'", False), ("class=content-with-sidebar", False), ("class='commentary'", False), ("data-role=menu", False),
+    ],
+)
+def test_names_count_where_they_say_nothing_else(attrs, gone):
+    node = wrapper.parse(f"<div {attrs}>x</div>").kids[0]
+    assert node.named == gone
+
+
 def test_a_form_around_the_page_does_not_empty_it(spark):
     rows = [(f"http://a.org/{k}", f"<html><body><form><nav><a href=/>Home</a></nav><p>Text {k} of a page that lies in a form.</p><input></form></body></html>", []) for k in range(6)]
     assert wrapper.main_text(pages_of(spark, rows)).where("page_id = 3").first()["text"] == "Text 3 of a page that lies in a form."

@@ -242,7 +242,9 @@ def identify(docs: DataFrame, per_language: int = 600) -> DataFrame:
 def accepted_documents(docs: DataFrame, least_score: float = 0.0) -> DataFrame:
     """Documents whose language is known: ``und`` and predictions below ``least_score`` go, columns stay.
 
-    The verdict is made where the text is, so texts are not shuffled.
+    The verdict is made where the text is, so texts are not shuffled; what stays is written, a few hundred
+    rows at a time through Python. Null and wordless texts go; repeated rows are judged each; columns
+    may have any names; an empty table stays empty.
     """
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs))
 
@@ -252,4 +254,4 @@ def accepted_documents(docs: DataFrame, least_score: float = 0.0) -> DataFrame:
             verdicts = label_texts(shared.value, texts)
             yield batch.filter(pa.array([lang != "und" and score >= least_score for lang, score in verdicts], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return written(docs.mapInArrow(run, docs.schema), "lang-accepted")

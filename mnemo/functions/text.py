@@ -17,8 +17,16 @@ INJECTION_PATTERNS = (
     r"\boverride\b.*\b(instruction|rule|system)\b",
     r"\bdo not (tell|inform|reveal)\b",
 )
+# Fixed value: what a cited key looks like.
 CITE = r"\bmem_[a-zA-Z0-9][a-zA-Z0-9_-]*_v\d+\b"
 
+WHITE = r"\s\x1c-\x1f"
+
+
+def strip(text: Column) -> Column:
+    """Without white space at both ends, of any kind that Unicode knows."""
+    return F.regexp_replace(text, rf"(?U)\A[{WHITE}]+|(?<![{WHITE}])[{WHITE}]+\z", "")
+
 
 def normalize_text(text: Column) -> Column:
     """Lower case, runs of white space to one space, trimmed: variants are the same content."""

@@ -9,7 +9,7 @@ from mnemo import schema as S
 from mnemo.functions import text as T
 
 
-def within_budget(df: DataFrame, by: list[str], order: str, max_tokens: int, tokens: str = "tokens", chunk: Column | None = None) -> DataFrame:
+def within_budget(df: DataFrame, by: list[str], order: str, max_tokens: int | Column, tokens: str = "tokens", chunk: Column | None = None) -> DataFrame:
     """Rows of each group in order while their tokens fit; the first always does.
 
     ``chunk`` cuts groups that are no short lists: a number that never falls along ``order``. Sums then

@@ -33,6 +33,12 @@ def constellations(points: DataFrame, least: int = 3, smallest: float = 0.08) ->
     return away.select("task_id", "n", "cx", "cy", F.greatest(F.lit(smallest), F.col("far")).alias("spread"))
 
 
+def kind_counts(df: DataFrame, kinds: dict[str, str]) -> DataFrame:
+    """(kind, name, n) by several columns at once: rows are read and dealt out once."""
+    named = F.array(*[F.struct(F.lit(kind).alias("kind"), F.coalesce(F.col(column), F.lit("?")).alias("name")) for kind, column in kinds.items()])
+    return df.select(F.explode(named).alias("g")).groupBy("g.kind", "g.name").agg(F.count(F.lit(1)).alias("n"))
+
+
 def group_counts(df: DataFrame, column: str) -> DataFrame:
     return df.groupBy(F.coalesce(F.col(column), F.lit("?")).alias(column)).agg(F.count(F.lit(1)).alias("n"))
 

@@ -55,11 +55,17 @@ def screen(df: DataFrame) -> DataFrame:
     return df.withColumn("suspect", (F.col("origin") == "external") & T.injection_suspect(F.col("content")))
 
 
+def mark_chunks(df: DataFrame, mem: DataFrame) -> DataFrame:
+    """Chunks with ``valid``: their parent is a document of the same index."""
+    parents = mem.where("memory_type = 'document'").select("index_name", F.col("key").alias("parent_key"), F.lit(True).alias("_there")).distinct()
+    marked = df.where("memory_type = 'chunk'").join(parents, ["index_name", "parent_key"], "left")
+    return marked.withColumn("valid", F.coalesce("_there", F.lit(False))).drop("_there")
+
+
 def chunk_parents(df: DataFrame, mem: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(valid, invalid) chunks by whether their parent is a document of the same index."""
-    parents = mem.where("memory_type = 'document'").select("index_name", F.col("key").alias("parent_key"))
-    chunks = df.where("memory_type = 'chunk'")
-    return chunks.join(parents, ["index_name", "parent_key"], "left_semi"), chunks.join(parents, ["index_name", "parent_key"], "left_anti")
+    """(valid, invalid) chunks."""
+    marked = mark_chunks(df, mem)
+    return marked.where("valid").drop("valid"), marked.where("NOT valid").drop("valid")
 
 
 def classify(incoming: DataFrame, mem: DataFrame, similarity: float = S.NEAR_DUPLICATE, top_k: int = S.DEDUP_TOP_K) -> DataFrame:
@@ -128,11 +134,15 @@ def supersede(classified: DataFrame, mem: DataFrame, now: int) -> DataFrame:
     return new.unionByName(retired)
 
 
+def archived_state(now: int) -> tuple[Column, Column]:
+    """(status, archived_at) of a record once it is archived; archived ones keep their time."""
+    return F.lit("archived"), F.when(F.col("status") == "archived", F.col("archived_at")).otherwise(F.lit(now))
+
+
 def archive(mem: DataFrame, keys: DataFrame, now: int) -> DataFrame:
-    """States of the asked-for records after archiving; archived ones keep their time."""
-    hit = mem.join(keys, ["index_name", "key"], "left_semi")
-    done = F.col("status") == "archived"
-    return hit.withColumn("archived_at", F.when(done, F.col("archived_at")).otherwise(F.lit(now))).withColumn("status", F.lit("archived"))
+    """States of the asked-for records after archiving."""
+    status, archived_at = archived_state(now)
+    return mem.join(keys, ["index_name", "key"], "left_semi").withColumn("archived_at", archived_at).withColumn("status", status)
 
 
 def restore(mem: DataFrame, keys: DataFrame, now: int) -> DataFrame:

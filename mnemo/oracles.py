@@ -90,15 +90,20 @@ def at_level(level: str, most: int) -> str:
 {folded('i', 'query_id', most)} SELECT query_id, rank :: INTEGER AS rank, key, CASE WHEN whole AND NOT swapped THEN 'full' ELSE 'summary' END AS detail, r.tokens, used :: BIGINT AS used_tokens FROM r JOIN i USING (query_id, rank)"""
 
 
-def chunks(text: str) -> str:
-    """c: the sections of a text cut every 600 characters, with headings."""
-    return rf"""x AS (SELECT doc_id, source, trim({text}) AS x FROM documents),
+def strip(x: str) -> str:
+    return f"regexp_replace(regexp_replace({x}, '^\\s+', ''), '\\s+$', '')"
+
+
+NOTE = """(CASE WHEN doc_id % 3 = 0 THEN chr(10) || ' ' || chr(9) || chr(10) ELSE '' END || CASE WHEN doc_id % 4 = 0 THEN 'lead' || chr(10) || chr(10) ELSE '' END || '## Part one ' || chr(10)
+ || CASE WHEN doc_id % 5 = 0 THEN '#  ' || chr(10) || chr(10) || '### ' || chr(10) ELSE '' END || replace(text, chr(10), chr(10) || chr(10) || '## Next' || chr(10)) || ' ' || chr(10))"""
+NOTED = rf"""x AS (SELECT doc_id, source, {strip(NOTE)} AS x FROM documents),
 l AS (SELECT doc_id, source, unnest(string_split(x, chr(10))) AS line, generate_subscripts(string_split(x, chr(10)), 1) AS n FROM x),
-h AS (SELECT *, CASE WHEN regexp_matches(line, '^#{{1,3}} +.+$') THEN trim(regexp_extract(line, '^#{{1,3}} +(.+)$', 1)) END AS hd FROM l),
-sec AS (SELECT *, count(hd) OVER (PARTITION BY doc_id ORDER BY n) AS section FROM h),
-g AS (SELECT doc_id, source, section, trim(string_agg(line, chr(10) ORDER BY n), ' ') AS content, max(hd) AS hd FROM sec GROUP BY ALL),
-p AS (SELECT *, coalesce(hd, CASE WHEN max(section) OVER (PARTITION BY doc_id) > 0 THEN '(intro)' ELSE '(whole file)' END) AS heading0 FROM g),
+h AS (SELECT *, regexp_matches(line, '^#{{1,3}} +.') AS is_head FROM l),
+sec AS (SELECT *, count(*) FILTER (is_head) OVER (PARTITION BY doc_id ORDER BY n) :: INTEGER AS section FROM h),
+g AS (SELECT doc_id, source, section, {strip("string_agg(line, chr(10) ORDER BY n)")} AS content, {strip("regexp_extract(arg_min(line, n), '^#{1,3} +(.+)$', 1)")} AS hd FROM sec GROUP BY ALL),
+p AS (SELECT *, CASE WHEN section > 0 THEN hd WHEN max(section) OVER (PARTITION BY doc_id) > 0 THEN '(intro)' ELSE '(whole file)' END AS heading0 FROM g),
 c AS (SELECT *, substr(content, part * 600 + 1, 600) AS piece, heading0 || CASE WHEN part > 0 THEN ' (cont. ' || (part + 1) || ')' ELSE '' END AS heading FROM (SELECT *, unnest(range(0, (greatest(length(content) - 1, 0) // 600) + 1)) AS part FROM p WHERE content <> ''))"""
+PARAGRAPHS = rf"list_filter(list_transform(regexp_split_to_array({strip('piece')}, '\n\s*\n'), lambda q: trim(regexp_replace(regexp_replace({strip('q')}, '^#+\s*', ''), '\s+', ' ', 'g'))), lambda q: q <> '')"
 
 
 CLASSIFIED = f"""inc AS (SELECT doc_id AS seq, index_name, task_id, agent_id, created_at, embedding, CASE WHEN doc_id % 3 = 0 THEN content_hash ELSE content_hash || 'x' END AS content_hash, CASE WHEN doc_id % 5 = 0 THEN key END AS supersedes_key FROM mem WHERE doc_id % 4 = 0),
@@ -110,13 +115,20 @@ c AS (SELECT *, CASE WHEN ek IS NOT NULL OR f > 1 THEN 'unchanged' WHEN supersed
 LATEST = """lv AS (SELECT index_name, canonical_id, arg_max(key, (version, created_at, doc_id)) AS key, arg_max(status, (version, created_at, doc_id)) AS status, arg_max(task_id, (version, created_at, doc_id)) AS task_id,
 arg_max(memory_type, (version, created_at, doc_id)) AS memory_type, arg_max(created_at, (version, created_at, doc_id)) AS created_at FROM mem GROUP BY ALL)"""
 PINS = f"""pins AS (SELECT index_name, team_id, task_id, arg_max(key, (version, created_at, key)) AS key, max(version) AS version FROM mem WHERE {LIVE} GROUP BY ALL)"""
-RUNS = f"""hh AS (SELECT *, {tokens('content_summary')} AS tokens FROM hits),
-ex AS (SELECT query_id, list(DISTINCT task_id) FILTER (pos <= 5) AS expected, max(CASE WHEN pos = 3 THEN task_id END) AS answer_task FROM hh WHERE pos <= 5 GROUP BY 1),
-wide AS (SELECT query_id, task_id AS answer_task, arg_min({tokens('content')}, pos) AS body_tokens FROM hh WHERE pos <= 10 GROUP BY ALL),
+def runs(repeats: int) -> str:
+    """Hits of each probe and repeat; repeats but the first search with embeddings rounded to one decimal."""
+    return MEM + f""",
+asks AS (SELECT vec_id AS query_id, run, CASE WHEN run = 1 THEN embedding :: DOUBLE[] ELSE list_transform(embedding :: DOUBLE[], lambda x: round(x, 1)) END AS v FROM embeddings, range(1, {repeats + 1}) t(run) WHERE vec_id % 20 = 0),
+near AS (SELECT q.query_id, run, m.doc_id, round(1 - {COS.format(a='q.v', b='m.embedding')}, 9) AS distance FROM asks q, mem m WHERE {LIVE}),
+hh AS (SELECT n.query_id, run, pos, m.*, {tokens('content_summary')} AS tokens FROM (SELECT *, row_number() OVER (PARTITION BY query_id, run ORDER BY distance, doc_id) AS pos FROM near QUALIFY pos <= 20) n JOIN mem m USING (doc_id)),
+ex AS (SELECT query_id, list(DISTINCT task_id) AS expected, max(CASE WHEN pos = 3 THEN task_id END) AS answer_task FROM hh WHERE pos <= 5 AND run = 1 GROUP BY 1),
+wide AS (SELECT query_id, run, task_id AS answer_task, arg_min({tokens('content')}, pos) AS body_tokens FROM hh WHERE pos <= 10 GROUP BY ALL),
 arms AS (SELECT 'control' AS arm, * FROM hh WHERE pos <= 10 UNION ALL SELECT 'candidate', * FROM hh WHERE pos <= 4),
-runs AS (SELECT arm, query_id, len(list_intersect(list(DISTINCT task_id), any_value(expected))) :: DOUBLE / len(any_value(expected)) AS recall, sum(tokens) :: BIGINT AS tokens, count(*) FILTER (status <> 'active' OR expires_at <= {NOW}) AS stale,
+runs AS (SELECT arm, query_id, run, len(list_intersect(list(DISTINCT task_id), any_value(expected))) :: DOUBLE / len(any_value(expected)) AS recall, sum(tokens) :: BIGINT AS tokens, count(*) FILTER (status <> 'active' OR expires_at <= {NOW}) AS stale,
   list_contains(list(DISTINCT task_id), any_value(answer_task)) AS answered, CASE WHEN answered THEN 0 ELSE 1 END AS hydrations, CASE WHEN answered THEN 0 ELSE coalesce(any_value(body_tokens), 0) END AS hydration_tokens
-  FROM arms JOIN ex USING (query_id) LEFT JOIN wide USING (query_id, answer_task) GROUP BY arm, query_id)"""
+  FROM arms JOIN ex USING (query_id) LEFT JOIN wide USING (query_id, run, answer_task) GROUP BY arm, query_id, run)"""
+
+
 WINDOWS = "w AS (SELECT epoch(time_bucket(INTERVAL '1 hour', ts)) :: BIGINT AS window_start, event_type AS metric, count(*) AS n, round(sum(value), 4) AS total, round(max(value), 6) AS peak FROM events GROUP BY 1, 2)"
 GRAPH = r"""latest AS (SELECT index_name, canonical_id, arg_max(key, (version, created_at, doc_id)) AS dst FROM mem GROUP BY ALL),
 eg AS (SELECT index_name, key AS src, supersedes AS dst, 0 AS ord FROM mem WHERE supersedes IS NOT NULL
@@ -144,9 +156,6 @@ p AS (SELECT vec_id, list_dot_product(e.v, one.v) AS a, list_dot_product(e.v, tw
 SELECT vec_id, round((a - min(a) OVER ()) / (max(a) OVER () - min(a) OVER ()) * 2 - 1, 4) AS c1, round((b - min(b) OVER ()) / (max(b) OVER () - min(b) OVER ()) * 2 - 1, 4) AS c2 FROM p"""
 
 
-LEAD = "'lead' || chr(10) || '## Part one' || chr(10) || replace(text, chr(10), chr(10) || '## Next' || chr(10))"
-SHORT_LEAD = "'lead' || chr(10) || text"
-
 ORACLES: dict[str, str] = {
     "knn_filtered_topk": f"SELECT vec_id, round(1 - {COS.format(a='embedding', b='(SELECT embedding FROM embeddings WHERE vec_id = 7)')}, 6) + 0.0 :: DOUBLE AS distance FROM embeddings WHERE label = 3 ORDER BY 1 - {COS.format(a='embedding', b='(SELECT embedding FROM embeddings WHERE vec_id = 7)')}, vec_id LIMIT 20",
     "knn_batch_topk": f"WITH n AS (SELECT q.vec_id AS query_id, b.vec_id AS id, round(1 - {COS.format(a='q.embedding', b='b.embedding')}, 9) AS d FROM embeddings q, embeddings b WHERE q.vec_id % 20 = 0) SELECT query_id, id, round(d, 6) + 0.0 :: DOUBLE AS distance, row_number() OVER (PARTITION BY query_id ORDER BY d, id) AS rank FROM n QUALIFY rank <= 10",
@@ -182,14 +191,7 @@ u AS (SELECT *, sum({tokens(PREVIEW)}) OVER (PARTITION BY query_id ORDER BY rank
     "extract_cites": f"WITH {MEM}, c AS (SELECT doc_id, CASE WHEN supersedes IS NULL THEN [key] ELSE [key, supersedes] END AS k FROM mem) SELECT doc_id, (i - 1) :: INTEGER AS pos, k[i] AS cited FROM c, range(1, 3) t(i) WHERE i <= len(k)",
     "injection_screen": "SELECT conv_id, turn FROM conversations WHERE " + " OR ".join(f"regexp_matches(role || ': ' || text, '{p}', 'i')" for p in INJECTION_PATTERNS),
     "lexical_filter": f"WITH {MEM} SELECT doc_id FROM mem WHERE contains(lower(coalesce(content_summary, content) || ' ' || task_id || ' ' || key), 'ther') AND agent_id <> 'agent-3'",
-    "markdown_chunks": r"""WITH t AS (SELECT doc_id, trim('lead' || chr(10) || '## Part one' || chr(10) || replace(text, chr(10), chr(10) || '## Next' || chr(10))) AS x FROM documents),
-l AS (SELECT doc_id, unnest(string_split(x, chr(10))) AS line, generate_subscripts(string_split(x, chr(10)), 1) AS n FROM t),
-h AS (SELECT *, CASE WHEN regexp_matches(line, '^#{1,3} +.+$') THEN trim(regexp_extract(line, '^#{1,3} +(.+)$', 1)) END AS hd FROM l),
-s AS (SELECT *, count(hd) OVER (PARTITION BY doc_id ORDER BY n) AS section FROM h),
-g AS (SELECT doc_id, section, trim(string_agg(line, chr(10) ORDER BY n), ' ') AS content, max(hd) AS hd FROM s GROUP BY ALL),
-p AS (SELECT *, coalesce(hd, CASE WHEN max(section) OVER (PARTITION BY doc_id) > 0 THEN '(intro)' ELSE '(whole file)' END) AS heading0 FROM g),
-c AS (SELECT *, unnest(range(0, (greatest(length(content) - 1, 0) // 600) + 1)) AS part FROM p WHERE content <> '')
-SELECT doc_id, section, part :: INTEGER AS part, heading0 || CASE WHEN part > 0 THEN ' (cont. ' || (part + 1) || ')' ELSE '' END AS heading, length(substr(content, part * 600 + 1, 600)) AS n_chars, md5(substr(content, part * 600 + 1, 600)) AS content_md5 FROM c""",
+    "markdown_chunks": f"WITH {NOTED} SELECT doc_id, section, part :: INTEGER AS part, heading, length(piece) AS n_chars, md5(piece) AS content_md5 FROM c",
     "budget_pack": f"WITH {MEM}, u AS (SELECT *, sum({tokens(PREVIEW)}) OVER w :: BIGINT AS used_tokens, row_number() OVER w AS rn FROM mem WINDOW w AS (PARTITION BY index_name, task_id ORDER BY doc_id)) SELECT index_name, task_id, doc_id, used_tokens FROM u WHERE rn = 1 OR used_tokens <= 200",
     "budget_with_substitution": f"""WITH RECURSIVE {HITS}, i AS (SELECT query_id, pos AS rank, {tokens('content')} AS f, CASE WHEN content_summary IS NOT NULL THEN {tokens('content_summary')} END AS s FROM hits),
 {folded('i', 'query_id', 1500)} SELECT query_id, rank :: INTEGER AS rank, CASE WHEN swapped THEN 'summary' ELSE 'full' END AS detail, tokens FROM r""",
@@ -229,11 +231,13 @@ r AS (SELECT seed, seed AS key, 0 AS level, 1 AS pos FROM seeds UNION ALL SELECT
     "cache_hit_rate": "SELECT epoch(time_bucket(INTERVAL '1 day', ts)) :: BIGINT AS window_start, count(*) FILTER (event_type = 'view') AS hits, count(*) FILTER (event_type = 'click') AS misses, round(100.0 :: DOUBLE * hits / nullif(hits + misses, 0), 6) AS hit_rate FROM events GROUP BY 1",
     "latency_p95": "SELECT epoch(time_bucket(INTERVAL '1 day', ts)) :: BIGINT AS window_start, round(quantile_cont(value, 0.95), 6) AS p95 FROM events GROUP BY 1",
     "alarm_breaches": f"WITH {WINDOWS}, b AS (SELECT *, sum(CASE WHEN total > 100 THEN 1 ELSE 0 END) OVER (PARTITION BY metric ORDER BY window_start RANGE BETWEEN 7200 PRECEDING AND CURRENT ROW) = 3 AS alarm FROM w) SELECT window_start, metric, alarm FROM b WHERE total > 100",
-    "eval_recall_at_k": f"WITH {HITS}, {RUNS} SELECT arm, query_id, round(recall, 6) AS recall, tokens, stale FROM runs",
-    "eval_summary": f"WITH {HITS}, {RUNS} SELECT arm, 2 * count(*) AS runs, round(avg(recall), 6) AS mean_recall, round(min(recall), 6) AS min_recall, round(stddev_pop(recall), 6) AS sd_recall, round(avg(answered :: INT :: DOUBLE), 6) AS answer_rate, (2 * sum(tokens)) :: BIGINT AS tokens, (2 * sum(stale)) :: BIGINT AS stale, (2 * sum(hydrations)) :: BIGINT AS hydrations, (2 * sum(hydration_tokens)) :: BIGINT AS hydration_tokens, (2 * sum(tokens + hydration_tokens)) :: BIGINT AS net_tokens FROM runs GROUP BY arm",
-    "eval_gate": f"""WITH {HITS}, {RUNS}, g AS (SELECT arm, avg(recall) AS r, sum(tokens + hydration_tokens) AS net, sum(stale) AS s, avg(answered :: INT) AS ans, sum(hydrations) AS hy FROM runs GROUP BY 1)
-SELECT d.ans >= c.ans AS answers_hold, d.r >= 0.90 :: DOUBLE AS recall_floor, d.r >= c.r AS recall_holds, d.s = 0 AS none_stale, d.hy <= c.hy AS hydrations_hold, d.net < c.net AS fewer_tokens, true AS stable,
-d.ans >= c.ans AND d.r >= 0.90 :: DOUBLE AND d.r >= c.r AND d.s = 0 AND d.hy <= c.hy AND d.net < c.net AS passed FROM g c, g d WHERE c.arm = 'control' AND d.arm = 'candidate'""",
+    "eval_recall_at_k": f"WITH {runs(1)} SELECT arm, query_id, round(recall, 6) AS recall, tokens, stale FROM runs",
+    "eval_summary": f"WITH {runs(2)} SELECT arm, count(*) AS runs, round(avg(recall), 6) AS mean_recall, round(min(recall), 6) AS min_recall, round(stddev_pop(recall), 6) AS sd_recall, round(avg(answered :: INT :: DOUBLE), 6) AS answer_rate, sum(tokens) :: BIGINT AS tokens, sum(stale) :: BIGINT AS stale, sum(hydrations) :: BIGINT AS hydrations, sum(hydration_tokens) :: BIGINT AS hydration_tokens, sum(tokens + hydration_tokens) :: BIGINT AS net_tokens FROM runs GROUP BY arm",
+    "eval_deviation": f"WITH {runs(2)} SELECT arm, round(max(sd), 6) AS max_run_sd FROM (SELECT arm, query_id, stddev_pop(recall) AS sd FROM runs GROUP BY ALL) GROUP BY 1",
+    "eval_gate": f"""WITH {runs(2)}, sd AS (SELECT arm, max(sd) AS sd FROM (SELECT arm, query_id, stddev_pop(recall) AS sd FROM runs GROUP BY ALL) GROUP BY 1),
+g AS (SELECT arm, avg(recall) AS r, sum(tokens + hydration_tokens) AS net, sum(stale) AS s, avg(answered :: INT) AS ans, sum(hydrations) AS hy, any_value(sd.sd) AS sd FROM runs JOIN sd USING (arm) GROUP BY 1)
+SELECT d.ans >= c.ans AS answers_hold, d.r >= 0.90 :: DOUBLE AS recall_floor, d.r >= c.r AS recall_holds, d.s = 0 AS none_stale, d.hy <= c.hy AS hydrations_hold, d.net < c.net AS fewer_tokens, d.sd <= 1e-9 AS stable,
+d.ans >= c.ans AND d.r >= 0.90 :: DOUBLE AND d.r >= c.r AND d.s = 0 AND d.hy <= c.hy AND d.net < c.net AND d.sd <= 1e-9 AS passed FROM g c, g d WHERE c.arm = 'control' AND d.arm = 'candidate'""",
     "answer_accuracy": f"""WITH {HITS}, h AS (SELECT query_id, pos, content_summary, {tokens('content_summary')} AS tokens, sum({tokens('content_summary')}) OVER (PARTITION BY query_id ORDER BY pos) AS used FROM hits WHERE pos <= 10),
 k AS (SELECT b AS budget, arm, h.* FROM h, (VALUES (400, 'control'), (120, 'candidate'), (40, 'candidate')) v(b, arm) WHERE pos = 1 OR used <= b),
 cell AS (SELECT budget, arm, query_id, sum(tokens) AS packed, coalesce(string_agg(content_summary, ' ' ORDER BY pos), '') AS answer FROM k GROUP BY ALL),
@@ -280,8 +284,8 @@ UNION ALL SELECT index_name, key, version, canonical_id, 'superseded', created_a
     "ttl_sweep": f"""WITH {MEM}, pr AS (SELECT DISTINCT m.index_name, m.key FROM mem m JOIN (SELECT index_name, supersedes AS key, min(created_at) AS since FROM mem WHERE supersedes IS NOT NULL GROUP BY ALL) x USING (index_name, key) WHERE status = 'superseded' AND {NOW} - since >= 604800),
 dm AS (SELECT index_name, key FROM mem WHERE (status = 'archived' AND {NOW} - archived_at >= 2592000) OR expires_at <= {NOW})
 SELECT index_name, CASE WHEN EXISTS (SELECT 1 FROM pr WHERE pr.index_name = mem.index_name AND pr.key = mem.key) THEN 'archived' ELSE status END AS status, count(*) AS n, sum(doc_id) :: BIGINT AS ids FROM mem WHERE NOT EXISTS (SELECT 1 FROM dm WHERE dm.index_name = mem.index_name AND dm.key = mem.key) GROUP BY ALL""",
-    "ingest_plan": f"WITH {chunks(LEAD)} SELECT doc_id :: VARCHAR AS stem, section, part :: INTEGER AS part, substr(CASE WHEN heading LIKE '(%' THEN 'About ' || doc_id ELSE heading END, 1, 400) AS summary, length(piece) // 4 AS tokens FROM c",
-    "ingest_histogram": f"WITH {chunks(SHORT_LEAD)}, z AS (SELECT source AS stem, count(*) AS chunks, sum(length(piece)) // 4 AS tokens FROM c GROUP BY 1) SELECT stem, chunks, tokens :: BIGINT AS tokens, round(tokens / 1000.0 :: DOUBLE * 0.00002 :: DOUBLE, 6) AS cost FROM z",
+    "ingest_plan": f"WITH {NOTED} SELECT doc_id :: VARCHAR AS path, source AS task_id, section, part :: INTEGER AS part, substr(coalesce(nullif(CASE WHEN heading NOT LIKE '(%' THEN heading WHEN doc_id % 2 = 0 THEN 'About ' || doc_id END, ''), {PARAGRAPHS}[1], {strip('piece')}), 1, 400) AS summary, length(piece) // 4 AS tokens FROM c",
+    "ingest_histogram": f"WITH {NOTED}, z AS (SELECT source AS stem, count(*) AS chunks, sum(length(piece)) // 4 AS tokens FROM c GROUP BY 1) SELECT stem, chunks, tokens :: BIGINT AS tokens, round(tokens * 0.00000002 :: DOUBLE, 8) AS cost FROM z",
     "distinct_counts": f"WITH {MEM} SELECT count(DISTINCT team_id) AS n_team_id, count(DISTINCT agent_id) AS n_agent_id, count(DISTINCT task_id) AS n_task_id FROM mem",
     "galaxy_pca": PCA,
     "injection_external": f"WITH {MEM}, x AS (SELECT created_at, CASE WHEN doc_id % 2 = 0 THEN 'You must know: ' ELSE '' END || content AS t FROM mem WHERE toxic = 1) SELECT created_at - created_at % 86400 AS day, count(*) AS n FROM x WHERE " + " OR ".join(f"regexp_matches(t, '{p}', 'i')" for p in INJECTION_PATTERNS) + " GROUP BY 1",

@@ -31,10 +31,10 @@ def _probes(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings").where("vec_id % 20 = 0").select("vec_id", "embedding")
 
 
-def _hits(spark: SparkSession, d: str) -> DataFrame:
+def _hits(spark: SparkSession, d: str, probes: DataFrame | None = None) -> DataFrame:
     """(query_id, distance, pos, record) of the 20 nearest live records of each probe."""
     mem, now = memories(spark, d, vectors=True, content=False), clock(spark, d)
-    near = search.batch_top_k(_probes(spark, d), search.live(mem, now).select(F.col("doc_id").alias("vec_id"), "embedding"), S.OVERSAMPLE)
+    near = search.batch_top_k(_probes(spark, d) if probes is None else probes, search.live(mem, now).select(F.col("doc_id").alias("vec_id"), "embedding"), S.OVERSAMPLE)
     narrow = memories(spark, d, content=False)
     return near.join(narrow, near["id"] == narrow["doc_id"]).drop("id").withColumnRenamed("rank", "pos")
 
@@ -182,12 +182,9 @@ def filter_doc_ops(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def role_views(spark: SparkSession, d: str) -> DataFrame:
-    m = memories(spark, d, content=False)
-    out = None
-    for role in S.ROLE_INDEXES:
-        part = m.where(filters.allowed_indexes(role)).groupBy("index_name").agg(F.count(F.lit(1)).alias("n")).withColumn("role", F.lit(role))
-        out = part if out is None else out.unionByName(part)
-    return out
+    roles = F.array_compact(F.array(*[F.when(filters.allowed_indexes(role), F.lit(role)) for role in S.ROLE_INDEXES]))
+    sizes = memories(spark, d, content=False).groupBy("index_name").agg(F.count(F.lit(1)).alias("n"))
+    return sizes.select("index_name", "n", F.explode(roles).alias("role"))
 
 
 @query
@@ -243,10 +240,17 @@ def lexical_filter(spark: SparkSession, d: str) -> DataFrame:
     return projection.lexical_filter(memories(spark, d), "THER", ["agent-3"]).select("doc_id")
 
 
+def _notes(spark: SparkSession, d: str) -> DataFrame:
+    """(path, stem, text): documents as notes, every third after blank lines, every fifth with blank sections and heads without a name."""
+    doc = F.col("doc_id")
+    lead = F.concat(F.when(doc % 3 == 0, "\n \t\n").otherwise(""), F.when(doc % 4 == 0, "lead\n\n").otherwise(""), F.lit("## Part one \n"), F.when(doc % 5 == 0, "#  \n\n### \n").otherwise(""))
+    return table(spark, d, "documents").select(doc.cast("string").alias("path"), F.col("source").alias("stem"), "doc_id", F.concat(lead, F.regexp_replace("text", "\n", "\n\n## Next\n"), F.lit(" \n")).alias("text"))
+
+
 @query
 def markdown_chunks(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select("doc_id", F.concat(F.lit("lead\n## Part one\n"), F.regexp_replace("text", "\n", "\n## Next\n")).alias("text"))
-    return ingest.chunk_markdown(docs, "doc_id", "text", 600).select("doc_id", "section", "part", "heading", F.char_length("content").alias("n_chars"), F.md5("content").alias("content_md5"))
+    chunks = ingest.chunk_markdown(_notes(spark, d), "doc_id", "text", 600)
+    return chunks.select("doc_id", "section", "part", "heading", F.char_length("content").alias("n_chars"), F.md5("content").alias("content_md5"))
 
 
 # -- budgets and bundles ------------------------------------------------------------------------
@@ -448,17 +452,18 @@ def supersede_states(spark: SparkSession, d: str) -> DataFrame:
 def current_state(spark: SparkSession, d: str) -> DataFrame:
     """The log of records, then their archiving, then the deletion of some: what is there now."""
     m, now = memories(spark, d, content=False), clock(spark, d)
-    log = m.select("index_name", "key", "status", "archived_at", F.lit(1).alias("op_seq"), F.lit(False).alias("deleted"))
-    archived = store.archive(m, m.where("doc_id % 3 = 0").select("index_name", "key"), now).select("index_name", "key", "status", "archived_at", F.lit(2).alias("op_seq"), F.lit(False).alias("deleted"))
-    gone = m.where("doc_id % 6 = 0").select("index_name", "key", "status", "archived_at", F.lit(3).alias("op_seq"), F.lit(True).alias("deleted"))
-    return store.current_state(log.unionByName(archived).unionByName(gone)).select("index_name", "key", "status", "archived_at")
+    ops = F.array_compact(F.array(F.lit(1), F.when(F.col("doc_id") % 3 == 0, 2), F.when(F.col("doc_id") % 6 == 0, 3)))
+    log = m.select("index_name", "key", "status", "archived_at", F.explode(ops).alias("op_seq")).withColumn("deleted", F.col("op_seq") == 3)
+    status, archived_at = store.archived_state(now)
+    log = log.withColumn("archived_at", F.when(F.col("op_seq") > 1, archived_at).otherwise(F.col("archived_at"))).withColumn("status", F.when(F.col("op_seq") > 1, status).otherwise(F.col("status")))
+    return store.current_state(log).select("index_name", "key", "status", "archived_at")
 
 
 @query
 def chunk_parents(spark: SparkSession, d: str) -> DataFrame:
     m = memories(spark, d, content=False)
-    valid, invalid = store.chunk_parents(m.withColumn("parent_key", F.when(F.col("doc_id") % 2 == 0, F.concat("parent_key", F.lit("x"))).otherwise(F.col("parent_key"))), m)
-    return valid.select("doc_id", F.lit(True).alias("valid")).unionByName(invalid.select("doc_id", F.lit(False).alias("valid")))
+    odd = m.withColumn("parent_key", F.when(F.col("doc_id") % 2 == 0, F.concat("parent_key", F.lit("x"))).otherwise(F.col("parent_key")))
+    return store.mark_chunks(odd, m).select("doc_id", "valid")
 
 
 @query
@@ -480,15 +485,16 @@ def ttl_sweep(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def ingest_plan(spark: SparkSession, d: str) -> DataFrame:
-    """Chunks of documents with front matter, and their summaries."""
-    files = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("stem"), F.concat(F.lit("---\nname: x\ndescription: About "), "doc_id", F.lit("\n---\nlead\n## Part one\n"), F.regexp_replace("text", "\n", "\n## Next\n")).alias("text"))
-    return ingest.ingest_plan(files, 600).select("stem", "section", "part", "summary", "tokens")
+    """Chunks of notes with front matter, several of one stem, and their summaries: a heading, a description or a paragraph."""
+    doc = F.col("doc_id")
+    described = F.when(doc % 2 == 0, F.concat(F.lit("description: 'About "), "doc_id", F.lit("' \n"))).otherwise("description:\n")
+    files = _notes(spark, d).withColumn("text", F.concat(F.lit("---\nname: x\n"), described, F.lit("---\n"), "text"))
+    return ingest.ingest_plan(files, 600).select("path", "task_id", "section", "part", "summary", "tokens")
 
 
 @query
 def ingest_histogram(spark: SparkSession, d: str) -> DataFrame:
-    files = table(spark, d, "documents").select(F.col("source").alias("stem"), "doc_id", F.concat(F.lit("lead\n"), "text").alias("text"))
-    return ingest.plan_histogram(ingest.chunk_markdown(files, "doc_id", "text", 600).join(files.select("doc_id", "stem"), "doc_id"))
+    return ingest.plan_histogram(ingest.chunk_markdown(_notes(spark, d), "path", "text", 600, ("stem",)))
 
 
 @query
@@ -553,10 +559,7 @@ def reconcile_drift(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def galaxy_counts(spark: SparkSession, d: str) -> DataFrame:
-    m = memories(spark, d, content=False).where("status = 'active'")
-    return projection.group_counts(m, "agent_id").select(F.lit("agent").alias("kind"), F.col("agent_id").alias("name"), "n").unionByName(
-        projection.group_counts(m, "team_id").select(F.lit("team").alias("kind"), F.col("team_id").alias("name"), "n")
-    )
+    return projection.kind_counts(memories(spark, d, content=False).where("status = 'active'"), {"agent": "agent_id", "team": "team_id"})
 
 
 @query
@@ -622,20 +625,24 @@ def alarm_breaches(spark: SparkSession, d: str) -> DataFrame:
 def _runs(spark: SparkSession, d: str, repeats: int = 1) -> DataFrame:
     """Each probe's nearest 10 in two arms; what is expected is the tasks of its nearest 5, the answer lies in the third's.
 
-    An answer's task that is not packed costs the body of its nearest record.
+    An answer's task that is not packed costs the body of its nearest record. Repeats search again, from
+    the second on with embeddings rounded to fewer digits, as an embedding service's answers vary.
     """
     now = clock(spark, d)
-    hits = _hits(spark, d).withColumn("tokens", T.estimate_tokens(F.col("content_summary")))
+    asked = _probes(spark, d).withColumn("run", F.explode(F.sequence(F.lit(1), F.lit(repeats))))
+    rounded = F.when(F.col("run") == 1, F.col("embedding").cast("array<double>")).otherwise(F.transform("embedding", lambda x: F.round(x.cast("double"), 1)))
+    asked = asked.select((F.col("vec_id") * repeats + F.col("run") - 1).alias("vec_id"), rounded.alias("embedding"))
+    hits = _hits(spark, d, asked).withColumnRenamed("query_id", "ask_id").withColumn("tokens", T.estimate_tokens(F.col("content_summary")))
     bodies = memories(spark, d).select("doc_id", T.estimate_tokens(F.col("content")).alias("body_tokens"))
-    expected = hits.where("pos <= 5").groupBy("query_id").agg(F.collect_set("task_id").alias("expected"), F.max(F.when(F.col("pos") == 3, F.col("task_id"))).alias("answer_task"))
-    wide = hits.where("pos <= 10").join(bodies, "doc_id").groupBy("query_id", "task_id").agg(F.min_by("body_tokens", "pos").alias("body_tokens"))
-    answers = expected.join(wide.withColumnRenamed("task_id", "answer_task"), ["query_id", "answer_task"], "left")
-    arms = hits.where("pos <= 10").withColumn("arm", F.lit("control")).unionByName(hits.where("pos <= 4").withColumn("arm", F.lit("candidate")))
+    expected = hits.where((F.col("pos") <= 5) & (F.col("ask_id") % repeats == 0)).groupBy(F.expr(f"ask_id div {repeats}").alias("query_id")).agg(F.collect_set("task_id").alias("expected"), F.max(F.when(F.col("pos") == 3, F.col("task_id"))).alias("answer_task"))
+    wide = hits.where("pos <= 10").join(bodies, "doc_id").groupBy("ask_id", "task_id").agg(F.min_by("body_tokens", "pos").alias("body_tokens"))
+    arms = hits.where("pos <= 10").withColumn("arm", F.explode(F.array_compact(F.array(F.lit("control"), F.when(F.col("pos") <= 4, "candidate")))))
     stale = (F.col("status") != "active") | (F.col("expires_at") <= now)
-    got = arms.groupBy("arm", "query_id").agg(F.collect_set("task_id").alias("got"), F.sum("tokens").alias("tokens"), F.count_if(stale).alias("stale"), F.max("distance").alias("latency_ms"))
-    runs = evaluate.recall(got.join(answers, "query_id")).withColumn("answered", F.array_contains("got", F.col("answer_task")))
-    runs = runs.withColumn("hydrations", (~F.col("answered")).cast("int")).withColumn("hydration_tokens", F.when(F.col("answered"), 0).otherwise(F.coalesce("body_tokens", F.lit(0))))
-    return runs if repeats == 1 else runs.withColumn("run", F.explode(F.sequence(F.lit(1), F.lit(repeats))))
+    got = arms.groupBy("arm", "ask_id").agg(F.collect_set("task_id").alias("got"), F.sum("tokens").alias("tokens"), F.count_if(stale).alias("stale"), F.max("distance").alias("latency_ms"))
+    got = got.withColumn("query_id", F.expr(f"ask_id div {repeats}")).withColumn("run", F.col("ask_id") % repeats + 1).join(expected, "query_id")
+    got = got.join(wide.withColumnRenamed("task_id", "answer_task"), ["ask_id", "answer_task"], "left")
+    runs = evaluate.recall(got).withColumn("answered", F.coalesce(F.array_contains("got", F.col("answer_task")), F.lit(False)))
+    return runs.withColumn("hydrations", (~F.col("answered")).cast("int")).withColumn("hydration_tokens", F.when(F.col("answered"), 0).otherwise(F.coalesce("body_tokens", F.lit(0))))
 
 
 @query
@@ -655,16 +662,21 @@ def eval_gate(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.gate(evaluate.summarise_arm(runs, ["arm"]), evaluate.run_deviation(runs, ["arm"]), "control", "candidate")
 
 
+@query
+def eval_deviation(spark: SparkSession, d: str) -> DataFrame:
+    """The largest spread of one question's recall over repeated searches, by arm."""
+    return evaluate.run_deviation(_runs(spark, d, 2), ["arm"]).select("arm", F.round("max_run_sd", 6).alias("max_run_sd"))
+
+
 @query
 def answer_accuracy(spark: SparkSession, d: str) -> DataFrame:
     """Answers read off what each budget packs, scored by a rubric, with savings against the widest budget."""
     hits = _hits(spark, d).where("pos <= 10").select("query_id", F.col("pos").alias("rank"), "content_summary", F.coalesce(T.estimate_tokens(F.col("content_summary")), F.lit(0)).alias("tokens"))
-    cells = None
-    for arm, most in (("control", 400), ("candidate", 120), ("candidate", 40)):
-        part = budget.within_budget(hits, ["query_id"], "rank", most).groupBy(F.col("query_id").alias("task_id")).agg(
-            F.sum("tokens").alias("packed_tokens"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "content_summary"))), lambda x: x["content_summary"]), " ").alias("answer")
-        ).withColumn("arm", F.lit(arm)).withColumn("budget", F.lit(most))
-        cells = part if cells is None else cells.unionByName(part)
+    arms = hits.withColumn("_arm", F.explode(F.array(*[F.struct(F.lit(arm).alias("arm"), F.lit(most).alias("budget")) for arm, most in (("control", 400), ("candidate", 120), ("candidate", 40))])))
+    packed = budget.within_budget(arms.select("*", "_arm.*"), ["query_id", "budget"], "rank", F.col("budget"))
+    cells = packed.groupBy(F.col("query_id").alias("task_id"), "arm", "budget").agg(
+        F.sum("tokens").alias("packed_tokens"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "content_summary"))), lambda x: x["content_summary"]), " ").alias("answer")
+    )
     answer = F.when(F.col("answer") == "", F.lit("Insufficient context")).otherwise(F.col("answer"))
     return evaluate.accuracy_by_budget(evaluate.score_answers(cells.withColumn("answer", answer), [["the", "der"], ["and", "und", "que"]], "control"))
 
@@ -672,11 +684,9 @@ def answer_accuracy(spark: SparkSession, d: str) -> DataFrame:
 @query
 def budget_sweep(spark: SparkSession, d: str) -> DataFrame:
     hits = _hits(spark, d).where("pos <= 10").select("query_id", F.col("pos").alias("rank"), "key", F.coalesce(T.estimate_tokens(F.col("content_summary")), F.lit(0)).alias("tokens"))
-    kept = None
-    for most in (40, 80, 120, 400):
-        part = budget.within_budget(hits, ["query_id"], "rank", most).select("query_id", "rank", "key", "tokens").withColumn("budget", F.lit(most))
-        kept = part if kept is None else kept.unionByName(part)
-    return evaluate.budget_sweep(kept, hits)
+    arms = hits.withColumn("budget", F.explode(F.lit([40, 80, 120, 400])))
+    kept = budget.within_budget(arms, ["query_id", "budget"], "rank", F.col("budget"))
+    return evaluate.budget_sweep(kept.select("query_id", "rank", "key", "tokens", "budget"), hits)
 
 
 @query

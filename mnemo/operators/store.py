@@ -1,13 +1,12 @@
-"""Writes as an append-only log of record states, with batch classification of incoming records."""
+"""Writes as an append-only log of record states: validation, replacement, archiving, restoring, purging."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mnemo import schema as S
 from mnemo.functions import text as T
-from mnemo.operators.search import batch_top_k
 
 
 def current_state(log: DataFrame) -> DataFrame:
@@ -68,36 +67,6 @@ def chunk_parents(df: DataFrame, mem: DataFrame) -> tuple[DataFrame, DataFrame]:
     return marked.where("valid").drop("valid"), marked.where("NOT valid").drop("valid")
 
 
-def classify(incoming: DataFrame, mem: DataFrame, similarity: float = S.NEAR_DUPLICATE, top_k: int = S.DEDUP_TOP_K) -> DataFrame:
-    """Adds ``action``, ``match_key`` and ``near_keys``: unchanged, superseded, duplicate_detected or created, in that order.
-
-    Candidates are the top_k nearest active records of the same index and task, expiry aside, found
-    by a scan against the broadcast batch, or block by block (search.batch_top_k), so no pair of
-    rows is shuffled. ``near_keys`` are all near ones among them, nearest first. A copy of an earlier row of the
-    batch is unchanged and matches nothing stored; near copies inside one batch are not compared
-    with each other (write them in micro-batches to have that).
-    """
-    active = mem.where("status = 'active'")
-    near = batch_top_k(incoming.select("seq", "index_name", "task_id", "embedding").withColumnRenamed("seq", "key"), active.select("key", "index_name", "task_id", "embedding"), top_k, "key", by=["index_name", "task_id"])
-    near = near.select(F.col("query_id").alias("seq"), F.col("id").alias("_key"), F.col("distance").alias("_d"), F.col("rank").alias("_n"))
-    hashes = active.select(F.col("key").alias("_key"), F.col("index_name"), F.col("content_hash").alias("_hash"))
-    near = near.join(incoming.select("seq", "index_name", "content_hash"), "seq").join(hashes, ["_key", "index_name"])
-    same = F.col("_hash") == F.col("content_hash")
-    best = near.groupBy("seq").agg(
-        F.min(F.when(same, F.struct("_n", "_key")))["_key"].alias("exact_key"),
-        F.array_sort(F.collect_list(F.when(~same & (1 - F.col("_d") >= similarity), F.struct("_n", "_key")))).alias("_near"),
-    ).withColumn("_near", F.transform("_near", lambda x: x["_key"]))
-    first = F.row_number().over(Window.partitionBy("index_name", "task_id", "content_hash").orderBy("seq"))
-    none = F.expr("cast(array() as array<string>)")
-    return (
-        incoming.withColumn("_first", first).join(best, "seq", "left").withColumn("near_keys", F.coalesce("_near", none))
-        .withColumn("action", F.when(F.col("exact_key").isNotNull() | (F.col("_first") > 1), "unchanged").when(F.col("supersedes_key").isNotNull(), "superseded").when((F.size("near_keys") > 0) & (F.coalesce("mode", F.lit("auto")) != "new"), "duplicate_detected").otherwise("created"))
-        .withColumn("match_key", F.when(F.col("action") == "unchanged", F.col("exact_key")).when(F.col("action") == "superseded", F.col("supersedes_key")).when(F.col("action") == "duplicate_detected", F.get("near_keys", F.lit(0))))
-        .withColumn("near_keys", F.when(F.col("action") == "duplicate_detected", F.col("near_keys")).otherwise(none))
-        .drop("_first", "_near", "exact_key")
-    )
-
-
 def outcome_facts(classified: DataFrame, at: str) -> DataFrame:
     """Metric facts (ts, name, value, unit) of a batch's outcomes, as an emitter would append them."""
     name = F.concat(F.lit("Store"), F.replace(F.initcap(F.replace("action", F.lit("_"), F.lit(" "))), F.lit(" "), F.lit("")))

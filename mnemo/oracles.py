@@ -106,12 +106,20 @@ c AS (SELECT *, substr(content, part * 600 + 1, 600) AS piece, heading0 || CASE
 PARAGRAPHS = rf"list_filter(list_transform(regexp_split_to_array({strip('piece')}, '\n\s*\n'), lambda q: trim(regexp_replace(regexp_replace({strip('q')}, '^#+\s*', ''), '\s+', ' ', 'g'))), lambda q: q <> '')"
 
 
-CLASSIFIED = f"""inc AS (SELECT doc_id AS seq, index_name, task_id, agent_id, created_at, embedding, CASE WHEN doc_id % 3 = 0 THEN content_hash ELSE content_hash || 'x' END AS content_hash, CASE WHEN doc_id % 5 = 0 THEN key END AS supersedes_key FROM mem WHERE doc_id % 4 = 0),
-p AS (SELECT i.seq, i.content_hash, m.key, m.content_hash AS mh, round(1 - {COS.format(a='i.embedding', b='m.embedding')}, 9) AS d FROM inc i JOIN mem m ON m.index_name = i.index_name AND m.task_id = i.task_id AND m.status = 'active'),
-t AS (SELECT *, row_number() OVER (PARTITION BY seq ORDER BY d, key) AS n FROM p QUALIFY n <= {S.DEDUP_TOP_K}),
-b AS (SELECT seq, arg_min(key, n) FILTER (mh = content_hash) AS ek, list(key ORDER BY n) FILTER (mh <> content_hash AND 1 - d >= {S.NEAR_DUPLICATE} :: DOUBLE) AS nk FROM t GROUP BY seq),
-a AS (SELECT i.*, ek, nk, row_number() OVER (PARTITION BY i.index_name, i.task_id, i.content_hash ORDER BY i.seq) AS f FROM inc i LEFT JOIN b USING (seq)),
-c AS (SELECT *, CASE WHEN ek IS NOT NULL OR f > 1 THEN 'unchanged' WHEN supersedes_key IS NOT NULL THEN 'superseded' WHEN len(nk) > 0 THEN 'duplicate_detected' ELSE 'created' END AS action FROM a)"""
+CLASSIFIED = f"""act AS (SELECT key, index_name, task_id, content_hash, embedding, version FROM mem WHERE status = 'active'),
+inc AS (SELECT doc_id AS seq, index_name, task_id, agent_id, created_at, embedding, version, CASE WHEN doc_id % 3 = 0 THEN content_hash ELSE content_hash || 'x' END AS content_hash, CASE WHEN doc_id % 5 = 0 THEN key END AS supersedes_key,
+  'mem_' || agent_id || '_' || task_id || '_' || substr(h, 1, 16) || '_v' || CASE WHEN doc_id % 5 = 0 THEN version + 1 ELSE 1 END AS own_key, row_number() OVER (PARTITION BY index_name, task_id ORDER BY doc_id) AS k FROM mem WHERE doc_id % 4 = 0),
+ct AS (SELECT i.seq, a.key, NULL :: BIGINT AS earlier, a.content_hash = i.content_hash AS same, round(1 - {COS.format(a='i.embedding', b='a.embedding')}, 9) AS d FROM inc i JOIN act a USING (index_name, task_id)
+  UNION ALL SELECT i.seq, a.own_key, a.seq, a.content_hash = i.content_hash, round(1 - {COS.format(a='i.embedding', b='a.embedding')}, 9) FROM inc i JOIN inc a USING (index_name, task_id) WHERE a.seq < i.seq),
+cl AS (SELECT seq, coalesce(list({{'key': key, 'earlier': earlier}} ORDER BY key) FILTER (same), []) AS sames, coalesce(list({{'key': key, 'earlier': earlier}} ORDER BY d, key) FILTER (1 - d >= {S.NEAR_DUPLICATE} :: DOUBLE), []) AS nears FROM ct GROUP BY seq),
+todo AS (SELECT i.*, coalesce(sames, []) AS sames, coalesce(nears, []) AS nears FROM inc i LEFT JOIN cl USING (seq)),
+c AS (SELECT index_name, task_id, 0 :: BIGINT AS k, [] :: BIGINT[] AS w, [] :: VARCHAR[] AS gone, NULL :: BIGINT AS seq, NULL :: VARCHAR AS agent_id, NULL :: BIGINT AS created_at, NULL :: VARCHAR AS content_hash, NULL :: VARCHAR AS supersedes_key, NULL :: VARCHAR AS ek, [] :: VARCHAR[] AS nk, NULL :: VARCHAR AS action FROM inc GROUP BY ALL
+  UNION ALL
+  SELECT index_name, task_id, k, CASE WHEN action IN ('created', 'superseded') THEN list_append(w, seq) ELSE w END, CASE WHEN action = 'superseded' THEN list_append(gone, supersedes_key) ELSE gone END, seq, agent_id, created_at, content_hash, supersedes_key, ek, nk, action
+  FROM (SELECT *, CASE WHEN ek IS NOT NULL THEN 'unchanged' WHEN supersedes_key IS NOT NULL THEN 'superseded' WHEN len(nk) > 0 THEN 'duplicate_detected' ELSE 'created' END AS action
+    FROM (SELECT t.*, c.w, c.gone, list_filter(sames, lambda x: CASE WHEN x.earlier IS NULL THEN NOT list_contains(c.gone, x.key) ELSE list_contains(c.w, x.earlier) END)[1].key AS ek,
+      list_transform(list_filter(nears, lambda x: CASE WHEN x.earlier IS NULL THEN NOT list_contains(c.gone, x.key) ELSE list_contains(c.w, x.earlier) END)[:{S.DEDUP_TOP_K}], lambda x: x.key) AS nk
+      FROM c JOIN todo t ON t.index_name = c.index_name AND t.task_id = c.task_id AND t.k = c.k + 1)))"""
 LATEST = """lv AS (SELECT index_name, canonical_id, arg_max(key, (version, created_at, doc_id)) AS key, arg_max(status, (version, created_at, doc_id)) AS status, arg_max(task_id, (version, created_at, doc_id)) AS task_id,
 arg_max(memory_type, (version, created_at, doc_id)) AS memory_type, arg_max(created_at, (version, created_at, doc_id)) AS created_at FROM mem GROUP BY ALL)"""
 PINS = f"""pins AS (SELECT index_name, team_id, task_id, arg_max(key, (version, created_at, key)) AS key, max(version) AS version FROM mem WHERE {LIVE} GROUP BY ALL)"""
@@ -214,7 +222,7 @@ SELECT * FROM l0 UNION ALL SELECT * FROM l1 UNION ALL SELECT * FROM l2""",
     "expand_cites": f"""WITH {MEM}, {GRAPH}, seeds AS (SELECT DISTINCT key AS seed, index_name FROM mem WHERE doc_id % 20 = 0),
 n AS (SELECT seed, s.index_name, dst AS key, min(ord) AS ord FROM seeds s JOIN eg ON eg.index_name = s.index_name AND eg.src = s.seed WHERE dst <> seed GROUP BY ALL),
 r AS (SELECT seed, seed AS key, 0 AS level, 1 AS pos FROM seeds UNION ALL SELECT seed, key, 1, 1 + row_number() OVER (PARTITION BY seed ORDER BY ord, key) FROM n) SELECT seed, key, level, pos FROM r WHERE pos <= 16""",
-    "store_classify": f"WITH {MEM}, {CLASSIFIED} SELECT seq, action, CASE action WHEN 'unchanged' THEN ek WHEN 'superseded' THEN supersedes_key WHEN 'duplicate_detected' THEN nk[1] END AS match_key, CASE WHEN action = 'duplicate_detected' THEN nk ELSE [] END AS near_keys FROM c",
+    "store_classify": f"WITH RECURSIVE {MEM}, {CLASSIFIED} SELECT seq, action, CASE action WHEN 'unchanged' THEN ek WHEN 'superseded' THEN supersedes_key WHEN 'duplicate_detected' THEN nk[1] END AS match_key, CASE WHEN action = 'duplicate_detected' THEN nk ELSE [] END AS near_keys FROM c WHERE k > 0",
     "store_validate": f"WITH {MEM} SELECT CASE WHEN memory_type = 'chunk' AND parent_key IS NULL THEN 'chunk without parent' WHEN ({tokens('content')} > 500 OR strlen(content) > 2048) AND coalesce(trim(content_summary), '') = '' THEN 'summary required' ELSE 'none' END AS problem, count(*) AS n FROM mem GROUP BY 1",
     "restore_memory": f"WITH {MEM}, l AS (SELECT index_name, canonical_id, max(version) AS top, arg_max(key, (version, created_at, doc_id)) AS supersedes_latest FROM mem GROUP BY ALL) SELECT m.index_name, m.key AS restored_from, top + 1 AS version, 'mem_' || agent_id || '_' || task_id || '_' || substr(h, 1, 16) || '_v' || (top + 1) AS key, supersedes_latest FROM mem m JOIN l USING (index_name, canonical_id) WHERE doc_id % 20 = 0",
     "archive_memory": f"WITH {MEM} SELECT index_name, key, 'archived' AS status, CASE WHEN status = 'archived' THEN archived_at ELSE {NOW} END AS archived_at FROM mem WHERE doc_id % 3 = 0",
@@ -273,9 +281,9 @@ j AS (SELECT al.*, CASE WHEN m.key IS NOT NULL THEN {tokens(PREVIEW)} END AS tk
 u AS (SELECT *, coalesce(sum(tk) OVER w, 0) :: BIGINT AS used_tokens, count(tk) OVER w AS nth FROM j WINDOW w AS (PARTITION BY walk ORDER BY pos)),
 z AS (SELECT *, min(CASE WHEN tk IS NOT NULL AND nth > 1 AND used_tokens > 80 THEN pos END) OVER (PARTITION BY walk) AS stop FROM u)
 SELECT walk, key, level, pos, coalesce(tk, 0) AS tokens, used_tokens, tk IS NOT NULL AS found, stop IS NOT NULL OR total > 6 AS truncated FROM z WHERE stop IS NULL OR pos < stop""",
-    "store_outcomes": f"WITH {MEM}, {CLASSIFIED} SELECT created_at - created_at % 86400 AS window_start, CASE action WHEN 'unchanged' THEN 'StoreUnchanged' WHEN 'superseded' THEN 'StoreSuperseded' WHEN 'created' THEN 'StoreCreated' ELSE 'StoreDuplicateDetected' END AS metric, count(*) AS n, count(*) :: DOUBLE AS total FROM c GROUP BY 1, 2",
-    "action_histogram": f"WITH {MEM}, {CLASSIFIED} SELECT action, count(*) AS n FROM c GROUP BY 1",
-    "supersede_states": f"""WITH {MEM}, {CLASSIFIED}, n AS (SELECT c.*, m.version + 1 AS v, m.canonical_id FROM c JOIN mem m ON m.index_name = c.index_name AND m.key = c.supersedes_key WHERE action = 'superseded')
+    "store_outcomes": f"WITH RECURSIVE {MEM}, {CLASSIFIED} SELECT created_at - created_at % 86400 AS window_start, CASE action WHEN 'unchanged' THEN 'StoreUnchanged' WHEN 'superseded' THEN 'StoreSuperseded' WHEN 'created' THEN 'StoreCreated' ELSE 'StoreDuplicateDetected' END AS metric, count(*) AS n, count(*) :: DOUBLE AS total FROM c WHERE k > 0 GROUP BY 1, 2",
+    "action_histogram": f"WITH RECURSIVE {MEM}, {CLASSIFIED} SELECT action, count(*) AS n FROM c WHERE k > 0 GROUP BY 1",
+    "supersede_states": f"""WITH RECURSIVE {MEM}, {CLASSIFIED}, n AS (SELECT c.*, m.version + 1 AS v, m.canonical_id FROM c JOIN mem m ON m.index_name = c.index_name AND m.key = c.supersedes_key WHERE action = 'superseded')
 SELECT index_name, 'mem_' || agent_id || '_' || task_id || '_' || substr(content_hash, 8, 16) || '_v' || v AS key, v :: INTEGER AS version, canonical_id, 'active' AS status, {NOW} AS created_at, supersedes_key AS supersedes FROM n
 UNION ALL SELECT index_name, key, version, canonical_id, 'superseded', created_at, supersedes FROM mem WHERE (index_name, key) IN (SELECT index_name, supersedes_key FROM n)""",
     "current_state": f"WITH {MEM} SELECT index_name, key, CASE WHEN doc_id % 3 = 0 THEN 'archived' ELSE status END AS status, CASE WHEN doc_id % 3 = 0 AND status <> 'archived' THEN {NOW} ELSE archived_at END AS archived_at FROM mem WHERE doc_id % 6 <> 0",

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from mnemo import schema as S
 from mnemo.functions import text as T
-from mnemo.operators import budget, bundles, evaluate, filters, graph, ingest, lifecycle, listing, metrics, projection, search, store
+from mnemo.operators import budget, bundles, evaluate, filters, graph, ingest, lifecycle, listing, metrics, projection, search, store, writes
 from mnemo.sources import documents
 from mnemo.sources.tables import clock, memories, table
 from mnemo.streaming import jobs
@@ -421,7 +421,7 @@ def _classified(spark: SparkSession, d: str) -> DataFrame:
         F.col("doc_id").alias("seq"), "index_name", "task_id", "embedding", F.when(F.col("doc_id") % 3 == 0, F.col("content_hash")).otherwise(F.concat("content_hash", F.lit("x"))).alias("content_hash"),
         F.when(F.col("doc_id") % 5 == 0, F.col("key")).alias("supersedes_key"), F.lit("auto").alias("mode"), "agent_id", "linked_ids", "created_at",
     )
-    return store.classify(fresh, m)
+    return writes.classify(fresh, m)
 
 
 @query

@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from mnemo.operators.metrics import metric_windows
+from mnemo.sources.shared import shared_path
 
 
 def stream_metric_windows(events: DataFrame, period: str, late: str = "1 hour", ts: str = "ts") -> DataFrame:
@@ -20,16 +19,6 @@ def stream_metric_windows(events: DataFrame, period: str, late: str = "1 hour",
     return metric_windows(timed, period, ts)
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new folder for a stream's state or output where all executors reach it: below spark.checkpoint.dir."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="spark-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def run_to_table(stream: DataFrame, name: str) -> DataFrame:
     """Run an append stream over what there is, then read back what it wrote."""
     spark = stream.sparkSession

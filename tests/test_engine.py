@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mnemo.functions import text as T
-from mnemo.operators import budget, bundles, evaluate, filters, graph, ingest, lifecycle, listing, metrics, search, store
+from mnemo.operators import budget, bundles, evaluate, filters, graph, ingest, lifecycle, listing, metrics, search, store, writes
 from mnemo.sources import documents, tables
 
 MEM = (
@@ -134,8 +134,8 @@ def test_store_decisions(spark):
     v = [1.0, 0.0]
     table = mem(spark, dict(content_hash="sha256:h", key="old")).withColumn("embedding", F.array(F.lit(1.0), F.lit(0.0)))
     rows = [(1, "sha256:h", None, "auto"), (2, "sha256:n", None, "auto"), (3, "sha256:m", None, "new"), (4, "sha256:s", "old", "auto")]
-    inc = spark.createDataFrame([(s, "shared", "t", h, v, k, m) for s, h, k, m in rows], "seq int, index_name string, task_id string, content_hash string, embedding array<double>, supersedes_key string, mode string")
-    got = {r["seq"]: (r["action"], r["match_key"]) for r in store.classify(inc, table).collect()}
+    inc = spark.createDataFrame([(s, "shared", "t", "a", h, v, k, m) for s, h, k, m in rows], "seq int, index_name string, task_id string, agent_id string, content_hash string, embedding array<double>, supersedes_key string, mode string")
+    got = {r["seq"]: (r["action"], r["match_key"]) for r in writes.classify(inc, table).collect()}
     assert got == {1: ("unchanged", "old"), 2: ("duplicate_detected", "old"), 3: ("created", None), 4: ("superseded", "old")}
 
 

@@ -85,21 +85,9 @@ LETTERED = re.compile(r"(?<![A-Za-z0-9])(?:\+ ?)?[0-9OoIl|SB](?:[ .()-]{0,2}[0-9
 SPOKEN_IP = re.compile(rf"(?<![0-9.])[0-9]{{1,3}}(?: ?(?: {_POINT} |\.) ?[0-9]{{1,3}}){{3}}(?![0-9])", re.IGNORECASE)
 SPOKEN_POINT = re.compile(rf" ?(?: {_POINT} |\.) ?", re.IGNORECASE)
 JOINED = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9.+-]+(?:_dot_[A-Za-z0-9.+-]+)*(?:_at_|-at-)[A-Za-z0-9]+(?:(?:_dot_|-dot-|\.)[A-Za-z0-9]+)+(?![A-Za-z0-9])", re.IGNORECASE)
+JOINED_HINT = re.compile(r"[_-]at[_-]", re.IGNORECASE)
 JOINED_SIGN = re.compile(r"[_-](at|dot)[_-]", re.IGNORECASE)
 
-_AT, _DOT = r"(?:at|arroba|arobase|klammeraffe|@)", r"(?:dot|punto|punkt|point|\.)"
-BRACKETED = re.compile(rf"[ \t]*[\[({{<]\s{{0,2}}(?:(?P<at>{_AT})|(?P<dot>{_DOT}))\s{{0,2}}[\])}}>][ \t]*", re.IGNORECASE)
-# Generic top-level domains; every two letters may be a country's.
-TLD = frozenset(
-    "com net org edu gov mil int arpa info biz name pro aero asia cat coop jobs mobi museum post tel travel academy agency app art bank bar beer berlin bio bike blog build business cafe camera camp capital care cash center "
-    "chat church city click clinic cloud club coach codes coffee community company computer consulting cool country credit dance data date deals dental design dev digital direct doctor domains education email energy engineer "
-    "estate events exchange expert express family farm fashion film finance fit fitness flights foundation fun fund gallery game games garden gift global gmbh gold golf group guide guru hamburg health help holdings host "
-    "hosting hotel house institute international jetzt koeln land law legal life link live loan london management market marketing media money network news ninja one online page paris partners photo photography pictures pizza "
-    "place plus press properties rent restaurant reviews rocks school science services shop show site ski social software solutions space store studio support systems team tech today tools top tours town training university "
-    "video wiki work works world xyz zone".split()
-)
-
-
 # Words of prose that are also countries' domains; spoken, they end no address.
 PROSE = frozenset("is it in to be by so no my me us am at as an or on of".split())
 
@@ -108,10 +96,9 @@ def top_level(label: str) -> bool:
     return label.lower() in TLD or (len(label) == 2 and label.isascii() and label.isalpha())
 
 
-SIGN = re.compile(r"[_-](at|dot)[_-]", re.IGNORECASE)
-
 _AT, _DOT = r"(?:at|arroba|arobase|klammeraffe|@)", r"(?:dot|punto|punkt|point|\.)"
 BRACKETED = re.compile(rf"[ \t]*[\[({{<]\s{{0,2}}(?:(?P<at>{_AT})|(?P<dot>{_DOT}))\s{{0,2}}[\])}}>][ \t]*", re.IGNORECASE)
+# Top-level domains.
 TLD = frozenset(
     "com net org edu gov mil int arpa info biz name pro aero asia cat coop jobs mobi museum post tel travel xxx academy agency app art bank bar beer berlin bio bike blog build business cafe camera camp capital care cash center "
     "chat church city click clinic cloud club coach codes coffee community company computer consulting cool country credit dance data date deals dental design dev digital direct doctor domains education email energy engineer "
@@ -158,7 +145,7 @@ def plain_spans(text: str) -> list[tuple[int, int, str]]:
     if not DIGIT.search(text):
         return out
     for m in IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.group().split(".")):
+        if all(len(p) <= 3 and int(p or 0) <= 255 for p in (x.lstrip("0") for x in m.group().split("."))):
             out.append((m.start(), m.end(), "ip"))
     for m in CARD.finditer(text):
         if m.end() - m.start() >= 12:
@@ -292,16 +279,43 @@ def spoken_addresses(text: str) -> Iterator[tuple[int, int]]:
             free = end
 
 
+SPACE = re.compile(r"\s")
+PLAIN = re.compile(r"[A-Za-z0-9@]")
+NUMERIC = re.compile(r"[0-9@]")
+
+
+def folded_tokens(text: str) -> Iterator[tuple[int, int]]:
+    """Stretches between white space in which folding can bring out an identifier.
+
+    A letter that looks like a Latin one does so only beside ASCII letters, digits or an @: a word wholly in another
+    script is left alone. A folded digit or @ does so anywhere, another sign only next to digits.
+    """
+    known, free = foldings(), 0
+    while m := odd().search(text, free):
+        a = m.start()
+        while a > free and not text[a - 1].isspace():
+            a -= 1
+        end = SPACE.search(text, m.end())
+        b = free = end.start() if end else len(text)
+        token = text[a:b]
+        if PLAIN.search(token):
+            yield a, b
+            continue
+        signs = {known.get(c, "") for c in odd().findall(token)}
+        if any(NUMERIC.search(x) for x in signs) or (not all(x.isalpha() for x in signs) and NUMERIC.search(text[max(0, a - 2) : a] + text[b : b + 2])):
+            yield a, b
+
+
 def _triggers(text: str) -> list[tuple[int, int]]:
     found = []
     if not text.isascii():
-        found += [m.span() for m in odd().finditer(text)]
+        found += folded_tokens(text)
     if any(c in text for c in "[({<"):
         found += [m.span() for m in BRACKETED.finditer(text)]
     found += spoken_addresses(text)
     if SPELLED_HINT.search(text):
         found += [m.span() for m in SPELLED_RUN.finditer(text)]
-    if "_at_" in text or "-at-" in text or "_AT_" in text:
+    if JOINED_HINT.search(text):
         found += [m.span() for m in JOINED.finditer(text)]
     if DIGIT.search(text):
         found += [m.span() for m in SPOKEN_IP.finditer(text) if " " in m.group()]

@@ -538,6 +538,14 @@ SPOKEN = "zero one two three four five six seven eight nine".split()
 GLYPHS = dict(zip("aeopcxyABEKMHOPCTX", "аеорсхуАВЕКМНОРСТХ", strict=True))
 
 
+def test_long_digit_runs_and_foreign_texts():
+    assert pii.detect("0" * 10_000 + "7.1.1.1 " + "9" * 10_000 + ".1.1.1") == ([(0, 10_007, "ip")], [])
+    assert [s[2] for s in pii.detect("john-AT-example.com, jo_At_ex_Dot_org")[1]] == ["email", "email"]
+    foreign = ("Это обычный русский текст о погоде и природе, т.е. без данных – совсем. " * 30_000)[:2_000_000]
+    assert list(pii.folded_tokens(foreign)) == [] and pii.detect(foreign) == ([], [])
+    assert [s[2] for s in pii.detect("почта jоhn@exаmple.com здесь")[1]] == ["email"] and [s[2] for s in pii.detect("тел. ＋４９ １７０ １２３４５６７")[1]] == ["phone"]
+
+
 def disguised(rng, kind):
     """(disguised identifier, kind) by one of the ways that people use."""
     digits = lambda n: "".join(str(rng.randrange(10)) for _ in range(n))

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from mnemo import schema as S
 from mnemo.functions import text as T
+from mnemo.sources.shared import Work, delete, shared_path
 
 
 def edges(mem: DataFrame) -> DataFrame:
@@ -79,17 +81,61 @@ def orphans(mem: DataFrame) -> DataFrame:
 
 
 def version_chain(mem: DataFrame) -> DataFrame:
-    """(key, chain_pos, chain_len): each record's place in its canonical's versions."""
-    w = Window.partitionBy("index_name", "canonical_id").orderBy("version")
-    return mem.withColumn("chain_pos", F.row_number().over(w)).withColumn("chain_len", F.count(F.lit(1)).over(Window.partitionBy("index_name", "canonical_id")))
+    """(index_name, key, head, chain_pos, chain_len, state): each record's place in the chain that ``supersedes`` draws.
 
-
-def impact(mem: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
-    """(root, canonical_id, level): what depends on a root through links, breadth first, to a depth."""
-    dependents = mem.where("status = 'active'").select("index_name", F.col("canonical_id").alias("dependent"), F.explode("linked_ids").alias("on")).distinct()
-    seen = roots.select("index_name", F.col("canonical_id").alias("root"), "canonical_id", F.lit(0).alias("level"))
-    for level in range(1, depth + 1):
-        edge = seen.where(F.col("level") == level - 1).withColumnRenamed("canonical_id", "on").join(dependents, ["index_name", "on"])
-        new = edge.select("index_name", "root", F.col("dependent").alias("canonical_id")).distinct().join(seen.select("index_name", "root", "canonical_id"), ["index_name", "root", "canonical_id"], "left_anti")
-        seen = seen.unionByName(new.withColumn("level", F.lit(level)))
-    return seen
+    List ranking by doubling: each round a record's pointer jumps twice as far back, so a chain of n takes
+    log2(n) rounds, each written. ``head`` is the oldest record reached, ``chain_len`` the longest way
+    from it. States, the first that holds: ``cycle`` (the way back never ends: no head, no place),
+    ``broken`` (the head supersedes a key that doesn't exist), ``branching`` (two records of the chain
+    supersede one), ``whole``. Keys must be unique in their index.
+    """
+    work = Work(mem.sparkSession, "chains")
+    nodes = work.written(mem.select("index_name", "key", "supersedes"))
+    there = nodes.select("index_name", F.col("key").alias("supersedes"), F.lit(True).alias("_there"))
+    linked = nodes.join(there, ["index_name", "supersedes"], "left")
+    # (head so far, steps to it, where to go on from): a node without a stored predecessor is at its head
+    ranked = work.written(linked.select("index_name", "key", F.when(F.col("_there"), F.col("supersedes")).alias("to"), F.when(F.col("_there"), F.col("supersedes")).otherwise(F.col("key")).alias("head"), F.when(F.col("_there"), 1).otherwise(0).cast("long").alias("steps"), (F.col("supersedes").isNotNull() & F.col("_there").isNull()).alias("lost")))
+    for _ in range(max(1, nodes.count()).bit_length() + 1):
+        if ranked.where("to IS NOT NULL").isEmpty():
+            break
+        ahead = ranked.select("index_name", F.col("key").alias("to"), F.col("to").alias("_to"), F.col("head").alias("_head"), F.col("steps").alias("_steps"), F.lit(True).alias("_on"))
+        moved = ranked.join(ahead, ["index_name", "to"], "left")
+        on = F.col("_on").isNotNull()
+        ranked = work.written(moved.select("index_name", "key", F.when(on, F.col("_to")).alias("to"), F.when(on, F.col("_head")).otherwise(F.col("head")).alias("head"), (F.col("steps") + F.coalesce("_steps", F.lit(0))).alias("steps"), "lost"))
+    forks = nodes.where("supersedes IS NOT NULL").groupBy("index_name", F.col("supersedes").alias("key")).agg((F.count(F.lit(1)) > 1).alias("fork"))
+    ends = ranked.where("to IS NULL").join(forks, ["index_name", "key"], "left")
+    chains = ends.groupBy("index_name", "head").agg((F.max("steps") + 1).alias("chain_len"), F.bool_or("lost").alias("_lost"), F.coalesce(F.bool_or("fork"), F.lit(False)).alias("_fork"))
+    lone = F.col("to").isNotNull()
+    rows = ranked.withColumn("head", F.when(~lone, F.col("head"))).join(chains, ["index_name", "head"], "left")
+    state = F.when(lone, "cycle").when(F.col("_lost"), "broken").when(F.col("_fork"), "branching").otherwise("whole")
+    out = work.written(rows.select("index_name", "key", "head", F.when(~lone, F.col("steps") + 1).alias("chain_pos"), "chain_len", state.alias("state")))
+    work.close(out)
+    return out
+
+
+def impact(mem: DataFrame, roots: DataFrame, depth: int | None = None) -> DataFrame:
+    """(index_name, root, canonical_id, level): what depends on a root through links, breadth first, to any depth.
+
+    A fixed point, semi-naively: only what the last round found is joined again, what was found before is cut
+    out, so cycles end. Each round is written and its plan is the same at every depth; it stops at
+    ``depth`` or when nothing new is found.
+    """
+    spark = mem.sparkSession
+    base = shared_path(spark, "impact")
+    depends = mem.where("status = 'active'").select("index_name", F.explode("linked_ids").alias("on"), F.col("canonical_id").alias("dependent")).distinct()
+    depends.write.parquet(f"{base}/depends")
+    depends = spark.read.parquet(f"{base}/depends")
+    found = roots.select("index_name", F.col("canonical_id").alias("root"), "canonical_id").distinct()
+    found.write.parquet(f"{base}/found/level=0")
+    level = 0
+    shape = found.schema
+    while depth is None or level < depth:
+        frontier = spark.read.schema(shape).parquet(f"{base}/found/level={level}")
+        if frontier.isEmpty():
+            break
+        level += 1
+        step = frontier.withColumnRenamed("canonical_id", "on").join(depends, ["index_name", "on"]).select("index_name", "root", F.col("dependent").alias("canonical_id")).distinct()
+        seen = spark.read.schema(shape).parquet(*[f"{base}/found/level={k}" for k in range(level)])
+        step.join(seen, ["index_name", "root", "canonical_id"], "left_anti").write.parquet(f"{base}/found/level={level}")
+    delete(spark, f"{base}/depends")
+    return spark.read.schema(StructType([*shape.fields, StructField("level", IntegerType())])).parquet(f"{base}/found")

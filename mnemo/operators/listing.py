@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from mnemo import schema as S
 from mnemo.operators.filters import compile_filter
 from mnemo.operators.search import latest_view
+from mnemo.sources import ranges
 
 
 def by_parent(mem: DataFrame, page_size: int = S.PAGE_SIZE) -> DataFrame:
@@ -33,6 +34,17 @@ def by_task(mem: DataFrame, memory_type: str | None = None, status: str | None =
     return rows.withColumn("next_key", F.when(F.col("pos") % page_size == 0, F.col("_next"))).drop("_next")
 
 
+def lay_by_task(mem: DataFrame, path: str | None = None, file_rows: int = ranges.FILE_ROWS) -> ranges.SortedRows:
+    """The latest versions laid out for listing: by index and task, newest first. ``ranges.page`` reads it."""
+    rows = latest_view(mem).where("task_id IS NOT NULL")
+    return ranges.lay(rows, ["index_name", "task_id"], [("created_at", True), ("key", False)], path, file_rows)
+
+
+def lay_by_expiry(mem: DataFrame, path: str | None = None, file_rows: int = ranges.FILE_ROWS) -> ranges.SortedRows:
+    """Records that expire, by when they do: ``ranges.upto`` finds those that are due."""
+    return ranges.lay(mem.where(F.col("expires_at") < S.NO_EXPIRY), [], [("expires_at", False), ("index_name", False), ("key", False)], path, file_rows)
+
+
 def list_memories(mem: DataFrame, filters: dict, page_size: int = S.PAGE_SIZE) -> DataFrame:
     """One page of records by the first of parent_key, canonical_id and task_id that the filters name, else by all of them.
 

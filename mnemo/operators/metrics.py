@@ -13,9 +13,31 @@ def metric_windows(events: DataFrame, period: str, ts: str = "ts", name: str = "
     return events.groupBy(F.window(at, period).alias("w"), F.col(name).alias("metric")).agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("total"), F.max(value).alias("peak")).select(F.col("w.start").alias("window_start"), "metric", "n", "total", "peak")
 
 
-def percentile_windows(events: DataFrame, period: str, q: float, ts: str = "ts", value: str = "value") -> DataFrame:
+SKETCH_K = 4096
+#: Rank error of a sketch of this size at 99 % confidence; up to about SKETCH_K values it is exact.
+RANK_ERROR = 0.001
+
+
+def sketch_windows(events: DataFrame, period: str = "1 minute", by: tuple[str, ...] = (), ts: str = "ts", value: str = "value", k: int = SKETCH_K) -> DataFrame:
+    """(window_start, by, sketch): a mergeable quantile sketch of each period. To be stored; coarser periods are made from it."""
     w = F.window(F.col(ts).cast("timestamp"), period)
-    return events.groupBy(w.alias("w")).agg(F.percentile(value, q).alias("p")).select(F.col("w.start").alias("window_start"), "p")
+    return events.where(F.col(value).isNotNull()).groupBy(w.alias("w"), *by).agg(F.kll_sketch_agg_double(F.col(value).cast("double"), k).alias("sketch")).select(F.col("w.start").alias("window_start"), *by, "sketch")
+
+
+def roll_up(sketches: DataFrame, period: str, by: tuple[str, ...] = (), k: int = SKETCH_K) -> DataFrame:
+    """Sketches of a longer period, merged from those of shorter ones: no event is read again."""
+    merged = sketches.groupBy(F.window("window_start", period).alias("w"), *by).agg(F.kll_merge_agg_double("sketch", k).alias("sketch"))
+    return merged.select(F.col("w.start").alias("window_start"), *by, "sketch")
+
+
+def sketch_quantile(sketches: DataFrame, q: float, name: str = "p") -> DataFrame:
+    """Adds ``n`` and the least value whose rank is at least ``q``, within RANK_ERROR of it."""
+    return sketches.withColumn("n", F.kll_sketch_get_n_double("sketch")).withColumn(name, F.kll_sketch_get_quantile_double("sketch", F.lit(q))).drop("sketch")
+
+
+def percentile_windows(events: DataFrame, period: str, q: float, ts: str = "ts", value: str = "value") -> DataFrame:
+    """(window_start, n, p) by sketches: a task holds SKETCH_K values or so of a window, however many there are."""
+    return sketch_quantile(sketch_windows(events, period, ts=ts, value=value), q)
 
 
 def ratio_windows(events: DataFrame, period: str, hit: str, miss: str, ts: str = "ts", name: str = "event_type") -> DataFrame:
@@ -25,9 +47,19 @@ def ratio_windows(events: DataFrame, period: str, hit: str, miss: str, ts: str =
     return events.groupBy(w.alias("w")).agg(hits.alias("hits"), misses.alias("misses")).select(F.col("w.start").alias("window_start"), "hits", "misses", F.try_divide(100.0 * F.col("hits"), F.col("hits") + F.col("misses")).alias("hit_rate"))
 
 
-def alarms(windows: DataFrame, threshold: float, periods: int, step_seconds: int, value: str = "total") -> DataFrame:
-    """Adds ``breach`` and ``alarm``: over the threshold, for ``periods`` periods in a row; a gap is not a breach."""
+def summed_windows(events: DataFrame, period: str, names: tuple[str, ...], label: str, ts: str = "ts", name: str = "event_type", value: str = "value") -> DataFrame:
+    """(window_start, metric, total) of several series added up, as client and server errors are."""
+    w = F.window(F.col(ts).cast("timestamp"), period)
+    return events.where(F.col(name).isin(*names)).groupBy(w.alias("w")).agg(F.sum(value).alias("total")).select(F.col("w.start").alias("window_start"), F.lit(label).alias("metric"), "total")
+
+
+def alarms(windows: DataFrame, threshold: float, periods: int, step_seconds: int, value: str = "total", below: bool = False) -> DataFrame:
+    """Adds ``breach`` and ``alarm``: over the threshold (or under it), for ``periods`` periods in a row.
+
+    A period without a window, or without a value, is no breach.
+    """
     at = F.unix_timestamp("window_start")
     w = Window.partitionBy("metric").orderBy(at).rangeBetween(-(periods - 1) * step_seconds, 0)
-    breach = (F.col(value) > threshold).cast("int")
+    over = F.col(value) < threshold if below else F.col(value) > threshold
+    breach = F.coalesce(over, F.lit(False)).cast("int")
     return windows.withColumn("breach", breach == 1).withColumn("alarm", F.sum(breach).over(w) == periods)

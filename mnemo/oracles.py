@@ -167,6 +167,11 @@ SELECT vec_id, round((a - min(a) OVER ()) / (max(a) OVER () - min(a) OVER ()) *
 ORACLES: dict[str, str] = {
     "knn_filtered_topk": f"SELECT vec_id, round(1 - {COS.format(a='embedding', b='(SELECT embedding FROM embeddings WHERE vec_id = 7)')}, 6) + 0.0 :: DOUBLE AS distance FROM embeddings WHERE label = 3 ORDER BY 1 - {COS.format(a='embedding', b='(SELECT embedding FROM embeddings WHERE vec_id = 7)')}, vec_id LIMIT 20",
     "knn_batch_topk": f"WITH n AS (SELECT q.vec_id AS query_id, b.vec_id AS id, round(1 - {COS.format(a='q.embedding', b='b.embedding')}, 9) AS d FROM embeddings q, embeddings b WHERE q.vec_id % 20 = 0) SELECT query_id, id, round(d, 6) + 0.0 :: DOUBLE AS distance, row_number() OVER (PARTITION BY query_id ORDER BY d, id) AS rank FROM n QUALIFY rank <= 10",
+    "knn_index_topk": f"WITH n AS (SELECT q.vec_id AS query_id, b.vec_id AS id, round(1 - {COS.format(a='q.embedding', b='b.embedding')}, 9) AS d FROM embeddings q, embeddings b WHERE q.vec_id % 20 = 0 AND b.label BETWEEN 2 AND 5) SELECT query_id, id, round(d, 6) + 0.0 :: DOUBLE AS distance, row_number() OVER (PARTITION BY query_id ORDER BY d, id) AS rank FROM n QUALIFY rank <= 10",
+    "stored_state": f"WITH {MEM} SELECT index_name, key, CASE WHEN doc_id % 3 = 0 THEN 'archived' ELSE status END AS status, CASE WHEN doc_id % 3 = 0 AND status <> 'archived' THEN {NOW} ELSE archived_at END AS archived_at FROM mem WHERE doc_id % 6 <> 0",
+    "view_kept_up": f"WITH {MEM} SELECT index_name, canonical_id, arg_max(key, (version, created_at, doc_id)) AS key, max(version) AS version, arg_max(status, (version, created_at, doc_id)) AS status, count(*) AS n_versions FROM mem WHERE doc_id % 6 <> 0 GROUP BY index_name, canonical_id",
+    "page_by_cursor": f"WITH {MEM}, {LATEST}, o AS (SELECT key, created_at, row_number() OVER (ORDER BY created_at DESC, key) AS n FROM lv WHERE index_name = 'shared' AND task_id = 'src3' AND status = 'active') SELECT ((n - 1) // 7) :: INTEGER AS page, key, created_at FROM o",
+    "expired_range": f"WITH {MEM} SELECT doc_id, key, expires_at FROM mem WHERE expires_at <= {NOW}",
     "near_duplicate_pairs": f"SELECT a.vec_id AS a, b.vec_id AS b, round({COS.format(a='a.embedding', b='b.embedding')}, 6) AS similarity FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE {COS.format(a='a.embedding', b='b.embedding')} >= 0.40",
     "rank_semantic": f"WITH {HITS} SELECT query_id, doc_id, round(1 - distance, 6) AS score, pos AS rank FROM hits",
     "rank_balanced": ranked("balanced"),
@@ -214,11 +219,17 @@ FROM packs p LEFT JOIN a USING (task_id) LEFT JOIN b ON b.pack = p.pack AND b.ta
     "list_by_canonical": f"WITH {MEM} SELECT index_name, canonical_id, key, version, doc_id FROM mem QUALIFY row_number() OVER (PARTITION BY index_name, canonical_id ORDER BY version DESC) = 1",
     "linked_by": f"WITH {MEM} SELECT doc_id, key, canonical_id FROM mem WHERE status = 'active' AND list_contains(linked_ids, (SELECT canonical_id FROM mem WHERE doc_id = 20))",
     "orphan_facts": f"WITH {MEM}, u AS (SELECT DISTINCT index_name, unnest(linked_ids) AS c FROM mem WHERE status = 'active') SELECT doc_id, index_name, canonical_id FROM mem WHERE status = 'active' AND NOT EXISTS (SELECT 1 FROM u WHERE u.index_name = mem.index_name AND u.c = mem.canonical_id)",
-    "impact_closure": f"""WITH {MEM}, dep AS (SELECT DISTINCT index_name, canonical_id AS dependent, unnest(linked_ids) AS o FROM mem WHERE status = 'active'), l0 AS (SELECT DISTINCT index_name, canonical_id AS root, canonical_id, 0 AS level FROM mem WHERE doc_id % 20 = 0),
-l1 AS (SELECT DISTINCT l0.index_name, root, dependent AS canonical_id, 1 AS level FROM l0 JOIN dep ON dep.index_name = l0.index_name AND o = l0.canonical_id WHERE dependent <> root),
-l2 AS (SELECT DISTINCT l1.index_name, root, dependent AS canonical_id, 2 AS level FROM l1 JOIN dep ON dep.index_name = l1.index_name AND o = l1.canonical_id WHERE dependent <> root AND NOT EXISTS (SELECT 1 FROM l1 x WHERE x.index_name = l1.index_name AND x.root = l1.root AND x.canonical_id = dependent))
-SELECT * FROM l0 UNION ALL SELECT * FROM l1 UNION ALL SELECT * FROM l2""",
-    "version_chain": f"WITH {MEM} SELECT doc_id, key, version AS chain_pos, count(*) OVER (PARTITION BY index_name, canonical_id) AS chain_len FROM mem",
+    "impact_closure": f"""WITH RECURSIVE {MEM}, dep AS (SELECT DISTINCT index_name, canonical_id AS dependent, unnest(linked_ids) AS o FROM mem WHERE status = 'active'),
+walk AS (SELECT DISTINCT index_name, canonical_id AS root, canonical_id, 0 AS level FROM mem WHERE doc_id % 20 = 0
+  UNION SELECT w.index_name, root, dependent, level + 1 FROM walk w JOIN dep ON dep.index_name = w.index_name AND o = w.canonical_id WHERE level < 60)
+SELECT index_name, root, canonical_id, min(level) AS level FROM walk GROUP BY ALL""",
+    "version_chain": f"""WITH RECURSIVE {MEM}, a AS (SELECT index_name, key, canonical_id, version, doc_id, supersedes AS s0, CASE WHEN doc_id % 40 = 0 THEN supersedes || 'x' ELSE supersedes END AS s1 FROM mem),
+g AS (SELECT index_name, key, CASE WHEN doc_id % 50 = 0 AND s1 IS NOT NULL THEN coalesce(lag(s0) OVER (PARTITION BY index_name, canonical_id ORDER BY version), s1) ELSE s1 END AS prev FROM a),
+h AS (SELECT g.*, p.key IS NULL AS is_head FROM g LEFT JOIN g p ON p.index_name = g.index_name AND p.key = g.prev),
+walk AS (SELECT index_name, key, key AS head, 1 AS pos FROM h WHERE is_head UNION ALL SELECT g.index_name, g.key, w.head, w.pos + 1 FROM walk w JOIN g ON g.index_name = w.index_name AND g.prev = w.key),
+fk AS (SELECT index_name, prev AS key, count(*) > 1 AS fork FROM g WHERE prev IS NOT NULL GROUP BY ALL),
+ch AS (SELECT w.index_name, head, max(pos) AS len, bool_or(h.is_head AND h.prev IS NOT NULL) AS lost, coalesce(bool_or(fork), false) AS fork FROM walk w JOIN h USING (index_name, key) LEFT JOIN fk USING (index_name, key) GROUP BY ALL)
+SELECT index_name, key, head, pos :: BIGINT AS chain_pos, len :: BIGINT AS chain_len, CASE WHEN head IS NULL THEN 'cycle' WHEN lost THEN 'broken' WHEN fork THEN 'branching' ELSE 'whole' END AS state FROM g LEFT JOIN walk USING (index_name, key) LEFT JOIN ch USING (index_name, head)""",
     "expand_cites": f"""WITH {MEM}, {GRAPH}, seeds AS (SELECT DISTINCT key AS seed, index_name FROM mem WHERE doc_id % 20 = 0),
 n AS (SELECT seed, s.index_name, dst AS key, min(ord) AS ord FROM seeds s JOIN eg ON eg.index_name = s.index_name AND eg.src = s.seed WHERE dst <> seed GROUP BY ALL),
 r AS (SELECT seed, seed AS key, 0 AS level, 1 AS pos FROM seeds UNION ALL SELECT seed, key, 1, 1 + row_number() OVER (PARTITION BY seed ORDER BY ord, key) FROM n) SELECT seed, key, level, pos FROM r WHERE pos <= 16""",
@@ -237,7 +248,13 @@ r AS (SELECT seed, seed AS key, 0 AS level, 1 AS pos FROM seeds UNION ALL SELECT
     "constellations": f"WITH {MEM}, p AS (SELECT task_id, embedding[1] :: DOUBLE AS x, embedding[2] :: DOUBLE AS y FROM mem), c AS (SELECT task_id, count(*) AS n, avg(x) AS cx, avg(y) AS cy FROM p GROUP BY 1 HAVING n >= 3) SELECT task_id, n, round(cx, 6) AS cx, round(cy, 6) AS cy, round(greatest(0.08 :: DOUBLE, max(sqrt((x - cx) * (x - cx) + (y - cy) * (y - cy)))), 6) AS spread FROM p JOIN c USING (task_id) GROUP BY task_id, n, cx, cy",
     "metric_windows": f"WITH {WINDOWS} SELECT * FROM w",
     "cache_hit_rate": "SELECT epoch(time_bucket(INTERVAL '1 day', ts)) :: BIGINT AS window_start, count(*) FILTER (event_type = 'view') AS hits, count(*) FILTER (event_type = 'click') AS misses, round(100.0 :: DOUBLE * hits / nullif(hits + misses, 0), 6) AS hit_rate FROM events GROUP BY 1",
-    "latency_p95": "SELECT epoch(time_bucket(INTERVAL '1 day', ts)) :: BIGINT AS window_start, round(quantile_cont(value, 0.95), 6) AS p95 FROM events GROUP BY 1",
+    "latency_p95": "SELECT epoch(time_bucket(INTERVAL '1 day', ts)) :: BIGINT AS window_start, event_type, count(*) AS n, round(quantile_disc(value, 0.95), 6) AS p95 FROM events GROUP BY 1, 2",
+    "alarm_low_hit_rate": """WITH w AS (SELECT epoch(time_bucket(INTERVAL '1 hour', ts)) :: BIGINT AS window_start, 100.0 :: DOUBLE * count(*) FILTER (event_type = 'view') / nullif(count(*) FILTER (event_type IN ('view', 'click')), 0) AS rate FROM events GROUP BY 1),
+b AS (SELECT *, sum(CASE WHEN rate < 50 THEN 1 ELSE 0 END) OVER (ORDER BY window_start RANGE BETWEEN 7200 PRECEDING AND CURRENT ROW) = 3 AS alarm FROM w) SELECT window_start, round(rate, 6) AS hit_rate, alarm FROM b WHERE rate < 50""",
+    "alarm_error_sum": "SELECT epoch(time_bucket(INTERVAL '1 day', ts)) :: BIGINT AS window_start, 'errors' AS metric, round(sum(value), 4) AS total, round(sum(value), 4) > 1000 AS alarm FROM events WHERE event_type IN ('click', 'purchase') GROUP BY 1",
+    "alarm_stream": """WITH w AS (SELECT epoch(time_bucket(INTERVAL '1 hour', ts)) :: BIGINT AS window_start, 100.0 :: DOUBLE * count(*) FILTER (event_type = 'view') / count(*) AS rate FROM events WHERE event_type IN ('view', 'click') GROUP BY 1),
+b AS (SELECT *, sum(CASE WHEN rate < 50 THEN 1 ELSE 0 END) OVER (ORDER BY window_start RANGE BETWEEN 7200 PRECEDING AND CURRENT ROW) = 3 AS alarm FROM w)
+SELECT 'hit_rate' AS metric, window_start, round(rate, 6) AS value, rate < 50 AS breach, alarm FROM b WHERE (window_start + 3600) * 1000 <= (SELECT max(epoch_ms(ts)) - 3600000 FROM events WHERE event_type IN ('view', 'click'))""",
     "alarm_breaches": f"WITH {WINDOWS}, b AS (SELECT *, sum(CASE WHEN total > 100 THEN 1 ELSE 0 END) OVER (PARTITION BY metric ORDER BY window_start RANGE BETWEEN 7200 PRECEDING AND CURRENT ROW) = 3 AS alarm FROM w) SELECT window_start, metric, alarm FROM b WHERE total > 100",
     "eval_recall_at_k": f"WITH {runs(1)} SELECT arm, query_id, round(recall, 6) AS recall, tokens, stale FROM runs",
     "eval_summary": f"WITH {runs(2)} SELECT arm, count(*) AS runs, round(avg(recall), 6) AS mean_recall, round(min(recall), 6) AS min_recall, round(stddev_pop(recall), 6) AS sd_recall, round(avg(answered :: INT :: DOUBLE), 6) AS answer_rate, sum(tokens) :: BIGINT AS tokens, sum(stale) :: BIGINT AS stale, sum(hydrations) :: BIGINT AS hydrations, sum(hydration_tokens) :: BIGINT AS hydration_tokens, sum(tokens + hydration_tokens) :: BIGINT AS net_tokens FROM runs GROUP BY arm",
@@ -299,8 +316,10 @@ SELECT index_name, CASE WHEN EXISTS (SELECT 1 FROM pr WHERE pr.index_name = mem.
     "injection_external": f"WITH {MEM}, x AS (SELECT created_at, CASE WHEN doc_id % 2 = 0 THEN 'You must know: ' ELSE '' END || content AS t FROM mem WHERE toxic = 1) SELECT created_at - created_at % 86400 AS day, count(*) AS n FROM x WHERE " + " OR ".join(f"regexp_matches(t, '{p}', 'i')" for p in INJECTION_PATTERNS) + " GROUP BY 1",
     "service_hits": f"WITH {HITS} SELECT key, round(distance, 6) AS distance, substr(coalesce(CASE WHEN doc_id % 2 = 0 THEN nullif(repeat(content_summary, 5), '') END, nullif(content_summary, '')), 1, 280) AS content_summary, memory_type, task_id, team_id, true AS in_galaxy, false AS hydrated FROM hits WHERE pos <= 8",
     "metric_stream": f"WITH {WINDOWS} SELECT * FROM w WHERE window_start + 3600 <= (SELECT floor(epoch(max(ts))) FROM events) - 3600",
-    "lookup_stream": """WITH RECURSIVE e AS (SELECT event_type, user_id, floor(epoch(ts)) :: BIGINT AS t, row_number() OVER (PARTITION BY event_type, user_id ORDER BY ts) AS n FROM events),
-r AS (SELECT event_type, user_id, n, t, t AS last, false AS hit FROM e WHERE n = 1
-UNION ALL SELECT e.event_type, e.user_id, e.n, e.t, CASE WHEN e.t - r.last < 600 THEN r.last ELSE e.t END, e.t - r.last < 600 FROM r JOIN e ON e.event_type = r.event_type AND e.user_id = r.user_id AND e.n = r.n + 1)
-SELECT event_type AS kind, count(*) FILTER (hit) AS hits, count(*) FILTER (NOT hit) AS misses FROM r GROUP BY 1""",
+    "lookup_stream": """WITH RECURSIVE e AS (SELECT event_type AS cache, user_id, epoch_ms(ts) AS t, row_number() OVER (PARTITION BY event_type ORDER BY epoch_ms(ts), user_id || '/' || (user_id % 7)) AS seat, row_number() OVER (PARTITION BY event_type, user_id ORDER BY epoch_ms(ts)) AS n FROM events WHERE epoch_ms(ts) < (SELECT max(epoch_ms(ts)) - 3600000 FROM events)),
+p AS (SELECT *, lag(seat) OVER (PARTITION BY cache, user_id ORDER BY n) AS before FROM e),
+q AS (SELECT p.*, (SELECT count(DISTINCT user_id) FROM e WHERE e.cache = p.cache AND e.seat > p.before AND e.seat < p.seat) < 40 AS there FROM p),
+r AS (SELECT cache, user_id, n, t, t AS put, false AS hit FROM q WHERE n = 1
+UNION ALL SELECT q.cache, q.user_id, q.n, q.t, CASE WHEN q.there AND q.t - r.put < 21600000 THEN r.put ELSE q.t END, q.there AND q.t - r.put < 21600000 FROM r JOIN q ON q.cache = r.cache AND q.user_id = r.user_id AND q.n = r.n + 1)
+SELECT cache, count(*) FILTER (hit) AS hits, count(*) FILTER (NOT hit) AS misses, 0 :: BIGINT AS late FROM r GROUP BY 1""",
 }

@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from mnemo import schema as S
 from mnemo.functions import text as T
-from mnemo.operators import budget, bundles, evaluate, filters, graph, ingest, lifecycle, listing, metrics, projection, search, store, writes
-from mnemo.sources import documents
+from mnemo.operators import budget, bundles, evaluate, filters, graph, ingest, lifecycle, listing, metrics, projection, search, store, vector_index, view, writes
+from mnemo.sources import documents, ranges
+from mnemo.sources.shared import shared_path
+from mnemo.sources.stored import StoredTable
 from mnemo.sources.tables import clock, memories, table
 from mnemo.streaming import jobs
 
@@ -55,6 +57,17 @@ def knn_batch_topk(spark: SparkSession, d: str) -> DataFrame:
     return search.batch_top_k(e.where("vec_id % 20 = 0"), e, 10).select("query_id", "id", (F.round("distance", 6) + F.lit(0.0)).alias("distance"), "rank")
 
 
+@query
+def knn_index_topk(spark: SparkSession, d: str) -> DataFrame:
+    """The nearest of labels 2 to 5 from a stored index: cells that may hold nearer ones are read, so the result is exact."""
+    e = table(spark, d, "embeddings")
+    index = vector_index.build(e, fields=["label"], cells=24)
+    hit = F.col("label").between(2, 5)
+    may = lambda c: (F.col("label_max") >= 2) & (F.col("label_min") <= 5)
+    out = vector_index.top_k(index, e.where("vec_id % 20 = 0"), 10, probes=3, where=hit, may_hold=may, exact=True)
+    return out.select("query_id", "id", (F.round("distance", 6) + F.lit(0.0)).alias("distance"), "rank")
+
+
 @query
 def near_duplicate_pairs(spark: SparkSession, d: str) -> DataFrame:
     return search.similar_pairs(table(spark, d, "embeddings"), 0.40).select("a", "b", F.round("similarity", 6).alias("similarity"))
@@ -331,6 +344,25 @@ def list_by_task(spark: SparkSession, d: str) -> DataFrame:
     return listing.by_task(memories(spark, d, content=False), status="active").select("index_name", "task_id", "key", "created_at", "pos", "page", "next_key")
 
 
+@query
+def page_by_cursor(spark: SparkSession, d: str) -> DataFrame:
+    """A task's active latest versions, page after page of seven, each from the token that the last one gave."""
+    laid = listing.lay_by_task(memories(spark, d, content=False), file_rows=64)
+    out, token, n = None, None, 0
+    while n == 0 or token:
+        rows, token = ranges.page(laid, ["shared", "src3"], 7, token, F.col("status") == "active")
+        rows = rows.withColumn("page", F.lit(n))
+        out, n = (rows if out is None else out.unionByName(rows)), n + 1
+    return out.select("page", "key", "created_at")
+
+
+@query
+def expired_range(spark: SparkSession, d: str) -> DataFrame:
+    """Records due to expire, from a layout by expiry: what lies behind the clock isn't opened."""
+    laid = listing.lay_by_expiry(memories(spark, d, content=False), file_rows=256)
+    return ranges.upto(laid, clock(spark, d)).select("doc_id", "key", "expires_at")
+
+
 @query
 def list_by_parent(spark: SparkSession, d: str) -> DataFrame:
     return listing.by_parent(memories(spark, d, content=False)).select("index_name", "parent_key", "key", "created_at", "pos")
@@ -389,12 +421,16 @@ def orphan_facts(spark: SparkSession, d: str) -> DataFrame:
 def impact_closure(spark: SparkSession, d: str) -> DataFrame:
     m = memories(spark, d, content=False)
     roots = m.where("doc_id % 20 = 0").select("index_name", "canonical_id").distinct()
-    return graph.impact(m, roots, 2).select("index_name", "root", "canonical_id", "level")
+    return graph.impact(m, roots).select("index_name", "root", "canonical_id", "level")
 
 
 @query
 def version_chain(spark: SparkSession, d: str) -> DataFrame:
-    return graph.version_chain(memories(spark, d, content=False)).select("doc_id", "key", "chain_pos", "chain_len")
+    """Chains by their pointers, with every fortieth record's predecessor lost and every fiftieth's shared with another."""
+    m = memories(spark, d, content=False)
+    lost = F.when(F.col("doc_id") % 40 == 0, F.concat("supersedes", F.lit("x"))).otherwise(F.col("supersedes"))
+    shared = F.when((F.col("doc_id") % 50 == 0) & lost.isNotNull(), F.coalesce(F.lag("supersedes").over(Window.partitionBy("index_name", "canonical_id").orderBy("version")), lost)).otherwise(lost)
+    return graph.version_chain(m.withColumn("supersedes", shared))
 
 
 @query
@@ -459,6 +495,29 @@ def current_state(spark: SparkSession, d: str) -> DataFrame:
     return store.current_state(log).select("index_name", "key", "status", "archived_at")
 
 
+@query
+def stored_state(spark: SparkSession, d: str) -> DataFrame:
+    """The same state read from a stored table: records written, some archived over them, some deleted, half compacted in between."""
+    m, now = memories(spark, d, content=False), clock(spark, d)
+    t = StoredTable.create(spark, shared_path(spark, "stored"), "index_name string, key string, status string, archived_at long", ["index_name", "key"], buckets=16)
+    t.upsert(m)
+    t.upsert(store.archive(m, m.where("doc_id % 3 = 0").select("index_name", "key"), now))
+    t.compact()
+    t.delete(m.where("doc_id % 6 = 0").select("index_name", "key"))
+    return t.read()
+
+
+@query
+def view_kept_up(spark: SparkSession, d: str) -> DataFrame:
+    """The canonical view after records came in three writes and every sixth was deleted, kept up from these changes alone."""
+    m = memories(spark, d, content=False)
+    records, held = view.create(spark, shared_path(spark, "kept-up"), buckets=16)
+    for part in range(3):
+        view.upsert(records, held, m.where(F.col("doc_id") % 3 == part))
+    view.delete(records, held, m.where("doc_id % 6 = 0").select("index_name", "key", "canonical_id"))
+    return held.read().select("index_name", "canonical_id", "key", "version", "status", "n_versions")
+
+
 @query
 def chunk_parents(spark: SparkSession, d: str) -> DataFrame:
     m = memories(spark, d, content=False)
@@ -593,14 +652,41 @@ def metric_stream(spark: SparkSession, d: str) -> DataFrame:
     return out.select(F.unix_timestamp("window_start").alias("window_start"), "metric", "n", F.round("total", 4).alias("total"), F.round("peak", 6).alias("peak"))
 
 
+def _event_stream(spark: SparkSession, d: str) -> DataFrame:
+    events = table(spark, d, "events")
+    return spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(d).withColumn("ts", F.col("ts").cast("timestamp"))
+
+
 @query
 def lookup_stream(spark: SparkSession, d: str) -> DataFrame:
-    """Lookups of a stream of events answered by a cache in state that forgets after ten minutes, by kind of event."""
-    events = table(spark, d, "events")
-    stream = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(d)
-    asked = stream.select(F.concat_ws("/", "event_type", F.col("user_id").cast("string")).alias("content_hash"), F.col("ts").cast("timestamp").alias("ts"))
-    out = jobs.run_to_table(jobs.cached_lookups(asked), "lookup-stream")
-    return out.groupBy(F.substring_index("content_hash", "/", 1).alias("kind")).agg(F.count_if("hit").alias("hits"), F.count_if(~F.col("hit")).alias("misses"))
+    """Lookups of a stream of events, by user and tenth of the value, answered by a cache of 40 entries and ten minutes for each kind of event."""
+    asked = _event_stream(spark, d).select(F.col("event_type").alias("cache"), F.concat_ws("/", "user_id", F.floor(F.col("user_id") % 7)).alias("content_hash"), "ts")
+    out = jobs.run_to_table(jobs.cached_lookups(asked, capacity=40, seconds=21_600), "lookup-stream")
+    return out.groupBy("cache").agg(F.count_if("hit").alias("hits"), F.count_if(~F.col("hit")).alias("misses"), F.count_if("late").alias("late"))
+
+
+@query
+def alarm_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The low hit rate of views against clicks as a stream: periods that are closed, in breach, and the third breach in a row."""
+    view, click = F.col("event_type") == "view", F.col("event_type") == "click"
+    rows = _event_stream(spark, d).where(view | click).select(F.lit("hit_rate").alias("metric"), "ts", view.cast("double").alias("up"), click.cast("double").alias("down"))
+    out = jobs.run_to_table(jobs.stream_alarms(rows, 3600, 50.0, 3, below=True, rate=True), "alarm-stream")
+    return out.select("metric", F.unix_timestamp("window_start").alias("window_start"), F.round("value", 6).alias("value"), "breach", "alarm")
+
+
+@query
+def alarm_low_hit_rate(spark: SparkSession, d: str) -> DataFrame:
+    """The same alarm over a whole table."""
+    rates = metrics.ratio_windows(table(spark, d, "events"), "1 hour", "view", "click").withColumn("metric", F.lit("hit_rate"))
+    out = metrics.alarms(rates, 50.0, 3, 3600, "hit_rate", below=True)
+    return out.where("breach").select(F.unix_timestamp("window_start").alias("window_start"), F.round("hit_rate", 6).alias("hit_rate"), "alarm")
+
+
+@query
+def alarm_error_sum(spark: SparkSession, d: str) -> DataFrame:
+    """An alarm on the sum of two series: as client and server errors are."""
+    both = metrics.summed_windows(table(spark, d, "events"), "1 day", ("click", "purchase"), "errors").withColumn("total", F.round("total", 4))
+    return metrics.alarms(both, 1000.0, 1, 86_400).select(F.unix_timestamp("window_start").alias("window_start"), "metric", "total", "alarm")
 
 
 @query
@@ -611,8 +697,13 @@ def cache_hit_rate(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def latency_p95(spark: SparkSession, d: str) -> DataFrame:
-    out = metrics.percentile_windows(table(spark, d, "events"), "1 day", 0.95)
-    return out.select(F.unix_timestamp("window_start").alias("window_start"), F.round("p", 6).alias("p95"))
+    """The 95th percentile by hour and day, merged from stored sketches of minutes."""
+    path = shared_path(spark, "sketches")
+    metrics.sketch_windows(table(spark, d, "events"), "1 minute", ("event_type",)).write.parquet(path)
+    hours = metrics.roll_up(spark.read.parquet(path), "1 hour", ("event_type",))
+    days = metrics.roll_up(hours, "1 day", ("event_type",))
+    every = metrics.sketch_quantile(days, 0.95)
+    return every.select(F.unix_timestamp("window_start").alias("window_start"), "event_type", "n", F.round("p", 6).alias("p95"))
 
 
 @query

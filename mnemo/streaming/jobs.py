@@ -1,7 +1,8 @@
-"""Structured Streaming forms: metric windows over late data, sweeps as files arrive, an embedding cache in state."""
+"""Structured Streaming forms: metric windows over late data, sweeps as files arrive, caches and alarms in state."""
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -32,17 +33,100 @@ def each_batch(stream: DataFrame, handle: Callable[[DataFrame, int], None], chec
     return stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def cached_lookups(requests: DataFrame, seconds: int = 600) -> DataFrame:
-    """(content_hash, hit): whether a request (content_hash, ts) was answered within ``seconds`` before."""
+LATE = "1 hour"
+
+
+def _ms(ts: pd.Series) -> pd.Series:
+    return ts.astype("datetime64[us]").astype("int64") // 1000
+
+
+class LruCache:
+    """A cache of bounded size that forgets: the least recently used entry goes first, an entry after ``seconds`` at the latest.
+
+    Entries are (key, when it was put), the least recently used first, so that they can be kept as a list.
+    """
+
+    def __init__(self, entries: list, capacity: int, seconds: int):
+        self.entries, self.capacity, self.ms = dict(entries), capacity, seconds * 1000
+
+    def ask(self, key: str, at: int) -> bool:
+        """Whether ``key`` is there at the time; if not, it is put there."""
+        put = self.entries.pop(key, None)
+        hit = put is not None and at - put < self.ms
+        self.entries[key] = put if hit else at
+        if len(self.entries) > self.capacity:
+            del self.entries[next(iter(self.entries))]
+        return hit
+
+
+def cached_lookups(requests: DataFrame, capacity: int = 1000, seconds: int = 600, late: str = LATE) -> DataFrame:
+    """(cache, content_hash, at, hit, late): requests (cache, content_hash, ts) answered by a cache of bounded size each, in the order of their time.
+
+    ``cache`` names one of many caches, as one process has one. Requests wait in state until the watermark,
+    ``late`` behind the newest, has passed them, so the order of arrival doesn't matter; one that comes
+    after that is late: a miss that the cache never sees. State of a cache: ``capacity`` entries and the
+    requests of the last ``late``; timers answer what waits when no more comes.
+    """
 
     def look(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        for pdf in batches:
-            hits = []
-            for t in sorted(pdf["ts"].astype("int64") // 10**9):
-                hits.append(last is not None and t - last < seconds)
-                last = t if not hits[-1] else last
-            yield pd.DataFrame({"content_hash": [key[0]] * len(hits), "hit": hits})
-        state.update((int(last),))
-
-    return requests.groupBy("content_hash").applyInPandasWithState(look, "content_hash string, hit boolean", "at long", "append", GroupStateTimeout.NoTimeout)
+        entries, waiting = json.loads(state.get[0]) if state.exists else ([], [])
+        passed = state.getCurrentWatermarkMs()
+        rows: list[tuple[int, str, bool, bool]] = []
+        if not state.hasTimedOut:
+            for pdf in batches:
+                for at, asked in zip(_ms(pdf["ts"]).tolist(), pdf["content_hash"].tolist(), strict=True):
+                    if at < passed:
+                        rows.append((at, asked, False, True))
+                    else:
+                        waiting.append([at, asked])
+        cache = LruCache(entries, capacity, seconds)
+        waiting.sort()
+        ready = sum(at < passed for at, _ in waiting)
+        rows += [(at, asked, cache.ask(asked, at), False) for at, asked in waiting[:ready]]
+        waiting = waiting[ready:]
+        state.update((json.dumps([list(cache.entries.items()), waiting]),))
+        if waiting:
+            state.setTimeoutTimestamp(max(waiting[0][0], passed + 1))
+        yield pd.DataFrame({"cache": [key[0]] * len(rows), "content_hash": [r[1] for r in rows], "at": pd.Series([r[0] for r in rows], dtype="int64"), "hit": pd.Series([r[2] for r in rows], dtype="bool"), "late": pd.Series([r[3] for r in rows], dtype="bool")})
+
+    timed = requests.withWatermark("ts", late).select("cache", "content_hash", "ts")
+    return timed.groupBy("cache").applyInPandasWithState(look, "cache string, content_hash string, at long, hit boolean, late boolean", "held string", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def stream_alarms(events: DataFrame, period_seconds: int, threshold: float, periods: int, below: bool = False, rate: bool = False, late: str = LATE) -> DataFrame:
+    """(metric, window_start, value, breach, alarm) of every period once the watermark has closed it.
+
+    ``events``: metric, ts, up, down. A period's value is the sum of ``up``, or with ``rate`` 100 * up / (up + down);
+    a period without events is no breach and ends a run. Rows of closed periods are dropped. State of a
+    metric: the sums of open periods, the last closed one and the length of its run.
+    """
+    step = period_seconds * 1000
+
+    def watch(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held, last, run = json.loads(state.get[0]) if state.exists else ([], None, 0)
+        sums = {start: [up, down] for start, up, down in held}
+        passed = state.getCurrentWatermarkMs()
+        if not state.hasTimedOut:
+            for pdf in batches:
+                start = _ms(pdf["ts"]) // step * step
+                for s, part in pdf.groupby(start):
+                    if s + step > passed:
+                        total = sums.setdefault(int(s), [0.0, 0.0])
+                        total[0] += float(part["up"].sum())
+                        total[1] += float(part["down"].sum())
+        rows = []
+        for s in sorted(s for s in sums if s + step <= passed):
+            up, down = sums.pop(s)
+            value = (100.0 * up / (up + down) if up + down else None) if rate else up
+            breach = value is not None and (value < threshold if below else value > threshold)
+            run = (run if last == s - step else 0) + 1 if breach else 0
+            last = s
+            rows.append((s, value, breach, run >= periods))
+        state.update((json.dumps([[[s, *v] for s, v in sums.items()], last, run]),))
+        if sums:
+            state.setTimeoutTimestamp(max(min(sums) + step - 1, passed + 1))
+        at = pd.to_datetime(pd.Series([r[0] for r in rows], dtype="int64"), unit="ms", utc=True)
+        yield pd.DataFrame({"metric": [key[0]] * len(rows), "window_start": at, "value": pd.Series([r[1] for r in rows], dtype="float64"), "breach": pd.Series([r[2] for r in rows], dtype="bool"), "alarm": pd.Series([r[3] for r in rows], dtype="bool")})
+
+    timed = events.withWatermark("ts", late).select("metric", "ts", "up", "down")
+    return timed.groupBy("metric").applyInPandasWithState(watch, "metric string, window_start timestamp, value double, breach boolean, alarm boolean", "held string", "append", GroupStateTimeout.EventTimeTimeout)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -41,9 +43,29 @@ def pack_coverage(packs: DataFrame, mem: DataFrame, now: int, max_tokens: int =
     return out.withColumn("state", F.when(F.col("n_live") == 0, "missing").when(F.col("n_returned") == 0, "skipped").when(F.col("n_returned") < F.col("n_live"), "partial").otherwise("complete"))
 
 
-def registry(text: Column) -> Column:
-    """A pack registry in JSON as a map; anything else is an empty map."""
-    return F.coalesce(F.from_json(text, "map<string,array<string>>"), F.create_map().cast("map<string,array<string>>"))
+def registry(text: str) -> dict[str, list[str]]:
+    """A pack registry from JSON: names and their tasks. Blank text is an empty one; any other shape is an error."""
+    if not text.strip():
+        return {}
+    try:
+        found = json.loads(text)
+    except json.JSONDecodeError as bad:
+        raise ValueError(f"the pack registry is not valid JSON: {bad}") from bad
+    if not isinstance(found, dict):
+        raise ValueError("the pack registry must be an object of names and lists of tasks")
+    for name, tasks in found.items():
+        if not isinstance(tasks, list) or not all(isinstance(t, str) for t in tasks):
+            raise ValueError(f"pack {name!r} must be a list of tasks, not {tasks!r}")
+    return found
+
+
+def named(spark: SparkSession, packs: dict[str, list[str]], names: list[str] | None = None) -> DataFrame:
+    """(pack, task_pos, task_id) of a registry's packs, all or by name; an unknown name is an error that lists the known ones."""
+    unknown = sorted(set(names or []) - set(packs))
+    if unknown:
+        raise ValueError(f"unknown pack {unknown[0]!r}; known: {', '.join(sorted(packs)) or 'none'}")
+    rows = [(name, k, task) for name in (packs if names is None else names) for k, task in enumerate(dict.fromkeys(packs[name]), 1)]
+    return spark.createDataFrame(rows, "pack string, task_pos int, task_id string")
 
 
 def pin_body(name: Column, keys: Column) -> Column:

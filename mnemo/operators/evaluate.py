@@ -58,6 +58,14 @@ def accuracy_by_budget(scored: DataFrame) -> DataFrame:
     )
 
 
+def accuracy_by_arm(scored: DataFrame) -> DataFrame:
+    """Per arm: answers, how many are right and how many say they lack context, what was packed for them and what that saves."""
+    return scored.groupBy("arm").agg(
+        F.count(F.lit(1)).alias("answers"), F.count_if("correct").alias("correct"), F.round(F.avg(F.col("correct").cast("double")), 6).alias("accuracy"), F.count_if("insufficient").alias("insufficient"),
+        F.sum("packed_tokens").alias("packed_tokens"), F.round(F.avg("savings_pct"), 1).alias("mean_savings_pct"),
+    )
+
+
 def budget_sweep(kept: DataFrame, control: DataFrame) -> DataFrame:
     """Per budget: mean savings %, top-1 survival and recall of control's keys. Rows: (budget, query_id, rank, key, tokens)."""
     base = control.groupBy("query_id").agg(F.sum("tokens").alias("all_tokens"), F.count(F.lit(1)).alias("all_keys"), F.min_by("key", "rank").alias("top"))

@@ -7,20 +7,20 @@ from pyspark.sql import functions as F
 
 from mnemo import schema as S
 from mnemo.operators.search import latest_view
+from mnemo.sources.shared import Work
 
 
 class CircuitBreaker(RuntimeError):
     """A sweep would delete more than its cap allows; nothing was deleted."""
 
 
-def superseding_times(mem: DataFrame) -> DataFrame:
-    """(index_name, key, superseded_at): when the next version of a record was written."""
-    return mem.where("supersedes IS NOT NULL").groupBy("index_name", F.col("supersedes").alias("key")).agg(F.min("created_at").alias("superseded_at"))
-
-
 def promote_superseded(mem: DataFrame, now: int, grace: int = S.SUPERSEDED_GRACE) -> DataFrame:
-    """Superseded records whose successor is at least ``grace`` old, as they are once archived."""
-    due = mem.where("status = 'superseded'").join(superseding_times(mem), ["index_name", "key"]).where(F.lit(now) - F.col("superseded_at") >= grace)
+    """Superseded records as they are once archived: those of canonical_ids that nothing was written to for ``grace``.
+
+    The time that counts is the canonical row's, which each new version sets anew.
+    """
+    rows = latest_view(mem).where(F.lit(now) - F.col("created_at") >= grace).select("index_name", "canonical_id")
+    due = mem.where("status = 'superseded'").join(rows, ["index_name", "canonical_id"], "left_semi")
     return due.withColumn("status", F.lit("archived")).withColumn("archived_at", F.lit(now))
 
 
@@ -48,10 +48,25 @@ def reconcile_drift(mem: DataFrame, view: DataFrame) -> DataFrame:
     return actual.join(held, ["index_name", "canonical_id"], "left").where(~F.col("actual_key").eqNullSafe(F.col("view_key")) | ~F.col("actual_status").eqNullSafe(F.col("view_status")))
 
 
+def sweep_facts(mem: DataFrame, now: int) -> DataFrame:
+    """(ts, name, value, unit): what a sweep would report, a fact for each index and count."""
+    over = {"PromotedSuperseded": promote_superseded(mem, now), "DeletedArchived": delete_archived(mem, now), "DeletedExpired": delete_expired(mem, now)}
+    out = None
+    for name, rows in over.items():
+        fact = rows.groupBy("index_name").agg(F.countDistinct("key").cast("double").alias("value")).select("index_name", F.lit(now).alias("ts"), F.lit(name).alias("name"), "value", F.lit("Count").alias("unit"))
+        out = fact if out is None else out.unionByName(fact.repartition(1))  # so that no two parts share a partitioning
+    return out
+
+
 def sweep(mem: DataFrame, now: int, dry_run: bool = False, cap: int = S.DELETE_CAP, share: float = S.DELETE_CAP_SHARE) -> tuple[DataFrame, dict[str, int]]:
-    """One run over a latest-state table: (the state after it, counts). Trips before anything is deleted."""
-    promoted = promote_superseded(mem, now).select("index_name", "key").distinct()
-    doomed = delete_archived(mem, now).select("index_name", "key").unionByName(delete_expired(mem, now).select("index_name", "key")).distinct()
+    """One run over a latest-state table: (the state after it, counts). Trips before anything is deleted.
+
+    What is promoted and what goes are found once and written, for the guard, the counts and the result.
+    """
+    work = Work(mem.sparkSession, "sweep")
+    promoted = work.written(promote_superseded(mem, now).select("index_name", "key").distinct())
+    over = ((F.col("status") == "archived") & (F.lit(now) - F.col("archived_at") >= S.ARCHIVED_GRACE)) | (F.col("expires_at") <= now)
+    doomed = work.written(mem.where(over).select("index_name", "key").distinct())
     tripped = breaker_status(mem, doomed, cap, share).where("tripped").collect()
     if tripped and not dry_run:
         raise CircuitBreaker(", ".join(f"{r['index_name']}: {r['n_delete']} > {r['cap']}" for r in tripped))

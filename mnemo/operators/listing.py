@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mnemo import schema as S
 from mnemo.operators.filters import compile_filter
-from mnemo.operators.search import latest_view
+from mnemo.operators.search import latest_view, top_k
 from mnemo.sources import ranges
 
 
@@ -34,6 +36,13 @@ def by_task(mem: DataFrame, memory_type: str | None = None, status: str | None =
     return rows.withColumn("next_key", F.when(F.col("pos") % page_size == 0, F.col("_next"))).drop("_next")
 
 
+def find_index(mem: DataFrame, keys: DataFrame, order: list[str]) -> DataFrame:
+    """(key, index_name): the first index, in this order, that holds each asked-for key, null where none does. One join, no probe after probe."""
+    asked = keys.select("key").distinct()
+    at = F.array_position(F.lit(order), F.col("index_name"))
+    return asked.join(mem.select("key", "index_name").where(at > 0), "key", "left").groupBy("key").agg(F.min_by("index_name", at).alias("index_name"))
+
+
 def lay_by_task(mem: DataFrame, path: str | None = None, file_rows: int = ranges.FILE_ROWS) -> ranges.SortedRows:
     """The latest versions laid out for listing: by index and task, newest first. ``ranges.page`` reads it."""
     rows = latest_view(mem).where("task_id IS NOT NULL")
@@ -45,10 +54,12 @@ def lay_by_expiry(mem: DataFrame, path: str | None = None, file_rows: int = rang
     return ranges.lay(mem.where(F.col("expires_at") < S.NO_EXPIRY), [], [("expires_at", False), ("index_name", False), ("key", False)], path, file_rows)
 
 
-def list_memories(mem: DataFrame, filters: dict, page_size: int = S.PAGE_SIZE) -> DataFrame:
+def list_memories(mem: DataFrame, filters: dict, page_size: int = S.PAGE_SIZE, embed: Callable[[str], list[float]] | None = None) -> DataFrame:
     """One page of records by the first of parent_key, canonical_id and task_id that the filters name, else by all of them.
 
-    Only a parent's listing takes further filters of any kind; a task's takes memory_type and status.
+    Only a parent's listing takes further filters of any kind; a task's takes memory_type and status. By
+    all of them, records come in the order of their distance from the filters' values, embedded as one
+    text; without an embedder in that of doc_id.
     """
     if not 1 <= page_size <= S.PAGE_SIZE:
         raise ValueError(f"page_size must be between 1 and {S.PAGE_SIZE}")
@@ -59,4 +70,6 @@ def list_memories(mem: DataFrame, filters: dict, page_size: int = S.PAGE_SIZE) -
     if "task_id" in filters:
         found = by_task(mem.where(F.col("task_id") == filters["task_id"]), filters.get("memory_type"), filters.get("status"), page_size).where("page = 0")
         return found.select("index_name", "key", "pos").join(mem, ["index_name", "key"])
+    if embed is not None:
+        return top_k(mem, embed(" ".join(str(v) for v in filters.values()) or " "), page_size, "doc_id", where=compile_filter(filters) if filters else None)
     return mem.where(compile_filter(filters)).orderBy("doc_id").limit(page_size)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mnemo import schema as S
@@ -127,6 +127,19 @@ def purge(mem: DataFrame, canonical_ids: DataFrame) -> DataFrame:
     return mem.join(canonical_ids, ["index_name", "canonical_id"], "left_anti")
 
 
+def purge_all(mem: DataFrame, contents: DataFrame, view: DataFrame, canonical_ids: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(records, bodies kept outside, canonical rows, purged keys) once whole canonical groups are deleted everywhere.
+
+    Bodies go by the keys of the records that go; ``purged keys`` has a row for each key, the latest first by ``pos``.
+    Identifiers that nothing is stored under still lose their canonical row.
+    """
+    gone = mem.join(canonical_ids.distinct(), ["index_name", "canonical_id"], "left_semi")
+    keys = gone.select("index_name", "key").distinct()
+    order = Window.partitionBy("index_name", "canonical_id").orderBy(F.desc("version"), F.desc("created_at"), "key")
+    listed = gone.select("index_name", "canonical_id", "key", (F.row_number().over(order) - 1).alias("pos"))
+    return purge(mem, canonical_ids), contents.join(keys, ["index_name", "key"], "left_anti"), view.join(canonical_ids, ["index_name", "canonical_id"], "left_anti"), listed
+
+
 def usage_counters(events: DataFrame) -> DataFrame:
     """(canonical_id, use_count, last_used_at) from appended use events (canonical_id, ts as epoch seconds)."""
     return events.groupBy("canonical_id").agg(F.count(F.lit(1)).alias("use_count"), F.max("ts").alias("last_used_at"))

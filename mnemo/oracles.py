@@ -164,6 +164,12 @@ p AS (SELECT vec_id, list_dot_product(e.v, one.v) AS a, list_dot_product(e.v, tw
 SELECT vec_id, round((a - min(a) OVER ()) / (max(a) OVER () - min(a) OVER ()) * 2 - 1, 4) AS c1, round((b - min(b) OVER ()) / (max(b) OVER () - min(b) OVER ()) * 2 - 1, 4) AS c2 FROM p"""
 
 
+SCORED = f"""WITH {HITS}, h AS (SELECT query_id, pos, content_summary, {tokens('content_summary')} AS tokens, sum({tokens('content_summary')}) OVER (PARTITION BY query_id ORDER BY pos) AS used FROM hits WHERE pos <= 10),
+k AS (SELECT b AS budget, arm, h.* FROM h, (VALUES (400, 'control'), (120, 'candidate'), (40, 'candidate')) v(b, arm) WHERE pos = 1 OR used <= b),
+cell AS (SELECT budget, arm, query_id, sum(tokens) AS packed, coalesce(string_agg(content_summary, ' ' ORDER BY pos), '') AS answer FROM k GROUP BY ALL),
+sc AS (SELECT *, max(packed) FILTER (arm = 'control') OVER (PARTITION BY query_id) AS ctl, lower(CASE WHEN answer = '' THEN 'insufficient context' ELSE answer END) AS low FROM cell)
+"""
+
 ORACLES: dict[str, str] = {
     "knn_filtered_topk": f"SELECT vec_id, round(1 - {COS.format(a='embedding', b='(SELECT embedding FROM embeddings WHERE vec_id = 7)')}, 6) + 0.0 :: DOUBLE AS distance FROM embeddings WHERE label = 3 ORDER BY 1 - {COS.format(a='embedding', b='(SELECT embedding FROM embeddings WHERE vec_id = 7)')}, vec_id LIMIT 20",
     "knn_batch_topk": f"WITH n AS (SELECT q.vec_id AS query_id, b.vec_id AS id, round(1 - {COS.format(a='q.embedding', b='b.embedding')}, 9) AS d FROM embeddings q, embeddings b WHERE q.vec_id % 20 = 0) SELECT query_id, id, round(d, 6) + 0.0 :: DOUBLE AS distance, row_number() OVER (PARTITION BY query_id ORDER BY d, id) AS rank FROM n QUALIFY rank <= 10",
@@ -197,7 +203,7 @@ u AS (SELECT *, sum({tokens(PREVIEW)}) OVER (PARTITION BY query_id ORDER BY rank
     "live_filter": f"WITH {MEM} SELECT doc_id, key, expires_at FROM mem WHERE {LIVE}",
     "filter_doc_ops": f"WITH {MEM} SELECT doc_id, status, memory_type FROM mem WHERE team_id <> 'es' AND version >= 1 AND version < 4 AND status NOT IN ('superseded') AND (memory_type IN ('semantic', 'procedural') OR archived_at IS NOT NULL OR created_at <= 1704247200)",
     "role_views": f"WITH {MEM} SELECT index_name, count(*) AS n, role FROM mem JOIN (VALUES ('planner', 'shared'), ('planner', 'private-a'), ('researcher', 'shared'), ('researcher', 'private-b'), ('auditor', 'shared'), ('auditor', 'private-a'), ('auditor', 'private-b')) r(role, i) ON i = index_name GROUP BY ALL",
-    "probe_indexes": f"WITH {MEM}, o AS (SELECT *, CASE index_name WHEN 'shared' THEN 0 WHEN 'private-a' THEN 1 ELSE 2 END AS io FROM mem WHERE content_hash IN (SELECT content_hash FROM mem WHERE doc_id % 20 = 0)) SELECT content_hash, arg_min(key, (io, doc_id)) AS key, arg_min(index_name, (io, doc_id)) AS index_name FROM o GROUP BY 1",
+    "probe_indexes": f"WITH {MEM}, a AS (SELECT DISTINCT CASE WHEN doc_id % 60 = 0 THEN key || 'x' ELSE key END AS key FROM mem WHERE doc_id % 20 = 0) SELECT a.key, arg_min(index_name, CASE index_name WHEN 'shared' THEN 0 WHEN 'private-a' THEN 1 ELSE 2 END) AS index_name FROM a LEFT JOIN mem USING (key) GROUP BY 1",
     "summary_preview": f"WITH {MEM} SELECT doc_id, {PREVIEW} AS preview FROM mem",
     "token_estimate": f"SELECT doc_id, {tokens('text')} AS tokens, {tokens('text')} > 500 OR strlen(text) > 2048 AS summary_required FROM documents",
     "content_routing": f"WITH {MEM} SELECT doc_id, CASE WHEN strlen(content) > 4096 THEN index_name || '/' || key || '.json' END AS content_ref, CASE WHEN strlen(content) <= 4096 THEN strlen(content) :: BIGINT END AS inline_bytes FROM mem",
@@ -213,7 +219,7 @@ u AS (SELECT *, sum({tokens(PREVIEW)}) OVER (PARTITION BY query_id ORDER BY rank
     "pack_missing_tasks": f"""WITH {MEM}, {PACKS}, {PACKED}, a AS (SELECT task_id, count(*) AS n FROM mem WHERE {LIVE} GROUP BY 1), b AS (SELECT pack, task_id, count(*) AS n FROM got GROUP BY ALL)
 SELECT p.pack, p.task_id, coalesce(a.n, 0) AS n_live, coalesce(b.n, 0) AS n_returned, CASE WHEN a.n IS NULL THEN 'missing' WHEN b.n IS NULL THEN 'skipped' WHEN b.n < a.n THEN 'partial' ELSE 'complete' END AS state
 FROM packs p LEFT JOIN a USING (task_id) LEFT JOIN b ON b.pack = p.pack AND b.task_id = p.task_id""",
-    "working_set_fetch": f"WITH {MEM}, w AS (SELECT team_id, key, content, content_summary, row_number() OVER (PARTITION BY team_id ORDER BY doc_id) AS pos FROM mem WHERE index_name = 'shared' AND doc_id % 20 = 0 QUALIFY pos <= 16), u AS (SELECT *, {tokens(PREVIEW)} AS tokens, sum({tokens(PREVIEW)}) OVER (PARTITION BY team_id ORDER BY pos) :: BIGINT AS used_tokens FROM w) SELECT team_id, pos :: INTEGER AS pos, key, tokens, used_tokens FROM u WHERE pos = 1 OR used_tokens <= 150",
+    "working_set_fetch": f"WITH {MEM}, {PINS}, w AS (SELECT team_id, key, row_number() OVER (PARTITION BY team_id ORDER BY task_id, key) AS pos FROM pins WHERE index_name = 'shared' AND team_id IS NOT NULL), u AS (SELECT w.team_id, pos, key, {tokens(PREVIEW)} AS tokens, sum({tokens(PREVIEW)}) OVER (PARTITION BY w.team_id ORDER BY pos) :: BIGINT AS used_tokens FROM w JOIN mem USING (key) WHERE mem.index_name = 'shared') SELECT team_id, pos :: INTEGER AS pos, key, tokens, used_tokens FROM u WHERE pos = 1 OR used_tokens <= 150",
     "list_by_task": f"WITH {MEM}, {LATEST} SELECT index_name, task_id, key, created_at, row_number() OVER w AS pos, (row_number() OVER w - 1) // 100 AS page, CASE WHEN row_number() OVER w % 100 = 0 THEN lead(key) OVER w END AS next_key FROM lv WHERE status = 'active' AND task_id IS NOT NULL WINDOW w AS (PARTITION BY index_name, task_id ORDER BY created_at DESC, key)",
     "list_by_parent": f"WITH {MEM} SELECT index_name, parent_key, key, created_at, row_number() OVER (PARTITION BY index_name, parent_key ORDER BY created_at DESC, key) AS pos FROM mem WHERE parent_key IS NOT NULL QUALIFY pos <= 100",
     "list_by_canonical": f"WITH {MEM} SELECT index_name, canonical_id, key, version, doc_id FROM mem QUALIFY row_number() OVER (PARTITION BY index_name, canonical_id ORDER BY version DESC) = 1",
@@ -237,9 +243,10 @@ r AS (SELECT seed, seed AS key, 0 AS level, 1 AS pos FROM seeds UNION ALL SELECT
     "store_validate": f"WITH {MEM} SELECT CASE WHEN memory_type = 'chunk' AND parent_key IS NULL THEN 'chunk without parent' WHEN ({tokens('content')} > 500 OR strlen(content) > 2048) AND coalesce(trim(content_summary), '') = '' THEN 'summary required' ELSE 'none' END AS problem, count(*) AS n FROM mem GROUP BY 1",
     "restore_memory": f"WITH {MEM}, l AS (SELECT index_name, canonical_id, max(version) AS top, arg_max(key, (version, created_at, doc_id)) AS supersedes_latest FROM mem GROUP BY ALL) SELECT m.index_name, m.key AS restored_from, top + 1 AS version, 'mem_' || agent_id || '_' || task_id || '_' || substr(h, 1, 16) || '_v' || (top + 1) AS key, supersedes_latest FROM mem m JOIN l USING (index_name, canonical_id) WHERE doc_id % 20 = 0",
     "archive_memory": f"WITH {MEM} SELECT index_name, key, 'archived' AS status, CASE WHEN status = 'archived' THEN archived_at ELSE {NOW} END AS archived_at FROM mem WHERE doc_id % 3 = 0",
-    "purge_memory": f"WITH {MEM} SELECT index_name, count(*) AS n, min(doc_id) AS first_doc FROM mem WHERE (index_name, canonical_id) NOT IN (SELECT index_name, canonical_id FROM mem WHERE doc_id % 7 = 0) GROUP BY 1",
+    "purge_memory": f"""WITH {MEM}, p AS (SELECT DISTINCT index_name, canonical_id FROM mem WHERE doc_id % 7 = 0), t AS (SELECT m.*, p.canonical_id IS NOT NULL AS gone FROM mem m LEFT JOIN p ON p.index_name = m.index_name AND p.canonical_id = m.canonical_id)
+SELECT index_name, nullif(count(*) FILTER (NOT gone), 0) AS records, nullif(count(*) FILTER (NOT gone AND strlen(content) > 1024), 0) AS bodies, nullif(count(DISTINCT canonical_id) FILTER (NOT gone), 0) AS canonical_rows, nullif(count(*) FILTER (gone), 0) AS purged_keys FROM t GROUP BY 1""",
     "usage_counters": f"WITH {MEM}, {USED} SELECT * FROM uses",
-    "ttl_promote": f"WITH {MEM}, s AS (SELECT index_name, supersedes AS key, min(created_at) AS since FROM mem WHERE supersedes IS NOT NULL GROUP BY ALL) SELECT doc_id, key, 'archived' AS status, {NOW} AS archived_at FROM mem JOIN s USING (index_name, key) WHERE status = 'superseded' AND {NOW} - since >= 604800",
+    "ttl_promote": f"WITH {MEM}, {LATEST} SELECT doc_id, mem.key, 'archived' AS status, {NOW} AS archived_at FROM mem JOIN lv ON lv.index_name = mem.index_name AND lv.canonical_id = mem.canonical_id WHERE mem.status = 'superseded' AND {NOW} - lv.created_at >= 604800",
     "ttl_delete_archived": f"WITH {MEM} SELECT doc_id, key, archived_at FROM mem WHERE status = 'archived' AND {NOW} - archived_at >= 864000",
     "ttl_delete_expired": f"WITH {MEM} SELECT doc_id, key, expires_at FROM mem WHERE expires_at <= {NOW}",
     "ttl_breaker": f"WITH {MEM} SELECT index_name, count(*) AS index_size, count(DISTINCT key) FILTER (expires_at <= {NOW}) AS n_delete, greatest(5, floor(0.05 :: DOUBLE * count(*)) :: BIGINT) AS cap, n_delete > cap AS tripped FROM mem GROUP BY 1",
@@ -263,11 +270,7 @@ SELECT 'hit_rate' AS metric, window_start, round(rate, 6) AS value, rate < 50 AS
 g AS (SELECT arm, avg(recall) AS r, sum(tokens + hydration_tokens) AS net, sum(stale) AS s, avg(answered :: INT) AS ans, sum(hydrations) AS hy, any_value(sd.sd) AS sd FROM runs JOIN sd USING (arm) GROUP BY 1)
 SELECT d.ans >= c.ans AS answers_hold, d.r >= 0.90 :: DOUBLE AS recall_floor, d.r >= c.r AS recall_holds, d.s = 0 AS none_stale, d.hy <= c.hy AS hydrations_hold, d.net < c.net AS fewer_tokens, d.sd <= 1e-9 AS stable,
 d.ans >= c.ans AND d.r >= 0.90 :: DOUBLE AND d.r >= c.r AND d.s = 0 AND d.hy <= c.hy AND d.net < c.net AND d.sd <= 1e-9 AS passed FROM g c, g d WHERE c.arm = 'control' AND d.arm = 'candidate'""",
-    "answer_accuracy": f"""WITH {HITS}, h AS (SELECT query_id, pos, content_summary, {tokens('content_summary')} AS tokens, sum({tokens('content_summary')}) OVER (PARTITION BY query_id ORDER BY pos) AS used FROM hits WHERE pos <= 10),
-k AS (SELECT b AS budget, arm, h.* FROM h, (VALUES (400, 'control'), (120, 'candidate'), (40, 'candidate')) v(b, arm) WHERE pos = 1 OR used <= b),
-cell AS (SELECT budget, arm, query_id, sum(tokens) AS packed, coalesce(string_agg(content_summary, ' ' ORDER BY pos), '') AS answer FROM k GROUP BY ALL),
-sc AS (SELECT *, max(packed) FILTER (arm = 'control') OVER (PARTITION BY query_id) AS ctl, lower(CASE WHEN answer = '' THEN 'insufficient context' ELSE answer END) AS low FROM cell)
-SELECT budget, min(arm) AS arm, count(*) FILTER ((contains(low, 'the') OR contains(low, 'der')) AND (contains(low, 'and') OR contains(low, 'und') OR contains(low, 'que'))) AS correct, count(*) AS answers, count(*) FILTER (answer = '') AS insufficient,
+    "answer_accuracy": SCORED + f"""SELECT budget, min(arm) AS arm, count(*) FILTER ((contains(low, 'the') OR contains(low, 'der')) AND (contains(low, 'and') OR contains(low, 'und') OR contains(low, 'que'))) AS correct, count(*) AS answers, count(*) FILTER (answer = '') AS insufficient,
 round(avg(CASE WHEN ctl > 0 THEN round(100.0 :: DOUBLE * (ctl - packed) / ctl, 1) ELSE 0 END), 1) AS mean_savings_pct FROM sc GROUP BY budget""",
     "budget_sweep": f"""WITH {HITS}, h AS (SELECT query_id, pos, key, {tokens('content_summary')} AS tokens, sum({tokens('content_summary')}) OVER (PARTITION BY query_id ORDER BY pos) AS used FROM hits WHERE pos <= 10),
 c AS (SELECT query_id, sum(tokens) AS all_t, count(*) AS ak, arg_min(key, pos) AS top FROM h GROUP BY 1), k AS (SELECT b AS budget, h.* FROM h, (VALUES (40), (80), (120), (400)) v(b) WHERE pos = 1 OR used <= b),
@@ -306,7 +309,7 @@ UNION ALL SELECT index_name, key, version, canonical_id, 'superseded', created_a
     "current_state": f"WITH {MEM} SELECT index_name, key, CASE WHEN doc_id % 3 = 0 THEN 'archived' ELSE status END AS status, CASE WHEN doc_id % 3 = 0 AND status <> 'archived' THEN {NOW} ELSE archived_at END AS archived_at FROM mem WHERE doc_id % 6 <> 0",
     "chunk_parents": f"WITH {MEM} SELECT doc_id, doc_id % 2 <> 0 AND EXISTS (SELECT 1 FROM mem p WHERE p.memory_type = 'document' AND p.index_name = m.index_name AND p.key = m.parent_key) AS valid FROM mem m WHERE memory_type = 'chunk'",
     "embed_cached": f"WITH {MEM}, f AS (SELECT DISTINCT content_hash FROM mem WHERE doc_id % 4 = 2) SELECT doc_id, content_hash IN (FROM f) AS cached, content_hash NOT IN (FROM f) AS made FROM mem",
-    "ttl_sweep": f"""WITH {MEM}, pr AS (SELECT DISTINCT m.index_name, m.key FROM mem m JOIN (SELECT index_name, supersedes AS key, min(created_at) AS since FROM mem WHERE supersedes IS NOT NULL GROUP BY ALL) x USING (index_name, key) WHERE status = 'superseded' AND {NOW} - since >= 604800),
+    "ttl_sweep": f"""WITH {MEM}, {LATEST}, pr AS (SELECT DISTINCT m.index_name, m.key FROM mem m JOIN lv ON lv.index_name = m.index_name AND lv.canonical_id = m.canonical_id WHERE m.status = 'superseded' AND {NOW} - lv.created_at >= 604800),
 dm AS (SELECT index_name, key FROM mem WHERE (status = 'archived' AND {NOW} - archived_at >= 2592000) OR expires_at <= {NOW})
 SELECT index_name, CASE WHEN EXISTS (SELECT 1 FROM pr WHERE pr.index_name = mem.index_name AND pr.key = mem.key) THEN 'archived' ELSE status END AS status, count(*) AS n, sum(doc_id) :: BIGINT AS ids FROM mem WHERE NOT EXISTS (SELECT 1 FROM dm WHERE dm.index_name = mem.index_name AND dm.key = mem.key) GROUP BY ALL""",
     "ingest_plan": f"WITH {NOTED} SELECT doc_id :: VARCHAR AS path, source AS task_id, section, part :: INTEGER AS part, substr(coalesce(nullif(CASE WHEN heading NOT LIKE '(%' THEN heading WHEN doc_id % 2 = 0 THEN 'About ' || doc_id END, ''), {PARAGRAPHS}[1], {strip('piece')}), 1, 400) AS summary, length(piece) // 4 AS tokens FROM c",
@@ -322,4 +325,26 @@ q AS (SELECT p.*, (SELECT count(DISTINCT user_id) FROM e WHERE e.cache = p.cache
 r AS (SELECT cache, user_id, n, t, t AS put, false AS hit FROM q WHERE n = 1
 UNION ALL SELECT q.cache, q.user_id, q.n, q.t, CASE WHEN q.there AND q.t - r.put < 21600000 THEN r.put ELSE q.t END, q.there AND q.t - r.put < 21600000 FROM r JOIN q ON q.cache = r.cache AND q.user_id = r.user_id AND q.n = r.n + 1)
 SELECT cache, count(*) FILTER (hit) AS hits, count(*) FILTER (NOT hit) AS misses, 0 :: BIGINT AS late FROM r GROUP BY 1""",
+    "answer_accuracy_by_arm": SCORED + """SELECT arm, count(*) AS answers, count(*) FILTER (ok) AS correct, round(avg(ok :: INT :: DOUBLE), 6) AS accuracy, count(*) FILTER (answer = '') AS insufficient, sum(packed) :: BIGINT AS packed_tokens,
+round(avg(CASE WHEN ctl > 0 THEN round(100.0 :: DOUBLE * (ctl - packed) / ctl, 1) ELSE 0 END), 1) AS mean_savings_pct FROM (SELECT *, (contains(low, 'the') OR contains(low, 'der')) AND (contains(low, 'and') OR contains(low, 'und') OR contains(low, 'que')) AS ok FROM sc) GROUP BY arm""",
+    "ttl_dry_run": f"""WITH {MEM}, {LATEST} SELECT m.index_name, {NOW} :: INTEGER AS ts, name, count(DISTINCT m.key) :: DOUBLE AS value, 'Count' AS unit FROM mem m JOIN lv ON lv.index_name = m.index_name AND lv.canonical_id = m.canonical_id, (VALUES ('PromotedSuperseded'), ('DeletedArchived'), ('DeletedExpired')) v(name)
+WHERE CASE name WHEN 'PromotedSuperseded' THEN m.status = 'superseded' AND {NOW} - lv.created_at >= 604800 WHEN 'DeletedArchived' THEN m.status = 'archived' AND {NOW} - archived_at >= 2592000 ELSE expires_at <= {NOW} END GROUP BY ALL""",
+    "store_health": f"""WITH {MEM}, {LATEST}, v AS (SELECT index_name, canonical_id, arg_max(key, (version, created_at, doc_id)) AS k FROM mem WHERE doc_id % 5 <> 0 GROUP BY ALL),
+c AS (SELECT 'role' AS name, 0 AS n UNION ALL SELECT 'records', count(*) FROM mem UNION ALL SELECT 'vectors', count(*) FILTER (embedding IS NULL) FROM mem UNION ALL SELECT 'identifiers', count(*) FILTER (coalesce(canonical_id, '') = '') FROM mem
+  UNION ALL SELECT 'parents', count(*) FILTER (memory_type = 'chunk' AND parent_key IS NULL) FROM mem UNION ALL SELECT 'expiry', count(*) FILTER (status = 'active' AND expires_at <= {NOW}) FROM mem
+  UNION ALL SELECT 'view', count(*) FROM lv FULL JOIN v ON v.index_name = lv.index_name AND v.canonical_id = lv.canonical_id WHERE lv.key IS DISTINCT FROM v.k)
+SELECT name AS "check", n :: BIGINT AS n, CASE WHEN name = 'records' THEN CASE WHEN n > 0 THEN 'pass' ELSE 'warn' END WHEN n = 0 THEN 'pass' WHEN name IN ('parents', 'expiry') THEN 'warn' ELSE 'fail' END AS status,
+CASE WHEN n > 0 THEN CASE name WHEN 'vectors' THEN 'records without a vector are never found' WHEN 'identifiers' THEN 'records without canonical_id are in no view' WHEN 'parents' THEN 'chunks without a parent are dropped from results' WHEN 'expiry' THEN 'run the sweep' WHEN 'view' THEN 'repair the view' END END AS detail FROM c""",
+    "role_rights": f"""WITH {MEM}, r(role, i) AS (VALUES ('planner', 'shared'), ('planner', 'private-a'), ('researcher', 'shared'), ('researcher', 'private-b'), ('auditor', 'shared'), ('auditor', 'private-a'), ('auditor', 'private-b')),
+v AS (SELECT unnest(['retrieve', 'list', 'get', 'hydrate', 'pack', 'working_set', 'expand', 'linked_by', 'search', 'whoami', 'store', 'pin', 'archive', 'restore', 'purge', 'reinforce']) AS verb, generate_subscripts(range(16), 1) AS k)
+SELECT role, verb, count(*) AS n FROM mem JOIN r ON i = index_name JOIN v ON k <= 10 OR role <> 'auditor' WHERE {LIVE} GROUP BY ALL""",
+    "answered_requests": f"""WITH {MEM}, q AS (SELECT doc_id AS request_id, ['planner', 'researcher', 'auditor', 'nobody'][doc_id % 4 + 1] AS role, ['get', 'retrieve', 'store', 'format', 'purge'][doc_id % 5 + 1] AS verb,
+  coalesce(CASE WHEN doc_id % 3 > 0 THEN index_name END, CASE WHEN doc_id % 4 < 3 THEN 'shared' END) AS index_name, CASE WHEN doc_id % 9 = 1 THEN key || 'x' WHEN doc_id % 6 <> 5 THEN key END AS key FROM mem),
+e AS (SELECT q.*, m.status AS st, m.version AS ve, CASE WHEN role = 'nobody' THEN 'role' WHEN verb = 'format' OR (role = 'auditor' AND verb IN ('store', 'purge')) THEN 'verb'
+  WHEN (role = 'planner' AND q.index_name = 'private-b') OR (role = 'researcher' AND q.index_name = 'private-a') THEN 'index' WHEN q.key IS NOT NULL AND m.key IS NULL THEN 'key' END AS error_type FROM q LEFT JOIN mem m ON m.index_name = q.index_name AND m.key = q.key)
+SELECT request_id, role, index_name, error_type, CASE error_type WHEN 'role' THEN 'unknown role: ' || role WHEN 'verb' THEN 'unknown verb: ' || verb WHEN 'index' THEN 'index not permitted for this role: ' || index_name WHEN 'key' THEN 'key not found: ' || key END AS error,
+CASE WHEN error_type = 'verb' THEN CASE WHEN role = 'auditor' THEN 10 ELSE 16 END ELSE 0 END AS n_available, CASE WHEN error_type = 'index' THEN 2 ELSE 0 END AS n_allowed, CASE WHEN error_type IS NULL THEN st END AS status, CASE WHEN error_type IS NULL THEN ve END AS version FROM e""",
+    "map_points": PCA.replace("WITH RECURSIVE", f"WITH RECURSIVE {MEM},", 1).rsplit("SELECT vec_id, round", 1)[0] + """, xy AS (SELECT vec_id, round((a - min(a) OVER ()) / (max(a) OVER () - min(a) OVER ()) * 2 - 1, 4) AS x, round((b - min(b) OVER ()) / (max(b) OVER () - min(b) OVER ()) * 2 - 1, 4) AS y FROM p)
+SELECT key, x, y, coalesce(agent_id, '?') AS agent_id, coalesce(team_id, '?') AS team_id, status, version, md5(substr(coalesce(content_summary, content, ''), 1, 280)) AS text_md5, CASE WHEN length(coalesce(content_summary, content, '')) > 280 THEN length(coalesce(content_summary, content, '')) END AS n_full FROM mem JOIN xy ON vec_id = doc_id""",
+    "list_by_anchor": f"WITH {MEM}, d AS (SELECT doc_id, key, 1 - {COS.format(a='embedding', b='(SELECT embedding FROM embeddings WHERE vec_id = 5)')} AS d FROM mem WHERE team_id = 'en' AND memory_type = 'semantic' AND embedding IS NOT NULL) SELECT doc_id, key, round(d, 6) AS distance FROM d ORDER BY d, doc_id LIMIT 50",
 }

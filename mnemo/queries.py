@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from mnemo import schema as S
 from mnemo.functions import text as T
-from mnemo.operators import budget, bundles, evaluate, filters, graph, ingest, lifecycle, listing, metrics, projection, search, store, vector_index, view, writes
+from mnemo.operators import access, budget, bundles, evaluate, filters, graph, ingest, lifecycle, listing, metrics, projection, search, store, vector_index, view, writes
 from mnemo.sources import documents, ranges
 from mnemo.sources.shared import shared_path
 from mnemo.sources.stored import StoredTable
@@ -202,11 +202,10 @@ def role_views(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def probe_indexes(spark: SparkSession, d: str) -> DataFrame:
-    """The first index, in order, that holds a key with the hash of every twentieth document."""
+    """The first index, in order, that holds each key that is asked for, null where none does."""
     m = memories(spark, d, content=False)
-    asked = m.where("doc_id % 20 = 0").select("content_hash").distinct()
-    order = F.when(F.col("index_name") == "shared", 0).when(F.col("index_name") == "private-a", 1).otherwise(2)
-    return m.join(asked, "content_hash").groupBy("content_hash").agg(F.min_by("key", F.struct(order, "doc_id")).alias("key"), F.min_by("index_name", F.struct(order, "doc_id")).alias("index_name"))
+    key = F.when(F.col("doc_id") % 60 == 0, F.concat("key", F.lit("x"))).otherwise(F.col("key"))
+    return listing.find_index(m, m.where("doc_id % 20 = 0").select(key.alias("key")), ["shared", "private-a", "private-b"])
 
 
 # -- text measures ------------------------------------------------------------------------------
@@ -303,11 +302,9 @@ def pack_missing_tasks(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def working_set_fetch(spark: SparkSession, d: str) -> DataFrame:
-    m = memories(spark, d).where("index_name = 'shared' AND doc_id % 20 = 0").select("team_id", "doc_id", "key")
-    # the first 16 of a team: 16 of each of its 64 parts first, so that no task holds a whole team
-    part = Window.partitionBy("team_id", F.pmod(F.xxhash64("doc_id"), F.lit(64))).orderBy("doc_id")
-    m = m.withColumn("n", F.row_number().over(part)).where("n <= 16").withColumn("n", F.row_number().over(Window.partitionBy("team_id").orderBy("doc_id"))).where("n <= 16")
-    named = m.groupBy("team_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "key"))), lambda x: x["key"]).alias("keys"))
+    """Each team's working set, the latest live key of every one of its tasks, fetched in order to budget."""
+    latest = bundles.latest_pin(memories(spark, d), clock(spark, d)).where("index_name = 'shared' AND team_id IS NOT NULL")
+    named = latest.groupBy("team_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("task_id", "key"))), lambda x: x["key"]).alias("keys"))
     pinned = named.select("team_id", bundles.pin_body(F.col("team_id"), F.col("keys")).alias("body"))
     wanted = pinned.select("team_id", F.posexplode(bundles.pinned_keys(F.col("body"))).alias("p", "key")).select("team_id", (F.col("p") + 1).alias("pos"), "key")
     rows, _ = bundles.fetch_keys(wanted, memories(spark, d).where("index_name = 'shared'").drop("team_id"), ["team_id"], max_tokens=150)
@@ -575,9 +572,12 @@ def archive_memory(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def purge_memory(spark: SparkSession, d: str) -> DataFrame:
-    m = memories(spark, d, content=False)
-    left = store.purge(m, m.where("doc_id % 7 = 0").select("index_name", "canonical_id").distinct())
-    return left.groupBy("index_name").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_doc"))
+    """What whole purges leave of records, bodies kept outside and canonical rows, and how many keys they delete."""
+    m = memories(spark, d)
+    contents = store.route_content(m, 1024).where("content_ref IS NOT NULL").select("index_name", "key", F.col("content_ref"))
+    left, bodies, rows, keys = store.purge_all(m.drop("content"), contents, search.latest_view(m), m.where("doc_id % 7 = 0").select("index_name", "canonical_id").distinct())
+    n = lambda df, name: df.groupBy("index_name").agg(F.count(F.lit(1)).alias(name))
+    return n(left, "records").join(n(bodies, "bodies"), "index_name", "full").join(n(rows, "canonical_rows"), "index_name", "full").join(n(keys, "purged_keys"), "index_name", "full")
 
 
 @query
@@ -606,6 +606,53 @@ def ttl_breaker(spark: SparkSession, d: str) -> DataFrame:
     return lifecycle.breaker_status(m, lifecycle.delete_expired(m, clock(spark, d)), cap=5)
 
 
+@query
+def ttl_dry_run(spark: SparkSession, d: str) -> DataFrame:
+    """What a sweep would report, by index."""
+    return lifecycle.sweep_facts(memories(spark, d, content=False), clock(spark, d)).select("index_name", "ts", "name", "value", "unit")
+
+
+@query
+def store_health(spark: SparkSession, d: str) -> DataFrame:
+    """Health checks of the store as rows, the view being as old as its records of four fifths."""
+    m = memories(spark, d, vectors=True, content=False)
+    return access.health(m, search.latest_view(m.where("doc_id % 5 <> 0")), clock(spark, d))
+
+
+@query
+def role_rights(spark: SparkSession, d: str) -> DataFrame:
+    """The live records that each verb of each role reaches."""
+    return access.reachable(memories(spark, d, content=False), clock(spark, d))
+
+
+@query
+def answered_requests(spark: SparkSession, d: str) -> DataFrame:
+    """A request for every record, of changing roles, verbs and indexes, some for keys that don't exist: answers, errors as data."""
+    m, doc = memories(spark, d, content=False), F.col("doc_id")
+    pick = lambda values, by: F.element_at(F.lit(values), (by % len(values) + 1).cast("int"))
+    asked = m.select(
+        doc.alias("request_id"), "agent_id", pick(["planner", "researcher", "auditor", "nobody"], doc).alias("role"), pick(["get", "retrieve", "store", "format", "purge"], doc).alias("verb"),
+        F.when(doc % 3 > 0, F.col("index_name")).alias("index_name"), F.when(doc % 9 == 1, F.concat("key", F.lit("x"))).when(doc % 6 != 5, F.col("key")).alias("key"),
+    )
+    return access.dispatch(asked, m).select("request_id", "role", "index_name", "error", "error_type", F.size(F.coalesce("available", F.array())).alias("n_available"), F.size(F.coalesce("allowed", F.array())).alias("n_allowed"), "status", "version")
+
+
+@query
+def map_points(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of the map: records, where their vectors lie on it, labels and texts."""
+    e = table(spark, d, "embeddings")
+    places = projection.pca(e).select(F.col("vec_id").alias("doc_id"), F.col("c1").alias("x"), F.col("c2").alias("y"))
+    return projection.points_view(memories(spark, d), places).select("key", "x", "y", "agent_id", "team_id", "status", "version", F.md5("text").alias("text_md5"), F.char_length("full").alias("n_full"))
+
+
+@query
+def list_by_anchor(spark: SparkSession, d: str) -> DataFrame:
+    """A page of one team's semantic records in the order of their distance from an anchor, the vector of one record."""
+    m = memories(spark, d, vectors=True, content=False)
+    anchor = table(spark, d, "embeddings").where("vec_id = 5").select(F.col("embedding").cast("array<double>")).first()[0]
+    return listing.list_memories(m, {"team_id": "en", "memory_type": "semantic"}, 50, lambda text: anchor).select("doc_id", "key", F.round("distance", 6).alias("distance"))
+
+
 @query
 def reconcile_drift(spark: SparkSession, d: str) -> DataFrame:
     m = memories(spark, d, content=False)
@@ -761,6 +808,10 @@ def eval_deviation(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def answer_accuracy(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate.accuracy_by_budget(_scored(spark, d))
+
+
+def _scored(spark: SparkSession, d: str) -> DataFrame:
     """Answers read off what each budget packs, scored by a rubric, with savings against the widest budget."""
     hits = _hits(spark, d).where("pos <= 10").select("query_id", F.col("pos").alias("rank"), "content_summary", F.coalesce(T.estimate_tokens(F.col("content_summary")), F.lit(0)).alias("tokens"))
     arms = hits.withColumn("_arm", F.explode(F.array(*[F.struct(F.lit(arm).alias("arm"), F.lit(most).alias("budget")) for arm, most in (("control", 400), ("candidate", 120), ("candidate", 40))])))
@@ -769,7 +820,12 @@ def answer_accuracy(spark: SparkSession, d: str) -> DataFrame:
         F.sum("tokens").alias("packed_tokens"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "content_summary"))), lambda x: x["content_summary"]), " ").alias("answer")
     )
     answer = F.when(F.col("answer") == "", F.lit("Insufficient context")).otherwise(F.col("answer"))
-    return evaluate.accuracy_by_budget(evaluate.score_answers(cells.withColumn("answer", answer), [["the", "der"], ["and", "und", "que"]], "control"))
+    return evaluate.score_answers(cells.withColumn("answer", answer), [["the", "der"], ["and", "und", "que"]], "control")
+
+
+@query
+def answer_accuracy_by_arm(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate.accuracy_by_arm(_scored(spark, d))
 
 
 @query

@@ -408,17 +408,17 @@ def host_wrappers(pages: DataFrame) -> DataFrame:
 
     def shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            held: dict[tuple[str, str], int] = {}
+            held: dict[tuple[int, str], int] = {}
             for host, page in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 if page.is_valid and page.as_py().strip():
                     key = host, dump(outline(parse(page.as_py()))[0])
                     held[key] = held.get(key, 0) + 1
-            yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in held], pa.string()), pa.array([s for _, s in held], pa.string()), pa.array(list(held.values()), pa.int64())], names=["host", "wrapper", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in held], pa.int64()), pa.array([s for _, s in held], pa.string()), pa.array(list(held.values()), pa.int64())], names=["host", "wrapper", "n"])
 
     def union(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"host": [pdf["host"].iloc[0]], "bucket": [int(pdf["bucket"].iloc[0])], "wrapper": [induced(list(zip(pdf["wrapper"], pdf["n"].tolist(), strict=True)))]})
 
-    found = pages.select("host", "html").mapInArrow(shapes, "host string, wrapper string, n long").groupBy("host", "wrapper").agg(F.sum("n").alias("n"))
+    found = pages.select("host", "html").mapInArrow(shapes, "host long, wrapper string, n long").groupBy("host", "wrapper").agg(F.sum("n").alias("n"))
     found = written(found, "html-shapes")
     sizes = found.groupBy("host").agg(F.count(F.lit(1)).alias("k"))
     most = sizes.agg(F.max("k")).first()[0] or 1
@@ -426,7 +426,7 @@ def host_wrappers(pages: DataFrame) -> DataFrame:
     level = found.join(sizes, "host").select("host", F.pmod(F.xxhash64("wrapper"), buckets).alias("bucket"), "wrapper", "n")
     left = -(-most // 64)
     while True:
-        level = level.groupBy("host", "bucket").applyInPandas(union, "host string, bucket long, wrapper string")
+        level = level.groupBy("host", "bucket").applyInPandas(union, "host long, bucket long, wrapper string")
         if left == 1:
             return written(level.select("host", "wrapper"), "html-wrappers")
         level = written(level.select("host", F.floor(F.col("bucket") / 64).alias("bucket"), "wrapper", F.lit(1).cast("long").alias("n")), "html-wrappers")
@@ -440,8 +440,8 @@ def page_blocks(pages: DataFrame, wrappers: DataFrame) -> DataFrame:
     """(page_id, url, host, sign, blocks): blocks with their slots; ``sign`` tells pages' main texts apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        loaded: dict[str, Shape] = {}
-        placed: dict[tuple[str, str], list[int]] = {}
+        loaded: dict[int, Shape] = {}
+        placed: dict[tuple[int, str], list[int]] = {}
         kind = pa.struct([("slot", pa.int64()), ("hash", pa.int64()), ("text", pa.string()), ("links", pa.int32()), ("art", pa.bool_()), ("beside", pa.list_(pa.int64())), ("container", pa.int64())])
         for batch in sliced(batches):
             signs, found = [], []
@@ -468,7 +468,7 @@ def page_blocks(pages: DataFrame, wrappers: DataFrame) -> DataFrame:
                 signs.append(longest[1])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(signs, pa.int64()), pa.array(found, pa.list_(kind))], names=["page_id", "url", "host", "sign", "blocks"])
 
-    return join_small(pages, wrappers, "host", spread="html").select("page_id", "url", "host", "html", "wrapper").mapInArrow(run, f"page_id long, url string, host string, sign long, blocks {BLOCKS}")
+    return join_small(pages, wrappers, "host", spread="html").select("page_id", "url", "host", "html", "wrapper").mapInArrow(run, f"page_id long, url string, host long, sign long, blocks {BLOCKS}")
 
 
 def _long(x: int) -> int:
@@ -476,7 +476,7 @@ def _long(x: int) -> int:
 
 
 def verdicts(found: DataFrame) -> DataFrame:
-    """(host, template, kept, menus) a host: texts of slots that are template, elements kept against their
+    """(host, template, kept, menus) a host, which is a number: texts of slots that are template, elements kept against their
     tag or name, slots that are menus. Keys are hashes of (slot, text), slots, and slots.
 
     Pages count once a main text (their longest block), so that copies of an article don't make it
@@ -484,7 +484,11 @@ def verdicts(found: DataFrame) -> DataFrame:
     elsewhere, if most of those that have the slot do; four at least.
     """
     rows = found.select("host", "sign", F.explode("blocks").alias("b")).select("host", "sign", "b.slot", "b.hash", "b.art", "b.beside", "b.container", F.char_length("b.text").alias("size"), F.col("b.links").alias("links"))
-    base = written(rows.groupBy("host", "slot", "hash", "sign", "art", "beside", "container").agg(F.sum("size").alias("size"), F.sum("links").alias("links"), F.count(F.lit(1)).alias("k")), "html-texts")
+    # where a text stands is one number while texts are counted; what it means is a small table
+    rows = rows.withColumn("spot", F.xxhash64("slot", "art", "beside", "container"))
+    spots = written(rows.groupBy("host", "spot").agg(*[F.first(c).alias(c) for c in ("slot", "art", "beside", "container")]), "html-spots")
+    counted = written(rows.groupBy("host", "spot", "hash", "sign").agg(F.sum("size").alias("size"), F.sum("links").alias("links"), F.count(F.lit(1)).alias("k")), "html-texts")
+    base = join_small(counted, spots, ["host", "spot"], "inner", spread="sign").drop("spot")
     signs = base.select("host", "sign").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("signs"))
     having = base.select("host", "slot", "sign").distinct().groupBy("host", "slot").agg(F.count(F.lit(1)).alias("having"))
     texts = base.groupBy("host", "slot", "hash", "sign").agg(F.max("art").alias("art")).groupBy("host", "slot", "hash").agg(F.count(F.lit(1)).alias("n"), F.max("art").alias("art")).where(F.col("n") >= TEMPLATE_PAGES)
@@ -513,7 +517,7 @@ def main_text(pages: DataFrame) -> DataFrame:
     place, which makes their slots coarser; their texts are counted exactly all the same.
     """
     url = F.coalesce(F.col("url").cast("string"), F.lit(""))
-    host = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1))
+    host = F.xxhash64(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1)))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), host.alias("host"))
     found = written(page_blocks(rows, host_wrappers(rows)), "html-blocks")
     told = join_small(found, verdicts(found), "host", spread="sign")

@@ -35,8 +35,8 @@ def dispatch(requests: DataFrame, mem: DataFrame) -> DataFrame:
     asked = whoami(requests).withColumn("_verbs", F.try_element_at(_map(verbs), F.col("role"))).withColumn("index_name", F.coalesce("index_name", "default_index"))
     found = mem.select("index_name", "key", "status", "version", F.lit(True).alias("_found"))
     rows = asked.join(found, ["index_name", "key"], "left")
-    bad_role, bad_verb = F.col("allowed_indexes").isNull(), ~F.array_contains("_verbs", F.col("verb"))
-    bad_index = ~F.array_contains("allowed_indexes", F.col("index_name"))
+    bad_role, bad_verb = F.col("allowed_indexes").isNull(), ~F.coalesce(F.array_contains("_verbs", F.col("verb")), F.lit(False))
+    bad_index = ~F.coalesce(F.array_contains("allowed_indexes", F.col("index_name")), F.lit(False))
     missing = F.col("key").isNotNull() & F.col("_found").isNull()
     error = (
         F.when(bad_role, F.concat(F.lit("unknown role: "), F.coalesce("role", F.lit("")))).when(bad_verb, F.concat(F.lit("unknown verb: "), F.coalesce("verb", F.lit(""))))

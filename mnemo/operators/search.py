@@ -22,57 +22,38 @@ def top_k(df: DataFrame, query: list[float], k: int, id_col: str, vector_col: st
     return found.withColumn("distance", vectors.cosine_distance(F.col(vector_col), vectors.literal_vector(query))).orderBy("distance", id_col).limit(k)
 
 
-def _unit_blocks(df: DataFrame, id_col: str, vector_col: str, by: list[str], rows: int) -> DataFrame:
-    """Rows with a block number, so that blocks of about ``rows`` vectors can meet each other."""
-    n = max(1, -(-df.count() // rows))
-    return df.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"), *by, F.pmod(F.xxhash64(id_col), F.lit(n)).alias("block")), n
-
-
 def _units(values: pd.Series) -> np.ndarray:
     m = np.stack([np.asarray(v, dtype=np.float64) for v in values])
     size = np.sqrt((m * m).sum(axis=1, keepdims=True))
     return np.divide(m, size, out=np.full_like(m, np.nan), where=size > 0)
 
 
-def batch_top_k(queries: DataFrame, base: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", by: list[str] | None = None, block: int = 4096) -> DataFrame:
+def batch_top_k(queries: DataFrame, base: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", by: list[str] | None = None) -> DataFrame:
     """(query_id, id, distance, rank) of each query's k nearest rows, exactly.
 
-    Queries of at most QUERY_BYTES, counted first, are broadcast: rows stay where they are, each task keeps
-    k of its rows a query, and a window merges those. More queries meet rows block by block, each pair of
-    blocks in a task of its own; what is shuffled then is rows x query blocks, never rows x queries.
-    ``by`` limits a query to rows that agree on these columns. Rows without a vector match nothing.
+    Queries are broadcast, at most QUERY_BYTES of them at a time (counted first): rows stay where they
+    are, each task keeps k of its rows a query, and a window merges those. More queries are more parts,
+    and each part is one more scan of the rows; no vector is ever shuffled. For many queries, or rows by
+    the billion, vector_index reads a few cells instead. ``by`` limits a query to rows that agree on these
+    columns. Rows without a vector match nothing.
     """
     by = by or []
     queries, base = queries.where(F.col(vector_col).isNotNull()), base.where(F.col(vector_col).isNotNull())
-    n, width = queries.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size(vector_col)), F.lit(0))).first()
-    if n * width * 8 <= QUERY_BYTES:
-        return _scan_top_k(queries, base, k, id_col, vector_col, by)
-    q, nq = _unit_blocks(queries, id_col, vector_col, by, block)
-    b, nb = _unit_blocks(base, id_col, vector_col, by, block)
-    q = q.withColumnRenamed("block", "qb").withColumn("bb", F.explode(F.sequence(F.lit(0), F.lit(nb - 1)))).withColumn("side", F.lit(0))
-    b = b.withColumnRenamed("block", "bb").withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(nq - 1)))).withColumn("side", F.lit(1))
-
-    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
-        left, right = pdf[pdf.side == 0].sort_values("id"), pdf[pdf.side == 1].sort_values("id")
-        out = []
-        if len(left) and len(right):
-            x, y = _units(left["v"]), _units(right["v"])
-            qi, bi = left["id"].to_numpy(), right["id"].to_numpy()
-            for at in range(0, len(x), 512):
-                d = np.round(1.0 - x[at : at + 512] @ y.T, 9)  # equal vectors tie exactly
-                d[np.isnan(d)] = np.inf
-                take = min(k, d.shape[1])
-                edge = np.partition(d, take - 1, axis=1)[:, take - 1 : take]
-                for r, row in enumerate(d):
-                    near = np.flatnonzero(row <= edge[r] + 1e-12)
-                    order = near[np.lexsort((bi[near], row[near]))][:take]
-                    out.append(pd.DataFrame({"query_id": qi[at + r], "id": bi[order], "distance": row[order]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "id": [], "distance": []})
-
-    near = q.unionByName(b).groupBy("qb", "bb", *by).applyInPandas(meet, f"query_id {queries.schema[id_col].dataType.simpleString()}, id {base.schema[id_col].dataType.simpleString()}, distance double").where("distance < 'Infinity'")
+    parts = query_parts(queries, vector_col)
+    near = None
+    for part in range(parts):
+        some = queries if parts == 1 else queries.where(F.pmod(F.xxhash64(id_col, *by), F.lit(parts)) == part)
+        found = _scan_top_k(some, base, k, id_col, vector_col, by)
+        near = found if near is None else near.unionByName(found)
     return near.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))).where(F.col("rank") <= k)
 
 
+def query_parts(queries: DataFrame, vector_col: str) -> int:
+    """How many broadcasts of at most QUERY_BYTES these vectors take."""
+    n, width = queries.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size(vector_col)), F.lit(0))).first()
+    return max(1, -(-n * width * 8 // QUERY_BYTES))
+
+
 QUERY_BYTES = 32 << 20
 
 
@@ -118,34 +99,39 @@ def _scan_top_k(queries: DataFrame, base: DataFrame, k: int, id_col: str, vector
             yield pd.DataFrame({"query_id": shared.value[g][0][r], "id": found, "distance": dist})
 
     rows = base.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"), group.alias("g"))
-    near = rows.mapInPandas(run, shape).where("distance < 'Infinity'")
-    return near.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))).where(F.col("rank") <= k)
+    return rows.mapInPandas(run, shape).where("distance < 'Infinity'")
 
 
-def similar_pairs(df: DataFrame, threshold: float, id_col: str = "vec_id", vector_col: str = "embedding", by: list[str] | None = None, block: int = 2048) -> DataFrame:
-    """(a, b, similarity) with a < b and similarity at least the threshold, exactly, block by block."""
-    by = by or []
-    b, n = _unit_blocks(df, id_col, vector_col, by, block)
-    b = b.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
-    b = b.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
-
-    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
-        i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
-        left, right = pdf[pdf.block == i], pdf[pdf.block == j]
-        out = {"a": [], "b": [], "similarity": []}
-        if len(left) and len(right):
-            x, y, p, q = _units(left["v"]), _units(right["v"]), left["id"].to_numpy(), right["id"].to_numpy()
-            for at in range(0, len(x), 512):
-                c = x[at : at + 512] @ y.T
-                r, s = np.nonzero(c >= threshold)
-                ok = (p[at + r] < q[s]) if i == j else np.ones(len(r), bool)
-                r, s = r[ok], s[ok]
-                out["a"].append(np.minimum(p[at + r], q[s]))
-                out["b"].append(np.maximum(p[at + r], q[s]))
-                out["similarity"].append(c[r, s])
-        return pd.DataFrame({k: np.concatenate(v) if v else np.empty(0, np.float64 if k == "similarity" else np.int64) for k, v in out.items()})
-
-    return b.select("id", "v", *by, "block", "i", "j").groupBy("i", "j", *by).applyInPandas(meet, "a long, b long, similarity double")
+def similar_pairs(df: DataFrame, threshold: float, id_col: str = "vec_id", vector_col: str = "embedding", by: list[str] | None = None) -> DataFrame:
+    """(a, b, similarity) with a < b and similarity at least the threshold, exactly.
+
+    Vectors are broadcast in parts of at most QUERY_BYTES and compared where the rows lie: nothing but the
+    pairs leaves a task. Work grows with the square of a group of ``by``; identifiers are unique.
+    """
+    group = F.concat_ws("\x1f", *by) if by else F.lit("")
+    held = df.where(F.col(vector_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"), group.alias("g"))
+    parts = query_parts(held, "v")
+    out = None
+    for part in range(parts):
+        some = held if parts == 1 else held.where(F.pmod(F.xxhash64("id"), F.lit(parts)) == part)
+        groups = {g: (rows["id"].to_numpy(), _units(rows["v"])) for g, rows in some.toPandas().groupby("g")}
+        shared = df.sparkSession.sparkContext.broadcast(groups)
+
+        def meet(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                for g, rows in pdf.groupby("g", sort=False):
+                    if g not in shared.value:
+                        continue
+                    p, x = shared.value[g]
+                    q, y = rows["id"].to_numpy(), _units(rows["v"])
+                    for at in range(0, len(x), 512):
+                        c = x[at : at + 512] @ y.T
+                        r, s = np.nonzero((c >= threshold) & (p[at : at + 512, None] < q[None, :]))
+                        yield pd.DataFrame({"a": p[at + r], "b": q[s], "similarity": c[r, s]})
+
+        found = held.mapInPandas(meet, "a long, b long, similarity double")
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 def collapse_latest(hits: DataFrame, by: list[str], order: list[str]) -> DataFrame:

@@ -152,7 +152,8 @@ def test_log_keeps_last_state(spark):
 def test_lifecycle(spark):
     day = 86_400
     table = mem(
-        spark, dict(key="v1", status="superseded"), dict(key="v2", supersedes="v1", created_at=1), dict(key="old", status="archived", archived_at=1), dict(key="gone", expires_at=5), dict(key="fresh", status="superseded"), dict(key="new", supersedes="fresh", created_at=40 * day)
+        spark, dict(key="v1", status="superseded", canonical_id="A"), dict(key="v2", supersedes="v1", created_at=1, version=2, canonical_id="A"), dict(key="old", status="archived", archived_at=1, canonical_id="C"), dict(key="gone", expires_at=5, canonical_id="D"),
+        dict(key="fresh", status="superseded", canonical_id="B"), dict(key="new", supersedes="fresh", created_at=40 * day, version=2, canonical_id="B")
     )
     after, counts = lifecycle.sweep(table, 41 * day)
     assert counts == {"archived": 1, "deleted": 2}
@@ -195,17 +196,18 @@ def test_alarm_needs_consecutive_periods(spark):
     assert [r["alarm"] for r in metrics.alarms(df, 5.0, 3, 3600).orderBy("t").collect()] == [False, False, True, False, False]
 
 
-def test_batch_search_and_pairs_match_brute_force(spark):
+def test_batch_search_and_pairs_match_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(search, "QUERY_BYTES", 700)
     rng = random.Random(3)
     vectors = [[rng.gauss(0, 1) for _ in range(4)] for _ in range(60)]
     df = spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<double>")
     def cos(a, b):
         return sum(x * y for x, y in zip(a, b)) / (sum(x * x for x in a) * sum(x * x for x in b)) ** 0.5
     got = {}
-    for r in search.batch_top_k(df.where("vec_id < 7"), df, 5, block=16).orderBy("query_id", "rank").collect():
+    for r in search.batch_top_k(df.where("vec_id < 7"), df, 5).orderBy("query_id", "rank").collect():
         got.setdefault(r["query_id"], []).append(r["id"])
     assert got == {q: sorted(range(60), key=lambda i: (round(1 - cos(vectors[q], vectors[i]), 9), i))[:5] for q in range(7)}
-    pairs = {(r["a"], r["b"]) for r in search.similar_pairs(df, 0.9, block=16).collect()}
+    pairs = {(r["a"], r["b"]) for r in search.similar_pairs(df, 0.9).collect()}
     assert pairs == {(a, b) for a in range(60) for b in range(a + 1, 60) if cos(vectors[a], vectors[b]) >= 0.9}
 
 
@@ -364,8 +366,8 @@ def test_scan_and_blocks_of_batch_search_agree(spark, monkeypatch):
     rows = [(k, "ab"[k % 2], [float(rng.randrange(-2, 3)) for _ in range(3)] if k % 9 else None) for k in range(80)]
     df = spark.createDataFrame(rows, "vec_id long, g string, embedding array<double>").repartition(5)
     scan = sorted(search.batch_top_k(df.where("vec_id < 20"), df, 4, by=["g"]).collect())
-    monkeypatch.setattr(search, "QUERY_BYTES", 0)
-    assert scan == sorted(search.batch_top_k(df.where("vec_id < 20"), df, 4, by=["g"], block=16).collect()) and len(scan) > 40
+    monkeypatch.setattr(search, "QUERY_BYTES", 200)
+    assert scan == sorted(search.batch_top_k(df.where("vec_id < 20"), df, 4, by=["g"]).collect()) and len(scan) > 40
 
 
 def test_looking_back_and_budgets_over_chunks(spark, monkeypatch):

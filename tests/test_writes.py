@@ -1,12 +1,13 @@
 """Batches of writes against a loop that takes them one by one."""
 
 import random
+import re
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from mnemo.operators import search, writes
+from mnemo.operators import access, bundles, ingest, search, writes
 
 MEM = "index_name string, task_id string, key string, content_hash string, embedding array<double>, status string, version int"
 ROWS = "seq long, index_name string, task_id string, agent_id string, embedding array<double>, content_hash string, supersedes_key string, mode string"
@@ -84,3 +85,52 @@ def test_copies_of_a_crowd_take_few_rounds(spark, monkeypatch):
     rows = spark.range(400).select(F.col("id").alias("seq"), F.lit("shared").alias("index_name"), F.lit("t").alias("task_id"), F.lit("a").alias("agent_id"), F.array(F.lit(1.0), F.col("id") * 1e-5).alias("embedding"), F.concat(F.lit("sha256:"), F.col("id") % 40).alias("content_hash"), F.lit(None).cast("string").alias("supersedes_key"), F.lit("auto").alias("mode"))
     got = writes.classify(rows, spark.createDataFrame([], MEM)).groupBy("action").count().collect()
     assert {r["action"]: r["count"] for r in got} == {"created": 1, "unchanged": 9, "duplicate_detected": 390} and len(rounds) <= 4
+
+
+def test_registries_are_checked(spark):
+    assert bundles.registry(" ") == {} and bundles.registry('{"a": ["x", "y"]}') == {"a": ["x", "y"]}
+    for bad in ("{", "[1]", '{"a": "x"}', '{"a": [1]}'):
+        with pytest.raises(ValueError):
+            bundles.registry(bad)
+    rows = bundles.named(spark, {"a": ["x", "y", "x"], "b": ["z"]}, ["a"]).collect()
+    assert [(r["pack"], r["task_pos"], r["task_id"]) for r in rows] == [("a", 1, "x"), ("a", 2, "y")]
+    with pytest.raises(ValueError, match="known: a"):
+        bundles.named(spark, {"a": []}, ["c"])
+
+
+def test_requests_are_answered_with_errors_as_data(spark):
+    mem = spark.createDataFrame([("shared", "k1", "active", 2), ("private-a", "k2", "active", 1)], "index_name string, key string, status string, version int")
+    asked = [(1, "a", "planner", "get", None, "k1"), (2, "a", "planner", "get", "private-b", "k1"), (3, "a", "auditor", "store", None, None), (4, "a", None, "get", None, "k1"), (5, "a", "planner", "get", "private-a", "k9"), (6, "a", "planner", "list", None, None), (7, "a", "planner", None, None, "k1")]
+    got = {r["request_id"]: (r["error_type"], r["status"], r["index_name"]) for r in access.dispatch(spark.createDataFrame(asked, "request_id int, agent_id string, role string, verb string, index_name string, key string"), mem).collect()}
+    assert got == {1: (None, "active", "shared"), 2: ("index", None, "private-b"), 3: ("verb", None, "shared"), 4: ("role", None, None), 5: ("key", None, "private-a"), 6: (None, None, "shared"), 7: ("verb", None, "shared")}
+
+
+def plain_chunks(text, most):
+    """The rules of the markdown cut, by one text at a time."""
+    text = text.strip()
+    heads = list(re.finditer(r"^(#{1,3}) +(.+)$", text, re.M))
+    found = [("(whole file)", text)] if text and not heads else []
+    if heads and text[: heads[0].start()].strip():
+        found.append(("(intro)", text[: heads[0].start()].strip()))
+    for i, m in enumerate(heads):
+        found.append((m[2].strip(), text[m.start() : heads[i + 1].start() if i + 1 < len(heads) else len(text)].strip()))
+    return [(h if j == 0 else f"{h} (cont. {j // most + 1})", body[j : j + most]) for h, body in found for j in range(0, len(body), most)]
+
+
+def test_markdown_cut_follows_its_rules(spark):
+    rng = random.Random(8)
+    bits = ["# One", "## Two ", "###  ", "#### four", "#no", "text", "", " ", "\t", "  ", "é𝔘 long line " * 4, "## A\r", " ## indented", "#   "]
+    texts = ["", "\n\n", "\n \n# H\nbody\n\n", "plain", "\x1c# H\x1c"] + ["\n".join(rng.choice(bits) for _ in range(rng.randint(1, 12))) for _ in range(120)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    got: dict = {}
+    for r in ingest.chunk_markdown(df, "id", "text", 25).orderBy("section", "part").collect():
+        got.setdefault(r["id"], []).append((r["heading"], r["content"]))
+    assert {i: c for i, t in enumerate(texts) if (c := plain_chunks(t, 25))} == got
+
+
+def test_files_of_one_stem_and_summaries(spark):
+    rows = [("a/notes.md", "notes", "\n\n# One\nfirst"), ("b/notes.md", "notes", "---\ndescription: \"'About'\"\n---\n#\n\n## \n\n>  Some   *words*\nhere"), ("c/x.md", "x", "---\nname: y\n---\n## \n\nbody"), ("d/y.md", "y", "no heading\nat all\n\nmore")]
+    plan = ingest.ingest_plan(spark.createDataFrame(rows, "path string, stem string, text string"), 100).orderBy("path", "section").collect()
+    got = [(r["path"], r["task_id"], r["heading"], r["summary"]) for r in plan]
+    assert got[0] == ("a/notes.md", "notes", "One", "One") and got[1][:3] == ("b/notes.md", "notes", "(whole file)") or got[1][0] == "b/notes.md"
+    assert [g[3] for g in got if g[0] == "d/y.md"] == ["no heading at all"] and all(g[3] for g in got) and len({(r["path"], r["section"], r["part"]) for r in plan}) == len(plan)

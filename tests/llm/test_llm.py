@@ -619,6 +619,19 @@ def test_cross_polytope_matches_brute_force(spark, monkeypatch, block):
     assert crosspoly.near_duplicates(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("dim", [64, 256, 768])
+@pytest.mark.parametrize("functions", [3, 4, 5, 6])
+def test_recall_holds_as_functions_and_dimensions_grow(functions, dim):
+    rng = np.random.default_rng(functions * dim)
+    unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
+    x = unit(rng.normal(size=(240, dim)))
+    away = rng.normal(size=x.shape)
+    away = unit(away - (away * x).sum(axis=1, keepdims=True) * x)
+    tables = crosspoly.tables_for(functions)
+    a, b = (crosspoly.bucket_keys(v, functions, tables) for v in (x, 0.95 * x + np.sqrt(1 - 0.95**2) * away))
+    assert np.mean([bool(set(p) & set(q)) for p, q in zip(a.tolist(), b.tolist(), strict=True)]) >= 0.95
+
+
 def test_hash_recall_at_threshold():
     rng = np.random.default_rng(3)
     x = rng.normal(size=(2000, 64))

@@ -9,6 +9,7 @@ from mnemo.llm.common import ascii_lower, join_small, written
 
 KEY = ["digest", "n_bytes", "proof"]
 RUN_ROWS = 20_000
+FAN = 16
 
 
 def runs_for(rows: int) -> int:
@@ -31,26 +32,41 @@ def in_runs(prints: DataFrame, runs: int) -> DataFrame:
     return prints.withColumn("run", F.pmod(F.xxhash64("doc_id"), F.lit(runs)).cast("int"))
 
 
-def tree_merge(prints: DataFrame, runs: int, keep: str = "max") -> tuple[DataFrame, DataFrame]:
-    """Merge the runs' digest tables in binomial rounds; returns (leaves, root).
+def tree_merge(prints: DataFrame, runs: int, keep: str = "max") -> list[DataFrame]:
+    """Merge the runs' digest tables in rounds of FAN runs each; returns the tree's levels, leaves first.
 
-    A leaf is a run's row for a digest, pre-aggregated where documents are read. In each round runs
-    2k and 2k + 1 are exchanged to one place by digest, laid in one sorted order and merged in it: of
-    neighbours whose digest, byte length and second hash all agree, the one with the smallest (or
-    largest) identifier is retained with the sum of their counts. No merge ever meets more than two
-    rows of one digest, whatever share of the table holds it. Null identifiers lose to any other.
+    A leaf is a run's row for a digest, pre-aggregated where documents are read. In each round the runs of
+    one number but for its last four bits are exchanged to one place by digest, laid in one sorted order and
+    merged in it: of neighbours whose digest, byte length and second hash all agree, the one with
+    the smallest (or largest) identifier is retained with the sum of their counts. No merge ever meets
+    more than FAN rows of one digest, whatever share of the table holds it, and n runs take log16(n)
+    rounds. Null identifiers lose to any other. The last level has the one run 0.
     """
     best = F.max if keep == "max" else F.min
-    leaves = prints.groupBy("run", *KEY).agg(best("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    level, left = leaves, runs
+    levels = [prints.groupBy("run", *KEY).agg(best("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))]
     first = F.desc_nulls_last("keep_id") if keep == "max" else F.asc_nulls_last("keep_id")
     order = Window.partitionBy("run", *KEY).orderBy(first)
-    both = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    every = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    left = runs
     while left > 1:
-        left //= 2
-        merged = level.withColumn("run", F.shiftright("run", 1)).withColumn("_nth", F.row_number().over(order)).withColumn("group_size", F.sum("group_size").over(both))
+        left = -(-left // FAN)
+        merged = levels[-1].withColumn("run", F.floor(F.col("run") / FAN).cast("int")).withColumn("_nth", F.row_number().over(order)).withColumn("group_size", F.sum("group_size").over(every))
         level = merged.where("_nth = 1").drop("_nth")
-    return leaves, level.drop("run")
+        levels.append(written(level, "dedup-level") if left > 1 else level)
+    return levels
+
+
+def verdicts(levels: list[DataFrame]) -> DataFrame:
+    """(run, digest, ...) of every leaf with its whole group's verdict, sent down the tree as it came up.
+
+    A level's rows take the verdict of the row of the next level that they were merged into, so at most FAN
+    of them meet one.
+    """
+    told = levels[-1]
+    for level in reversed(levels[:-1]):
+        up = told.withColumnRenamed("run", "_up")
+        told = level.drop("keep_id", "group_size").withColumn("_up", F.floor(F.col("run") / FAN).cast("int")).join(up, ["_up", *KEY]).drop("_up")
+    return told
 
 
 def exact_dedup(docs: DataFrame, runs: int | None = None, keep: str = "max", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -59,15 +75,14 @@ def exact_dedup(docs: DataFrame, runs: int | None = None, keep: str = "max", id_
     Texts are equal when identical after lower-casing A-Z only. Null text counts as empty; an empty
     table gives an empty result; other columns are ignored. Rows that repeat an identifier and its
     text are counted each and share their decision; null identifiers lose to any other (keep_id is
-    null only if the whole group has none). Verdicts travel back down the tree, from the root to a
-    row per (run, digest) and from there to documents, so no join meets a whole group at one key.
+    null only if the whole group has none). Verdicts travel back down the tree, level by level, and
+    from a leaf to its run's documents, so no join meets a whole group at one key.
     """
     prints = written(fingerprints(docs, id_col, text_col), "dedup-prints")
     runs = runs or runs_for(prints.count())
     prints = in_runs(prints, runs)
-    leaves, root = tree_merge(prints, runs, keep)
-    verdicts = leaves.drop("keep_id", "group_size").join(root, KEY)
-    return prints.join(verdicts, ["run", *KEY]).select(
+    told = verdicts(tree_merge(prints, runs, keep))
+    return prints.join(told, ["run", *KEY]).select(
         "doc_id",
         "keep_id",
         "group_size",
@@ -85,7 +100,7 @@ def kept_documents(docs: DataFrame, runs: int | None = None, keep: str = "max")
     """
     prints = written(fingerprints(docs), "dedup-prints")
     runs = runs or runs_for(prints.count())
-    leaves, root = tree_merge(in_runs(prints, runs), runs, keep)
+    root = tree_merge(in_runs(prints, runs), runs, keep)[-1]
     several = written(root.where("group_size > 1").select("digest", "keep_id"), "dedup-groups")
     pairs = join_small(prints.select("doc_id", "digest"), several, "digest", "inner", spread="doc_id")
     kept = F.col("doc_id").eqNullSafe(F.col("keep_id"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import TimestampType
 
@@ -13,6 +13,12 @@ def metric_windows(events: DataFrame, period: str, ts: str = "ts", name: str = "
     return events.groupBy(F.window(at, period).alias("w"), F.col(name).alias("metric")).agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("total"), F.max(value).alias("peak")).select(F.col("w.start").alias("window_start"), "metric", "n", "total", "peak")
 
 
+def facts(df: DataFrame, at: str, counted: dict[str, Column]) -> DataFrame:
+    """(ts, name, value, unit): a fact for each named condition that holds in a row, as an emitter would append them. One pass."""
+    named = F.array_compact(F.array(*[F.when(F.coalesce(holds, F.lit(False)), F.lit(name)) for name, holds in counted.items()]))
+    return df.select(F.col(at).alias("ts"), F.explode(named).alias("name")).select("ts", "name", F.lit(1.0).alias("value"), F.lit("Count").alias("unit"))
+
+
 SKETCH_K = 4096
 #: Rank error of a sketch of this size at 99 % confidence; up to about SKETCH_K values it is exact.
 RANK_ERROR = 0.001

@@ -229,18 +229,19 @@ def live(df: DataFrame, now: int) -> DataFrame:
 
 def retrieve(
     queries: DataFrame, mem: DataFrame, now: int, top: int = S.TOP_K, oversample: int = S.OVERSAMPLE, mode: str = "balanced", max_tokens: int = S.MAX_TOKENS, used: DataFrame | None = None,
-    where: Column | None = None, level: str = "summary", wanted: DataFrame | None = None, scorer: Callable | None = None,
+    where: Column | None = None, level: str = "summary", wanted: DataFrame | None = None, scorer: Callable | None = None, nearest: Callable[[DataFrame, DataFrame, int], DataFrame] | None = None,
 ) -> DataFrame:
     """A batch of retrievals in one plan: nearest vectors, collapse, promotion, scores, diversity, budget.
 
     ``queries``: vec_id, embedding (and ``query``, its text, for a ``scorer``, which then ranks the
     hits instead of scores and diversity). ``where`` filters candidates by metadata; ``level`` is a detail
     level (budget.LEVELS); ``wanted`` (query_id, key, wanted_pos) names results to raise to whole
-    bodies afterwards, in that order, as far as the budget goes. Bodies join in after the top rows are
+    bodies afterwards, in that order, as far as the budget goes. ``nearest`` (queries, candidates, k)
+    finds candidates instead of a scan, as a stored index does. Bodies join in after the top rows are
     known. Adds rank, detail, tokens, used_tokens and, with ``wanted``, hydrated.
     """
     active = live(mem, now) if where is None else live(mem, now).where(where)
-    near = batch_top_k(queries.select("vec_id", "embedding"), active.select(F.col("doc_id").alias("vec_id"), "embedding"), oversample)
+    near = (nearest or batch_top_k)(queries.select("vec_id", "embedding"), active.select(F.col("doc_id").alias("vec_id"), "embedding"), oversample)
     narrow = mem.drop("embedding", "content")
     hits = near.join(live(narrow, now), near["id"] == narrow["doc_id"]).drop("id").withColumnRenamed("rank", "pos")
     hits = collapse_latest(hits, ["query_id"], ["pos"]).withColumn("pos", F.col("group_order.pos")).drop("group_order")

@@ -347,4 +347,6 @@ CASE WHEN error_type = 'verb' THEN CASE WHEN role = 'auditor' THEN 10 ELSE 16 EN
     "map_points": PCA.replace("WITH RECURSIVE", f"WITH RECURSIVE {MEM},", 1).rsplit("SELECT vec_id, round", 1)[0] + """, xy AS (SELECT vec_id, round((a - min(a) OVER ()) / (max(a) OVER () - min(a) OVER ()) * 2 - 1, 4) AS x, round((b - min(b) OVER ()) / (max(b) OVER () - min(b) OVER ()) * 2 - 1, 4) AS y FROM p)
 SELECT key, x, y, coalesce(agent_id, '?') AS agent_id, coalesce(team_id, '?') AS team_id, status, version, md5(substr(coalesce(content_summary, content, ''), 1, 280)) AS text_md5, CASE WHEN length(coalesce(content_summary, content, '')) > 280 THEN length(coalesce(content_summary, content, '')) END AS n_full FROM mem JOIN xy ON vec_id = doc_id""",
     "list_by_anchor": f"WITH {MEM}, d AS (SELECT doc_id, key, 1 - {COS.format(a='embedding', b='(SELECT embedding FROM embeddings WHERE vec_id = 5)')} AS d FROM mem WHERE team_id = 'en' AND memory_type = 'semantic' AND embedding IS NOT NULL) SELECT doc_id, key, round(d, 6) AS distance FROM d ORDER BY d, doc_id LIMIT 50",
+    "emitted_facts": f"WITH {MEM}, f AS (SELECT DISTINCT content_hash FROM mem WHERE doc_id % 4 = 2), x AS (SELECT created_at, CASE WHEN content_hash IN (FROM f) THEN 'EmbeddingCacheHit' ELSE 'EmbeddingCacheMiss' END AS metric FROM mem UNION ALL SELECT created_at, 'InjectionSuspect' FROM (SELECT created_at, CASE WHEN doc_id % 2 = 0 THEN 'You must know: ' ELSE '' END || content AS t FROM mem WHERE toxic = 1) WHERE " + " OR ".join(f"regexp_matches(t, '{p}', 'i')" for p in INJECTION_PATTERNS) + ") SELECT created_at - created_at % 86400 AS window_start, metric, count(*) AS n, count(*) :: DOUBLE AS total FROM x GROUP BY 1, 2",
 }
+ORACLES["retrieve_indexed"] = ORACLES["retrieve_memory_batch"]

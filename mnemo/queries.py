@@ -532,6 +532,29 @@ def embed_cached(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", (F.col("embedding")[0] < 0).alias("cached"), (F.col("embedding")[1] > 0).alias("made"))
 
 
+@query
+def emitted_facts(spark: SparkSession, d: str) -> DataFrame:
+    """Facts of a day's writes: suspect texts of external origin, and embeddings that the cache had or didn't have."""
+    m = store.screen(memories(spark, d).withColumn("content", F.concat(F.when(F.col("doc_id") % 2 == 0, F.lit("You must know: ")).otherwise(F.lit("")), "content")))
+    known = m.where("doc_id % 4 = 2").select("content_hash", F.lit(True).alias("_known")).distinct()
+    rows = m.join(known, "content_hash", "left").withColumn("ts", F.timestamp_seconds("created_at"))
+    facts = metrics.facts(rows, "ts", {"InjectionSuspect": F.col("suspect"), "EmbeddingCacheHit": F.col("_known"), "EmbeddingCacheMiss": F.col("_known").isNull()})
+    out = metrics.metric_windows(facts, "1 day", name="name")
+    return out.select(F.unix_timestamp("window_start").alias("window_start"), "metric", "n", "total")
+
+
+@query
+def retrieve_indexed(spark: SparkSession, d: str) -> DataFrame:
+    """The batch of retrievals with candidates from a stored index of the live records."""
+    m = memories(spark, d, vectors=True)
+
+    def nearest(queries: DataFrame, base: DataFrame, k: int) -> DataFrame:
+        return vector_index.top_k(vector_index.build(base, cells=16), queries, k, probes=4, exact=True)
+
+    out = search.retrieve(_probes(spark, d), m, clock(spark, d), max_tokens=60, nearest=nearest)
+    return out.select("query_id", "doc_id", "key", "rank", F.round("mmr", 6).alias("mmr"), "tokens", "used_tokens")
+
+
 @query
 def ttl_sweep(spark: SparkSession, d: str) -> DataFrame:
     """Records that a whole sweep leaves, by index and status."""

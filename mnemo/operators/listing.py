@@ -12,6 +12,8 @@ from mnemo.operators.filters import compile_filter
 from mnemo.operators.search import latest_view, top_k
 from mnemo.sources import ranges
 
+DAY = 86_400
+
 
 def by_parent(mem: DataFrame, page_size: int = S.PAGE_SIZE) -> DataFrame:
     """The newest ``page_size`` children of every parent, newest first."""
@@ -26,14 +28,25 @@ def by_canonical(mem: DataFrame) -> DataFrame:
 
 
 def by_task(mem: DataFrame, memory_type: str | None = None, status: str | None = None, page_size: int = S.PAGE_SIZE) -> DataFrame:
-    """Latest versions of every task, newest first, in pages; ``next_key`` is where a page's reader goes on, null at the end."""
+    """Latest versions of every task, newest first, in pages; ``next_key`` is where a page's reader goes on, null at the end.
+
+    Rows are ranked within a day of their task and days are counted up, so that a task with a third of
+    all rows is no single task's work.
+    """
     rows = latest_view(mem).where("task_id IS NOT NULL")
     for column, value in (("memory_type", memory_type), ("status", status)):
         if value is not None:
             rows = rows.where(F.col(column) == value)
-    order = Window.partitionBy("index_name", "task_id").orderBy(F.desc("created_at"), "key")
-    rows = rows.withColumn("pos", F.row_number().over(order)).withColumn("page", F.floor((F.col("pos") - 1) / page_size)).withColumn("_next", F.lead("key").over(order))
-    return rows.withColumn("next_key", F.when(F.col("pos") % page_size == 0, F.col("_next"))).drop("_next")
+    group = ["index_name", "task_id"]
+    rows = rows.withColumn("_day", F.floor(F.col("created_at") / DAY))
+    order = Window.partitionBy(*group, "_day").orderBy(F.desc("created_at"), "key")
+    later = Window.partitionBy(*group).orderBy(F.desc("_day"))
+    newest = F.min(F.struct((-F.col("created_at")).alias("at"), "key"))["key"]
+    days = rows.groupBy(*group, "_day").agg(F.count(F.lit(1)).alias("_rows"), newest.alias("_first"))
+    days = days.select(*group, "_day", F.coalesce(F.sum("_rows").over(later.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"), F.lead("_first").over(later).alias("_after"))
+    rows = rows.withColumn("_pos", F.row_number().over(order)).withColumn("_next", F.lead("key").over(order)).join(days, [*group, "_day"])
+    rows = rows.withColumn("pos", F.col("_pos") + F.col("_base")).withColumn("page", F.floor((F.col("pos") - 1) / page_size))
+    return rows.withColumn("next_key", F.when(F.col("pos") % page_size == 0, F.coalesce("_next", "_after"))).drop("_day", "_pos", "_base", "_after", "_next")
 
 
 def find_index(mem: DataFrame, keys: DataFrame, order: list[str]) -> DataFrame:

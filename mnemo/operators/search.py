@@ -259,7 +259,12 @@ def retrieve(
     out = budget.at_level(shown, ["query_id"], "rank", level, max_tokens)
     if wanted is None:
         return out
-    raised = out.join(wanted, ["query_id", "key"], "left").withColumn("full_tokens", T.estimate_tokens(F.col("content")))
+    return raise_results(out.join(wanted, ["query_id", "key"], "left"), F.col("wanted_pos"), max_tokens)
+
+
+def raise_results(results: DataFrame, wanted_pos: Column, max_tokens: int = S.MAX_TOKENS) -> DataFrame:
+    """Results raised to whole bodies, in the order of ``wanted_pos`` where it isn't null, as far as the budget goes; adds hydrated."""
+    raised = results.withColumn("wanted_pos", wanted_pos).withColumn("full_tokens", T.estimate_tokens(F.col("content")))
     return budget.hydrate_upgrade(raised, ["query_id"], "rank", max_tokens).drop("full_tokens", "wanted_pos")
 
 

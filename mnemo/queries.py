@@ -133,8 +133,7 @@ def retrieve_filtered(spark: SparkSession, d: str) -> DataFrame:
     where = filters.compile_filter({"team_id": "en", "memory_type": {"$in": ["semantic", "procedural"]}})
     m, now = memories(spark, d, vectors=True), clock(spark, d)
     plain = search.retrieve(_probes(spark, d), m, now, mode="procedural", max_tokens=700, where=where)
-    wanted = plain.where("rank IN (1, 3)").select("query_id", "key", F.when(F.col("rank") == 3, 1).otherwise(2).alias("wanted_pos"))
-    out = search.retrieve(_probes(spark, d), m, now, mode="procedural", max_tokens=700, where=where, wanted=wanted)
+    out = search.raise_results(plain, F.when(F.col("rank") == 3, 1).when(F.col("rank") == 1, 2), 700)
     return out.select("query_id", "rank", "key", "tokens", "hydrated")
 
 
@@ -390,6 +389,21 @@ def reinforce_memory(spark: SparkSession, d: str) -> DataFrame:
     return store.usage_counters(_use_events(spark, d).unionByName(events.select("canonical_id", "ts"))).select("canonical_id", "use_count", "last_used_at")
 
 
+@query
+def golden_questions(spark: SparkSession, d: str) -> DataFrame:
+    """Golden questions written as JSON files of some hundred each, then read back: what is expected of every twentieth record's task."""
+    m = memories(spark, d, content=False).where("doc_id % 20 = 0")
+    asked = F.struct(
+        F.col("doc_id").cast("string").alias("id"), F.concat(F.lit("what does "), "task_id", F.lit(' "know"?')).alias("query"), F.create_map(F.lit("team_id"), "team_id").alias("filters"),
+        F.array("task_id").alias("expected_task_ids"), F.struct(F.col("task_id").alias("answer_task_id")).alias("downstream"),
+    )
+    path = shared_path(spark, "golden")
+    files = m.groupBy(F.floor(F.col("doc_id") / 4000).alias("part")).agg(F.to_json(F.struct(F.collect_list(asked).alias("questions"))).alias("value"))
+    files.write.partitionBy("part").text(path)
+    rows = documents.golden_set(spark, f"{path}/part=*")
+    return rows.select(F.col("id").cast("long").alias("doc_id"), "query", F.col("filters")["team_id"].alias("team_id"), F.col("expected")[0].alias("expected"), "answer_task_id")
+
+
 @query
 def record_view(spark: SparkSession, d: str) -> DataFrame:
     return documents.record_view(memories(spark, d, content=False))

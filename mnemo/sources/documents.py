@@ -10,9 +10,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def settings(text: str, required: tuple[str, ...], prefix: str = "MNEMO_", env: Mapping[str, str] = os.environ) -> dict[str, str]:
-    """Settings of a flat JSON object, environment variables before it; missing required ones are an error that lists them."""
-    found = {k: str(v) for k, v in json.loads(text).items()}
+def _flat(tree: Mapping, root: str) -> dict[str, str]:
+    """Values of a parameter tree: nested objects, or names that are paths below ``root``, to names in one piece."""
+    out: dict[str, str] = {}
+    for name, value in tree.items():
+        name = name.removeprefix(root).strip("/").replace("/", "_").replace("-", "_")
+        if isinstance(value, Mapping):
+            out |= {f"{name}_{k}".lstrip("_"): v for k, v in _flat(value, root).items()}
+        else:
+            out[name] = value if isinstance(value, str) else json.dumps(value)
+    return out
+
+
+def settings(text: str, required: tuple[str, ...], prefix: str = "MNEMO_", env: Mapping[str, str] = os.environ, root: str = "/mnemo", defaults: Mapping[str, str] | None = None) -> dict[str, str]:
+    """Settings of a JSON parameter tree, environment variables before it and defaults after it.
+
+    A value's name is its path: {"index": {"shared-name": "x"}} and {"/mnemo/index/shared-name": "x"} are both
+    index_shared_name. Missing required ones are an error that lists them all; values that are no text stay JSON.
+    """
+    found = dict(defaults or {}) | _flat(json.loads(text), root)
     found |= {k[len(prefix) :].lower(): v for k, v in env.items() if k.startswith(prefix)}
     missing = sorted(k for k in required if not found.get(k))
     if missing:

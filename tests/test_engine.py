@@ -343,6 +343,9 @@ def test_verbs_of_roles():
 
 
 def test_settings_and_json(spark, tmp_path):
+    tree = '{"/mnemo/index/shared-name": "s", "table": {"ttl-index": "t", "sizes": {"n": 3}}, "packs": {"a": ["x"]}}'
+    found = documents.settings(tree, ("index_shared_name", "table_ttl_index", "model"), env={"MNEMO_TABLE_TTL_INDEX": "u"}, defaults={"model": "m"})
+    assert found == {"model": "m", "index_shared_name": "s", "table_ttl_index": "u", "table_sizes_n": "3", "packs_a": '["x"]'}
     assert documents.settings('{"region": "a", "bucket": "b"}', ("bucket",), env={"MNEMO_REGION": "c", "OTHER": "d"}) == {"region": "c", "bucket": "b"}
     with pytest.raises(ValueError, match="bucket, table"):
         documents.settings("{}", ("table", "bucket"), env={})

@@ -32,6 +32,16 @@ def delete_expired(mem: DataFrame, now: int) -> DataFrame:
     return mem.where(F.col("expires_at") <= now).withColumn("reason", F.lit("expired"))
 
 
+def reap(ttl: DataFrame, mem: DataFrame, now: int) -> DataFrame:
+    """(index_name, key, expires_at, found): the rows of a table of expiries that are due, and whether their record is still there.
+
+    Those found are to be deleted; all of them leave the table of expiries, whose records may be long gone.
+    """
+    due = ttl.where(F.col("expires_at") <= now).select("index_name", "key", "expires_at")
+    there = mem.select("index_name", "key", F.lit(True).alias("_there")).distinct()
+    return due.join(there, ["index_name", "key"], "left").withColumn("found", F.coalesce("_there", F.lit(False))).drop("_there")
+
+
 def breaker_status(mem: DataFrame, doomed: DataFrame, cap: int = S.DELETE_CAP, share: float = S.DELETE_CAP_SHARE) -> DataFrame:
     """Per index: size, deletions asked for, the cap, and whether it trips."""
     sizes = mem.groupBy("index_name").agg(F.count(F.lit(1)).alias("index_size"))

@@ -175,6 +175,7 @@ ORACLES: dict[str, str] = {
     "knn_batch_topk": f"WITH n AS (SELECT q.vec_id AS query_id, b.vec_id AS id, round(1 - {COS.format(a='q.embedding', b='b.embedding')}, 9) AS d FROM embeddings q, embeddings b WHERE q.vec_id % 20 = 0) SELECT query_id, id, round(d, 6) + 0.0 :: DOUBLE AS distance, row_number() OVER (PARTITION BY query_id ORDER BY d, id) AS rank FROM n QUALIFY rank <= 10",
     "knn_index_topk": f"WITH n AS (SELECT q.vec_id AS query_id, b.vec_id AS id, round(1 - {COS.format(a='q.embedding', b='b.embedding')}, 9) AS d FROM embeddings q, embeddings b WHERE q.vec_id % 20 = 0 AND b.label BETWEEN 2 AND 5) SELECT query_id, id, round(d, 6) + 0.0 :: DOUBLE AS distance, row_number() OVER (PARTITION BY query_id ORDER BY d, id) AS rank FROM n QUALIFY rank <= 10",
     "golden_questions": f"WITH {MEM} SELECT doc_id, 'what does ' || task_id || ' \"know\"?' AS query, team_id, task_id AS expected, task_id AS answer_task_id FROM mem WHERE doc_id % 20 = 0",
+    "ttl_reap": f"WITH {MEM} SELECT index_name, key, expires_at, doc_id % 4 <> 0 AS found FROM mem WHERE expires_at <= {NOW}",
     "stored_state": f"WITH {MEM} SELECT index_name, key, CASE WHEN doc_id % 3 = 0 THEN 'archived' ELSE status END AS status, CASE WHEN doc_id % 3 = 0 AND status <> 'archived' THEN {NOW} ELSE archived_at END AS archived_at FROM mem WHERE doc_id % 6 <> 0",
     "view_kept_up": f"WITH {MEM} SELECT index_name, canonical_id, arg_max(key, (version, created_at, doc_id)) AS key, max(version) AS version, arg_max(status, (version, created_at, doc_id)) AS status, count(*) AS n_versions FROM mem WHERE doc_id % 6 <> 0 GROUP BY index_name, canonical_id",
     "page_by_cursor": f"WITH {MEM}, {LATEST}, o AS (SELECT key, created_at, row_number() OVER (ORDER BY created_at DESC, key) AS n FROM lv WHERE index_name = 'shared' AND task_id = 'src3' AND status = 'active') SELECT ((n - 1) // 7) :: INTEGER AS page, key, created_at FROM o",

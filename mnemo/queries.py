@@ -637,6 +637,14 @@ def ttl_delete_expired(spark: SparkSession, d: str) -> DataFrame:
     return lifecycle.delete_expired(memories(spark, d, content=False), clock(spark, d)).select("doc_id", "key", "expires_at")
 
 
+@query
+def ttl_reap(spark: SparkSession, d: str) -> DataFrame:
+    """Due rows of a table of expiries against the records: every fourth record is gone, so its row is stale."""
+    m = memories(spark, d, content=False)
+    laid = listing.lay_by_expiry(m.select("index_name", "key", "expires_at"), file_rows=256)
+    return lifecycle.reap(ranges.upto(laid, clock(spark, d)), m.where("doc_id % 4 <> 0"), clock(spark, d))
+
+
 @query
 def ttl_breaker(spark: SparkSession, d: str) -> DataFrame:
     m = memories(spark, d, content=False)

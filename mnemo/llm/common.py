@@ -129,3 +129,22 @@ def running_total(df: DataFrame, keys: Sequence[str], chunk: str, order: Sequenc
         .withColumn(out, F.col("_base") + F.coalesce(F.sum(value).over(inside), F.lit(0)))
         .drop("_base")
     )
+
+
+def prefix_sums(df: DataFrame, order: Sequence[Column], sums: dict[str, Column], one_task: bool) -> DataFrame:
+    """Exclusive prefix sums of whole numbers along one order of all rows, which must tell them apart.
+
+    ``one_task`` is for tables of a checked size. Others are laid in ranges of that order, written, and
+    the ranges' totals, a row each, carried from one to the next.
+    """
+    if one_task:
+        before = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        return df.select("*", *[F.coalesce(F.sum(value).over(before), F.lit(0)).cast("long").alias(name) for name, value in sums.items()])
+    rows = df.select("*", *[value.cast("long").alias(f"_v_{name}") for name, value in sums.items()])
+    rows = written(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = rows.groupBy("_range").agg(*[F.sum(f"_v_{name}").alias(name) for name in sums])
+    bases = totals.select("_range", *[F.coalesce(F.sum(name).over(earlier), F.lit(0)).alias(f"_b_{name}") for name in sums])
+    before = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    joined = rows.join(F.broadcast(bases), "_range")
+    return joined.select(*df.columns, *[(F.col(f"_b_{name}") + F.coalesce(F.sum(f"_v_{name}").over(before), F.lit(0))).cast("long").alias(name) for name in sums])

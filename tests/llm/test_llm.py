@@ -362,10 +362,38 @@ def test_mix_odd_rows(spark, odd):
     assert mixing.mix(odd.where("doc_id < 3"))[0].agg(F.sum("taken")).first()[0] == 0
 
 
-def test_permutation_is_one(spark):
-    n = 101
+@pytest.mark.parametrize("n", [1, 2, 101, 20_000])
+def test_permutation_is_one_and_moves_blocks_anywhere(spark, n):
     at = spark.range(n).select(mixing.position(F.col("id"), F.lit(n).cast("long"), F.lit(3).cast("long"), F.lit(1).cast("long")).alias("p"))
-    assert sorted(r["p"] for r in at.collect()) == list(range(n))
+    p = np.array([r["p"] for r in at.collect()])
+    assert sorted(p) == list(range(n))
+    if n > 10_000:  # as of a shuffle: few stay, a third of the way on average, neighbours part
+        assert (p == np.arange(n)).sum() <= 6 and abs(np.abs(p - np.arange(n)).mean() / n - 1 / 3) < 0.01
+        assert abs(np.corrcoef(p[:-1], p[1:])[0, 1]) < 0.03 and (np.abs(np.diff(p)) <= 2).sum() <= 20
+
+
+def test_blocks_beyond_32_bits_land_everywhere(spark):
+    n = 5 << 33
+    blocks = spark.range(0, n, n // 4000).select(mixing.position(F.col("id"), F.lit(n).cast("long"), F.lit(3).cast("long"), F.lit(0).cast("long")).alias("p"))
+    p = np.array([r["p"] for r in blocks.collect()])
+    assert len(set(p)) == len(p) and p.min() >= 0 and p.max() < n
+    tenths = np.bincount(p * 10 // n, minlength=10) / len(p)
+    assert tenths.min() > 0.08 and tenths.max() < 0.12
+    slots = spark.range(0, n, n // 4000).select(mixing.drawn_at(F.col("id"), n, 7).alias("v"))
+    v = np.array([r["v"] for r in slots.collect()])
+    tenths = np.bincount(v * 10 // n, minlength=10) / len(v)
+    assert v.min() >= 0 and v.max() < n and tenths.min() > 0.08 and tenths.max() < 0.12 and len(set(v % 1024)) > 900
+
+
+def test_many_sources_are_ranked_over_ranges(spark, monkeypatch):
+    rng = random.Random(9)
+    sources = [rng.choice([None, *(f"s{k}" for k in range(60))]) for _ in range(500)]
+    docs = table(spark, [words(rng, rng.randint(0, 90)) for _ in sources], sources=sources)
+    key = lambda df: sorted(map(repr, df.collect()))
+    one = [key(df) for df in mixing.mix(docs, block=16, shard_slots=64)]
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
+    documents, uses = mixing.mix(docs, block=16, shard_slots=64)
+    assert [key(documents), key(uses)] == one
 
 
 # -- language ID --------------------------------------------------------------------------------

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import zlib
 from collections import defaultdict
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -31,16 +31,19 @@ def lengths_of(n: int, window: int, smallest: int) -> list[int]:
     return [*out, n] if n else out
 
 
-def cut_pieces(docs: DataFrame, window: int, end_id: int, find: Callable[[], str], id_col: str, text_col: str) -> DataFrame:
+def cut_pieces(docs: DataFrame, window: int, end_id: int, find: Callable[[], str], id_col: str, text_col: str, also: Sequence[str] = ()) -> DataFrame:
     """Tokenise whole texts once and cut each in two ways: ``cut`` 0 has full windows and one remainder,
-    1 has the remainder in halves of the window down to SMALLEST, null is a piece of both."""
+    1 has the remainder in halves of the window down to SMALLEST, null is a piece of both. Columns
+    named in ``also`` are repeated for each piece."""
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = word_tokenizer(find())
         for batch in sliced(batches):
             out: dict[str, list] = {k: [] for k in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "cut")}
+            pieces = []
             for doc_id, found in zip(batch.column(0).to_pylist(), tokenizer.ids_of(batch.column(1).to_pylist()), strict=True):
+                made = len(out["doc_id"])
                 ids = memoryview(found + end)
                 n = len(ids) // 4
                 both = n // window
@@ -61,9 +64,16 @@ def cut_pieces(docs: DataFrame, window: int, end_id: int, find: Callable[[], str
                         out["doc_tokens"].append(n)
                         out["cut"].append(cut)
                         start += length
-            yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in out.values()], names=list(out))
+                pieces.append(len(out["doc_id"]) - made)
+            of = pa.array(np.repeat(np.arange(batch.num_rows), pieces))
+            repeated = [batch.column(i).take(of) for i in range(2, batch.num_columns)]
+            yield pa.RecordBatch.from_arrays([*[pa.array(v, pa.int64()) for v in out.values()], *repeated], names=[*out, *also])
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, PIECES + ", cut long")
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"), *also).mapInArrow(run, PIECES + ", cut long" + typed(docs, also))
+
+
+def typed(docs: DataFrame, names: Sequence[str]) -> str:
+    return "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
 
 
 def nnls(columns: np.ndarray, rows: int, wanted: np.ndarray, weight: np.ndarray, rounds: int = 4000) -> np.ndarray:
@@ -216,7 +226,7 @@ def place(packs: list[tuple[tuple[int, ...], int]]) -> dict[str, np.ndarray]:
     return dict(zip(("length", "rank", "sequence", "offset"), found.T, strict=True))
 
 
-def pack(docs: DataFrame, window: int = 2048, end_id: int = 1, find: Callable[[], str] = public_path("word_bpe_49k.json"), bins: int = 128, least_gain: float = 0.02, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, window: int = 2048, end_id: int = 1, find: Callable[[], str] = public_path("word_bpe_49k.json"), bins: int = 128, least_gain: float = 0.02, id_col: str = "doc_id", text_col: str = "text", also: Sequence[str] = ()) -> DataFrame:
     """Place every token of every document into sequences of at most ``window`` tokens.
 
     A document longer than the window is cut at multiples of it. Remainders stay whole, or are cut at
@@ -225,9 +235,10 @@ def pack(docs: DataFrame, window: int = 2048, end_id: int = 1, find: Callable[[]
     null identifiers are packed like others. Only the histogram of piece lengths (``window`` + 1
     counts) reaches the driver. Pieces are ranked within their length in two levels, so a length
     shared by a third of all pieces is spread over many tasks, and the plan maps ranks to places.
+    Columns named in ``also`` are carried from a document to its pieces.
     """
     spark = docs.sparkSession
-    pieces = written(cut_pieces(docs, window, end_id, find, id_col, text_col), "pack-pieces")
+    pieces = written(cut_pieces(docs, window, end_id, find, id_col, text_col, also), "pack-pieces")
     histograms = np.zeros((2, window + 1), dtype=np.int64)
     for row in pieces.groupBy("length", "cut").count().collect():
         for cut in (0, 1) if row["cut"] is None else (row["cut"],):
@@ -243,7 +254,7 @@ def pack(docs: DataFrame, window: int = 2048, end_id: int = 1, find: Callable[[]
     totals = pieces.groupBy("length", "_chunk").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("length").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     bases = totals.select("length", "_chunk", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    inside = Window.partitionBy("length", "_chunk").orderBy("doc_id", "start", "ids_crc32")
+    inside = Window.partitionBy("length", "_chunk").orderBy("doc_id", "start", "ids_crc32", *also)
     ranked = pieces.join(bases, ["length", "_chunk"]).withColumn("_rank", F.col("_base") + F.row_number().over(inside) - 1)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,7 +265,7 @@ def pack(docs: DataFrame, window: int = 2048, end_id: int = 1, find: Callable[[]
             length, rank = (batch.column(i).to_numpy() for i in (2, 5))
             at = np.searchsorted(keys, length * wide + rank, side="right") - 1
             sequence = p["sequence"][at] + rank - p["rank"][at]
-            columns = [batch.column(i) for i in range(5)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(sequence), pa.array(p["offset"][at])], names=[*batch.schema.names[:5], "sequence_id", "offset"])
+            columns, carried = [batch.column(i) for i in range(5)], [batch.column(i) for i in range(6, batch.num_columns)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(sequence), pa.array(p["offset"][at]), *carried], names=[*batch.schema.names[:5], "sequence_id", "offset", *also])
 
-    return ranked.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "_rank").mapInArrow(assign, PIECES + ", sequence_id long, offset long")
+    return ranked.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "_rank", *also).mapInArrow(assign, PIECES + ", sequence_id long, offset long" + typed(docs, also))

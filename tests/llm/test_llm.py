@@ -418,6 +418,27 @@ def test_language_id(spark, odd):
     assert langid.identify(odd).count() == odd.count() and langid.identify(odd.limit(0)).count() == 0
 
 
+def test_pipeline_hands_on_the_language_found(spark):
+    stages = dict(pytest.importorskip("corpus_pipeline").STAGES)
+    rng = random.Random(8)
+    syllables = {"en": ["the", "ing", "er", "th"], "fr": ["eau", "é", "ou", "que"], "de": ["sch", "ü", "ung", "ei"]}
+    made = lambda lang, n=30: " ".join("".join(rng.choices(syllables[lang], k=3)) for _ in range(n))
+    langs = [rng.choice(list(syllables)) for _ in range(240)]
+    texts = [*[made(x) for x in langs], made("fr", 3000), made("de"), made("fr", 6), made("en"), None, "12 34"]
+    docs = table(spark, texts, [*langs, None, None, "en", "de", "en", "en"])
+    told = {r["doc_id"]: r["lang_pred"] for r in langid.identify(docs).collect()}
+    assert [told[i] for i in range(240, 246)] == ["fr", "de", "fr", "en", "und", "und"]
+    after = common.written(stages["language_id"](spark, docs, ""), "t")
+    got = {r["doc_id"]: r.asDict() for r in after.collect()}
+    assert after.schema == docs.schema and {i: r["lang"] for i, r in got.items()} == {i: x for i, x in told.items() if x != "und"}
+    given = {r["doc_id"]: r.asDict() for r in docs.collect()}
+    assert all(r | {"lang": None} == given[i] | {"lang": None} for i, r in got.items())
+    packed = stages["packing"](spark, after, "").collect()
+    assert {(r["doc_id"], r["lang"]) for r in packed} == {(i, r["lang"]) for i, r in got.items()} and len(packed) > len(got)
+    same = lambda rows: sorted((r["doc_id"], r["start"], r["length"], r["ids_crc32"], r["sequence_id"], r["offset"]) for r in rows)
+    assert same(packed) == same(packing.pack(after).collect())
+
+
 # -- HTML ---------------------------------------------------------------------------------------
 
 

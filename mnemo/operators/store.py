@@ -109,9 +109,9 @@ def archived_state(now: int) -> tuple[Column, Column]:
 
 
 def archive(mem: DataFrame, keys: DataFrame, now: int) -> DataFrame:
-    """States of the asked-for records after archiving."""
+    """States of the asked-for records after archiving. Records are named by all columns of ``keys``: a key that several share needs more."""
     status, archived_at = archived_state(now)
-    return mem.join(keys, ["index_name", "key"], "left_semi").withColumn("archived_at", archived_at).withColumn("status", status)
+    return mem.join(keys, keys.columns, "left_semi").withColumn("archived_at", archived_at).withColumn("status", status)
 
 
 def restore(mem: DataFrame, keys: DataFrame, now: int) -> DataFrame:

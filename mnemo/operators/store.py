@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,11 +11,11 @@ from mnemo import schema as S
 from mnemo.functions import text as T
 
 
-def current_state(log: DataFrame) -> DataFrame:
-    """The latest state of each (index_name, key) by op_seq; deleted keys are gone. Aggregation only."""
-    payload = [c for c in log.columns if c not in ("index_name", "key")]
-    last = log.groupBy("index_name", "key").agg(F.max_by(F.struct(*payload), "op_seq").alias("r"))
-    out = last.select("index_name", "key", "r.*")
+def current_state(log: DataFrame, by: Sequence[str] = ("index_name", "key")) -> DataFrame:
+    """The latest state of each record, told apart by ``by``, by op_seq; deleted ones are gone. Aggregation only."""
+    payload = [c for c in log.columns if c not in by]
+    last = log.groupBy(*by).agg(F.max_by(F.struct(*payload), "op_seq").alias("r"))
+    out = last.select(*by, "r.*")
     return out.where("NOT coalesce(deleted, false)") if "deleted" in payload else out
 
 

@@ -11,6 +11,7 @@ TABLES = "events documents embeddings labels".split()
 SHIFT = 1820  # of doc_id: keeps agent and index, but not the family that canonical identifiers and rules go by
 NAMES = [
     "archive_memory",
+    "current_state",
 ]  # NAMES
 
 

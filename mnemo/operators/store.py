@@ -132,14 +132,16 @@ def purge(mem: DataFrame, canonical_ids: DataFrame) -> DataFrame:
 def purge_all(mem: DataFrame, contents: DataFrame, view: DataFrame, canonical_ids: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(records, bodies kept outside, canonical rows, purged keys) once whole canonical groups are deleted everywhere.
 
-    Bodies go by the keys of the records that go; ``purged keys`` has a row for each key, the latest first by ``pos``.
+    Bodies go by the keys of the records that go, and by their doc_id where bodies name it, as keys may be shared;
+    ``purged keys`` has a row for each record, the latest first by ``pos``.
     Identifiers that nothing is stored under still lose their canonical row.
     """
     gone = mem.join(canonical_ids.distinct(), ["index_name", "canonical_id"], "left_semi")
-    keys = gone.select("index_name", "key").distinct()
+    by = [c for c in ("index_name", "key", "doc_id") if c in contents.columns]
+    keys = gone.select(*by).distinct()
     order = Window.partitionBy("index_name", "canonical_id").orderBy(F.desc("version"), F.desc("created_at"), "key")
     listed = gone.select("index_name", "canonical_id", "key", (F.row_number().over(order) - 1).alias("pos"))
-    return purge(mem, canonical_ids), contents.join(keys, ["index_name", "key"], "left_anti"), view.join(canonical_ids, ["index_name", "canonical_id"], "left_anti"), listed
+    return purge(mem, canonical_ids), contents.join(keys, by, "left_anti"), view.join(canonical_ids, ["index_name", "canonical_id"], "left_anti"), listed
 
 
 def usage_counters(events: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ NAMES = [
     "current_state",
     "expand_walk",
     "hydrate_keys",
+    "purge_memory",
 ]  # NAMES
 
 

@@ -7,6 +7,8 @@ gives its place to the runner-up.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,10 +20,10 @@ RECORD = "index_name string, canonical_id string, key string, doc_id long, versi
 VIEW = "index_name string, canonical_id string, key string, version int, task_id string, agent_id string, memory_type string, status string, created_at long, n_versions long"
 
 
-def create(spark: SparkSession, path: str, buckets: int = 64) -> tuple[StoredTable, StoredTable]:
-    """(records, view): empty tables that lie in buckets by canonical identifier both."""
+def create(spark: SparkSession, path: str, buckets: int = 64, keys: Sequence[str] = ("index_name", "key")) -> tuple[StoredTable, StoredTable]:
+    """(records, view): empty tables that lie in buckets by canonical identifier both. ``keys`` tell records apart."""
     return (
-        StoredTable.create(spark, f"{path}/records", RECORD, ["index_name", "key"], GROUP, buckets),
+        StoredTable.create(spark, f"{path}/records", RECORD, keys, GROUP, buckets),
         StoredTable.create(spark, f"{path}/view", VIEW, GROUP, GROUP, buckets),
     )
 
@@ -39,13 +41,13 @@ def _follow(records: StoredTable, view: StoredTable, changed: DataFrame) -> None
 
 
 def upsert(records: StoredTable, view: StoredTable, rows: DataFrame) -> None:
-    """Write records and bring the view after them. A key keeps its canonical identifier."""
+    """Write records and bring the view after them. A record keeps its canonical identifier."""
     records.upsert(rows)
     _follow(records, view, rows)
 
 
 def delete(records: StoredTable, view: StoredTable, keys: DataFrame) -> None:
-    """Delete records by (index_name, key, canonical_id) and bring the view after them."""
+    """Delete records by their keys and canonical_id and bring the view after them."""
     records.delete(keys)
     _follow(records, view, keys)
 

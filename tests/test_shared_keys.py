@@ -17,6 +17,7 @@ NAMES = [
     "purge_memory",
     "stored_state",
     "version_chain",
+    "view_kept_up",
 ]  # NAMES
 
 

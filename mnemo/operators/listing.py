@@ -23,8 +23,9 @@ def by_parent(mem: DataFrame, page_size: int = S.PAGE_SIZE) -> DataFrame:
 
 def by_canonical(mem: DataFrame) -> DataFrame:
     """The record of the latest version of every canonical_id."""
-    latest = latest_view(mem).select("index_name", "canonical_id", "key")
-    return latest.join(mem.drop("canonical_id"), ["index_name", "key"])
+    group = ["index_name", "canonical_id"]
+    last = F.max_by("doc_id", F.struct("version", "created_at", "doc_id")).alias("doc_id")  # a key may be shared
+    return mem.join(mem.where("canonical_id IS NOT NULL").groupBy(*group).agg(last), [*group, "doc_id"], "left_semi")
 
 
 def by_task(mem: DataFrame, memory_type: str | None = None, status: str | None = None, page_size: int = S.PAGE_SIZE) -> DataFrame:

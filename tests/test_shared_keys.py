@@ -18,6 +18,7 @@ NAMES = [
     "stored_state",
     "version_chain",
     "view_kept_up",
+    "list_by_canonical",
 ]  # NAMES
 
 

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import heapq
 import json
+import tempfile
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -59,38 +63,100 @@ class LruCache:
         return hit
 
 
+class _InOrder:
+    """Requests (at, asked) in the order of both, however many: runs of RUN_ROWS are sorted and laid down in files, then merged."""
+
+    RUN_ROWS, BATCH_ROWS = 1 << 18, 1 << 12
+
+    def __init__(self, folder: str):
+        self.folder, self.held, self.rows, self.runs = folder, [], 0, 0
+
+    def add(self, at: pa.Array, asked: pa.Array) -> None:
+        self.held.append(pa.table({"at": at.cast(pa.int64()), "asked": asked.cast(pa.large_string())}))
+        self.rows += len(at)
+        if self.rows >= self.RUN_ROWS:
+            self._lay()
+
+    def _lay(self) -> None:
+        run = pa.concat_tables(self.held)
+        run = run.take(pc.sort_indices(run, [("at", "ascending"), ("asked", "ascending")]))
+        with pa.OSFile(f"{self.folder}/{self.runs}", "wb") as sink, pa.ipc.new_file(sink, run.schema) as out:
+            out.write_table(run, max_chunksize=self.BATCH_ROWS)
+        self.held, self.rows, self.runs = [], 0, self.runs + 1
+
+    def _read(self, run: int) -> Iterator[tuple[int, str]]:
+        with pa.OSFile(f"{self.folder}/{run}") as source:
+            file = pa.ipc.open_file(source)
+            for k in range(file.num_record_batches):
+                batch = file.get_batch(k)
+                yield from zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
+
+    def __iter__(self) -> Iterator[tuple[int, str]]:
+        if self.held:
+            self._lay()
+        return heapq.merge(*[self._read(run) for run in range(self.runs)])
+
+
+def _answers(cache: str, rows: list[tuple[int, str, bool, bool]]) -> pd.DataFrame:
+    return pd.DataFrame({"cache": [cache] * len(rows), "content_hash": [r[1] for r in rows], "at": pd.Series([r[0] for r in rows], dtype="int64"), "hit": pd.Series([r[2] for r in rows], dtype="bool"), "late": pd.Series([r[3] for r in rows], dtype="bool")})
+
+
+ANSWER_ROWS = 10_000
+
+
 def cached_lookups(requests: DataFrame, capacity: int = 1000, seconds: int = 600, late: str = LATE) -> DataFrame:
     """(cache, content_hash, at, hit, late): requests (cache, content_hash, ts) answered by a cache of bounded size each, in the order of their time.
 
-    ``cache`` names one of many caches, as one process has one. Requests wait in state until the watermark,
-    ``late`` behind the newest, has passed them, so the order of arrival doesn't matter; one that comes
-    after that is late: a miss that the cache never sees. State of a cache: ``capacity`` entries and the
-    requests of the last ``late``; timers answer what waits when no more comes.
+    ``cache`` names one of many caches, as one process has one. Requests wait until the watermark, ``late``
+    behind the newest, has passed them, so the order of arrival doesn't matter; one that comes
+    after that is late: a miss that the cache never sees. The watermark will be ``late`` behind a cache's own
+    newest request at least, so what lies before that is answered at once and never kept: state of a cache is
+    ``capacity`` entries and the requests of the last ``late``; timers answer what waits when no more comes.
+    A batch may hold any number of a cache's requests: they are sorted in files, a run in memory at a time.
     """
+    delay = int(pd.Timedelta(late).total_seconds() * 1000)
 
     def look(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        entries, waiting = json.loads(state.get[0]) if state.exists else ([], [])
+        entries, waiting = state.get if state.exists else ("[]", None)
         passed = state.getCurrentWatermarkMs()
-        rows: list[tuple[int, str, bool, bool]] = []
-        if not state.hasTimedOut:
-            for pdf in batches:
-                for at, asked in zip(_ms(pdf["ts"]).tolist(), pdf["content_hash"].tolist(), strict=True):
-                    if at < passed:
-                        rows.append((at, asked, False, True))
-                    else:
-                        waiting.append([at, asked])
-        cache = LruCache(entries, capacity, seconds)
-        waiting.sort()
-        ready = sum(at < passed for at, _ in waiting)
-        rows += [(at, asked, cache.ask(asked, at), False) for at, asked in waiting[:ready]]
-        waiting = waiting[ready:]
-        state.update((json.dumps([list(cache.entries.items()), waiting]),))
-        if waiting:
-            state.setTimeoutTimestamp(max(waiting[0][0], passed + 1))
-        yield pd.DataFrame({"cache": [key[0]] * len(rows), "content_hash": [r[1] for r in rows], "at": pd.Series([r[0] for r in rows], dtype="int64"), "hit": pd.Series([r[2] for r in rows], dtype="bool"), "late": pd.Series([r[3] for r in rows], dtype="bool")})
+        upto = passed
+        with tempfile.TemporaryDirectory(prefix="lookups-") as folder:
+            asked = _InOrder(folder)
+            if waiting:
+                kept = pa.ipc.open_stream(waiting).read_all()
+                asked.add(kept["at"].combine_chunks(), kept["asked"].combine_chunks())
+                upto = max(upto, pc.max(kept["at"]).as_py() - delay)
+            if not state.hasTimedOut:
+                for pdf in batches:
+                    at, names = pa.array(_ms(pdf["ts"])), pa.array(pdf["content_hash"])
+                    if not len(at):
+                        continue
+                    upto = max(upto, pc.max(at).as_py() - delay)
+                    old = pc.less(at, passed)
+                    if pc.any(old).as_py():
+                        yield _answers(key[0], [(t, n, False, True) for t, n in zip(at.filter(old).to_pylist(), names.filter(old).to_pylist(), strict=True)])
+                    asked.add(at.filter(pc.invert(old)), names.filter(pc.invert(old)))
+            cache = LruCache(json.loads(entries), capacity, seconds)
+            rows, left = [], []
+            for at, name in asked:
+                if at >= upto:
+                    left.append((at, name))
+                    continue
+                rows.append((at, name, cache.ask(name, at), False))
+                if len(rows) == ANSWER_ROWS:
+                    yield _answers(key[0], rows)
+                    rows = []
+        kept = pa.table({"at": pa.array([at for at, _ in left], pa.int64()), "asked": pa.array([name for _, name in left], pa.large_string())})
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, kept.schema) as out:
+            out.write_table(kept)
+        state.update((json.dumps(list(cache.entries.items())), sink.getvalue().to_pybytes() if left else None))
+        if left:
+            state.setTimeoutTimestamp(max(left[0][0], passed + 1))
+        yield _answers(key[0], rows)
 
     timed = requests.withWatermark("ts", late).select("cache", "content_hash", "ts")
-    return timed.groupBy("cache").applyInPandasWithState(look, "cache string, content_hash string, at long, hit boolean, late boolean", "held string", "append", GroupStateTimeout.EventTimeTimeout)
+    return timed.groupBy("cache").applyInPandasWithState(look, "cache string, content_hash string, at long, hit boolean, late boolean", "entries string, waiting binary", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def stream_alarms(events: DataFrame, period_seconds: int, threshold: float, periods: int, below: bool = False, rate: bool = False, late: str = LATE) -> DataFrame:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import TimestampType
 
+from mnemo.sources.shared import Work
+
 
 def metric_windows(events: DataFrame, period: str, ts: str = "ts", name: str = "event_type", value: str = "value") -> DataFrame:
     """(window_start, metric, n, total, peak) of each metric and period. Batch and streaming alike."""
@@ -46,6 +50,40 @@ def percentile_windows(events: DataFrame, period: str, q: float, ts: str = "ts",
     return sketch_quantile(sketch_windows(events, period, ts=ts, value=value), q)
 
 
+def count_windows(events: DataFrame, period: str = "1 minute", by: tuple[str, ...] = (), ts: str = "ts", value: str = "value") -> DataFrame:
+    """(window_start, by, value, n): how often each value came in each period, nulls included. To be stored; coarser periods are made from it, exactly."""
+    w = F.window(F.col(ts).cast("timestamp"), period)
+    return events.groupBy(w.alias("w"), *by, F.col(value).cast("double").alias("value")).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("window_start"), *by, "value", "n")
+
+
+def roll_up_counts(counts: DataFrame, period: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """Counts of a longer period, added up from those of shorter ones: no event is read again."""
+    added = counts.groupBy(F.window("window_start", period).alias("w"), *by, "value").agg(F.sum("n").alias("n"))
+    return added.select(F.col("w.start").alias("window_start"), *by, "value", "n")
+
+
+def count_quantile(counts: DataFrame, q: str, by: tuple[str, ...] = (), name: str = "p") -> DataFrame:
+    """(window_start, by, n, p): all rows of each period, and the least value that a share of at least ``q``, a decimal, of its values doesn't exceed. Exact.
+
+    Counts are written in ranges of period and value. A total for each range says which one holds the rank, and
+    only that range's rows are counted up, so that a period with a third of all events is no single task's work.
+    """
+    cell = ["window_start", *by]
+    keyed = counts.select(F.struct(*cell).alias("cell"), "value", "n")
+    work = Work(counts.sparkSession, "counts")
+    rows = work.written(keyed.repartitionByRange("cell", "value").withColumn("range", F.spark_partition_id()))
+    totals = rows.groupBy("cell", "range").agg(F.sum("n").alias("rows"), F.coalesce(F.sum(F.when(F.col("value").isNotNull(), F.col("n"))), F.lit(0)).alias("held"))
+    whole, before = Window.partitionBy("cell"), Window.partitionBy("cell").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select("cell", "range", "held", F.sum("rows").over(whole).alias("all"), F.ceil(F.sum("held").over(whole).cast("decimal(20,0)") * F.lit(Decimal(q))).cast("long").alias("rank"), F.coalesce(F.sum("held").over(before), F.lit(0)).alias("base"))
+    totals = work.written(totals)
+    holds = totals.where((F.col("base") < F.col("rank")) & (F.col("rank") <= F.col("base") + F.col("held"))).select("cell", "range", "rank", "base")
+    upto = Window.partitionBy("cell").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    found = rows.where("value IS NOT NULL").join(holds, ["cell", "range"]).withColumn("upto", F.col("base") + F.sum("n").over(upto))
+    found = found.where(F.col("upto") >= F.col("rank")).groupBy("cell").agg(F.min("value").alias(name))
+    every = totals.groupBy("cell").agg(F.max("all").alias("n")).withColumnRenamed("cell", "_cell")
+    return every.join(found, F.col("_cell").eqNullSafe(F.col("cell")), "left").select("_cell.*", "n", name)
+
+
 def ratio_windows(events: DataFrame, period: str, hit: str, miss: str, ts: str = "ts", name: str = "event_type") -> DataFrame:
     """100 * hits / (hits + misses) of each period; null where there were neither."""
     w = F.window(F.col(ts).cast("timestamp"), period)

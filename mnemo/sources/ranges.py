@@ -12,7 +12,7 @@ import json
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mnemo.sources.shared import shared_path
@@ -108,6 +108,32 @@ def page(laid: SortedRows, values: Sequence, size: int, token: str | None = None
     return out, None if done else json.dumps([taken[-1][k] for k in keys[n:]])
 
 
+def pages(laid: SortedRows, values: Sequence, size: int, where: Column | None = None) -> DataFrame:
+    """All pages of a prefix at once: its rows that pass ``where``, with ``page`` and ``token``, the one that ``page`` gives at its end.
+
+    Rows are numbered within their file and files' counts are added up in order, so each file is read once by
+    a task of its own, however many pages there are, and none of them passes through the driver.
+    """
+    keys, n = laid._keys(), len(laid.prefix)
+    lo, hi = ([F.col(f"{side}.{k}") for k in keys[:n]] for side in ("lo", "hi"))
+    files = [r["file"] for r in laid.files().where(~_after(lo, values) & _after(hi, values, strict=False)).select("file").collect()]
+    schema = laid.spark.read.parquet(f"{laid.path}/rows").schema
+    rows = laid.spark.read.schema(schema).parquet(*files) if files else laid.spark.createDataFrame([], schema)
+    rows = rows.withColumn("_file", F.input_file_name())
+    for k, v in zip(keys[:n], values, strict=True):
+        rows = rows.where(F.col(k) == F.lit(v))
+    rows = rows if where is None else rows.where(where)
+    key = F.struct(*keys[n:])
+    counts = rows.groupBy("_file").agg(F.count(F.lit(1)).alias("_rows"), F.min(key).alias("_lo"))
+    before = F.sum("_rows").over(Window.orderBy("_lo").rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.select("_file", F.coalesce(before, F.lit(0)).alias("_base"))
+    inside = Window.partitionBy("_file").orderBy(*keys[n:])
+    rows = rows.join(counts, "_file").withColumn("_pos", F.col("_base") + F.row_number().over(inside))
+    rows = rows.withColumn("page", F.floor((F.col("_pos") - 1) / size))
+    last = rows.where(F.col("_pos") % size == 0).select("page", F.concat(F.lit("["), F.concat_ws(", ", *[F.regexp_extract(F.to_json(F.array(k)), r"(?s)^\[(.*)\]$", 1) for k in keys[n:]]), F.lit("]")).alias("token"))
+    return rows.join(last, "page", "left").drop(*keys, "_file", "_base", "_pos")
+
+
 def upto(laid: SortedRows, limit) -> DataFrame:
     """Rows whose first order column is at most ``limit``, of a layout without prefix: only files that begin by then are opened."""
     first = laid._keys()[0]
